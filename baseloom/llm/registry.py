@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from baseloom.llm import exact_dedup, mixing, sharding
+from baseloom.llm import exact_dedup, mixing, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_lsm_exact_dedup": exact_dedup.op1,
+        "op2_cover_substring_dedup": substring_dedup.op2,
+        "op5_radix_suffix_dedup": suffix_dedup.op5,
         "op7_fair_queue_mix": mixing.op7,
         "op10_permutation_shards": sharding.op10,
     }
@@ -16,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_lsm_exact_dedup": exact_dedup.SQL,
+        "op2_cover_substring_dedup": substring_dedup.SQL,
         "op7_fair_queue_mix": mixing.SQL,
     }

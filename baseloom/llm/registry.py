@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from baseloom.llm import exact_dedup, mixing, sharding, substring_dedup, suffix_dedup
+from baseloom.llm import exact_dedup, line_dedup, mixing, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_cover_substring_dedup": substring_dedup.op2,
         "op5_radix_suffix_dedup": suffix_dedup.op5,
         "op7_fair_queue_mix": mixing.op7,
+        "op9_bloom_line_dedup": line_dedup.op9,
         "op10_permutation_shards": sharding.op10,
     }
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_lsm_exact_dedup": exact_dedup.SQL,
         "op2_cover_substring_dedup": substring_dedup.SQL,
         "op7_fair_queue_mix": mixing.SQL,
+        "op9_bloom_line_dedup": line_dedup.SQL,
     }

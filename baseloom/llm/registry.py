@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from baseloom.llm import exact_dedup, line_dedup, mixing, sharding, substring_dedup, suffix_dedup
+from baseloom.llm import decontam, exact_dedup, line_dedup, mixing, quality, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_lsm_exact_dedup": exact_dedup.op1,
         "op2_cover_substring_dedup": substring_dedup.op2,
+        "op4_pu_quality": quality.op4,
         "op5_radix_suffix_dedup": suffix_dedup.op5,
         "op7_fair_queue_mix": mixing.op7,
+        "op8_edit_decontam": decontam.op8,
         "op9_bloom_line_dedup": line_dedup.op9,
         "op10_permutation_shards": sharding.op10,
     }

@@ -39,7 +39,7 @@ class DigestIndex:
 
     def _run(self, rows: DataFrame) -> DataFrame:
         merged = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000", "parquet.bloom.filter.adaptive.enabled": "true"}
+        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
         return self.scratch.write(merged.sortWithinPartitions("digest"), **options)
 
     def flush(self, digests: DataFrame) -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from baseloom.llm import decontam, exact_dedup, line_dedup, mixing, quality, sharding, substring_dedup, suffix_dedup
+from baseloom.llm import decontam, exact_dedup, line_dedup, lm_score, mixing, quality, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_lsm_exact_dedup": exact_dedup.op1,
         "op2_cover_substring_dedup": substring_dedup.op2,
+        "op3_bloom_lm_score": lm_score.op3,
         "op4_pu_quality": quality.op4,
         "op5_radix_suffix_dedup": suffix_dedup.op5,
         "op7_fair_queue_mix": mixing.op7,

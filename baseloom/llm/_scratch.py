@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only in local mode, where it is shared too."""
@@ -24,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Writes tables to cut lineage and reads them back.
 
-    A written table survives the loss of an executor, and lets Spark free the
-    shuffle files behind it, which it does when the driver collects garbage.
+    A written table survives the loss of an executor.  While it is written, Spark is
+    told to delete the shuffle files of a query as soon as the query ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -38,15 +39,14 @@ class Scratch:
         return f"{self.root}/{self.count}"
 
     def write(self, df: DataFrame, codec: str = "zstd", **options: str) -> DataFrame:
-        path, schema = self.path(), df.schema
-        df.write.options(compression=codec, **options).parquet(path)
-        del df
-        self.release()
-        return self.spark.read.schema(schema).parquet(path)
-
-    def release(self) -> None:
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        path, conf = self.path(), self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.options(compression=codec, **options).parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""

@@ -1,11 +1,26 @@
-"""All registered queries of the reference's operators."""
+"""All registered queries of the reference's operators, each beside its DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+PARTS = ("counting",)
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    found: dict[str, tuple[Query, str | None]] = {}
+    for part in PARTS:
+        found |= import_module(f"baseloom.plans.{part}").QUERIES
+    return found
+
+
+def queries() -> dict[str, Query]:
+    return {k: q for k, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _all().items() if s}

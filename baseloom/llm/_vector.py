@@ -131,14 +131,18 @@ def unpacked(column: pa.Array, kind: type) -> np.ndarray:
     return data[offs[0] : offs[-1]].view(kind) if offs[-1] > offs[0] else np.zeros(0, kind)
 
 
-def by_doc(ids: np.ndarray, rks: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-    """One row for each (id, rk) with its values packed."""
-    if not len(ids):
-        return None
+def by_doc(ids: np.ndarray, rks: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each (id, rk), with its values that aren't negative packed."""
     order = np.lexsort((rks, ids))
     i, r = ids[order], rks[order]
-    cuts = np.concatenate([[0], np.flatnonzero((i[1:] != i[:-1]) | (r[1:] != r[:-1])) + 1, [len(i)]])
-    arrays = {"id": pa.array(i[cuts[:-1]]), "rk": pa.array(r[cuts[:-1]])} | {k: binary(v[order], cuts) for k, v in values.items()}
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (r[1:] != r[:-1])
+    at, doc = np.flatnonzero(new), np.cumsum(new) - 1
+    arrays = {"id": pa.array(i[at]), "rk": pa.array(r[at])}
+    for k, v in values.items():
+        v = v[order]
+        use = v >= 0
+        arrays[k] = binary(v[use], np.concatenate([[0], np.cumsum(np.bincount(doc[use], minlength=len(at)))]))
     return pa.RecordBatch.from_pydict(arrays)
 
 

@@ -55,64 +55,76 @@ class Entries:
         return out
 
 
-def exchange(df: DataFrame, send: Callable, receive: Callable, sent: dict[str, type], answer: str) -> DataFrame:
-    """send: from batches to (key, entries, docs' own answers); receive: from entries of some keys to answers.
+def exchange(df: DataFrame, send: Callable, receive: Callable, sent: dict[str, type], answer: tuple[str, ...]) -> DataFrame:
+    """(id, rk, answers): a row for each document with answers, each kind of them packed.
 
-    sent: the types of an entry's columns beside id and rk, the key first.  Answers
-    are columns of positions for each (id, rk).
+    send: from batches to (entries, own answers).  receive: from all entries of some keys
+    to answers.  sent: the types of an entry's columns beside id and rk, the key first.
+    Answers are columns of positions beside id and rk; -1 stands for none.  Both trips
+    go packed: a row holds what a task has for a bucket of keys, or of documents.
     """
-    count = 2 * partitions(df)
+    tasks = partitions(df)
+    count = 2 * tasks
     names = {"id": np.int64, "rk": np.int64} | sent
-    answers = {x.split()[0]: np.int64 for x in answer.split(", ")}
-    own = {"own_id": np.int64, "own_rk": np.int64} | {f"own_{k}": t for k, t in answers.items()}
-    schema = "bucket int, " + ", ".join(f"{k} binary" for k in (names | own))
+    answers = {"id": np.int64, "rk": np.int64} | dict.fromkeys(answer, np.int64)
+    own = {f"own_{k}": t for k, t in answers.items()}
     key = next(iter(sent))
+    numbers = pa.array(np.arange(count, dtype=np.int32))
+
+    def at_home(got: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+        home = (got["rk"].view(np.uint64) % np.uint64(count)).astype(np.int64)
+        return packed(home, count, {k: got[k].astype(t, copy=False) for k, t in answers.items()})
 
     def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for entries, settled in send(batches):
-            bucket = (entries[key] >> np.uint64(20)) % np.uint64(count)
-            home = settled["rk"].view(np.uint64) % np.uint64(count)
+            bucket = ((entries[key] >> np.uint64(20)) % np.uint64(count)).astype(np.int64)
             columns = packed(bucket, count, {k: entries[k].astype(t, copy=False) for k, t in names.items()})
-            columns |= packed(home, count, {f"own_{k}": settled[k].astype(t, copy=False) for k, t in ({"id": np.int64, "rk": np.int64} | answers).items()})
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(count, dtype=np.int32))} | {k: columns[k] for k in names | own})
+            columns |= {f"own_{k}": v for k, v in at_home(settled).items()}
+            yield pa.RecordBatch.from_pydict({"bucket": numbers} | columns)
 
     def receiving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {}
-        for batch in batches:
-            for i, b in enumerate(batch.column(0).to_pylist()):
-                held.setdefault(b, []).append(batch.slice(i, 1))
-        while held:
-            _, rows = held.popitem()
-            at = {k: np.concatenate([unpacked(r.column(r.schema.get_field_index(k)), t) for r in rows]) for k, t in (names | own).items()}
-            del rows
-            got = receive({k: at[k] for k in names}) if len(at[key]) else {k: np.zeros(0, np.int64) for k in ["id", "rk", *answers]}
-            got = {k: np.concatenate([got[k].astype(np.int64, copy=False), at[f"own_{k}"]]) for k in got}
-            used = np.zeros(len(got["id"]), bool)
-            for k in answers:
-                used |= got[k] >= 0
-            if used.any():
-                out = by_doc(got["id"][used], got["rk"][used], {k: got[k][used] for k in answers})
-                yield out
-
-    moved = df.mapInArrow(sending, schema).repartition(partitions(df), "bucket")
-    found = moved.mapInArrow(receiving, f"{DOCS}, " + ", ".join(f"{k} binary" for k in answers))
-    return found.groupBy("id", "rk").agg(*(F.collect_list(k).alias(k) for k in answers))
+        parts, size = [], 0
+        for at in _by_bucket(batches, names | own):
+            parts.append({k: at[f"own_{k}"] for k in answers})
+            if len(at[key]):
+                got = receive({k: at[k] for k in names})
+                parts.append({k: got[k].astype(np.int64, copy=False) for k in answers})
+            size += sum(len(p["id"]) for p in parts[-2:])
+            if size >= 4 * FLUSH:
+                yield pa.RecordBatch.from_pydict({"bucket": numbers} | at_home({k: np.concatenate([p[k] for p in parts]) for k in answers}))
+                parts, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_pydict({"bucket": numbers} | at_home({k: np.concatenate([p[k] for p in parts]) for k in answers}))
+
+    def gathering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at in _by_bucket(batches, answers):
+            if len(at["id"]):
+                yield by_doc(at["id"], at["rk"], {k: at[k] for k in answer})
+
+    there = df.mapInArrow(sending, "bucket int, " + ", ".join(f"{k} binary" for k in names | own)).repartition(tasks, "bucket")
+    back = there.mapInArrow(receiving, "bucket int, " + ", ".join(f"{k} binary" for k in answers)).repartition(tasks, "bucket")
+    return back.mapInArrow(gathering, f"{DOCS}, " + ", ".join(f"{k} binary" for k in answer))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[dict[str, np.ndarray]]:
+    """All values of one bucket after another; the task holds its buckets packed."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        for i, b in enumerate(batch.column(0).to_pylist()):
+            held.setdefault(b, []).append(batch.slice(i, 1))
+    while held:
+        _, rows = held.popitem()
+        yield {k: np.concatenate([unpacked(r.column(j), t) for r in rows]) for j, (k, t) in enumerate(kinds.items(), 1)}
 
 
 class Answers:
-    """The positions that the documents of a batch have got; -1 fills the place of answers of other kinds."""
+    """The positions that the documents of a batch have got."""
 
     def __init__(self, batch: pa.RecordBatch, name: str):
-        lists = batch.column(batch.schema.get_field_index(name))
-        self.at = lists.offsets.to_numpy()
-        self.offs, self.data = buffers(lists.values)
+        self.offs, self.data = buffers(batch.column(batch.schema.get_field_index(name)))
 
     def __getitem__(self, i: int) -> np.ndarray:
-        lo, hi = self.at[i], self.at[i + 1]
-        if hi <= lo:
-            return np.zeros(0, np.int64)
-        got = self.data[self.offs[lo] : self.offs[hi]].view(np.int64)
-        return got[got >= 0]
+        return self.data[self.offs[i] : self.offs[i + 1]].view(np.int64)
 
 
 def first_of(keys: list[np.ndarray], at: dict[str, np.ndarray]) -> np.ndarray:
@@ -138,7 +150,7 @@ def later_windows(df: DataFrame, windows: Callable) -> DataFrame:
             first, settled = settle(at)
             yield {k: v[first] for k, v in at.items()}, settled
 
-    return exchange(df, send, lambda at: settle(at)[1], {"h1": np.uint64, "h2": np.uint64, "pos": np.int32}, "later binary")
+    return exchange(df, send, lambda at: settle(at)[1], {"h1": np.uint64, "h2": np.uint64, "pos": np.int32}, ("later",))
 
 
 def answered(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from baseloom.llm import _vector as V
 from baseloom.llm._scratch import Scratch
-from baseloom.llm._windows import FLUSH, Entries, exchange, keyed, partitions
+from baseloom.llm._windows import FLUSH, Answers, Entries, exchange, keyed, partitions
 from baseloom.llm.components import components
 
 SHINGLE = 5
@@ -227,13 +227,13 @@ def posted(texts: DataFrame, size: int, percent: int, frequent) -> DataFrame:
         use = order[many & asks]
         return {"id": at["id"][use], "rk": at["rk"][use], "keys": at["key"][use].view(np.int64)}
 
-    found = exchange(texts, send, receive, {"key": np.uint64, "asks": np.int8}, "keys binary")
+    found = exchange(texts, send, receive, {"key": np.uint64, "asks": np.int8}, ("keys",))
 
     def rows(batches):
         for batch in batches:
-            for i, (node, lists) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                keys = np.unique(np.frombuffer(b"".join(lists), np.int64))
-                keys = keys[keys >= 0]
+            lists = Answers(batch, "keys")
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                keys = np.unique(lists[i])
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "node": pa.array(np.full(len(keys), node))})
 
     return found.select("id", "keys").mapInArrow(rows, "key bigint, node bigint")

@@ -87,7 +87,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
         again &= at["pos"] >= 0
         return {"id": at["id"][again], "rk": at["rk"][again], "at": at["pos"][again]}
 
-    return exchange(docs, send, receive, {"h": np.uint64, "pos": np.int32}, "at binary")
+    return exchange(docs, send, receive, {"h": np.uint64, "pos": np.int32}, ("at",))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -119,7 +119,7 @@ def first_pass(texts: DataFrame, depth: int, gram: int) -> DataFrame:
         wanted, first, several = settle(at)
         return answer(at, wanted & ~first, wanted & first & several)
 
-    return exchange(texts, send, receive, {"h": np.uint64, "key": np.uint64, "pos": np.int32, "n": np.int16}, "later binary, mixed binary")
+    return exchange(texts, send, receive, {"h": np.uint64, "key": np.uint64, "pos": np.int32, "n": np.int16}, ("later", "mixed"))
 
 
 def _spans(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +174,7 @@ def suffix_dedup(docs: DataFrame, depth: int = DEPTH, text_col: str = "text", id
         if held.size:
             yield held.take()
 
-    left = passed.filter(F.exists("mixed", lambda x: F.ltrim(F.hex(x), F.lit("F")) != "")).select("id", "rk", "mixed")
+    left = passed.filter(F.octet_length("mixed") > 0).select("id", "rk", "mixed")
     later = scratch.write(later_windows(answered(texts, left, "inner"), suffixes))
     whole = passed.select("id", "rk", F.col("later").alias("blocks"))
     both = whole.join(later, ["id", "rk"], "full")

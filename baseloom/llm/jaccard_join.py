@@ -1,12 +1,16 @@
 """Set-similarity join of documents by token-combination prefixes.
 
-A document is the set of its word shingles.  All shingles have a global order, rare
-ones first and then, by hash, frequent ones, so that the first few of a set, its
-prefix, are its rarest.  Rare shingles are indexed one by one.  Frequent ones fall into
-subclasses and are indexed in pairs from the same subclass, for which the prefix is
-extended: a subclass with n shingles in the prefix covers n - 1 of the shingles that a
-partner may lack.  Once the prefix covers one more than may be lacking, any partner
-shares an index key.  Which shingles are frequent changes the work, never the result.
+A document is the set of its word shingles.  All shingles have a global order: those of
+one set alone, those of several, then frequent ones, each by hash.  So the first few
+shingles of a set, its prefix, are its rarest.  Rare shingles are indexed one by one, if
+several sets may have them.  Frequent ones fall into subclasses and are indexed in pairs
+from the same subclass, for which the prefix is extended: a subclass with n shingles in
+the prefix covers n - 1 of the shingles that a partner may lack.  Once the prefix covers
+one more than may be lacking, any partner shares an index key.
+
+Which shingles several sets have is read from a bit table by hash, which is broadcast;
+its size follows the input up to a bound.  Where it is too full it sends more shingles
+than needed into the index, but it never misses one, so results don't depend on it.
 
 Equal sets are one node.  Nodes that share a key are compared with the key's *pivots*
 alone, never all with all: nodes that links already join need no comparison, so a key
@@ -17,6 +21,7 @@ each, until all keys are done.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,8 @@ PERCENT = 75
 #: A shingle is frequent from this many sets on, and from one in 2**20 of all shingles on; so there are 2**20 frequent ones at most.
 FREQUENT = 48
 FREQUENT_SHARE = 1 << 20
+#: Bound of the bit table: 128 MB.
+MAX_BITS = 1 << 30
 #: One subclass of frequent shingles for so many shingles of a set.
 SUBCLASS = 32
 PIVOTS = 8
@@ -69,13 +76,13 @@ def lacking(n: np.ndarray | int, percent: int):
     return n - -(-n * percent // 100)
 
 
-def combined_keys(rare: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set with fewer rare shingles than its prefix has; both sorted."""
-    n = len(rare) + len(frequent)
-    need = lacking(n, percent) + 1 - len(rare)
+def combined_keys(rare: int, several: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """Index keys of a set with fewer rare shingles, several of them in other sets, than its prefix has; frequent ones sorted."""
+    n = rare + len(frequent)
+    need = lacking(n, percent) + 1 - rare
     lev = n.bit_length() - 1
     levels = [lev] + [lev + 1] * (n * 100 >= percent << (lev + 1))
-    out = [V.mix(rare)]
+    out = [V.mix(several)]
     for at in levels:  # a partner's size may be of the next level; both then use the larger one's
         classes = max(1, (1 << at) // SUBCLASS)
         own = (V.mix(frequent + np.uint64(0x51ED)) % np.uint64(classes)).astype(np.int64)
@@ -93,20 +100,51 @@ def combined_keys(rare: np.ndarray, frequent: np.ndarray, percent: int) -> np.nd
     return np.concatenate(out)
 
 
-def index_keys(h: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, text of each) for texts with sorted distinct shingles."""
+@dataclass
+class Classes:
+    """Which shingles several sets may have (a bit table), and which are frequent (sorted heads)."""
+
+    slices: int
+    bits: np.ndarray
+    frequent: np.ndarray
+
+    @property
+    def slice_bits(self) -> int:
+        return (self.slices - 1).bit_length()
+
+    def split(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slice, the 32 bits after it)."""
+        head = h >> np.uint64(32 - self.slice_bits)
+        return (head >> np.uint64(32)).astype(np.int64), head.astype(np.uint32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """0: of one set alone; 1: maybe of several; 2: frequent."""
+        part, tail = self.split(h)
+        per_slice = len(self.bits) * 8 // self.slices
+        at = part * per_slice + (tail & np.uint32(per_slice - 1))
+        out = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int8)
+        if len(self.frequent):
+            head = h >> np.uint64(32 - self.slice_bits)
+            out[self.frequent[np.minimum(np.searchsorted(self.frequent, head), len(self.frequent) - 1)] == head] = 2
+        return out
+
+
+def index_keys(h: np.ndarray, first: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, text of each) for texts with distinct shingles."""
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
-    often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
-    rare_before = np.concatenate([[0], np.cumsum(~often)])
-    place = rare_before[:-1] - rare_before[first[:-1]][doc]
+    kind = classes.of(h)
+    order = np.lexsort((h, kind, doc))
+    h, kind = h[order], kind[order]
+    place = np.arange(len(h)) - first[:-1][doc]
     need = lacking(n, percent) + 1
-    enough = np.diff(rare_before[first]) >= need
-    single = enough[doc] & ~often & (place < need[doc])
+    rare = np.bincount(doc[kind < 2], minlength=len(n))
+    enough = rare >= need
+    single = enough[doc] & (kind == 1) & (place < need[doc])
     keys, owner = [V.mix(h[single])], [doc[single]]
     for d in np.flatnonzero(~enough & (n > 0)):
-        own, f = h[first[d] : first[d + 1]], often[first[d] : first[d + 1]]
-        got = combined_keys(own[~f], own[f], percent)
+        own, k = h[first[d] : first[d + 1]], kind[first[d] : first[d + 1]]
+        got = combined_keys(int(rare[d]), own[k == 1], own[k == 2], percent)
         keys.append(got)
         owner.append(np.full(len(got), d))
     return np.concatenate(keys), np.concatenate(owner)
@@ -131,58 +169,81 @@ class _Sets:
 
 
 def described(texts: DataFrame, size: int) -> DataFrame:
-    """For each row its number of shingles and its set's hashes; beside them rows of ``slice``, ``h``, ``c``: shingles that several sets of a task have."""
-    count = 2 * partitions(texts)
+    """For each row its number of shingles and its set's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held = _Sets(size), []
-        nothing = {"slice": pa.int32(), "h": pa.binary(), "c": pa.binary()}
-        kinds = {"id": pa.int64(), "rk": pa.int64(), "n": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+        one, two = V.Poly(V.BASE_1), V.Poly(V.BASE_2)
+        for batch in batches:
+            ids, rks = V.idents(batch)
+            for block in V.blocks(batch):
+                h, first = shingles(block, size, one, two)
+                a, b = set_hashes(h, first)
+                columns = {"id": ids[block.rows], "rk": rks[block.rows], "n": np.diff(first), "a": a, "b": b}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+    return texts.mapInArrow(run, "id bigint, rk bigint, n bigint, a bigint, b bigint")
+
+
+def shingle_classes(texts: DataFrame, size: int, total: int, least: int) -> Classes:
+    """Counts all shingles by their first bits, slice by slice, and collects a bit for those that come twice.
+
+    A task sends each shingle of the sets that it holds once, with its count if that is
+    above one.  Equal sets are counted once for each task's flush.
+    """
+    slices = 1 << max(6, min(14, (4 * partitions(texts) - 1).bit_length()))
+    per_slice = max(64, min(MAX_BITS, 1 << max(0, 2 * total - 1).bit_length()) // slices)
+    empty = Classes(slices, np.zeros(slices * per_slice // 8, np.uint8), np.zeros(0, np.uint64))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held, size_held = _Sets(size), [], 0
 
         def flush() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             sets.seen.clear()
-            h, c = h[c > 1], c[c > 1]
-            out = V.packed((h % np.uint64(count)).astype(np.int64), count, {"h": h, "c": c})
-            return pa.RecordBatch.from_pydict({k: pa.nulls(count, t) for k, t in kinds.items()} | {"slice": pa.array(np.arange(count, dtype=np.int32))} | out)
+            part, tail = empty.split(h)
+            cuts = np.searchsorted(part, np.arange(slices + 1))
+            several = c > 1
+            often = np.concatenate([[0], np.cumsum(several)])[cuts]
+            return pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(slices, dtype=np.int32)), "all": V.binary(tail, cuts), "often": V.binary(tail[several], often), "count": V.binary(c[several].astype(np.int32), often)})
 
-        total = 0
         for batch in batches:
-            ids, rks = V.idents(batch)
             for block in V.blocks(batch):
-                h, first, a, b, fresh = sets.read(block)
-                m = len(a)
-                columns = {"id": ids[block.rows], "rk": rks[block.rows], "n": np.diff(first), "a": a, "b": b}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()} | {k: pa.nulls(m, t) for k, t in nothing.items()})
+                h, first, _, _, fresh = sets.read(block)
                 held.append(h[np.repeat(fresh, np.diff(first))])
-                total += len(held[-1])
-                if total >= 4 * FLUSH:
+                size_held += len(held[-1])
+                if size_held >= 4 * FLUSH:
                     yield flush()
-                    total = 0
+                    size_held = 0
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, "id bigint, rk bigint, n bigint, a bigint, b bigint, slice int, h binary, c binary")
-
-
-def frequent_shingles(parts: DataFrame, least: int) -> np.ndarray:
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
             for i, k in enumerate(batch.column(0).to_pylist()):
-                held.setdefault(k, []).append((V.unpacked(batch.column(1).slice(i, 1), np.uint64), V.unpacked(batch.column(2).slice(i, 1), np.int64)))
+                held.setdefault(k, []).append(tuple(V.unpacked(batch.column(j).slice(i, 1), t) for j, t in ((1, np.uint32), (2, np.uint32), (3, np.int32))))
         while held:
-            _, got = held.popitem()
-            kinds, at = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
-            c = np.bincount(at, np.concatenate([x for _, x in got]), len(kinds))
-            yield pa.RecordBatch.from_pydict({"h": pa.array(kinds[c >= least].view(np.int64))})
-
-    got = parts.select("slice", "h", "c").repartition(partitions(parts), "slice").mapInArrow(total, "h bigint").toPandas()
-    return np.sort(got["h"].to_numpy(np.int64).view(np.uint64))
-
-
-def posted(texts: DataFrame, size: int, percent: int, frequent) -> DataFrame:
+            k, got = held.popitem()
+            every = np.sort(np.concatenate([x for x, _, _ in got]))
+            often, more = np.concatenate([x for _, x, _ in got]), np.concatenate([x for _, _, x in got])
+            del got
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+            kinds, c = every[starts], np.diff(np.append(starts, len(every)))
+            np.add.at(c, np.searchsorted(kinds, often), more - 1)
+            bits = np.zeros(per_slice, bool)
+            bits[(kinds[c > 1] & np.uint32(per_slice - 1)).astype(np.int64)] = True
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "often": pa.array([kinds[c >= least].tobytes()], pa.binary())})
+
+    sent = texts.mapInArrow(send, "slice int, `all` binary, often binary, count binary").repartition(partitions(texts), "slice")
+    table, heads = empty.bits.reshape(slices, -1), []
+    for row in sent.mapInArrow(count, "slice int, bits binary, often binary").toLocalIterator():
+        table[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+        heads.append((np.uint64(row["slice"]) << np.uint64(32)) | np.frombuffer(row["often"], np.uint32).astype(np.uint64))
+    return Classes(slices, table.reshape(-1), np.sort(np.concatenate(heads)) if heads else empty.frequent)
+
+
+def posted(texts: DataFrame, size: int, percent: int, classes) -> DataFrame:
     """(key, node): keys that several nodes share, with those nodes."""
     cut = np.uint64((1 << 63) - 1)
 
@@ -193,7 +254,7 @@ def posted(texts: DataFrame, size: int, percent: int, frequent) -> DataFrame:
                 h, first, a, b, fresh = sets.read(block)
                 keep = np.repeat(fresh, np.diff(first))
                 first = np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])
-                keys, owner = index_keys(h[keep], first, frequent.value, percent)
+                keys, owner = index_keys(h[keep], first, classes.value, percent)
                 held.add(key=keys & cut, id=a[fresh][owner], rk=b[fresh][owner])
                 if held.size >= FLUSH:
                     yield held.take()
@@ -244,7 +305,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("node").alias("x"), F.col("items").alias("xs"))
     y = sets.select(F.col("node").alias("y"), F.col("items").alias("ys"))
     both = pairs.join(x, "x").join(y, "y").select("x", "y", F.size("xs").alias("nx"), F.size("ys").alias("ny"), F.size(F.array_intersect("xs", "ys")).alias("k"))
-    return both.filter(F.col("k") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("k"))).select("x", "y")
+    return both.filter(F.col("k") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("k"))).select("x", "y").distinct()
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
@@ -285,13 +346,12 @@ def _members(texts: DataFrame, percent: int, size: int, frequent: int) -> DataFr
         raise ValueError("percent must be over 50, 100 at most")
     spark = texts.sparkSession
     scratch = Scratch(spark)
-    first = scratch.write(described(texts, size))
-    thin = first.filter("slice IS NULL").select("id", "rk", "n", "a", "b")
+    thin = scratch.write(described(texts, size))
     total = thin.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = spark.sparkContext.broadcast(frequent_shingles(first.filter("slice IS NOT NULL"), max(frequent, -(-total // FREQUENT_SHARE))))
+    kinds = spark.sparkContext.broadcast(shingle_classes(texts, size, total, max(frequent, -(-total // FREQUENT_SHARE))))
     classes = scratch.write(thin.filter("n > 0").groupBy(F.col("a").alias("node"), "b").agg(F.min(F.struct("id", "rk")).alias("rep"), F.first("n").alias("n")))
 
-    index = scratch.write(posted(texts, size, percent, often).join(classes.select("node", "n"), "node"))
+    index = scratch.write(posted(texts, size, percent, kinds).join(classes.select("node", "n"), "node"))
     links, comps = _linked(scratch, texts, index, classes, percent, size)
 
     joined = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -347,8 +407,7 @@ def _sets_of(texts: DataFrame, left: DataFrame, pairs: DataFrame, classes: DataF
                 items = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"node": node.slice(block.rows.start, len(block)), "items": items})
 
-    found = texts.join(wanted.hint("shuffle_hash"), ["id", "rk"]).select("node", "text").mapInArrow(run, "node bigint, items array<bigint>")
-    return found.dropDuplicates(["node"])
+    return texts.join(wanted.hint("shuffle_hash"), ["id", "rk"]).select("node", "text").mapInArrow(run, "node bigint, items array<bigint>")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,14 @@ than needed into the index, but it never misses one, so results don't depend on
 
 Equal sets are one node.  Nodes that share a key are compared with the key's *pivots*
 alone, never all with all: nodes that links already join need no comparison, so a key
-is done as soon as its nodes are in one component.  Rounds go on, with more pivots
-each, until all keys are done.
+is done as soon as its nodes are in one component.
+
+The first pivot is the node with the smallest share of shingles of its own: what others
+are copies of.  If one of two nodes has less in common with the pivot than the two need
+in common, they share a shingle that the pivot lacks; so such pairs move from their key
+to keys of the pivot's rest, where few nodes meet.  Pairs of which one has too few
+shingles that any other set may have are left out at once.  Rounds go on, with more
+pivots each, until all keys are done.
 """
 
 from __future__ import annotations
@@ -129,8 +135,8 @@ class Classes:
         return out
 
 
-def index_keys(h: np.ndarray, first: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, text of each) for texts with distinct shingles."""
+def index_keys(h: np.ndarray, first: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, text of each, shingles of each text that other sets may have) for texts with distinct shingles."""
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     kind = classes.of(h)
@@ -147,7 +153,7 @@ def index_keys(h: np.ndarray, first: np.ndarray, classes: Classes, percent: int)
         got = combined_keys(int(rare[d]), own[k == 1], own[k == 2], percent)
         keys.append(got)
         owner.append(np.full(len(got), d))
-    return np.concatenate(keys), np.concatenate(owner)
+    return np.concatenate(keys), np.concatenate(owner), np.bincount(doc[kind > 0], minlength=len(n))
 
 
 class _Sets:
@@ -244,23 +250,25 @@ def shingle_classes(texts: DataFrame, size: int, total: int, least: int) -> Clas
 
 
 def posted(texts: DataFrame, size: int, percent: int, classes) -> DataFrame:
-    """(key, node): keys that several nodes share, with those nodes."""
+    """(key, node, s): keys that several nodes share, with those nodes and their numbers of shingles that others may have."""
     cut = np.uint64((1 << 63) - 1)
 
     def entries(batches):
-        sets, held = _Sets(size), Entries(("key", "id", "rk"))
+        sets, held, nodes = _Sets(size), Entries(("key", "id", "rk")), Entries(("id", "rk", "s"))
         for batch in batches:
             for block in V.blocks(batch):
                 h, first, a, b, fresh = sets.read(block)
                 keep = np.repeat(fresh, np.diff(first))
                 first = np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])
-                keys, owner = index_keys(h[keep], first, classes.value, percent)
+                keys, owner, s = index_keys(h[keep], first, classes.value, percent)
                 held.add(key=keys & cut, id=a[fresh][owner], rk=b[fresh][owner])
+                some = np.unique(owner)
+                nodes.add(id=a[fresh][some], rk=b[fresh][some], s=s[some])
                 if held.size >= FLUSH:
-                    yield held.take()
+                    yield held.take(), nodes.take()
                     sets.seen.clear()
         if held.size:
-            yield held.take()
+            yield held.take(), nodes.take()
 
     def shared(at):
         """Entries without repetitions of the same key and node, and which of their keys more than one has."""
@@ -273,9 +281,10 @@ def posted(texts: DataFrame, size: int, percent: int, classes) -> DataFrame:
         return at, several, order[starts]
 
     def send(batches):
-        for at in entries(batches):
+        for at, nodes in entries(batches):
             at, several, one = shared(at)
-            own = {"id": at["id"][several], "rk": at["rk"][several], "keys": at["key"][several].view(np.int64)}
+            own = {"id": at["id"][several], "rk": at["rk"][several], "keys": at["key"][several].view(np.int64), "s": np.full(several.sum(), -1)}
+            own = {k: np.concatenate([v, nodes.get(k, np.full(len(nodes["id"]), -1))]) for k, v in own.items()}
             yield {k: v[one] for k, v in at.items()} | {"asks": np.where(several[one], 0, 1)}, own
 
     def receive(at):
@@ -286,26 +295,31 @@ def posted(texts: DataFrame, size: int, percent: int, classes) -> DataFrame:
         other = (at["id"][order] != np.repeat(at["id"][order[starts]], sizes)) | (at["rk"][order] != np.repeat(at["rk"][order[starts]], sizes)) | ~asks
         many = np.repeat(np.logical_or.reduceat(other, starts), sizes)
         use = order[many & asks]
-        return {"id": at["id"][use], "rk": at["rk"][use], "keys": at["key"][use].view(np.int64)}
+        return {"id": at["id"][use], "rk": at["rk"][use], "keys": at["key"][use].view(np.int64), "s": np.full(len(use), -1)}
 
-    found = exchange(texts, send, receive, {"key": np.uint64, "asks": np.int8}, ("keys",))
+    found = exchange(texts, send, receive, {"key": np.uint64, "asks": np.int8}, ("keys", "s"))
 
     def rows(batches):
         for batch in batches:
-            lists = Answers(batch, "keys")
-            for i, node in enumerate(batch.column(0).to_pylist()):
-                keys = np.unique(lists[i])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "node": pa.array(np.full(len(keys), node))})
+            lists, counts = Answers(batch, "keys"), Answers(batch, "s")
+            parts = [(np.unique(lists[i]), node, counts[i].max()) for i, node in enumerate(batch.column(0).to_pylist())]
+            sizes = [len(k) for k, _, _ in parts]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([k for k, _, _ in parts])), "node": pa.array(np.repeat([n for _, n, _ in parts], sizes)), "s": pa.array(np.repeat([s for _, _, s in parts], sizes))})
 
-    return found.select("id", "keys").mapInArrow(rows, "key bigint, node bigint")
+    found = found.filter(F.octet_length("keys") > 0).select("id", "keys", "s")
+    return found.mapInArrow(rows, "key bigint, node bigint, s bigint")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (x, y), those whose sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, k, nx, ny, rest): k is the size of the intersection, rest what x has and y lacks."""
     x = sets.select(F.col("node").alias("x"), F.col("items").alias("xs"))
     y = sets.select(F.col("node").alias("y"), F.col("items").alias("ys"))
-    both = pairs.join(x, "x").join(y, "y").select("x", "y", F.size("xs").alias("nx"), F.size("ys").alias("ny"), F.size(F.array_intersect("xs", "ys")).alias("k"))
-    return both.filter(F.col("k") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("k"))).select("x", "y").distinct()
+    both = pairs.join(x, "x").join(y, "y")
+    return both.select("x", "y", F.size(F.array_intersect("xs", "ys")).alias("k"), F.size("xs").alias("nx"), F.size("ys").alias("ny"), F.array_except("xs", "ys").alias("rest"))
+
+
+def _similar(percent: int) -> F.Column:
+    return F.col("k") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("k"))
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
@@ -363,40 +377,57 @@ def _members(texts: DataFrame, percent: int, size: int, frequent: int) -> DataFr
 
 
 def _linked(scratch: Scratch, texts: DataFrame, index: DataFrame, classes: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of the nodes in index, which has (key, node, n)."""
-    spark = texts.sparkSession
-    links, compared, comps = (spark.createDataFrame([], s) for s in ("x bigint, y bigint", "x bigint, y bigint", "node bigint, comp bigint"))
-    fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
-    left, sets, most = index.withColumn("comp", F.col("node")), None, PIVOTS
-    while True:
-        if sets is None:
-            pivots = left.groupBy("key").agg(F.min(F.struct("n", "node")).alias("p"))
-            pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.node").alias("pcomp"))
-        else:
-            main = left.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-            pivots = left.join(main, "key").filter("comp <> main").groupBy("key", F.pmod("node", F.lit(most)).alias("turn")).agg(F.min(F.struct("node", "n", "comp")).alias("p"))
-            pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"))
-            most *= PIVOTS
-        pivots = scratch.write(pivots)
-        pairs = left.join(pivots, "key").filter(F.col("comp") != F.col("pcomp")).filter(fits).select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
-        pairs = scratch.write(pairs.join(compared, ["x", "y"], "left_anti"))
-        if sets is None:
-            sets = scratch.write(_sets_of(texts, left, pairs, classes, size))
-        good = scratch.write(similar(pairs, sets, percent))
-        links = links.union(good)
-        compared = compared.union(pairs)
+    """(links, components) of the nodes in index, which has (key, node, s, n)."""
+    # what two sets need in common, times 100 + percent; also a limit of how their sizes may differ
+    needed = f"{percent} * (n + pn)"
+    fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) AND {100 + percent} * least(s, ps) >= {needed}")
+    sets = scratch.write(_sets_of(texts, index, classes, size))
+
+    # the first round: one pivot for each key, and what each node has in common with it
+    pivots = index.groupBy("key").agg(F.max(F.struct((F.col("s") * 1000 / F.col("n")).cast("int").alias("share"), "n", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    placed = scratch.write(index.join(pivots, "key").filter("node <> pivot"))
+    first = scratch.write(compared(placed.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sets))
+    links = first.filter(_similar(percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    done = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    comps = components(links, scratch)
+
+    known = placed.join(first.select(F.col("x").alias("node"), F.col("y").alias("pivot"), F.col("k").alias("o")).distinct(), ["node", "pivot"])
+    left = scratch.write(_open(known.select("key", "node", "s", "n", "o", "pivot"), comps))
+    # pairs that need more in common than one of them has with the pivot, by what the pivot lacks
+    rest = left.select("node", "pivot", "s", "n").distinct().join(first.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "rest"), ["node", "pivot"])
+    rest = rest.select(F.explode("rest").alias("token"), "pivot", "node", "s", "n").select(F.xxhash64("pivot", "token").alias("key"), "node", "s", "n", (F.col("n") + 0).alias("o")).distinct()
+    # the other pairs, by their key: a node stays if the smallest of its key could be such a partner
+    smallest = left.groupBy("key").agg(F.min("n").alias("pn"))
+    left = left.join(smallest, "key").filter(F.expr(f"{100 + percent} * o >= {needed}")).select("key", "node", "s", "n", "o")
+    left = scratch.write(_open(left.union(rest), comps))
+
+    most = PIVOTS
+    while not left.isEmpty():
+        main = left.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+        pivots = left.join(main, "key").filter("comp <> main").groupBy("key", F.pmod("node", F.lit(most)).alias("turn")).agg(F.min(F.struct("node", "n", "s", "o", "comp")).alias("p"))
+        pivots = scratch.write(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.o").alias("po"), F.col("p.comp").alias("pcomp")))
+        most *= PIVOTS
+        pairs = left.join(pivots, "key").filter("comp <> pcomp").filter(fits & F.expr(f"{100 + percent} * least(o, po) >= {needed}"))
+        pairs = pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
+        pairs = scratch.write(pairs.join(done, ["x", "y"], "left_anti"))
+        links = links.union(scratch.write(compared(pairs, sets).filter(_similar(percent)).select("x", "y").distinct()))
+        done = done.union(pairs)
         comps = components(links, scratch)
-        rest = left.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        left = scratch.write(rest.join(open_keys, "key", "left_semi"))
-        if left.isEmpty():
-            return links, comps
+        left = left.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "s", "n", "o")
+        left = scratch.write(_open(left, comps))
+    return links, comps
+
+
+def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows, with their comp, of the keys that have nodes of several components."""
+    rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return rows.join(keys, "key", "left_semi")
 
 
-def _sets_of(texts: DataFrame, left: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(node, items) of nodes that may be compared: with a partner of fitting size at some key."""
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).union(left.groupBy("key").agg(F.count("*").alias("m")).filter("m > 2").join(left, "key").select("node")).distinct()
-    wanted = nodes.join(classes, "node").select("node", F.col("rep.id").alias("id"), F.col("rep.rk").alias("rk"))
+def _sets_of(texts: DataFrame, index: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(node, items) of the nodes in index."""
+    wanted = index.select("node").distinct().join(classes, "node").select("node", F.col("rep.id").alias("id"), F.col("rep.rk").alias("rk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = V.Poly(V.BASE_1), V.Poly(V.BASE_2)

@@ -106,8 +106,8 @@ def test_any_shared_key_of_a_linked_pair():
         both = np.concatenate([x, y])
         often = np.unique(both[r.random(len(both)) < r.random()])
         classes = jaccard_join.Classes(64, np.full(64 * 8, 255, np.uint8), np.unique(often >> np.uint64(32 - 6)))
-        a, _ = jaccard_join.index_keys(x, np.array([0, len(x)]), classes, 75)
-        b, _ = jaccard_join.index_keys(y, np.array([0, len(y)]), classes, 75)
+        a, *_ = jaccard_join.index_keys(x, np.array([0, len(x)]), classes, 75)
+        b, *_ = jaccard_join.index_keys(y, np.array([0, len(y)]), classes, 75)
         assert len(np.intersect1d(a, b))
 
 

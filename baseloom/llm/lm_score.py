@@ -102,7 +102,7 @@ class Filter:
     def log_probability(self, toks: np.ndarray, before: np.ndarray, both: np.ndarray) -> np.ndarray:
         words, at = np.unique(toks, return_inverse=True)
         count = expected(self.levels(words))
-        lone = (count + 1) / (self.total + self.kinds + 1)
+        lone = np.minimum(1.0, (count + 1) / (self.total + self.kinds + 1))
         grams, where = np.unique(both, return_inverse=True)
         seen = expected(self.levels(grams))[where]
         prior = np.full(len(toks), float(self.contexts))  # documents start as often as there are documents

@@ -311,11 +311,11 @@ def posted(texts: DataFrame, size: int, percent: int, classes) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, k, nx, ny, rest): k is the size of the intersection, rest what x has and y lacks."""
-    x = sets.select(F.col("node").alias("x"), F.col("items").alias("xs"))
+    """(x, y, k, nx, ny, rest): k is the size of the intersection, rest what x has, other sets may have, and y lacks."""
+    x = sets.select(F.col("node").alias("x"), F.col("items").alias("xs"), F.col("shared").alias("xshared"))
     y = sets.select(F.col("node").alias("y"), F.col("items").alias("ys"))
     both = pairs.join(x, "x").join(y, "y")
-    return both.select("x", "y", F.size(F.array_intersect("xs", "ys")).alias("k"), F.size("xs").alias("nx"), F.size("ys").alias("ny"), F.array_except("xs", "ys").alias("rest"))
+    return both.select("x", "y", F.size(F.array_intersect("xs", "ys")).alias("k"), F.size("xs").alias("nx"), F.size("ys").alias("ny"), F.array_except("xshared", "ys").alias("rest"))
 
 
 def _similar(percent: int) -> F.Column:
@@ -366,7 +366,7 @@ def _members(texts: DataFrame, percent: int, size: int, frequent: int) -> DataFr
     classes = scratch.write(thin.filter("n > 0").groupBy(F.col("a").alias("node"), "b").agg(F.min(F.struct("id", "rk")).alias("rep"), F.first("n").alias("n")))
 
     index = scratch.write(posted(texts, size, percent, kinds).join(classes.select("node", "n"), "node"))
-    links, comps = _linked(scratch, texts, index, classes, percent, size)
+    links, comps = _linked(scratch, texts, index, classes, kinds, percent, size)
 
     joined = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = joined.groupBy("comp").agg(F.min("rep").alias("least"))
@@ -376,16 +376,17 @@ def _members(texts: DataFrame, percent: int, size: int, frequent: int) -> DataFr
     return out.select("id", "rk", "n", F.coalesce("least", F.struct("id", "rk")).alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _linked(scratch: Scratch, texts: DataFrame, index: DataFrame, classes: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+def _linked(scratch: Scratch, texts: DataFrame, index: DataFrame, classes: DataFrame, kinds, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(links, components) of the nodes in index, which has (key, node, s, n)."""
     # what two sets need in common, times 100 + percent; also a limit of how their sizes may differ
     needed = f"{percent} * (n + pn)"
     fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) AND {100 + percent} * least(s, ps) >= {needed}")
-    sets = scratch.write(_sets_of(texts, index, classes, size))
+    sets = scratch.write(_sets_of(texts, index, classes, kinds, size))
 
     # the first round: one pivot for each key, and what each node has in common with it
-    pivots = index.groupBy("key").agg(F.max(F.struct((F.col("s") * 1000 / F.col("n")).cast("int").alias("share"), "n", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-    placed = scratch.write(index.join(pivots, "key").filter("node <> pivot"))
+    pivots = index.groupBy("key").agg(F.max(F.struct((F.col("s") * 1000 / F.col("n")).cast("int").alias("share"), "n", "node", "s")).alias("p"), F.count("*").alias("m"))
+    pivots = pivots.select("key", "m", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"))
+    placed = scratch.write(index.join(pivots, "key").filter("node <> pivot").filter((F.col("m") > 2) | fits))
     first = scratch.write(compared(placed.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sets))
     links = first.filter(_similar(percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     done = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -393,13 +394,16 @@ def _linked(scratch: Scratch, texts: DataFrame, index: DataFrame, classes: DataF
 
     known = placed.join(first.select(F.col("x").alias("node"), F.col("y").alias("pivot"), F.col("k").alias("o")).distinct(), ["node", "pivot"])
     left = scratch.write(_open(known.select("key", "node", "s", "n", "o", "pivot"), comps))
-    # pairs that need more in common than one of them has with the pivot, by what the pivot lacks
-    rest = left.select("node", "pivot", "s", "n").distinct().join(first.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "rest"), ["node", "pivot"])
-    rest = rest.select(F.explode("rest").alias("token"), "pivot", "node", "s", "n").select(F.xxhash64("pivot", "token").alias("key"), "node", "s", "n", (F.col("n") + 0).alias("o")).distinct()
+    # pairs that need more in common than one of them has with the pivot, by what the pivot lacks:
+    # enough of it in order of hash that partners, which share so many of the rest, share one of these
+    rest = left.select("node", "pivot", "s", "n", "o", "comp").distinct().join(first.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "rest"), ["node", "pivot"])
+    more = F.ceil(F.col("n") * percent / 100).cast("int") - F.col("o").cast("int")
+    few = F.slice(F.array_sort("rest"), 1, F.greatest(F.size("rest") - F.greatest(more, F.lit(0)) + 1, F.lit(0)))
+    rest = rest.select(F.explode(few).alias("token"), "pivot", "node", "s", "n", "comp").select(F.xxhash64("pivot", "token").alias("key"), "node", "s", "n", (F.col("n") + 0).alias("o"), "comp")
     # the other pairs, by their key: a node stays if the smallest of its key could be such a partner
     smallest = left.groupBy("key").agg(F.min("n").alias("pn"))
-    left = left.join(smallest, "key").filter(F.expr(f"{100 + percent} * o >= {needed}")).select("key", "node", "s", "n", "o")
-    left = scratch.write(_open(left.union(rest), comps))
+    left = left.join(smallest, "key").filter(F.expr(f"{100 + percent} * o >= {needed}")).select("key", "node", "s", "n", "o", "comp")
+    left = scratch.write(_several(left.union(rest)))
 
     most = PIVOTS
     while not left.isEmpty():
@@ -420,13 +424,16 @@ def _linked(scratch: Scratch, texts: DataFrame, index: DataFrame, classes: DataF
 
 def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows, with their comp, of the keys that have nodes of several components."""
-    rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return _several(rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+
+
+def _several(rows: DataFrame) -> DataFrame:
     keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     return rows.join(keys, "key", "left_semi")
 
 
-def _sets_of(texts: DataFrame, index: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(node, items) of the nodes in index."""
+def _sets_of(texts: DataFrame, index: DataFrame, classes: DataFrame, kinds, size: int) -> DataFrame:
+    """(node, items, shared) of the nodes in index; shared are the items that other sets may have."""
     wanted = index.select("node").distinct().join(classes, "node").select("node", F.col("rep.id").alias("id"), F.col("rep.rk").alias("rk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,9 +443,12 @@ def _sets_of(texts: DataFrame, index: DataFrame, classes: DataFrame, size: int)
             for block in V.blocks(batch):
                 h, first = shingles(block, size, one, two)
                 items = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"node": node.slice(block.rows.start, len(block)), "items": items})
+                several = kinds.value.of(h) > 0
+                cuts = np.concatenate([[0], np.cumsum(several)])[first].astype(np.int32)
+                shared = pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[several].view(np.int64)))
+                yield pa.RecordBatch.from_pydict({"node": node.slice(block.rows.start, len(block)), "items": items, "shared": shared})
 
-    return texts.join(wanted.hint("shuffle_hash"), ["id", "rk"]).select("node", "text").mapInArrow(run, "node bigint, items array<bigint>")
+    return texts.join(wanted.hint("shuffle_hash"), ["id", "rk"]).select("node", "text").mapInArrow(run, "node bigint, items array<bigint>, shared array<bigint>")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Counts of words and word pairs are quantised to whole logarithms.  A gram of level q is
 put into a Bloom filter q times, as (gram, 1) to (gram, q); its level is found again by
-probing (gram, 1), (gram, 2), ... until a probe misses.  The filter is cut in slices by
-gram, built slice by slice where the counts are, and broadcast; its size grows with the
-counted grams up to a bound, beyond which levels are overestimated more often.
+probing (gram, 1), (gram, 2), ... until a probe misses or the highest level of all is
+reached.  The filter is cut in slices by gram, built slice by slice where the counts
+are, and written; its size grows with the counted grams, so that false positives don't.
+It is broadcast in passes over the documents, as many slices at once as ``PASS_BITS``
+allows; between passes a document carries the levels found so far, a byte for each.
 
 The exact base score needs exact counts.  Words above one in ``HOT_SHARE`` of all
 tokens, of which there can be no more than that, are broadcast; the others of a
@@ -29,7 +31,8 @@ from baseloom.llm._windows import Entries, keyed, partitions
 PAIR_SHARE = 0.3
 #: Pairs seen less often aren't stored: they score by their words, as unseen ones do.
 MIN_PAIRS = 2
-MAX_FILTER_BITS = 1 << 28
+#: Bits of the filter that are broadcast at once (128 MB).  The whole filter has no bound.
+PASS_BITS = 1 << 30
 BITS_A_KEY = 12
 PROBES = 3
 HOT_SHARE = 20_000
@@ -80,16 +83,23 @@ class Filter:
     total: int
     kinds: int
     contexts: int
+    #: The slices that bits holds; all if None.
+    held: range | None = None
+    #: The highest level in the filter.
+    top: int = 64
 
     @property
     def per_slice(self) -> int:
-        return len(self.bits) * 8 // self.slices
+        return len(self.bits) * 8 // (self.slices if self.held is None else len(self.held))
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        out, alive = np.zeros(len(grams), np.int64), np.arange(len(grams))
-        part = slice_of(grams, self.slices).astype(np.int64) * self.per_slice
+        """0 for grams of slices that aren't held."""
+        out, part = np.zeros(len(grams), np.int64), slice_of(grams, self.slices).astype(np.int64)
+        held = self.held or range(self.slices)
+        alive = np.flatnonzero((part >= held.start) & (part < held.stop))
+        part = (part - held.start) * self.per_slice
         q = 1
-        while len(alive):
+        while len(alive) and q <= self.top:
             h, step = keys_of(grams[alive], np.full(len(alive), q, np.uint64))
             for i in range(PROBES):
                 at = position(h, step, i, self.per_slice) + part[alive]
@@ -99,18 +109,23 @@ class Filter:
             q += 1
         return out
 
-    def log_probability(self, toks: np.ndarray, before: np.ndarray, both: np.ndarray) -> np.ndarray:
-        words, at = np.unique(toks, return_inverse=True)
-        count = expected(self.levels(words))
+    def levels_of(self, toks: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of each word and of each pair."""
+        out = []
+        for grams in (toks, both):
+            kinds, at = np.unique(grams, return_inverse=True)
+            out.append(self.levels(kinds)[at].astype(np.uint8))
+        return tuple(out)
+
+    def log_probability(self, first: np.ndarray, words: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Of each token, from the levels of words and pairs."""
+        count, seen = expected(words.astype(np.int64)), expected(both.astype(np.int64))
         lone = np.minimum(1.0, (count + 1) / (self.total + self.kinds + 1))
-        grams, where = np.unique(both, return_inverse=True)
-        seen = expected(self.levels(grams))[where]
-        prior = np.full(len(toks), float(self.contexts))  # documents start as often as there are documents
-        place = np.searchsorted(words, before)
-        known = (place < len(words)) & (words[np.minimum(place, len(words) - 1)] == before)
-        prior[known] = count[place[known]]
+        prior = np.empty(len(words))
+        prior[1:] = count[:-1]
+        prior[first[:-1]] = self.contexts  # documents start as often as there are documents
         pair = np.minimum(1.0, seen / np.maximum(prior, np.maximum(seen, 1)))
-        return np.log10(PAIR_SHARE * pair + (1 - PAIR_SHARE) * lone[at])
+        return np.log10(PAIR_SHARE * pair + (1 - PAIR_SHARE) * lone)
 
 
 def slice_of(grams: np.ndarray, slices: int) -> np.ndarray:
@@ -174,25 +189,32 @@ def counted(train: DataFrame, slices: int) -> DataFrame:
 
 
 def _summary(counts: DataFrame) -> dict[str, int]:
-    """Totals over all slices: tokens, kinds of words, texts, and keys that the filter takes."""
+    """Over all slices: tokens, kinds of words, texts, keys that the filter takes, and the highest level."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = kinds = ends = keys = 0
+        total = kinds = ends = keys = top = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 wh, wc, _, pc = (V.unpacked(batch.column(j).slice(i, 1), t) for j, t in ((1, np.uint64), (2, np.int64), (3, np.uint64), (4, np.int64)))
                 total, kinds = total + int(wc.sum()), kinds + len(wc)
                 ends += int(wc[wh == END].sum())
-                keys += int(level(wc).sum()) + int(level(pc[pc >= MIN_PAIRS]).sum())
-        yield pa.RecordBatch.from_pydict({"total": [total], "kinds": [kinds], "ends": [ends], "keys": [keys]})
+                levels = [level(wc), level(pc[pc >= MIN_PAIRS])]
+                keys += sum(int(x.sum()) for x in levels)
+                top = max(top, *(int(x.max(initial=0)) for x in levels))
+        yield pa.RecordBatch.from_pydict({"total": [total], "kinds": [kinds], "ends": [ends], "keys": [keys], "top": [top]})
 
-    row = counts.mapInArrow(one, "total bigint, kinds bigint, ends bigint, keys bigint").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("total", "kinds", "ends", "keys"))).first()
+    sums = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("total", "kinds", "ends", "keys")]
+    row = counts.mapInArrow(one, "total bigint, kinds bigint, ends bigint, keys bigint, top bigint").agg(*sums, F.coalesce(F.max("top"), F.lit(0)).alias("top")).first()
     return row.asDict()
 
 
-def build_filter(counts: DataFrame, slices: int, known: dict[str, int], max_bits: int = MAX_FILTER_BITS) -> Filter:
-    bits = 1 << min(max_bits.bit_length() - 1, max(16, (BITS_A_KEY * known["keys"]).bit_length()))
-    per_slice = max(64, bits // slices)
+def bits_of_slice(slices: int, keys: int) -> int:
+    """A power of two, with BITS_A_KEY for each key at least."""
+    return max(64, (1 << max(16, (BITS_A_KEY * keys).bit_length())) // slices)
+
+
+def filter_slices(counts: DataFrame, per_slice: int) -> DataFrame:
+    """(slice, bits): the whole filter."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +230,15 @@ def build_filter(counts: DataFrame, slices: int, known: dict[str, int], max_bits
                         found[position(h, step, probe, per_slice)] = True
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())})
 
-    out = np.zeros((slices, per_slice // 8), np.uint8)
-    for row in counts.mapInArrow(build, "slice int, bits binary").toLocalIterator():
-        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(out.reshape(-1), slices, known["total"], known["kinds"], known["ends"])
+    return counts.mapInArrow(build, "slice int, bits binary")
+
+
+def held_filter(table: DataFrame, held: range, slices: int, per_slice: int, known: dict[str, int]) -> Filter:
+    """Some slices of the filter, in memory."""
+    out = np.zeros((len(held), per_slice // 8), np.uint8)
+    for row in table.filter(F.col("slice").between(held.start, held.stop - 1)).toLocalIterator():
+        out[row["slice"] - held.start] = np.frombuffer(row["bits"], np.uint8)
+    return Filter(out.reshape(-1), slices, known["total"], known["kinds"], known["ends"], held, known["top"])
 
 
 def hot_words(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +267,15 @@ def _found(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return np.where(h[at] == words, c[at], 0)
 
 
-def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_filter_bits: int = PASS_BITS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that aren't held out.  Null and empty texts are an end alone.
     A null id is treated as the empty string in the choice of held-out rows.  Without
     training rows no token is known and both scores rest on smoothing alone.  Rows that
     share id and text score alike.  Other columns are ignored.  Words are told apart by
-    64 bits of hash.
+    64 bits of hash.  max_filter_bits bounds what is broadcast at once, not the filter:
+    with less there are more passes and the same scores.
     """
     spark = docs.sparkSession
     scratch, rows = Scratch(spark), keyed(docs, text_col, id_col)
@@ -256,26 +284,60 @@ def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ma
     counts = scratch.write(counted(rows.filter(~held_out(F.col("doc_id"))).select("text"), slices))
     known = _summary(counts)
     total, kinds = known["total"], known["kinds"]
-    model = spark.sparkContext.broadcast(build_filter(counts, slices, known, max_filter_bits))
+    per_slice = bits_of_slice(slices, known["keys"])
+    table = scratch.write(filter_slices(counts, per_slice))
+    at_once = max(1, max_filter_bits // per_slice)
+    passes = [range(k, min(slices, k + at_once)) for k in range(0, slices, at_once)]
     hot = spark.sparkContext.broadcast(hot_words(counts, total))
     homes = 2 * partitions(docs)
 
+    def probed(model, batch: pa.RecordBatch, poly: V.Poly) -> Iterator[tuple[V.Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(block, tokens, first, levels of words, levels of pairs) with what earlier passes found."""
+        earlier, lo = [V.unpacked(batch.column(j), np.uint8) for j in (4, 5)] if batch.num_columns > 4 else None, 0
+        for block in V.blocks(batch):
+            toks, first = tokens(block, poly)
+            words, both = model.value.levels_of(toks, pairs(toks, first)[1])
+            if earlier:  # a gram is of one slice, so of one pass
+                words, both = (x + e[lo : lo + len(toks)] for x, e in zip((words, both), earlier, strict=True))
+                lo += len(toks)
+            yield block, toks, first, words, both
+
+    source, columns = rows.select("id", "rk", "doc_id", "text"), "id bigint, rk bigint, doc_id bigint"
+    for held in passes[:-1]:
+        part = spark.sparkContext.broadcast(held_filter(table, held, slices, per_slice, known))
+
+        def probe(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            poly = V.Poly(V.BASE_1)
+            for batch in batches:
+                got = [(np.diff(first), words, both) for _, _, first, words, both in probed(part, batch, poly)]
+                if got:
+                    sizes, words, both = (np.concatenate(x) for x in zip(*got, strict=True))
+                    cuts = np.concatenate([[0], np.cumsum(sizes)])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], V.binary(words, cuts), V.binary(both, cuts)], names=["id", "rk", "doc_id", "text", "words", "pairs"])
+
+        carried = scratch.write(source.mapInArrow(probe, f"{columns}, text string, words binary, pairs binary"))
+        if held.start:
+            scratch.drop(source)
+        source = carried
+        part.destroy()
+    model = spark.sparkContext.broadcast(held_filter(table, passes[-1], slices, per_slice, known))
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly = V.Poly(V.BASE_1)
         for batch in batches:
             ids, rks = V.idents(batch)
             parts = []
-            for block in V.blocks(batch):
-                toks, first = tokens(block, poly)
+            for block, toks, first, words, both in probed(model, batch, poly):
                 n = len(block)
                 doc = np.repeat(np.arange(n), np.diff(first))
-                before, both = pairs(toks, first)
                 count = _found(toks, hot.value)
-                parts.append((np.diff(first), np.bincount(doc[count > 0], minlength=n), np.bincount(doc, np.where(count > 0, np.log10(count + 1.0), 0), n), np.bincount(doc, model.value.log_probability(toks, before, both), n)))
+                parts.append((np.diff(first), np.bincount(doc[count > 0], minlength=n), np.bincount(doc, np.where(count > 0, np.log10(count + 1.0), 0), n), np.bincount(doc, model.value.log_probability(first, words, both), n)))
             got = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "rk": pa.array(rks), "doc_id": batch.column(2), "n_tokens": pa.array(got[0].astype(np.int64)), "hot_known": pa.array(got[1].astype(np.int64)), "hot_score": pa.array(got[2].astype(float)), "score": pa.array(got[3].astype(float))})
 
-    scored = scratch.write(rows.select("id", "rk", "doc_id", "text").mapInArrow(local, "id bigint, rk bigint, doc_id bigint, n_tokens bigint, hot_known bigint, hot_score double, score double"))
+    scored = scratch.write(source.mapInArrow(local, f"{columns}, n_tokens bigint, hot_known bigint, hot_score double, score double"))
+    if len(passes) > 1:
+        scratch.drop(source)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly, held = V.Poly(V.BASE_1), Entries(("h", "id", "rk"))

@@ -59,6 +59,16 @@ def test_filter_levels():
     assert (f.levels(r.integers(0, 2**63, 4000).astype(np.uint64)) == 0).mean() > 0.95
 
 
+def test_filter_in_passes(docs_of):
+    """The filter isn't cut to what is broadcast at once: more passes, equal scores; and levels end at the highest one."""
+    r = np.random.default_rng(2)
+    docs = docs_of([(i, " ".join(f"w{k}" for k in r.zipf(1.3, 40) % 5000)) for i in range(300)] + [(900, None), (901, "")])
+    scores = lambda **k: sorted((x.doc_id, x.score, x.base_score) for x in lm_score.lm_score(docs, **k).collect())
+    assert np.allclose(scores(max_filter_bits=1 << 15), scores(), atol=1e-9)
+    full = np.full(64 * 8, 255, np.uint8)
+    assert set(lm_score.Filter(full, 64, 1, 1, 1, top=5).levels(r.integers(0, 2**63, 50).astype(np.uint64)).tolist()) == {5}
+
+
 def _junk(i):
     return ["spam " * (20 + i % 30), " | ".join(f"w{i}{k}" for k in range(30)), "".join(f"wo{k}$$$ rd%%% " for k in range(20 + i % 9)), "LOUD!! WORDS!! " * (9 + i % 7)][i % 4]
 

@@ -22,6 +22,10 @@ in common, they share a shingle that the pivot lacks; so such pairs move from th
 to keys of the pivot's rest, where few nodes meet.  Pairs of which one has too few
 shingles that any other set may have are left out at once.  Rounds go on, with more
 pivots each, until all keys are done.
+
+Components need no more than that.  For numbers of links all pairs of nodes that share
+a key and whose sizes allow it are compared instead; the nodes of a key are dealt in
+blocks, so that no task has more than two blocks of a key at once.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ MAX_BITS = 1 << 30
 #: One subclass of frequent shingles for so many shingles of a set.
 SUBCLASS = 32
 PIVOTS = 8
+#: Nodes in a block of a key, on average, where all pairs are compared.
+BLOCK_NODES = 256
 
 
 def shingles(block: V.Block, size: int, one: V.Poly, two: V.Poly) -> tuple[np.ndarray, np.ndarray]:
@@ -322,19 +328,19 @@ def _similar(percent: int) -> F.Column:
     return F.col("k") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("k"))
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links.
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id", frequent: int = FREQUENT, count_links: bool = True, block: int = BLOCK_NODES) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id and, if links are counted, n_links.
 
     Two rows link when their sets' intersection is at least that percentage of their
-    union.  component_id is the smallest id reachable; n_links counts links between a
-    row's set and the unequal sets that were compared with it, and more only join what
-    is joined.  Texts with fewer words than a shingle have one shingle, the whole; null
+    union.  component_id is the smallest id reachable; n_links counts the unequal
+    sets that link with a row's set, all of them, so its cost grows with the square of a
+    group of similar sets.  Texts with fewer words than a shingle have one shingle, the whole; null
     texts and texts without words have none and link with nothing.  Null ids count as
     smaller than all others.  Rows with equal ids are linked only by their texts.
     Shingles, and sets, compare by 64 bits of hash.  Other columns are ignored.
     """
-    out = _members(keyed(docs, text_col, id_col).select("id", "rk", "text"), percent, size, frequent)
-    return out.select(F.nullif("id", F.lit(V.NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("least.id", F.lit(V.NULL_ID)).alias("component_id"), "n_links")
+    out = _members(keyed(docs, text_col, id_col).select("id", "rk", "text"), percent, size, frequent, block if count_links else None)
+    return out.select(F.nullif("id", F.lit(V.NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("least.id", F.lit(V.NULL_ID)).alias("component_id"), *["n_links"] * count_links)
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
@@ -354,8 +360,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, tex
     return kept.select("row.*")
 
 
-def _members(texts: DataFrame, percent: int, size: int, frequent: int) -> DataFrame:
-    """(id, rk, n, least, n_links) for each row; least is the first (id, rk) of its component."""
+def _members(texts: DataFrame, percent: int, size: int, frequent: int, block: int | None = None) -> DataFrame:
+    """(id, rk, n, least) for each row, and n_links with a block; least is the first (id, rk) of its component."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, 100 at most")
     spark = texts.sparkSession
@@ -366,22 +372,47 @@ def _members(texts: DataFrame, percent: int, size: int, frequent: int) -> DataFr
     classes = scratch.write(thin.filter("n > 0").groupBy(F.col("a").alias("node"), "b").agg(F.min(F.struct("id", "rk")).alias("rep"), F.first("n").alias("n")))
 
     index = scratch.write(posted(texts, size, percent, kinds).join(classes.select("node", "n"), "node"))
-    links, comps = _linked(scratch, texts, index, classes, kinds, percent, size)
+    sets = scratch.write(_sets_of(texts, index, classes, kinds, size))
+    if block:
+        links = _all_links(scratch, index, sets, percent, block)
+        comps = components(links, scratch)
+    else:
+        comps = _linked(scratch, index, sets, percent)
 
     joined = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = joined.groupBy("comp").agg(F.min("rep").alias("least"))
-    degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").count()
-    named = joined.join(least, "comp").join(degree, "node", "left").select(F.col("node").alias("a"), "b", "least", F.coalesce("count", F.lit(0)).alias("n_links"))
-    out = thin.join(named, ["a", "b"], "left")
-    return out.select("id", "rk", "n", F.coalesce("least", F.struct("id", "rk")).alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = joined.join(least, "comp")
+    if block:
+        degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        named = named.join(degree, "node", "left")
+    out = thin.join(named.select(F.col("node").alias("a"), "b", "least", *["n_links"] * bool(block)), ["a", "b"], "left")
+    return out.select("id", "rk", "n", F.coalesce("least", F.struct("id", "rk")).alias("least"), *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * bool(block))
 
 
-def _linked(scratch: Scratch, texts: DataFrame, index: DataFrame, classes: DataFrame, kinds, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of the nodes in index, which has (key, node, s, n)."""
-    # what two sets need in common, times 100 + percent; also a limit of how their sizes may differ
-    needed = f"{percent} * (n + pn)"
-    fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) AND {100 + percent} * least(s, ps) >= {needed}")
-    sets = scratch.write(_sets_of(texts, index, classes, kinds, size))
+def _needed(percent: int) -> str:
+    """What two sets need in common, times 100 + percent."""
+    return f"{percent} * (n + pn)"
+
+
+def _fits(percent: int) -> F.Column:
+    """Whether two sets may be similar by their sizes and what others may have of them."""
+    return F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) AND {100 + percent} * least(s, ps) >= {_needed(percent)}")
+
+
+def _all_links(scratch: Scratch, index: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """All links between nodes in index, which has (key, node, s, n); each pair of blocks of a key meets once."""
+    blocks = index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / block).cast("bigint").alias("blocks"))
+    dealt = scratch.write(index.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks")))
+    x = dealt.select("key", "node", "s", "n", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    y = dealt.select("key", F.col("node").alias("pivot"), F.col("s").alias("ps"), F.col("n").alias("pn"), F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("i"), F.col("own").alias("j"))
+    pairs = x.join(y, ["key", "i", "j"]).filter("i < j OR node < pivot").filter(_fits(percent))
+    pairs = scratch.write(pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct())
+    return scratch.write(compared(pairs, sets).filter(_similar(percent)).select("x", "y"))
+
+
+def _linked(scratch: Scratch, index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components of the nodes in index, which has (key, node, s, n), by as few links as join them."""
+    needed, fits = _needed(percent), _fits(percent)
 
     # the first round: one pivot for each key, and what each node has in common with it
     pivots = index.groupBy("key").agg(F.max(F.struct((F.col("s") * 1000 / F.col("n")).cast("int").alias("share"), "n", "node", "s")).alias("p"), F.count("*").alias("m"))
@@ -419,7 +450,7 @@ def _linked(scratch: Scratch, texts: DataFrame, index: DataFrame, classes: DataF
         comps = components(links, scratch)
         left = left.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "s", "n", "o")
         left = scratch.write(_open(left, comps))
-    return links, comps
+    return comps
 
 
 def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -452,7 +483,7 @@ def _sets_of(texts: DataFrame, index: DataFrame, classes: DataFrame, kinds, size
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), count_links=False)
 
 
 SQL = r"""

@@ -111,6 +111,31 @@ def test_any_shared_key_of_a_linked_pair():
         assert len(np.intersect1d(a, b))
 
 
+@pytest.mark.parametrize("percent, frequent, block", [(75, 48, 256), (60, 3, 4)])
+def test_all_links_are_counted(docs_of, percent, frequent, block):
+    """Also between sets that other links join already, and across the blocks of a key."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(25)] + [(100 + i, " ".join([f"y{i}", *base])) for i in range(5)] + [(200 + i, t) for i, (_, t) in enumerate(near_copies(9, 40))]
+    rows += [(300, rows[0][1]), (301, None), (302, "one two")]
+    r.shuffle(rows)
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    kinds = set(sets.values()) - {frozenset()}
+    links = {i: sum(o != s and 100 * len(o & s) >= percent * len(o | s) for o in kinds) for i, s in sets.items()}
+    out = jaccard_join.jaccard_join(docs_of(rows), percent, frequent=frequent, block=block)
+    assert {x.doc_id: x.n_links for x in out.collect()} == links and links[1] >= 24
+    assert got(out) == brute(rows, percent)
+    thin = jaccard_join.jaccard_join(docs_of(rows), percent, frequent=frequent, count_links=False)
+    assert "n_links" not in thin.columns and got(thin) == brute(rows, percent)
+
+
+@pytest.mark.parametrize("seed, percent, frequent", [(2, 75, 3), (3, 60, 2)])
+def test_components_without_links(docs_of, seed, percent, frequent):
+    """The rounds of pivots, which op6 and the pipeline take."""
+    rows = near_copies(seed) + ODD
+    assert got(jaccard_join.jaccard_join(docs_of(rows), percent, frequent=frequent, count_links=False)) == brute(rows, percent)
+
+
 def test_one_of_each_group_stays(docs_of, clashing):
     rows = [*near_copies(1, 30), (500, None), (501, None), (502, "solo words only here now"), (502, "solo words only here now")]
     df = clashing(docs_of(rows))

@@ -6,6 +6,8 @@ even ids, else on the bottom strand.  Every third base is converted where it can
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,10 +97,10 @@ def record_fields(spark, d):
     return out.groupBy("is_reverse", "is_unmapped", "is_duplicate", F.coalesce("NM", F.lit(-1)).alias("nm")).agg(F.count("*").alias("n"))
 
 
-def _fragment_reads(spark, d) -> DataFrame:
-    """Mates of fragments: the whole contig from either end, 60 bases at most."""
+def _fragment_reads(spark, d, whole: bool = False) -> DataFrame:
+    """Mates of fragments: the contig from either end, 60 bases at most; if whole, two thirds of it, so that all overlap."""
     n = F.col("length")
-    m = F.least(n, F.lit(60))
+    m = n - F.floor(n / 3) if whole else F.least(n, F.lit(60))
     base = contigs(spark, d)
     common = ["qname", "tid", "ref_name"]
     both = base.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("qname"), F.col("doc_id").cast("int").alias("tid"), F.col("contig").alias("ref_name"), "doc_id", n, m.alias("m"), "seq")
@@ -116,23 +118,30 @@ _SPAN = f"WITH {REF}, f AS (SELECT doc_id, length(seq) AS n, least(length(seq),
 
 
 @_add("overlap_length", f"""{_SPAN} SELECT 'f' || doc_id AS qname, CASE WHEN overlap >= 4 THEN n ELSE 0 END::INT AS length, CASE WHEN overlap >= 4 THEN overlap ELSE 0 END::INT AS overlap, CASE WHEN overlap >= 4 THEN 'resolved' ELSE 'none' END AS verdict FROM o""")
-def overlap_length(spark, d):
-    out = overlap.fragment_verdicts(_fragment_reads(spark, d))
+def overlap_length(spark, d, whole=False):
+    out = overlap.fragment_verdicts(_fragment_reads(spark, d, whole))
     return out.select("qname", F.when(F.col("verdict") == "resolved", F.col("length")).otherwise(0).alias("length"), "overlap", "verdict")
 
 
 @_add("overlap_clipped", f"""{_SPAN} SELECT doc_id * 2 AS record_id, m::BIGINT AS kept FROM o UNION ALL SELECT doc_id * 2 + 1, m - CASE WHEN overlap >= 4 THEN overlap ELSE 0 END FROM o WHERE NOT (overlap >= 4 AND overlap = m)""")
-def overlap_clipped(spark, d):
+def overlap_clipped(spark, d, whole=False):
     """Aligned bases that each record keeps; a mate that is all overlap goes."""
-    out = overlap.resolve_overlaps(_fragment_reads(spark, d))
+    out = overlap.resolve_overlaps(_fragment_reads(spark, d, whole))
     kept = F.aggregate(walk.cigar_ops(F.col("cigar")), F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["op"] == "M", x["n"]).otherwise(F.lit(0)))
     return out.select("record_id", kept.alias("kept"))
 
 
 @_add("overlap_statistics", f"""{_SPAN} SELECT 'templates' AS section, CASE WHEN overlap >= 4 THEN 'resolved' ELSE 'none' END AS key, count(*) AS value FROM o GROUP BY ALL
 UNION ALL SELECT 'length', n::VARCHAR, count(*) FROM o WHERE overlap >= 4 GROUP BY ALL UNION ALL SELECT 'overlap', overlap::VARCHAR, count(*) FROM o WHERE overlap >= 4 GROUP BY ALL""")
-def overlap_statistics(spark, d):
-    return overlap.statistics(overlap.fragment_verdicts(_fragment_reads(spark, d))).filter("section NOT IN ('counts', 'rate_ppm')")
+def overlap_statistics(spark, d, whole=False):
+    return overlap.statistics(overlap.fragment_verdicts(_fragment_reads(spark, d, whole))).filter("section NOT IN ('counts', 'rate_ppm')")
+
+
+#: The same over mates that reach across contigs of any length.
+_WHOLE = _SPAN.replace("least(length(seq), 60)", "length(seq) - length(seq) // 3")
+for _name in ("overlap_length", "overlap_clipped", "overlap_statistics"):
+    _function, _sql = QUERIES[_name]
+    QUERIES[f"{_name}_whole"] = (partial(_function, whole=True), _sql.replace(_SPAN, _WHOLE))
 
 
 @_add("contig_check", """SELECT coalesce(c, r) AS contig, CASE WHEN r IS NULL THEN 'absent' WHEN c IS NULL THEN 'unused' ELSE 'ok' END AS status

@@ -115,3 +115,24 @@ def test_table(spark):
     resolved = [v for v in verdicts.values() if v.verdict == "resolved"]
     stats = {(s.section, s.key): s.value for s in O.statistics(O.fragment_verdicts(reads)).collect()}
     assert stats[("templates", "resolved")] == len(resolved) and sum(v for (s, _), v in stats.items() if s == "length") == len(resolved)
+
+
+def test_queries_over_whole_contigs(spark, tmp_path):
+    """Mates of long contigs overlap as well, and the SQL says the same."""
+    import collections
+
+    import duckdb
+
+    from baseloom.plans import scanning
+
+    r = random.Random(4)
+    lengths = [1, 3, 5, 11, 12, 60, 117, 500, 2001, 4000]
+    rows = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))) for i, n in enumerate(lengths)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("overlap_length_whole", "overlap_clipped_whole", "overlap_statistics_whole"):
+        function, sql = scanning.QUERIES[name]
+        assert collections.Counter(map(tuple, function(spark, str(tmp_path)).collect())) == collections.Counter(db.execute(sql).fetchall()), name
+    out = scanning.QUERIES["overlap_length_whole"][0](spark, str(tmp_path)).collect()
+    assert {x.length for x in out if x.verdict == "resolved"} >= set(lengths[3:])

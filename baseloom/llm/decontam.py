@@ -23,7 +23,7 @@ from baseloom.llm import _vector as V
 from baseloom.llm._rowwise import beside
 
 RATE = 0.15
-#: Items with fewer words turn up by chance and aren't searched.
+#: Items with fewer words may turn up by chance: they are searched as they stand, without edits.
 MIN_WORDS = 6
 #: Items are broadcast in parts of about so many bytes of text; each part is a pass over the documents.
 PART_BYTES = 8 << 20
@@ -84,13 +84,14 @@ class Pieces:
     rate: float
 
     @classmethod
-    def of(cls, items: list[tuple[int, bytes]], rate: float, min_words: int) -> Pieces | None:
+    def of(cls, items: list[tuple[int, bytes]], rate: float, least: int, most: int | None = None) -> Pieces | None:
+        """Pieces of the items with that many words; None without any."""
         data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         offs = np.cumsum([0, *(len(t) for _, t in items)])
         words, first = words_of(data, offs, V.Poly(V.BASE_1))
         item, start, stop = [], [], []
         for i, n in enumerate(np.diff(first).tolist()):
-            if n < min_words:
+            if n < max(1, least) or (most is not None and n > most):
                 continue
             parts = budget(n, rate) + 1
             cuts = [j * n // parts for j in range(parts + 1)]
@@ -157,8 +158,9 @@ HIT = "array<struct<item_id:bigint,edits:int,word:int>>"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, text_col: str = "text", bench_text: str = "text", bench_id: str = "item_id", part_bytes: int = PART_BYTES) -> DataFrame:
     """All rows and columns, with ``hits``: item_id, edits and the passage's first word of each item found, by item_id.
 
-    Null and empty texts have no hits; null items and items under min_words words have
-    no matches; items of null id show as the least bigint.  Whole texts are searched.
+    Null and empty texts have no hits; null items and items without words have no
+    matches, and items under min_words words only exact ones; items of null id show as
+    the least bigint.  Whole texts are searched.
     Without items all hits are empty.  Equal items each hit.  A column named hits is
     replaced.  The benchmark is broadcast in parts of a bounded size, one pass each; a
     pass shuffles nothing.
@@ -166,18 +168,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
     spark = docs.sparkSession
     out = docs.withColumn("hits", F.array().cast(HIT))
     for items in _parts(benchmark, bench_text, bench_id, part_bytes):
-        pieces = Pieces.of(items, rate, min_words)
-        if pieces is None:
+        # short items apart: one piece's width is that of all
+        pieces = [p for p in (Pieces.of(items, rate, min_words), Pieces.of(items, 0.0, 1, min_words - 1)) if p]
+        if not pieces:
             continue
         shared = spark.sparkContext.broadcast(pieces)
 
         def compute(batch: pa.RecordBatch, shared=shared) -> dict[str, pa.Array]:
-            p, one, two = shared.value, _POLY_1, _POLY_2
+            one, two = _POLY_1, _POLY_2
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for block in V.blocks(batch):
                 words, first = words_of(block.data, block.offs, one)
-                for d, i, edits, at in p.find(words, first, two):
-                    found[block.rows.start + d].append({"item_id": int(p.ids[i]), "edits": edits, "word": at})
+                for p in shared.value:
+                    for d, i, edits, at in p.find(words, first, two):
+                        found[block.rows.start + d].append({"item_id": int(p.ids[i]), "edits": edits, "word": at})
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("word", pa.int32())]))
             return {"more": pa.array(found, kind)}
 

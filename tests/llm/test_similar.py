@@ -200,3 +200,13 @@ def test_decontamination(spark, docs_of, clashing):
     assert cleaned.columns == df.columns and sorted(x.doc_id for x in cleaned.collect()) == sorted(i for i, e in expected.items() if not e)
     assert decontam.decontaminate(df, bench.limit(0)).filter("size(hits) > 0").count() == 0
     assert decontam.decontaminate(df.limit(0), bench).count() == 0
+
+
+def test_short_items_are_found_as_they_stand(spark, docs_of):
+    items = [(1, "Capital: Paris"), (2, "yes"), (3, "one two three four five"), (4, "one two three four five six seven"), (5, " ?!")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(0, "the CAPITAL, paris!"), (1, "capital of Paris"), (2, "Yes"), (3, "x one two three four five yes"), (4, "one two three four"), (5, "one two three four six seven"), (6, "capital"), (7, "paris yesterday"), (8, ""), (9, "?!")]
+    for part_bytes in (1 << 20, 4):
+        out = decontam.decontaminate(docs_of(rows), bench, part_bytes=part_bytes).collect()
+        assert {x.doc_id: [(h.item_id, h.edits, h.word) for h in x.hits] for x in out if x.hits} == {0: [(1, 0, 1)], 2: [(2, 0, 0)], 3: [(2, 0, 6), (3, 0, 1)], 5: [(4, 1, 0)]}
+    assert sorted(x.doc_id for x in decontam.clean(docs_of(rows), bench).collect()) == [1, 4, 6, 7, 8, 9]

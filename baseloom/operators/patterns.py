@@ -261,47 +261,42 @@ def compile_query(name: str, text: str, mark: str | None, patterns: dict[str, Pa
     return Query(name, expression, used, anchor, captures, span)
 
 
+#: Names of the context calls, and letters of the calls by following bases.
+CONTEXT_CALLS = ("CpG_methylated", "CpG_unmethylated", "CHG_methylated", "CHG_unmethylated", "CHH_methylated", "CHH_unmethylated")
+CALL_LETTERS = ("Z", "z", "X", "x", "H", "h", "U", "u")
+
+
+def _declared(kind: str, name: str, **values: str) -> str:
+    return "\n".join([f"[{kind}.{name}]", *(f'{k} = "{v}"' for k, v in values.items())])
+
+
 def methyldackel() -> str:
-    """Calls at reference cytosines by the reference's context alone."""
-    rows = [
-        ("cytosine_read_C", "C~~", "C~~"),
-        ("cytosine_read_T", "T~~", "C~~"),
-        ("next_is_G", "~~~", "~G~"),
-        ("second_next_is_G", "~~~", "~~G"),
-    ]
-    out = [f'[pattern.{n}]\nread = "{a}"\nrefr = "{b}"' for n, a, b in rows]
-    contexts = {"CpG": "next_is_G", "CHG": "not next_is_G and second_next_is_G", "CHH": "not next_is_G and not second_next_is_G"}
-    out += [f'[query.{c}_{state}]\nwhere = "cytosine_read_{base} and {cond}"' for c, cond in contexts.items() for state, base in (("methylated", "C"), ("unmethylated", "T"))]
+    """Calls at reference cytosines by the reference's context alone; what isn't a G behind the C counts as H."""
+    contexts = {"CpG": "g_first", "CHG": "g_second and not g_first", "CHH": "not g_second and not g_first"}
+    out = [_declared("pattern", "g_first", read="~~~", refr="~G~"), _declared("pattern", "g_second", read="~~~", refr="~~G")]
+    out += [_declared("pattern", state, read=f"{base}~~", refr="C~~") for state, base in (("methylated", "C"), ("unmethylated", "T"))]
+    for call in CONTEXT_CALLS:
+        context, state = call.split("_")
+        out.append(_declared("query", call, where=f"{state} and {contexts[context]}"))
     return "\n".join(out)
 
 
 def bismark(gaps: int = 4) -> str:
     """Calls by the bases that follow in the read, with up to so many deletions before each; for walks that emit insertions."""
-    width = 3 + 2 * gaps
-    steps = range(gaps + 1)
-    out, names = ['[alias]\no = "{N_}"'], {}
-
-    def add(kind: str, k: int, read: str, refr: str) -> None:
-        names.setdefault(kind, []).append(f"{kind}_{k}")
-        out.append(f'[pattern.{kind}_{k}]\nread = "{read.ljust(width, "~")}"\nrefr = "{refr.ljust(width, "~")}"')
-
-    for base in "CT":
-        for k in steps:
-            add(f"CG_{base}", k, f"{base}{'.' * k}o", f"C{'~' * k}G")
-        for k, (i, j) in enumerate(product(steps, steps)):
-            read = f"{base}{'.' * i}o{'.' * j}o"
-            add(f"CHG_{base}", k, read, f"C{'~' * i}H{'~' * j}G")
-            add(f"CHH_{base}", k, read, f"C{'~' * i}H{'~' * j}H")
-            add(f"any_{base}", k, read, "C")
-
-    def either(kind: str) -> str:
-        return " or ".join(names[kind])
-
-    letters = {"CG": "z", "CHG": "x", "CHH": "h"}
-    for base in "CT":
-        for kind, letter in letters.items():
-            out.append(f'[query.{letter.upper() if base == "C" else letter}]\nwhere = "{either(f"{kind}_{base}")}"')
-        known = " or ".join(either(f"{kind}_{base}") for kind in letters)
-        out.append(f'[query.{"U" if base == "C" else "u"}]\nwhere = "({either(f"any_{base}")}) and not ({known})"')
-    out.append("[tag.xm.bases]\nfill = \".\"\n" + "\n".join(f'{x} = "{x}"' for x in "ZzXxHhUu"))
+    behind = {"Z": "G", "X": "HG", "H": "HH", "U": "~~"}
+    out, ways = [_declared("alias", "", o="{N_}").replace("[alias.]", "[alias]")], {}
+    for call, context in behind.items():
+        for name, base in ((call, "C"), (call.lower(), "T")):
+            for deleted in product(range(gaps + 1), repeat=len(context)):
+                read, refr = base, "C"
+                for n, base_behind in zip(deleted, context, strict=True):
+                    read, refr = read + "." * n + "o", refr + "~" * n + base_behind
+                width = 1 + 2 * (gaps + 1)
+                ways.setdefault(name, []).append("_".join([name, *map(str, deleted)]))
+                out.append(_declared("pattern", ways[name][-1], read=read.ljust(width, "~"), refr=refr.ljust(width, "~")))
+    whole = {name: " or ".join(w) for name, w in ways.items()}
+    for name in CALL_LETTERS:
+        known = " or ".join(whole[x] for x in CALL_LETTERS if x.isupper() == name.isupper() and x not in "Uu")
+        out.append(_declared("query", name, where=f"({whole[name]}) and not ({known})" if name in "Uu" else whole[name]))
+    out.append(_declared("tag", "xm.bases", fill=".", **{x: x for x in CALL_LETTERS}))
     return "\n".join(out)

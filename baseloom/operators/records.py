@@ -74,8 +74,9 @@ def with_fields(reads: DataFrame, fields: list[str]) -> DataFrame:
 def walkability(reads: DataFrame, refs: DataFrame, permissive: bool = False, md5s: DataFrame | None = None) -> DataFrame:
     """Adds status: unmapped, off_reference, missing_m5, no_seq or walkable, the first that fits.
 
-    A record off the reference stops the run unless permissive.  md5s: (ref_name, m5) of
-    the alignment's header, if every contig must have its checksum.
+    A record off the reference stops the run unless permissive, and so does one on a
+    contig without its checksum.  md5s: (ref_name, m5) of the alignment's header, if
+    every contig must have one.
     """
     known = F.broadcast(refs.select(F.col("contig").alias("ref_name"), F.lit(True).alias("_on")))
     out = reads.join(known, "ref_name", "left")
@@ -83,6 +84,10 @@ def walkability(reads: DataFrame, refs: DataFrame, permissive: bool = False, md5
     if md5s is not None:
         out = out.join(F.broadcast(md5s.select("ref_name", F.col("m5").isNotNull().alias("_m5"))), "ref_name", "left")
         m5 = F.coalesce("_m5", F.lit(False))
-    lost = F.lit("off_reference") if permissive else F.raise_error(F.concat(F.lit("contig isn't in the reference: "), F.coalesce("ref_name", F.lit("*")))).cast("string")
-    status = F.when(F.col("flags").bitwiseAND(F.lit(4)) != 0, "unmapped").when(F.col("_on").isNull(), lost).when(~m5, "missing_m5").when(F.col("seq") == "*", "no_seq").otherwise("walkable")
+
+    def or_stop(status: str, why: str) -> Column:
+        return F.lit(status) if permissive else F.raise_error(F.concat(F.lit(why), F.coalesce("ref_name", F.lit("*")))).cast("string")
+
+    lost, unchecked = or_stop("off_reference", "contig isn't in the reference: "), or_stop("missing_m5", "no checksum in the header for contig ")
+    status = F.when(F.col("flags").bitwiseAND(F.lit(4)) != 0, "unmapped").when(F.col("_on").isNull(), lost).when(~m5, unchecked).when(F.col("seq") == "*", "no_seq").otherwise("walkable")
     return out.withColumn("status", status).drop("_on", "_m5")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baseloom.functions import codes as K
-from baseloom.operators.hits import as_sequenced
+from baseloom.operators.hits import as_sequenced, found_in
 from baseloom.operators.patterns import QueryError, QueryFile
+from baseloom.operators.walk import Columns, Steps, beside, cigar_ops, columns_of, text_of
 
 ORIGINS = ("OT", "CTOT", "OB", "CTOB")
 
@@ -71,42 +74,66 @@ def declared(queries: QueryFile) -> list[BasesTag | StrandTag]:
     return out
 
 
-def with_tags(matched: DataFrame, queries: QueryFile, overwrite: bool = False) -> DataFrame:
-    """Adds declared tags to ``tags`` of matched records, and the number of hits without a base as ``unplaced``.
-
-    Two codes at one base are an error, as is an anchor on a gap or skip, and a tag that
-    the record has already unless overwriting.
+def _text(tag: BasesTag, batch: pa.RecordBatch, columns: Columns, start: np.ndarray, which: np.ndarray, specs: list) -> tuple[pa.Array, np.ndarray]:
+    """(the tag of each record of a batch, hits of each without a base to stand on)."""
+    code_of = {q: ord(c) for c, q in tag.codes.items()}
+    code = np.array([code_of.get(q.name, 0) for q in specs], np.uint8)[which]
+    at = (start + np.array([q.anchor for q in specs], np.int64)[which])[code > 0]
+    code, rec = code[code > 0], columns.rec[at]
+    names = batch.column(batch.schema.get_field_index("qname"))
+    on_gap = np.flatnonzero(columns.rd[at] & np.uint8(K.GAP | K.SKIP))
+    if len(on_gap):
+        raise ValueError(f"tag {tag.name}: an anchor on a gap or skip of read {names[int(rec[on_gap[0]])]}")
+    offs, _ = text_of(batch.column(batch.schema.get_field_index("seq")))
+    back = batch.column(batch.schema.get_field_index("walk_reversed")).to_numpy(zero_copy_only=False).astype(bool)
+    size, off = np.diff(offs)[rec], columns.off[at]
+    good = ((columns.rd[at] & np.uint8(K.PAD | K.CLIP)) == 0) & (off >= 0) & (off < size)
+    place = (offs[rec] + np.where(back[rec], size - 1 - off, off))[good]
+    out = np.full(offs[-1], ord(tag.fill), np.uint8)
+    out[place] = code[good]
+    clash = np.flatnonzero(out[place] != code[good])
+    if len(clash):
+        raise ValueError(f"tag {tag.name}: two codes at one base of read {names[int(rec[good][clash[0]])]}")
+    text = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(offs), pa.py_buffer(out)]).cast(pa.string())
+    return text, np.bincount(rec[~good], minlength=batch.num_rows)
+
+
+def _named_otherwise(name: str):
+    return lambda k, _: k != name
+
+
+def with_tags(reads: DataFrame, queries: QueryFile, steps: Steps, overwrite: bool = False) -> DataFrame:
+    """Adds declared tags to ``tags`` of records, and the number of hits without a base as ``unplaced``.
+
+    reads: called by a strand rule, with geometry and reference.  Two codes at one base
+    are an error, as is an anchor on a gap or skip, and a tag that the record has already
+    unless overwriting.
     """
-    specs = list(queries.queries.values())
-    size = F.when(F.col("seq") == "*", F.lit(0)).otherwise(F.length("seq"))
-    out, unplaced = matched, F.lit(0)
-    anchors = F.array(*(F.lit(q.anchor) for q in specs))
-    at = F.transform("found", lambda h: F.struct(h["query"].alias("query"), F.get("cols", (h["start"] + F.get(anchors, h["query"])).cast("int")).alias("c")))
-    out = out.withColumn("_at", at)
-    for tag in declared(queries):
+    specs, found = list(queries.queries.values()), declared(queries)
+    of_bases = [t for t in found if isinstance(t, BasesTag)]
+
+    def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        columns = columns_of(batch, steps)
+        start, which = found_in(columns, queries)
+        out, unplaced = {}, np.zeros(batch.num_rows, np.int64)
+        for tag in of_bases:
+            out[f"_tag_{tag.name}"], lost = _text(tag, batch, columns, start, which, specs)
+            unplaced += lost
+        return out | {"unplaced": pa.array(unplaced, pa.int32())}
+
+    out = beside(reads, compute, ", ".join([*(f"`_tag_{t.name}` string" for t in of_bases), "unplaced int"]))
+    for tag in found:
         if isinstance(tag, StrandTag):
             value = F.create_map(*(F.lit(x) for kv in tag.values.items() for x in kv))[F.col("conv_strand")]
         else:
-            by_query = {q: c for c, q in tag.codes.items()}
-            code_of = F.array(*(F.lit(by_query.get(q.name)) for q in specs))
-            mine = F.filter("_at", lambda h: F.get(code_of, h["query"]).isNotNull())
-            on_gap = F.exists(mine, lambda h: h["c"]["rd"].bitwiseAND(F.lit(K.GAP | K.SKIP)) != 0)
-            good = F.filter(mine, lambda h: (h["c"]["rd"].bitwiseAND(F.lit(K.PAD | K.CLIP)) == 0) & (h["c"]["off"] >= 0) & (h["c"]["off"] < size))
-            placed = F.array_distinct(F.transform(good, lambda h: F.struct(F.when(F.col("walk_reversed"), size - 1 - h["c"]["off"]).otherwise(h["c"]["off"]).cast("int").alias("p"), F.get(code_of, h["query"]).alias("code"))))
-            clash = F.size(placed) != F.size(F.array_distinct(F.transform(placed, lambda x: x["p"])))
-            unplaced = unplaced + F.size(mine) - F.size(good)
-            out = out.withColumn("_placed", placed)
-            marks = F.map_from_entries(F.when(clash, F.raise_error(F.concat(F.lit(f"tag {tag.name}: two codes at one base of read "), F.col("qname"))).cast("array<struct<p:int,code:string>>")).otherwise(F.col("_placed")))
-            out = out.withColumn("_marks", marks)
-            places = F.when(size > 0, F.sequence(F.lit(0), (size - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-            text = F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at("_marks", i), F.lit(tag.fill))), "")
-            value = F.when(on_gap, F.raise_error(F.concat(F.lit(f"tag {tag.name}: an anchor on a gap or skip of read "), F.col("qname"))).cast("string")).otherwise(text)
+            value = F.col(f"_tag_{tag.name}")
         entry = F.create_map(F.lit(tag.name), F.struct(F.lit("Z").alias("type"), value.alias("value")))
-        rest = F.map_filter("tags", lambda k, _: k != tag.name)
+        rest = F.map_filter("tags", _named_otherwise(tag.name))
         if not overwrite:
-            rest = F.when(F.map_contains_key("tags", tag.name), F.raise_error(F.concat(F.lit(f"tag {tag.name} is there already in read "), F.col("qname"))).cast(out.schema["tags"].dataType)).otherwise(rest)
+            there = F.raise_error(F.concat(F.lit(f"tag {tag.name} is there already in read "), F.col("qname")))
+            rest = F.when(F.map_contains_key("tags", tag.name), there.cast(out.schema["tags"].dataType)).otherwise(rest)
         out = out.withColumn("tags", F.map_concat(rest, entry))
-    return out.withColumn("unplaced", unplaced).drop("_at", "_placed", "_marks")
+    return out.drop(*(f"_tag_{t.name}" for t in of_bases))
 
 
 def choose(tags: list[BasesTag | StrandTag], wanted: str | None = None) -> BasesTag:
@@ -131,7 +158,7 @@ def extract(reads: DataFrame, queries: QueryFile, tag: str | None = None, fields
     wrong = F.when(value.isNull(), F.lit(None)).when(value["type"] != "Z", F.raise_error(F.lit(f"tag {spec.name} isn't text")).cast("string")).when(F.length(text) != size, F.raise_error(F.concat(F.lit(f"tag {spec.name} and SEQ differ in length in read "), F.col("qname"))).cast("string")).otherwise(text)
     chars = F.split(F.when(F.col("original") == "unknown", F.lit(None)).otherwise(wrong), "")
     checked = F.transform(chars, lambda c: F.when(c.isin(*known), c).otherwise(F.raise_error(F.concat(F.lit(f"tag {spec.name}: no code "), c)).cast("string")))
-    out = reads.withColumn("_chars", checked).withColumn("_ref", reference_places())
+    out = reads.withColumn("_ops", cigar_ops(F.col("cigar"))).withColumn("_chars", checked).withColumn("_ref", reference_places())
     out = out.select("*", F.posexplode("_chars").alias("s", "code")).filter(F.col("code") != spec.fill)
     off = F.when(F.col("walk_reversed"), size - 1 - F.col("s")).otherwise(F.col("s")).cast("bigint")
     five, three = as_sequenced(off)
@@ -155,4 +182,4 @@ def reference_places() -> F.Column:
         new = F.when(op.isin("M", "=", "X"), matched).when(op.isin("I", "S"), beside).otherwise(F.array().cast("array<bigint>"))
         return F.struct((r + F.when(op.isin(*"MDN=X"), n).otherwise(F.lit(0))).alias("r"), F.concat(a["done"], new).alias("done"))
 
-    return F.aggregate("ops", start, of, lambda a: a["done"])
+    return F.aggregate("_ops", start, of, lambda a: a["done"])

@@ -1,16 +1,23 @@
 """The column walk: an alignment as aligned columns of read and reference.
 
-A record becomes an array of structs (rd, rf, pos, off, q): the codesets that read and
-reference show, the 0-based reference position, the offset in the read in walk order,
-and the base quality.  The walk follows the strand that the read reports on, so for
-the bottom strand both sides are complemented and positions fall.  All in array
-expressions; nothing is exploded.
+A column has the codesets that read and reference show (rd, rf), the 0-based reference
+position, the offset in the read in walk order, and the base quality.  The walk follows
+the strand that the read reports on, so for the bottom strand both sides are complemented
+and positions fall.  The records of an Arrow batch are walked together, as NumPy arrays
+that are cut at records; what uses the columns (matching, tags, concordance) runs on the
+same arrays, so columns reach the JVM only when ``walk`` is asked for them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from baseloom.functions import codes as K
 
@@ -27,33 +34,33 @@ def cigar_ops(cigar: Column) -> Column:
     return F.coalesce(F.zip_with(op, n, lambda o, k: F.struct(o.alias("op"), k.alias("n"))), F.array().cast("array<struct<op:string,n:bigint>>"))
 
 
-def _total(ops: Column, kinds: str) -> Column:
-    return F.aggregate(ops, F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["op"].isin(*kinds), x["n"]).otherwise(F.lit(0)))
+def reference_length(cigar: Column) -> Column:
+    spans = F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), 1)
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, n: a + n.cast("bigint"))
 
 
-def reference_length(ops: Column) -> Column:
-    return _total(ops, "MDN=X")
+def _length_of(cigar: Column, pattern: str) -> Column:
+    """The length in a pattern's first group; 0 where the pattern isn't found."""
+    return F.coalesce(F.nullif(F.regexp_extract(cigar, pattern, 1), F.lit("")).cast("bigint"), F.lit(0))
 
 
-def _end_clip(ops: Column, kinds: str, trailing: bool) -> Column:
-    """How much of the ops of these kinds stands at an end, hard clips before soft ones."""
-    ordered = F.reverse(ops) if trailing else ops
-    outside = F.aggregate(ordered, F.struct(F.lit(True).alias("on"), F.lit(0).cast("bigint").alias("n")), lambda a, x: F.struct((a["on"] & x["op"].isin("H", "S")).alias("on"), (a["n"] + F.when(a["on"] & x["op"].isin(*kinds), x["n"]).otherwise(F.lit(0))).alias("n")))
-    return outside["n"]
+#: Clips at the start and at the end of a CIGAR, hard ones outside.
+_CLIPS = {("hard", 0): r"^(\d+)H", ("soft", 0): r"^(?:\d+H)?(\d+)S", ("hard", 1): r"[A-Z=](\d+)H$", ("soft", 1): r"[A-Z=](\d+)S(?:\d+H)?$"}
 
 
 def with_geometry(reads: DataFrame) -> DataFrame:
-    """Adds ops, end_pos, unclipped ends, and clips as sequenced.  A record that is all clip has it at the 5' end alone."""
-    out = reads.withColumn("ops", cigar_ops(F.col("cigar")))
-    only = F.size("ops") == 1
-    back = F.col("flags").bitwiseAND(F.lit(0x10)) != 0
-    added = {"end_pos": F.col("pos") + reference_length(F.col("ops"))}
-    for kind, name in (("H", "hard"), ("S", "soft")):
-        lead, trail = _end_clip(F.col("ops"), kind, False), F.when(only, F.lit(0)).otherwise(_end_clip(F.col("ops"), kind, True))
-        added |= {f"{name}_clip_5p": F.when(back & ~only, trail).otherwise(lead), f"{name}_clip_3p": F.when(back & ~only, lead).otherwise(trail)}
-    added["unclipped_start"] = F.col("pos") - _end_clip(F.col("ops"), "HS", False)
-    added["unclipped_end"] = F.col("pos") + reference_length(F.col("ops")) + F.when(only, F.lit(0)).otherwise(_end_clip(F.col("ops"), "HS", True))
-    return out.withColumns(added)
+    """Adds end_pos, unclipped ends, and clips as sequenced.  A record that is all clip has it at the 5' end alone."""
+    cigar, back = F.col("cigar"), F.col("flags").bitwiseAND(F.lit(0x10)) != 0
+    only = F.regexp_like(cigar, F.lit(r"^\d+[A-Z=]$"))
+    clip = {k: _length_of(cigar, p) for k, p in _CLIPS.items()}
+    out = reads.withColumns({f"_{kind}_{side}": c for (kind, side), c in clip.items()} | {"end_pos": F.col("pos") + reference_length(cigar), "_turned": back & ~only})
+    added = {}
+    for kind in ("hard", "soft"):
+        lead, trail = F.col(f"_{kind}_0"), F.col(f"_{kind}_1")
+        added |= {f"{kind}_clip_5p": F.when(F.col("_turned"), trail).otherwise(lead), f"{kind}_clip_3p": F.when(F.col("_turned"), lead).otherwise(trail)}
+    added["unclipped_start"] = F.col("pos") - F.col("_hard_0") - F.col("_soft_0")
+    added["unclipped_end"] = F.col("end_pos") + F.col("_hard_1") + F.col("_soft_1")
+    return out.withColumns(added).drop("_turned", *(f"_{kind}_{side}" for kind, side in clip))
 
 
 def with_reference(reads: DataFrame, refs: DataFrame, flank: int, broadcast_bases: int = BROADCAST_BASES) -> DataFrame:
@@ -86,59 +93,181 @@ def _cut(seq: Column, offset: Column, length: Column, start: Column, stop: Colum
     return F.rpad(F.concat(before, body), (stop - start).cast("int"), F.lit("_")) if isinstance(stop, Column) else None
 
 
-def _range(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
+#: Stands for no offset.
+NONE = np.iinfo(np.int64).min
+#: What a walk needs of a record.
+NEEDS = ("pos", "cigar", "seq", "quals", "refr", "refr_start", "walk_reversed")
+_CODE = np.full(256, K.ANY, np.uint8)
+for _letter in K.IUPAC[1:] + "U":
+    _CODE[[ord(_letter), ord(_letter.lower())]] = K.code_of(_letter)
+_REF_CODE = _CODE.copy()
+_REF_CODE[ord("_")] = K.PAD
+_COMPLEMENT = np.array([K.complement(c) for c in range(256)], np.uint8)
+_CONSUMES = {op: (op in "MIS=X", op in "MDN=X") for op in "MIDNSHP=X"}
+_READS, _REFERS = (np.array([chr(c) in _CONSUMES and _CONSUMES[chr(c)][k] for c in range(256)]) for k in (0, 1))
+_LEFT, _RIGHT, _MATCH, _DELETED, _INTRON, _HOLE, _INSERTED, _SILENT = range(8)
+_KIND = np.full(256, _SILENT, np.uint8)
+for _ops, _kind in (("M=X", _MATCH), ("D", _DELETED), ("N", _INTRON), ("I", _INSERTED)):
+    _KIND[[ord(x) for x in _ops]] = _kind
+
+
+@dataclass(frozen=True)
+class Steps:
+    """How records are walked: columns beside the alignment, shown intron ends, and whether inserted bases show."""
+
+    flank: int
+    splice_context: int
+    insertions: bool = False
+
+
+@dataclass
+class Columns:
+    """Columns of the records of a batch; first cuts them, rec is the record of each."""
+
+    first: np.ndarray
+    rec: np.ndarray
+    rd: np.ndarray
+    rf: np.ndarray
+    pos: np.ndarray
+    off: np.ndarray
+    #: Below 0 where there is none.
+    q: np.ndarray
+
+
+def text_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(starts and end, bytes) of a string column; nulls count as empty."""
+    column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offs, data = column.buffers()
+    if len(column) == 0 or data is None:
+        return np.zeros(len(column) + 1, np.int64), np.zeros(0, np.uint8)
+    offs = np.frombuffer(offs, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return offs - offs[0], np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]
+
+
+def _operations(cigar: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, operation, length) of all operations of a batch."""
+    offs, data = text_of(cigar)
+    at = np.flatnonzero(((data < 48) | (data > 57)) & (data != ord("*")))
+    rec = np.searchsorted(offs, at, "right") - 1
+    begin = np.maximum(np.concatenate([[0], at[:-1] + 1]) if len(at) else at, offs[rec])
+    n, place = np.zeros(len(at), np.int64), 1
+    for k in range(1, int((at - begin).max(initial=0)) + 1):
+        n += np.where(at - k >= begin, data[np.maximum(at - k, 0)].astype(np.int64) - 48, 0) * place
+        place *= 10
+    return rec, data[at], n
+
+
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return values[np.clip(at, 0, len(values) - 1)] if len(values) else np.full(len(at), K.ANY, values.dtype)
+
+
+def columns_of(batch: pa.RecordBatch, steps: Steps) -> Columns:
+    """Walks all records of a batch that has the columns of NEEDS."""
+    get = {k: batch.column(batch.schema.get_field_index(k)) for k in NEEDS}
+    size_of = batch.num_rows
+    pos, ref_start = (get[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("pos", "refr_start"))
+    back = get["walk_reversed"].fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    seq_offs, seq = text_of(get["seq"])
+    ref_offs, ref = text_of(get["refr"])
+    seq, ref, size = _CODE[seq], _REF_CODE[ref], np.diff(seq_offs)
+    quals, has_quals = get["quals"], get["quals"].is_valid().to_numpy(zero_copy_only=False)
+    qual_offs = quals.offsets.to_numpy().astype(np.int64)
+    qual = quals.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int16)
+
+    # segments: the left flank, the operations, the right flank of each record
+    rec, op, n = _operations(get["cigar"])
+    per = np.bincount(rec, minlength=size_of)
+    cut = np.concatenate([[0], np.cumsum(per + 2)])
+    where = np.arange(len(op)) + 2 * rec + 1
+    total = int(cut[-1])
+    owner, kind, length, q0, r0 = np.repeat(np.arange(size_of), per + 2), np.full(total, _SILENT, np.uint8), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64)
+    op_first = np.concatenate([[0], np.cumsum(per)])
+    reads, refers = np.where(_READS[op], n, 0), np.where(_REFERS[op], n, 0)
+    read_sum, ref_sum = np.concatenate([[0], np.cumsum(reads)]), np.concatenate([[0], np.cumsum(refers)])
+    q0[where] = read_sum[:-1] - read_sum[op_first[rec]]
+    r0[where] = pos[rec] + ref_sum[:-1] - ref_sum[op_first[rec]]
+    kind[where], length[where] = _KIND[op], n
+    end = pos + ref_sum[op_first[1:]] - ref_sum[op_first[:-1]]
+    left, right = cut[:-1], cut[1:] - 1
+    kind[left], kind[right] = _LEFT, _RIGHT
+    r0[left], r0[right] = pos - steps.flank, end
+    length[left] = length[right] = steps.flank
+    kind[(kind == _INTRON) & (length > 2 * steps.splice_context)] = _HOLE
+    count = np.where(kind == _HOLE, 2 * steps.splice_context + 1, length)
+    count[(kind == _SILENT) | ((kind == _INSERTED) & (not steps.insertions))] = 0
+
+    # soft clips at the ends, behind hard ones
+    clip = np.zeros((2, size_of), np.int64)
+    soft, hard = op == ord("S"), op == ord("H")
+    shown = per - np.bincount(rec[hard], minlength=size_of)
+    for side, at, inward in ((0, op_first[:-1], 1), (1, op_first[1:] - 1, -1)):
+        some = np.flatnonzero((shown > 1) if side else (shown > 0))
+        at = at[some] + inward * hard[at[some]]
+        clip[side, some] = np.where(soft[at], n[at], 0)
+
+    # columns, in the order of the reference
+    begin = np.concatenate([[0], np.cumsum(count)])
+    seg = np.repeat(np.arange(total), count)
+    i = np.arange(begin[-1]) - begin[seg]
+    o, k = owner[seg], kind[seg]
+    r, q = r0[seg] + i, q0[seg] + i
+    rev = back[o]
+    hole = k == _HOLE
+    context, whole = steps.splice_context, length[seg]
+    marker = hole & (i == context)
+    r = np.where(hole & (i > context), r0[seg] + whole - 2 * context - 1 + i, r)
+    r = np.where(marker, np.where(rev, r0[seg] + whole - context - 1, r0[seg] + context), r)
+    inserted = k == _INSERTED
+    r = np.where(inserted, np.where(rev, r0[seg], r0[seg] - 1), r)
+    outer = np.where(k == _LEFT, steps.flank - 1 - i, i)  # how far a flank's column is from the alignment
+    clipped = ((k == _LEFT) & (outer < clip[0, o])) | ((k == _RIGHT) & (outer < clip[1, o]))
+    q = np.where(k == _LEFT, clip[0, o] - steps.flank + i, np.where(k == _RIGHT, size[o] - clip[1, o] + i, q))
+    base = (k == _MATCH) | inserted
+    rd = np.where(base, _taken(seq, seq_offs[o] + q), np.uint8(K.SKIP))
+    rd[k == _DELETED] = K.GAP
+    flank = (k == _LEFT) | (k == _RIGHT)
+    rd[flank] = np.where(clipped[flank], K.CLIP, K.PAD)
+    rf = _taken(ref, ref_offs[o] + r - ref_start[o])
+    rf[marker], rf[inserted] = K.SKIP, K.GAP
+    own = np.where(rev, size[o] - 1 - q, q)
+    passed = np.where(rev, size[o] - 1 - q0[seg], q0[seg] - 1)  # the read base that the walk has passed last
+    off = np.where(base | clipped, own, np.where(flank, NONE, passed))
+    quality = np.full(len(o), -1, np.int16)
+    use = base & has_quals[o]
+    quality[use] = _taken(qual, qual_offs[o[use]] + q[use])
+
+    first = np.concatenate([[0], np.cumsum(np.bincount(o, minlength=size_of))])
+    turn = np.where(rev, first[o] + first[o + 1] - 1 - np.arange(len(o)), np.arange(len(o)))
+    rd, rf = (np.where(rev, _COMPLEMENT[x[turn]], x) for x in (rd, rf))
+    return Columns(first, o, rd, rf, r[turn], off[turn], quality[turn])
+
+
+def beside(reads: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: str) -> DataFrame:
+    """All columns of reads, and those that compute gives for a batch."""
+    new = T._parse_datatype_string(added)
+    kept = [f for f in reads.schema.fields if f.name not in new.fieldNames()]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*kept, *new.fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = compute(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), *(got[f.name] for f in new.fields)], names=schema.fieldNames())
+
+    return reads.mapInArrow(run, schema)
 
 
 def walk(reads: DataFrame, flank: int, splice_context: int | None = None, insertions: bool = False) -> DataFrame:
-    """Adds ``cols`` in walk order.
+    """Adds ``cols`` in walk order, an array of (rd, rf, pos, off, q).
 
-    reads: pos, ops, end_pos, seq, quals (array, or null for none), refr, refr_start and
+    reads: pos, cigar, seq, quals (array, or null for none), refr, refr_start and
     walk_reversed.  insertions: show inserted bases; else they only advance the offset.
     """
-    context = flank if splice_context is None else splice_context
-    reads = reads.withColumns({"_seq": F.when(F.col("seq") == "*", F.array().cast("array<int>")).otherwise(K.codes(F.col("seq"))), "_ref": F.transform(F.split("refr", ""), lambda c: F.when(c == "_", F.lit(K.PAD)).otherwise(F.get(K.codes(c), F.lit(0))))})
-    size, back = F.size("_seq").cast("bigint"), F.col("walk_reversed")
-    lead, trail = _end_clip(F.col("ops"), "S", False), F.when(F.size(F.filter("ops", lambda x: x["op"] != "H")) > 1, _end_clip(F.col("ops"), "S", True)).otherwise(F.lit(0))
-
-    def column(rd, rf, pos, off, q=None) -> Column:
-        return F.struct(rd.cast("int").alias("rd"), rf.cast("int").alias("rf"), pos.cast("bigint").alias("pos"), (F.lit(None) if off is None else off).cast("bigint").alias("off"), (F.lit(None) if q is None else q).cast("int").alias("q"))
-
-    def ref(pos) -> Column:
-        return F.get("_ref", (pos - F.col("refr_start")).cast("int"))
-
-    def off(k) -> Column:
-        return F.when(back, size - 1 - k).otherwise(k)
-
-    def read_at(k) -> tuple[Column, Column]:
-        return F.get("_seq", k.cast("int")), F.get("quals", k.cast("int"))
-
-    def body(x: Column) -> Column:
-        op, n, q, r = x["op"], x["n"], x["q"], x["r"]
-        before = F.when(back, size - 1 - q).otherwise(q - 1)  # the read base that the walk has passed last
-        matched = F.transform(_range(n), lambda i: column(read_at(q + i)[0], ref(r + i), r + i, off(q + i), read_at(q + i)[1]))
-        deleted = F.transform(_range(n), lambda i: column(F.lit(K.GAP), ref(r + i), r + i, before))
-        intron = F.transform(_range(n), lambda i: column(F.lit(K.SKIP), ref(r + i), r + i, before))
-        near = F.transform(_range(F.lit(context)), lambda i: column(F.lit(K.SKIP), ref(r + i), r + i, before))
-        far = F.transform(_range(F.lit(context)), lambda i: column(F.lit(K.SKIP), ref(r + n - context + i), r + n - context + i, before))
-        hole = F.when(back, r + n - context - 1).otherwise(r + context)
-        long = F.concat(near, F.array(column(F.lit(K.SKIP), F.lit(K.SKIP), hole, before)), far)
-        inserted = F.transform(_range(n), lambda i: column(read_at(q + i)[0], F.lit(K.GAP), F.when(back, r).otherwise(r - 1), off(q + i), read_at(q + i)[1]))
-        none = F.array().cast(f"array<{COLUMN}>")
-        out = F.when(op.isin("M", "=", "X"), matched).when(op == "D", deleted).when((op == "N") & (n <= 2 * context), intron).when(op == "N", long)
-        return (out.when(op == "I", inserted) if insertions else out).otherwise(none)
-
-    start = F.struct(F.lit(0).cast("bigint").alias("q"), F.col("pos").cast("bigint").alias("r"), F.array().cast("array<struct<op:string,n:bigint,q:bigint,r:bigint>>").alias("done"))
-    placed = F.aggregate("ops", start, lambda a, x: F.struct((a["q"] + F.when(x["op"].isin(*"MIS=X"), x["n"]).otherwise(F.lit(0))).alias("q"), (a["r"] + F.when(x["op"].isin(*"MDN=X"), x["n"]).otherwise(F.lit(0))).alias("r"), F.concat(a["done"], F.array(F.struct(x["op"].alias("op"), x["n"].alias("n"), a["q"].alias("q"), a["r"].alias("r")))).alias("done")), lambda a: a["done"])
-
-    def clip_or_pad(pos: Column, distance: Column, clip: Column, k: Column) -> Column:
-        """distance: how far from the alignment, from 0; k: the clipped base's place in SEQ."""
-        shown = distance < clip
-        return column(F.when(shown, F.lit(K.CLIP)).otherwise(F.lit(K.PAD)), ref(pos), pos, F.when(shown, off(k)))
-
-    left = F.transform(_range(F.lit(flank)), lambda i: clip_or_pad(F.col("pos") - flank + i, F.lit(flank - 1) - i, lead, lead - flank + i))
-    right = F.transform(_range(F.lit(flank)), lambda i: clip_or_pad(F.col("end_pos") + i, i, trail, size - trail + i))
-    reads = reads.withColumn("_ops", placed)
-    cols = F.concat(left, F.flatten(F.transform("_ops", body)), right)
-    turned = F.transform(F.reverse(cols), lambda c: column(K.complemented(c["rd"]), K.complemented(c["rf"]), c["pos"], c["off"], c["q"]))
-    return reads.withColumn("cols", F.when(back, turned).otherwise(cols)).drop("_seq", "_ref", "_ops")
+    steps = Steps(flank, flank if splice_context is None else splice_context, insertions)
+
+    def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        c = columns_of(batch, steps)
+        parts = [pa.array(c.rd, pa.int32()), pa.array(c.rf, pa.int32()), pa.array(c.pos), pa.array(c.off, mask=c.off == NONE), pa.array(c.q, pa.int32(), mask=c.q < 0)]
+        return {"cols": pa.ListArray.from_arrays(pa.array(c.first, pa.int32()), pa.StructArray.from_arrays(parts, ["rd", "rf", "pos", "off", "q"]))}
+
+    return beside(reads, compute, f"cols array<{COLUMN}>")

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = ("counting", "scanning")
+PARTS = ("counting", "reads", "scanning")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:

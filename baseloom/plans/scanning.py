@@ -1,7 +1,6 @@
 """Queries of the scanning operators, over sequences made of documents.
 
-A document's letters are a contig of bases, and one read covers all of it: forward for
-even ids, else on the bottom strand.  Every third base is converted where it can be.
+A document's letters are a contig of bases.
 """
 
 from __future__ import annotations
@@ -12,22 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baseloom.functions import codes as K
-from baseloom.operators import hits as H
 from baseloom.operators import overlap, partition, strand, verify, walk
 from baseloom.plans.bridges import hits as line_hits
 from baseloom.plans.bridges import table
+from baseloom.plans.reads import BASES, LETTERS, REF, contigs
 
 QUERIES: dict = {}
-LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
-REF = f"""ref AS (SELECT * FROM (SELECT doc_id, 'd' || doc_id AS contig, doc_id % 2 = 1 AS back,
-  translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM documents) WHERE length(seq) > 0)"""
-#: All bases in walk order: c and the two next, on the strand of the read; r the read's base.
-COLS = f"""{REF},
-chars AS (SELECT doc_id, contig, back, length(seq) AS len, unnest(range(length(seq))) AS i, unnest(string_split(CASE WHEN back THEN translate(seq, 'ACGT', 'TGCA') ELSE seq END, '')) AS c FROM ref),
-cols AS (SELECT *, CASE WHEN c = 'C' AND i % 3 = 0 THEN 'T' ELSE c END AS r,
-    CASE WHEN back THEN lag(c, 1) OVER w ELSE lead(c, 1) OVER w END AS c1, CASE WHEN back THEN lag(c, 2) OVER w ELSE lead(c, 2) OVER w END AS c2,
-    CASE WHEN back THEN len - 1 - i ELSE i END AS off
-  FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
 
 
 def _add(name: str, sql: str | None):
@@ -38,34 +27,6 @@ def _add(name: str, sql: str | None):
     return take
 
 
-def contigs(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), LETTERS, BASES)
-    out = table(spark, d, "documents").repartition(32, "doc_id").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("contig"), seq.alias("seq"))
-    return out.filter("length(seq) > 0").withColumn("length", F.length("seq").cast("bigint"))
-
-
-def reads(spark: SparkSession, d: str, cigar=None, seq=None) -> DataFrame:
-    """One read for each contig; cigar and seq: other expressions over contigs."""
-    back = F.col("doc_id") % 2 == 1
-    letter = F.when(back, "G").otherwise("C")
-    converted = F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.when((c == letter) & (i % 3 == 0), F.when(back, "A").otherwise("T")).otherwise(c)), "")
-    return contigs(spark, d).select(
-        F.col("doc_id").alias("record_id"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("qname"), F.when(back, 16).otherwise(0).alias("flags"), F.col("contig").alias("ref_name"), F.lit(0).cast("bigint").alias("pos"),
-        F.lit(60).cast("smallint").alias("mapq"), (F.concat(F.length("seq").cast("string"), F.lit("M")) if cigar is None else cigar).alias("cigar"), (converted if seq is None else seq).alias("seq"),
-        F.transform(F.split("seq", ""), lambda c, i: (i % 41).cast("int")).alias("quals"), F.create_map().cast("map<string,struct<type:string,value:string>>").alias("tags"),
-    )
-
-
-def walked(spark: SparkSession, d: str, flank: int = 2, insertions: bool = False, **changes) -> DataFrame:
-    called = walk.with_geometry(strand.rule("directional").call(reads(spark, d, **changes)))
-    return walk.walk(walk.with_reference(called, contigs(spark, d), flank), flank, insertions=insertions)
-
-
-@_add("concordance", f"WITH {COLS} SELECT count(*) AS compared, count(*) FILTER (c <> r AND NOT (c = 'C' AND r = 'T')) AS discordant FROM cols")
-def concordance(spark, d):
-    return H.concordance(walked(spark, d))
-
-
 @_add("cigar_geometry", """SELECT doc_id AS record_id, (10 + doc_id % 5 + n) AS end_pos, (10 - doc_id % 3 - 2) AS unclipped_start, (10 + doc_id % 5 + n + doc_id % 4 + 1) AS unclipped_end,
   CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 2 END AS hard_clip_5p, CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 0 END AS hard_clip_3p,
   CASE WHEN doc_id % 2 = 1 THEN doc_id % 4 + 1 ELSE doc_id % 3 END AS soft_clip_5p, CASE WHEN doc_id % 2 = 1 THEN doc_id % 3 ELSE doc_id % 4 + 1 END AS soft_clip_3p
@@ -151,9 +112,12 @@ def contig_check(spark, d):
     return verify.contig_check(line_hits(spark, d), refs)
 
 
-@_add("shift_check", f"""WITH {COLS}, h AS (SELECT doc_id, len, i, c, back FROM cols WHERE c = 'C'),
-s AS (SELECT h.*, shift FROM h, unnest([0, -1, 1, -2, 2]) AS t(shift))
-SELECT shift, count(*) AS checked, count(*) FILTER (x.c = 'C') AS matched FROM s LEFT JOIN cols x ON x.doc_id = s.doc_id AND x.i = s.i + shift GROUP BY shift""")
+#: All bases of all contigs, c on the strand that a contig's number names.
+_CHARS = f"""{REF}, chars AS (SELECT doc_id, length(seq) AS len, unnest(range(length(seq))) AS i, unnest(string_split(CASE WHEN doc_id % 2 = 1 THEN translate(seq, 'ACGT', 'TGCA') ELSE seq END, '')) AS c FROM ref)"""
+
+
+@_add("shift_check", f"""WITH {_CHARS}, s AS (SELECT h.*, shift FROM (SELECT * FROM chars WHERE c = 'C') h, unnest([0, -1, 1, -2, 2]) AS t(shift))
+SELECT shift, count(*) AS checked, count(*) FILTER (x.c = 'C') AS matched FROM s LEFT JOIN chars x ON x.doc_id = s.doc_id AND x.i = s.i + shift GROUP BY shift""")
 def shift_check(spark, d):
     one = contigs(spark, d)
     back = F.col("doc_id") % 2 == 1

@@ -1,28 +1,49 @@
 """Mates of a fragment that observed the same bases: find the overlap, agree, and count it once.
 
-Reference positions that both mates align, on opposite strands, each vote for a fragment
-length: e1 + e2 + 1, where e counts bases from a mate's own 5' end.  The length whose
-votes reach furthest to both ends wins if it stands up to the checks; then base i of one
-mate is base L - 1 - i of the other.  Qualities are merged, and the overlap is clipped
-from the mate with less evidence.
-
-``plan`` is plain Python over the records of one fragment.  ``resolve_overlaps`` runs it
-over a table: fragments come together by one shuffle on qname, sorted, and are streamed,
-so a task holds one fragment at a time.
+Where both mates align a reference position, on opposite strands, each such position
+implies a fragment length: the bases from either mate's own 5' end, and the shared one.
+The length whose positions reach furthest to both ends is chosen if it stands up to the
+checks; base i of one mate then is base length - 1 - i of the other.  Qualities are
+merged, and the overlap is clipped from the mate with less evidence.
+
+Fragments come together by one shuffle on qname.  A task works on thousands of them at
+once: their bases are one set of NumPy arrays, which is joined with itself on the
+reference position and grouped by fragment and implied length.  Python loops see only
+records that change, and only to write their texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
-from itertools import groupby
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-QUERY_OPS, REFERENCE_OPS, CLIPS = "MIS=X", "MDN=X", "HS"
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from baseloom.operators.walk import Steps, columns_of, operations, text_of
+
+CHOICES = {
+    "on_unresolved": ("pass", "drop"),
+    "mismatch_qual": ("subtract", "none", "zero_both", "zero_loser"),
+    "mismatch_base": ("none", "set_n"),
+    "match_qual": ("sum_capped", "none", "max"),
+    "keep": ("score", "r1", "r2"),
+}
+#: Refusals in the order in which they are tried; the last one takes the place of two others.
+REASONS = ("low_support", "past_end", "anchor_slack", "short_span", "high_mismatch", "ambiguous_l", "indel_disagreement")
+SINGLE, NO_OVERLAP, UNRESOLVED, RESOLVED = VERDICTS = ("single", "none", "unresolved", "resolved")
+#: FLAG bits.
+PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, LAST, SECONDARY, SUPPLEMENTARY = 0x1, 0x2, 0x4, 0x8, 0x10, 0x20, 0x80, 0x100, 0x800
+COUNTS = (
+    "positions_compared", "positions_match", "positions_mismatch", "positions_unpaired", "positions_ambiguous", "quals_raised", "quals_lowered",
+    "bases_set_n", "bases_clipped", "bases_hard_clipped", "records_dropped",
+)
+#: Bytes of records that a task works on at once, in whole fragments, and records that are looked at together.
+CHUNK, SLICE = 24 << 20, 256
 
 
 @dataclass(frozen=True)
@@ -36,12 +57,12 @@ class Options:
     max_mismatch_frac: float = 0.15
     ambiguity_ratio: float = 0.8
     indel_window: int = 10
-    on_unresolved: str = "pass"  # or drop
-    mismatch_qual: str = "subtract"  # none, zero_both, zero_loser
-    mismatch_base: str = "none"  # or set_n
-    match_qual: str = "sum_capped"  # none, max
+    on_unresolved: str = "pass"
+    mismatch_qual: str = "subtract"
+    mismatch_base: str = "none"
+    match_qual: str = "sum_capped"
     qual_cap: int = 40
-    keep: str = "score"  # r1, r2
+    keep: str = "score"
     score_qual_weight: float = 1.0
     hard_clip: bool = False
     clean_kept_3prime: bool = True
@@ -49,507 +70,627 @@ class Options:
     tag_prefix: str = "o"
 
     def __post_init__(self):
-        for name, known in (("on_unresolved", ("pass", "drop")), ("mismatch_qual", ("none", "zero_both", "zero_loser", "subtract")), ("mismatch_base", ("none", "set_n")), ("match_qual", ("none", "max", "sum_capped")), ("keep", ("r1", "r2", "score"))):
+        for name, known in CHOICES.items():
             if getattr(self, name) not in known:
                 raise ValueError(f"{name} is one of {', '.join(known)}")
 
 
-def parse_cigar(text: str) -> list[tuple[str, int]]:
-    return [(o, int(n)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", text or "")]
-
-
-def cigar_text(ops: list[tuple[str, int]]) -> str:
-    return "".join(f"{n}{o}" for o, n in ops) or "*"
-
-
-@dataclass
-class Alignment:
-    id: int
-    is_r1: bool
-    is_reverse: bool
-    is_supplementary: bool
-    mapq: int
-    tid: int
-    pos: int
-    cigar: list[tuple[str, int]]
-    seq: str
-    qual: list[int] | None
-
-    @property
-    def hard_lead(self) -> int:
-        return self.cigar[0][1] if self.cigar and self.cigar[0][0] == "H" else 0
-
-    @property
-    def read_length(self) -> int:
-        return sum(n for o, n in self.cigar if o in "MISH=X")
-
-    @property
-    def query_length(self) -> int:
-        return sum(n for o, n in self.cigar if o in QUERY_OPS)
-
-    def end_index(self, s: int) -> int:
-        """Bases between the read's 5' end and base s of SEQ."""
-        at = s + self.hard_lead
-        return self.read_length - 1 - at if self.is_reverse else at
-
-    @property
-    def end_offset(self) -> int:
-        return max(0, self.read_length - self.hard_lead - self.query_length) if self.is_reverse else self.hard_lead
-
-    def placed(self) -> list[tuple[bool, int | None]]:
-        """For each base of SEQ: is it aligned, and where on the reference (inserted bases nowhere)."""
-        out, r = [], self.pos
-        for o, n in self.cigar:
-            if o in "M=X":
-                out += [(True, r + i) for i in range(n)]
-                r += n
-            elif o == "I":
-                out += [(True, None)] * n
-            elif o == "S":
-                out += [(False, None)] * n
-            elif o in "DN":
-                r += n
-        return out
-
-    def quality(self, s: int) -> int | None:
-        return self.qual[s] if self.qual else None
+def with_options(**changes) -> Options:
+    return replace(Options(), **changes)
 
 
-@dataclass(frozen=True)
-class Base:
-    record: int
-    at: int
-    aligned: bool
-    place: tuple[int, int] | None
-    reverse: bool
-    mapq: int
+def _cut(owner: np.ndarray, count: int) -> np.ndarray:
+    """Where the entries of each owner start, owners being sorted, and the end."""
+    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=count))])
+
+
+def _inside(values: np.ndarray, cut: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sums of values before each entry, of the same owner."""
+    total = np.concatenate([[0], np.cumsum(values)])[:-1]
+    begin = np.minimum(cut[:-1], max(0, len(total) - 1))
+    return total - (total[begin] if len(total) else total)[owner]
+
+
+def _span_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place in it) of all entries, if each owner has so many."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _mean(values: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """Means by owner; nan without values."""
+    n = np.bincount(owner, minlength=count)
+    return np.where(n > 0, np.bincount(owner, values, count) / np.maximum(n, 1), np.nan)
+
+
+class Fragments:
+    """Records of whole fragments, their operations and bases, as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+        get = lambda k: table.column(k).combine_chunks()
+        number = lambda k, null=0: get(k).fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.size = table.num_rows
+        self.flags, self.mapq, self.tid, self.pos = number("flags"), number("mapq"), number("tid", -1), number("pos")
+        names = get("qname").dictionary_encode()
+        self.frag = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.qnames, self.count = names.dictionary, len(names.dictionary)
+        self.last, self.reverse, self.extra = (self.flags & LAST > 0).astype(np.int64), self.flags & REVERSE > 0, self.flags & SUPPLEMENTARY > 0
+        cigar = get("cigar").fill_null("*")
+        self.rec, self.op, self.n = operations(cigar)
+        self.cut = _cut(self.rec, self.size)
+        has = lambda kinds: np.isin(self.op, [ord(k) for k in kinds])
+        self.aligned_op, self.query_op, self.refers, self.hard = has("M=XI"), has("MIS=X"), has("MDN=X"), has("H")
+        self.takes_part = (self.flags & (SECONDARY | UNMAPPED) == 0) & (np.diff(self.cut) > 0)
+        self.read_length = np.bincount(self.rec, np.where(self.query_op | self.hard, self.n, 0), self.size).astype(np.int64)
+        self.query_length = np.bincount(self.rec, np.where(self.query_op, self.n, 0), self.size).astype(np.int64)
+        head = self.cut[:-1][np.diff(self.cut) > 0]
+        self.hard_lead = np.zeros(self.size, np.int64)
+        self.hard_lead[self.rec[head]] = np.where(self.hard[head], self.n[head], 0)
+        #: Aligned bases, and reference bases, before each operation.
+        self.aligned_before = _inside(np.where(self.aligned_op, self.n, 0), self.cut, self.rec)
+        self.refer_before = _inside(np.where(self.refers, self.n, 0), self.cut, self.rec)
+        self.aligned_length = np.bincount(self.rec, np.where(self.aligned_op, self.n, 0), self.size).astype(np.int64)
+        self.seq_offs, seq = text_of(get("seq"))
+        self.seq = seq.copy()
+        quals = get("quals")
+        self.has_quals = quals.is_valid().to_numpy(zero_copy_only=False) if self.size else np.zeros(0, bool)
+        at, flat = quals.offsets.to_numpy().astype(np.int64), quals.values.to_numpy(zero_copy_only=False)
+        self.qual = np.full(len(self.seq), -1, np.int64)
+        owner, place = _span_of(np.diff(self.seq_offs) * self.has_quals)
+        self.qual[self.seq_offs[owner] + place] = flat[at[owner] + place]
+        # a record without its sequence can't be compared
+        self.takes_part &= np.diff(self.seq_offs) == self.query_length
+        self._bases()
+
+    def _bases(self) -> None:
+        """All bases of records that take part: record, place in SEQ, whether aligned, reference position (-1: none), and bases from the read's 5' end."""
+        use = np.flatnonzero(self.query_op & self.takes_part[self.rec])
+        query_before = _inside(np.where(self.query_op, self.n, 0), self.cut, self.rec)[use]
+        which, i = _span_of(self.n[use])
+        op = use[which]
+        self.b_rec, self.b_at = self.rec[op], query_before[which] + i
+        self.b_aligned = self.aligned_op[op]
+        self.b_place = np.where(self.refers[op], self.pos[self.b_rec] + self.refer_before[op] + i, -1)
+        forward = self.b_at + self.hard_lead[self.b_rec]
+        self.b_end = np.where(self.reverse[self.b_rec], self.read_length[self.b_rec] - 1 - forward, forward)
 
 
 @dataclass
-class End:
-    length: int = 0
-    bases: dict[int, Base] = field(default_factory=dict)
-    uneven: bool = False
-
-    @property
-    def last(self) -> int | None:
-        return max((e for e, b in self.bases.items() if b.aligned), default=None)
-
-    @classmethod
-    def of(cls, records: list[Alignment], is_r1: bool, tolerance: int) -> End:
-        own = [(i, a) for i, a in enumerate(records) if a.is_r1 == is_r1]
-        if not own:
-            return cls()
-        lengths = [a.read_length for _, a in own]
-        out = cls(max(lengths), {}, max(lengths) - min(lengths) > tolerance)
-        for i, a in own:
-            for s, (aligned, r) in enumerate(a.placed()):
-                e = a.end_index(s)
-                new = Base(i, s, aligned, None if r is None else (a.tid, r), a.is_reverse, a.mapq)
-                old = out.bases.get(e)
-                if 0 <= e < out.length and (old is None or (new.aligned, new.mapq) > (old.aligned, old.mapq)):
-                    out.bases[e] = new
+class Decisions:
+    """What is decided for each fragment, and for each record."""
+
+    verdict: np.ndarray
+    reason: np.ndarray
+    length: np.ndarray
+    overlap: np.ndarray
+    support: np.ndarray
+    span_frac: np.ndarray
+    first_kept: np.ndarray
+    counts: dict[str, np.ndarray]
+    #: Aligned bases that are clipped from SEQ's start and end.
+    front: np.ndarray
+    back: np.ndarray
+    drop: np.ndarray
+    promote: np.ndarray
+    edited: np.ndarray
+
+
+class Resolver:
+    """Decides on all fragments of a chunk; new qualities and bases are written into the fragments' arrays."""
+
+    def __init__(self, f: Fragments, options: Options):
+        self.f, self.o = f, options
+        none = lambda kind=np.int64: np.zeros(f.count, kind)
+        self.old_qual = f.qual.copy()
+        self.d = Decisions(
+            none(), np.full(f.count, -1), np.full(f.count, -1), none(), none(), none(float), np.full(f.count, -1), {k: none() for k in COUNTS},
+            np.zeros(f.size, np.int64), np.zeros(f.size, np.int64), np.zeros(f.size, bool), np.zeros(f.size, bool), np.zeros(f.size, np.int64),
+        )
+
+    def run(self) -> Decisions:
+        self._ends()
+        self._implied_lengths()
+        if len(self.t_frag):
+            self._choose()
+            self._compare()
+            self._judge()
+            self._merge_evidence()
+            self._keep_one()
+        self._finish()
+        return self.d
+
+    def _ends(self) -> None:
+        """The two reads of each fragment: their lengths, the best record for each base, and the last aligned base."""
+        f, d = self.f, self.d
+        side = 2 * f.frag + f.last
+        use = np.flatnonzero(f.takes_part)
+        self.read_len, least = np.zeros(2 * f.count, np.int64), np.full(2 * f.count, 1 << 62)
+        np.maximum.at(self.read_len, side[use], f.read_length[use])
+        np.minimum.at(least, side[use], f.read_length[use])
+        both = (self.read_len.reshape(-1, 2) > 0).all(1)
+        d.verdict[both] = VERDICTS.index(NO_OVERLAP)
+        uneven = (self.read_len > 0) & (self.read_len - least > self.o.length_tolerance)
+        self.open = both & ~uneven.reshape(-1, 2).any(1)
+        d.verdict[both & ~self.open] = VERDICTS.index(UNRESOLVED)
+        own = side[f.b_rec]
+        fits = np.flatnonzero((f.b_end >= 0) & (f.b_end < self.read_len[own]) & self.open[f.frag[f.b_rec]])
+        order = fits[np.lexsort((f.b_rec[fits], -f.mapq[f.b_rec[fits]], ~f.b_aligned[fits], f.b_end[fits], own[fits]))]
+        key = (own[order] << 32) | f.b_end[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        #: Bases that stand for a place of a read, sorted by read and place.
+        self.base, self.base_key = order[first], key[first]
+        self.last_aligned = np.full(2 * f.count, -1)
+        good = self.base[f.b_aligned[self.base]]
+        np.maximum.at(self.last_aligned, own[good], f.b_end[good])
+
+    def _implied_lengths(self) -> None:
+        """Joins both reads' bases on the reference position and tallies the lengths that they imply."""
+        f = self.f
+        base = self.base[f.b_aligned[self.base] & (f.b_place[self.base] >= 0)]
+        rec = f.b_rec[base]
+        order = np.lexsort((f.b_place[base], f.tid[rec], f.frag[rec]))
+        spot = np.zeros(len(base), np.int64)
+        columns = [x[order] for x in (f.b_place[base], f.tid[rec], f.frag[rec])]
+        new = np.zeros(len(base), np.int64)
+        if len(base):
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        spot[order] = np.cumsum(new)
+        one, two = (np.flatnonzero(f.last[rec] == k) for k in (0, 1))
+        two = two[np.argsort(spot[two], kind="stable")]
+        lo, hi = (np.searchsorted(spot[two], spot[one], side) for side in ("left", "right"))
+        which, i = _span_of(hi - lo)
+        x, y = base[one[which]], base[two[lo[which] + i]]
+        opposite = f.reverse[f.b_rec[x]] != f.reverse[f.b_rec[y]]
+        x, y = x[opposite], y[opposite]
+        frag, length = f.frag[f.b_rec[x]], f.b_end[x] + f.b_end[y] + 1
+        order = np.lexsort((length, frag))
+        frag, length, e = frag[order], length[order], f.b_end[x][order]
+        start = np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (length[1:] != length[:-1])])) if len(frag) else np.zeros(0, np.int64)
+        self.t_frag, self.t_length = frag[start], length[start]
+        self.t_n = np.diff(np.append(start, len(frag)))
+        self.t_low, self.t_high = (np.minimum.reduceat(e, start), np.maximum.reduceat(e, start)) if len(start) else (start, start)
+        last1, last2 = self.last_aligned[2 * self.t_frag], self.last_aligned[2 * self.t_frag + 1]
+        #: Aligned bases that the tally leaves over at the worse end, and aligned bases beyond the fragment.
+        self.t_reach = np.maximum(np.maximum(last1 - self.t_high, last2 - (self.t_length - 1 - self.t_low)), 0)
+        self.t_past = np.maximum(last1 - self.t_length + 1, 0) + np.maximum(last2 - self.t_length + 1, 0)
+
+    def _choose(self) -> None:
+        d = self.d
+        order = np.lexsort((self.t_length, -self.t_n, self.t_reach, self.t_frag))
+        self.best = order[np.concatenate([[True], self.t_frag[order][1:] != self.t_frag[order][:-1]])]
+        frag, length = self.t_frag[self.best], self.t_length[self.best]
+        d.length[frag] = length
+        len1, len2 = self.read_len[2 * frag], self.read_len[2 * frag + 1]
+        lo, hi = np.maximum(0, length - len2), np.minimum(len1, length)
+        enough = hi - lo >= max(1, self.o.min_overlap)
+        self.best, self.c_frag, self.lo, self.hi = self.best[enough], frag[enough], lo[enough], hi[enough]
+
+    def _at(self, side: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The base at a place of a read; -1 where there is none."""
+        key = (side << 32) | np.maximum(end, 0)
+        at = np.minimum(np.searchsorted(self.base_key, key), len(self.base_key) - 1)
+        return np.where((self.base_key[at] == key) & (end >= 0), self.base[at], -1)
+
+    def _compare(self) -> None:
+        """All positions of the overlaps: the two bases, and whether they agree."""
+        f, d = self.f, self.d
+        case, i = _span_of(self.hi - self.lo)
+        end, frag = self.lo[case] + i, self.c_frag[case]
+        x, y = self._at(2 * frag, end), self._at(2 * frag + 1, d.length[frag] - 1 - end)
+        self.over_case, self.over_one, self.over_two = case, x, y
+        paired = (x >= 0) & (y >= 0)
+        paired[paired] = f.b_aligned[x[paired]] & f.b_aligned[y[paired]]
+        letter = lambda b: f.seq[f.seq_offs[f.b_rec[b]] + f.b_at[b]]
+        clear = paired.copy()
+        acgt = np.frombuffer(b"ACGT", np.uint8)
+        clear[paired] = np.isin(letter(x[paired]), acgt) & np.isin(letter(y[paired]), acgt)
+        self.p_case, self.p_one, self.p_two = case[clear], x[clear], y[clear]
+        self.p_same = letter(self.p_one) == letter(self.p_two)
+        for name, some in (("unpaired", frag[~paired]), ("ambiguous", frag[paired & ~clear]), ("compared", frag[clear]), ("match", frag[clear][self.p_same]), ("mismatch", frag[clear][~self.p_same])):
+            d.counts[f"positions_{name}"] += np.bincount(some, minlength=f.count)
+
+    def _judge(self) -> None:
+        """Refuses what doesn't stand up, for the first reason that holds."""
+        d, o, best, frag = self.d, self.o, self.best, self.c_frag
+        width = self.hi - self.lo
+        frac = (self.t_high[best] - self.t_low[best] + 1) / width
+        wrong = d.counts["positions_mismatch"][frag] / np.maximum(d.counts["positions_compared"][frag], 1)
+        chosen = np.full(len(d.length), -1)
+        chosen[frag] = best
+        rival = np.flatnonzero((chosen[self.t_frag] >= 0) & (chosen[self.t_frag] != np.arange(len(self.t_frag))))
+        mine = chosen[self.t_frag[rival]]
+        anchored = rival[(self.t_reach[rival] <= o.max_anchor_slack) & (self.t_past[rival] <= o.max_past_end)]
+        strongest = np.full(len(d.length), -1)
+        np.maximum.at(strongest, self.t_frag[anchored], self.t_n[anchored])
+        apart = (self.t_high[rival] < self.t_low[mine]) | (self.t_high[mine] < self.t_low[rival])
+        split = np.zeros(len(d.length), bool)
+        split[self.t_frag[rival[apart & (self.t_n[rival] >= o.min_support) & (np.abs(self.t_length[rival] - self.t_length[mine]) <= o.indel_window)]]] = True
+        n = self.t_n[best]
+        failed = [
+            n < o.min_support, self.t_past[best] > o.max_past_end, self.t_reach[best] > o.max_anchor_slack, frac < o.min_span_frac,
+            wrong > o.max_mismatch_frac, (strongest[frag] >= 0) & (strongest[frag] >= o.ambiguity_ratio * n),
+        ]
+        reason = np.select(failed, range(len(failed)), -1)
+        # an insertion or deletion that one mate shows and the other doesn't splits the positions in two
+        reason[np.isin(reason, (REASONS.index("anchor_slack"), REASONS.index("ambiguous_l"))) & split[frag]] = REASONS.index("indel_disagreement")
+        d.reason[frag], d.overlap[frag], d.support[frag], d.span_frac[frag] = reason, width, n, frac
+        d.verdict[frag] = np.where(reason < 0, VERDICTS.index(RESOLVED), VERDICTS.index(UNRESOLVED))
+        self.ok = reason < 0
+
+    def _merge_evidence(self) -> None:
+        """New qualities and bases where two observations of a base agree or don't."""
+        f, o = self.f, self.o
+        use = self.ok[self.p_case]
+        one, two, same = self.p_one[use], self.p_two[use], self.p_same[use]
+        at1, at2 = (f.seq_offs[f.b_rec[b]] + f.b_at[b] for b in (one, two))
+        q1, q2 = f.qual[at1], f.qual[at2]
+        new1, new2, known = q1.copy(), q2.copy(), (q1 >= 0) & (q2 >= 0)
+        if o.match_qual != "none":
+            to = np.maximum(q1, q2) if o.match_qual == "max" else np.minimum(q1 + q2, min(255, o.qual_cap))
+            new1, new2 = (np.where(known & same, to, x) for x in (new1, new2))
+        first_wins = (q1 > q2) | ((q1 == q2) & (f.mapq[f.b_rec[one]] > f.mapq[f.b_rec[two]]))
+        if o.mismatch_qual != "none":
+            winner = {"zero_both": np.zeros_like(q1), "zero_loser": np.maximum(q1, q2), "subtract": np.abs(q1 - q2)}[o.mismatch_qual]
+            if o.mismatch_qual == "zero_loser":
+                winner = np.where(first_wins, q1, q2)
+            odd = known & ~same
+            new1, new2 = np.where(odd, np.where(first_wins, winner, 0), new1), np.where(odd, np.where(first_wins, 0, winner), new2)
+        changed = []
+        for at, b, old, new in ((at1, one, q1, new1), (at2, two, q2, new2)):
+            f.qual[at] = new
+            frag = f.frag[f.b_rec[b]]
+            self.d.counts["quals_raised"] += np.bincount(frag[new > old], minlength=f.count)
+            self.d.counts["quals_lowered"] += np.bincount(frag[new < old], minlength=f.count)
+            touched = new != old
+            if o.mismatch_base == "set_n":
+                f.seq[at[~same]] = ord("N")
+                self.d.counts["bases_set_n"] += np.bincount(frag[~same], minlength=f.count)
+                touched |= ~same
+            changed.append(b[touched])
+        self.d.edited += np.bincount(f.b_rec[np.concatenate(changed)], minlength=f.size)
+
+    def _keep_one(self) -> None:
+        """Clips the overlap from one mate, and what is past the fragment from both."""
+        f, d, o = self.f, self.d, self.o
+        if o.keep == "score":
+            score = []
+            for b in (self.over_one, self.over_two):
+                some = np.flatnonzero(b >= 0)
+                some = some[f.b_aligned[b[some]]]
+                rec, case = f.b_rec[b[some]], self.over_case[some]
+                q = self.old_qual[f.seq_offs[rec] + f.b_at[b[some]]]
+                means = _mean(f.mapq[rec].astype(float), case, len(self.lo)), _mean(q[q >= 0].astype(float), case[q >= 0], len(self.lo))
+                score.append((np.where(np.isnan(means[0]), -np.inf, means[0]), means[1]))
+            (m1, q1), (m2, q2) = score
+            use = ~np.isnan(q1) & ~np.isnan(q2)
+            first = m1 + np.where(use, o.score_qual_weight * q1, 0) >= m2 + np.where(use, o.score_qual_weight * q2, 0)
+        else:
+            first = np.full(len(self.lo), o.keep == "r1")
+        frag, first, lo, hi = self.c_frag[self.ok], first[self.ok], self.lo[self.ok], self.hi[self.ok]
+        d.first_kept[frag] = first
+        length = d.length[frag]
+        begin = np.full(2 * f.count, 1 << 40)
+        begin[2 * frag] = np.where(first, length, lo)
+        begin[2 * frag + 1] = np.where(first, length - hi, length)
+        side = 2 * f.frag[f.b_rec] + f.last[f.b_rec]
+        gone = np.bincount(f.b_rec[f.b_aligned & (f.b_end >= begin[side])], minlength=f.size)
+        self._clip(np.where(f.reverse, gone, 0), np.where(f.reverse, 0, gone))
+        if o.clean_kept_3prime:
+            kept = 2 * frag + np.where(first, 0, 1)
+            base = self._at(kept, self.last_aligned[kept])
+            rec = f.b_rec[base[base >= 0]]
+            rec = rec[~d.drop[rec]]
+            trim = self._terminal_indels()[rec]
+            more = np.zeros((2, f.size), np.int64)
+            rec, trim = rec[trim > 0], trim[trim > 0]
+            turned = f.reverse[rec]
+            more[0, rec] = np.where(turned, d.front[rec] + trim, 0)
+            more[1, rec] = np.where(turned, 0, d.back[rec] + trim)
+            self._clip(*more)
+
+    def _clip(self, front: np.ndarray, back: np.ndarray) -> None:
+        d = self.d
+        d.front, d.back = np.maximum(d.front, front), np.maximum(d.back, back)
+        out = (d.front + d.back >= self.f.query_length) & (d.front + d.back > 0)
+        d.drop |= out
+        d.front[out] = d.back[out] = 0
+
+    def _terminal_indels(self) -> np.ndarray:
+        """Aligned bases up to the innermost gap that has fewer than a window of matched bases between it and the 3' end."""
+        f, window = self.f, self.o.terminal_indel_window
+        matched = f.aligned_op & (f.op != ord("I"))
+        m = np.where(matched, f.n, 0)
+        before = _inside(m, f.cut, f.rec)
+        total = np.bincount(f.rec, m, f.size).astype(np.int64)
+        turned = f.reverse[f.rec]
+        outer = np.where(turned, before, total[f.rec] - before - m)
+        inserted = f.op == ord("I")
+        gap = inserted | np.isin(f.op, [ord("D"), ord("N")])
+        past = np.where(turned, f.aligned_before, f.aligned_length[f.rec] - f.aligned_before - np.where(f.aligned_op, f.n, 0)) + np.where(inserted, f.n, 0)
+        use = gap & (outer < window)
+        out = np.zeros(f.size, np.int64)
+        np.maximum.at(out, f.rec[use], past[use])
         return out
 
+    def _finish(self) -> None:
+        """The policy for unresolved fragments, and a new primary where one was dropped."""
+        f, d, o = self.f, self.d, self.o
+        if o.on_unresolved == "drop":
+            d.drop |= f.takes_part & (d.verdict[f.frag] == VERDICTS.index(UNRESOLVED))
+        side = 2 * f.frag + f.last
+        lost = np.zeros(2 * f.count, bool)
+        lost[side[d.drop & f.takes_part & ~f.extra]] = True
+        left = np.flatnonzero(f.takes_part & f.extra & ~d.drop & lost[side])
+        offset = np.where(f.reverse, np.maximum(0, f.read_length - f.hard_lead - f.query_length), f.hard_lead)
+        left = left[np.lexsort((left, offset[left], side[left]))]
+        d.promote[left[np.concatenate([[True], side[left][1:] != side[left][:-1]])] if len(left) else left] = True
+        tally = lambda values: np.bincount(f.frag, values, f.count).astype(np.int64)
+        d.counts["bases_clipped"] += tally(d.front + d.back)
+        d.counts["bases_hard_clipped"] += tally((d.front + d.back) * o.hard_clip)
+        d.counts["records_dropped"] += tally(d.drop)
 
-@dataclass
-class Votes:
-    length: int
-    n: int
-    low: int
-    high: int
-
-    def slack(self, last1: int, last2: int) -> int:
-        """Aligned bases beyond the votes, at the end where there are more."""
-        return max(last1 - self.high, last2 - (self.length - 1 - self.low), 0)
 
-    def past(self, last1: int, last2: int) -> int:
-        return max(last1 - self.length + 1, 0) + max(last2 - self.length + 1, 0)
+def decide(f: Fragments, options: Options) -> Decisions:
+    return Resolver(f, options).run()
 
 
-def votes(one: End, two: End) -> dict[int, Votes]:
-    there: dict[tuple[int, int], list[tuple[int, Base]]] = {}
-    for e, b in two.bases.items():
-        if b.place:
-            there.setdefault(b.place, []).append((e, b))
-    out: dict[int, Votes] = {}
-    for e1, b1 in one.bases.items():
-        for e2, b2 in there.get(b1.place, ()) if b1.place else ():
-            if b1.reverse != b2.reverse:
-                v = out.setdefault(e1 + e2 + 1, Votes(e1 + e2 + 1, 0, e1, e1))
-                v.n, v.low, v.high = v.n + 1, min(v.low, e1), max(v.high, e1)
-    return out
+def reclipped(f: Fragments, front: np.ndarray, back: np.ndarray, hard: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """CIGARs and positions after clipping aligned bases from both ends, and how much of SEQ hard clips cut off at either end.
 
-
-def span(length: int, len1: int, len2: int) -> tuple[int, int]:
-    """The overlap, as bases of the first mate."""
-    lo, hi = max(0, length - len2), min(len1, length)
-    return (lo, hi) if lo < hi else (0, 0)
+    Gaps that the clips lay bare go; bases that a clip takes join the soft clip beside it.
+    """
+    before, total = f.aligned_before, f.aligned_length[f.rec]
+    lo, hi = front[f.rec], total - back[f.rec]
+    here = np.where(f.aligned_op, f.n, 0)
+    left = np.clip(before + here, lo, hi) - np.clip(before, lo, hi)  # what stays of an operation
+    gap = np.isin(f.op, [ord(k) for k in "DNP"])
+    n = np.where(f.aligned_op, left, np.where(gap, np.where((before > lo) & (before < hi), f.n, 0), 0))
+    moved = np.where(f.refers & (before < hi), np.where(f.aligned_op, np.clip(lo - before, 0, f.n), np.where(before <= lo, f.n, 0)), 0)
+    pos = f.pos + np.bincount(f.rec, moved, f.size).astype(np.int64)
+    clip = np.isin(f.op, [ord("S"), ord("H")])
+    head = clip & (before == 0)
+    ends = {}
+    for kind in "SH":
+        for side, some in ((0, head), (1, clip & ~head)):
+            ends[kind, side] = np.bincount(f.rec, np.where(some & (f.op == ord(kind)), f.n, 0), f.size).astype(np.int64)
+    taken = (front, back)
+    cut = []
+    for side in (0, 1):
+        ends["S", side] = ends["S", side] + taken[side]
+        harden = (taken[side] > 0) & hard
+        cut.append(np.where(harden, ends["S", side], 0))
+        ends["H", side] = ends["H", side] + cut[-1]
+        ends["S", side] = np.where(harden, 0, ends["S", side])
+    out = []
+    for r in np.flatnonzero(np.diff(f.cut) > 0).tolist():
+        parts = [(ends["H", 0][r], "H"), (ends["S", 0][r], "S")]
+        for j in range(f.cut[r], f.cut[r + 1]):
+            if n[j]:
+                op = chr(f.op[j])
+                if parts[-1][1] == op:
+                    parts[-1] = (parts[-1][0] + n[j], op)
+                else:
+                    parts.append((n[j], op))
+        parts += [(ends["S", 1][r], "S"), (ends["H", 1][r], "H")]
+        out.append((r, "".join(f"{k}{op}" for k, op in parts if k) or "*"))
+    texts = ["*"] * f.size
+    for r, text in out:
+        texts[r] = text
+    return texts, pos, cut[0], cut[1]
+
+
+def edits_kept(md: str, ops: list[tuple[str, int]], front: int, back: int) -> int | None:
+    """Mismatches and gaps that are left after clipping, by the MD tag of the whole alignment; None if it doesn't fit."""
+    marks: list[int | str] = []  # for each matched base 0 or 1, for a deletion its length as text
+    i = 0
+    while i < len(md):
+        j = i
+        while j < len(md) and md[j].isdigit():
+            j += 1
+        if j > i:
+            marks += [0] * int(md[i:j])
+        elif md[i] == "^":
+            j = i + 1
+            while j < len(md) and md[j].isalpha():
+                j += 1
+            marks.append(str(j - i - 1))
+        elif md[i].isalpha():
+            j = i + 1
+            marks.append(1)
+        else:
+            return None
+        i = j
+    stop = sum(n for o, n in ops if o in "M=XI") - back
+    at = base = edits = 0
+    for o, n in ops:
+        if o in "M=X":
+            part = marks[at : at + n]
+            if len(part) < n or any(isinstance(x, str) for x in part):
+                return None
+            edits += sum(x for k, x in enumerate(part) if front <= base + k < stop)
+            at, base = at + n, base + n
+        elif o == "I":
+            edits += sum(front <= base + k < stop for k in range(n))
+            base += n
+        elif o == "D":
+            if at >= len(marks) or marks[at] != str(n):
+                return None
+            at += 1
+            edits += n if front < base < stop else 0
+    return edits
+
+
+def _tag(kind: str, value) -> dict:
+    return {"type": kind, "value": str(value)}
 
 
-@dataclass
-class Change:
-    """What happens to a record."""
+def apply(f: Fragments, d: Decisions, o: Options) -> pa.Table:
+    """The fragments' table after the decisions: clipped, requalified, tagged; dropped records are left out.
 
-    clip_front: int = 0
-    clip_back: int = 0
-    hard_front: bool = False
-    hard_back: bool = False
-    drop: bool = False
-    promote: bool = False
-    quals: dict[int, int] = field(default_factory=dict)
-    bases: dict[int, str] = field(default_factory=dict)
+    Secondary and unmapped records keep their alignments.  Records that are clipped lose
+    the tags that described the alignment that was.
+    """
+    texts, pos, cut_front, cut_back = reclipped(f, d.front, d.back, o.hard_clip)
+    keep = ~d.drop
+    clipped = d.front + d.back > 0
+    moved = clipped | d.drop | d.promote
+    flags = np.where(d.promote, f.flags & ~SUPPLEMENTARY, f.flags)
+    old = [x or "*" for x in f.table.column("cigar").to_pylist()]
+    texts = [new if c else was for new, was, c in zip(texts, old, clipped.tolist(), strict=True)]
+    pos = np.where(clipped, pos, f.pos)
+
+    # SEQ and QUAL, without what hard clips cut off
+    owner, place = _span_of(np.diff(f.seq_offs))
+    length = np.diff(f.seq_offs)
+    stays = (place >= cut_front[owner]) & (place < (length - cut_back)[owner])
+    offs = np.concatenate([[0], np.cumsum(np.bincount(owner[stays], minlength=f.size))])
+    seq, qual = f.seq[stays], f.qual[stays]
+    missing = np.array([x in (None, "*") for x in f.table.column("seq").to_pylist()], bool)
+    as_text = lambda data: pa.Array.from_buffers(pa.large_string(), f.size, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+    seq_text = as_text(seq)
+    no_quals = ~f.has_quals
+    held = np.repeat(f.has_quals, np.diff(offs))
+    qual_offs = np.concatenate([[0], np.cumsum(np.diff(offs) * f.has_quals)]).astype(np.int32)
+    quals = pa.ListArray.from_arrays(pa.array(qual_offs, pa.int32(), mask=np.append(no_quals, False)), pa.array(qual[held], pa.int32()))
+    shown = as_text((np.maximum(qual, 0) + 33).astype(np.uint8))
+
+    tags = [dict(t or []) for t in f.table.column("tags").to_pylist()]
+    before = [dict(t) for t in tags] if moved.any() else tags
+    for r in np.flatnonzero(f.takes_part & keep).tolist():
+        _write_tags(tags[r], r, f, d, o, bool(clipped[r]))
+    columns = {"flags": flags, "pos": pos, "cigar": texts, "tags": tags}
+    for k in ("mate_tid", "mate_pos", "insert_size"):
+        columns[k] = f.table.column(k).fill_null(-1 if k != "insert_size" else 0).to_numpy().astype(np.int64).copy()
+    columns["mate_ref_name"] = f.table.column("mate_ref_name").to_pylist()
+    changed = np.zeros(f.count, bool)
+    changed[f.frag[moved]] = True
+    if changed.any():
+        _rebuild_other_alignments(f, d, columns, before, keep, changed)
+        _sync_mates(f, columns, keep, changed)
+    schema = f.table.schema
+    new = {
+        "flags": pa.array(columns["flags"]), "pos": pa.array(pos), "cigar": pa.array(columns["cigar"], pa.string()),
+        "seq": pa.array(np.where(missing, "*", np.array(seq_text.to_pylist(), object)).tolist(), pa.string()) if missing.any() else seq_text,
+        "quals": quals, "tags": pa.array([list(t.items()) for t in columns["tags"]], schema.field("tags").type),
+        "mate_tid": pa.array(columns["mate_tid"]), "mate_pos": pa.array(columns["mate_pos"]), "insert_size": pa.array(columns["insert_size"]), "mate_ref_name": pa.array(columns["mate_ref_name"], pa.string()),
+    }
+    if "qual" in schema.names:
+        new["qual"] = pa.array([None if n else q for n, q in zip(no_quals.tolist(), shown.to_pylist(), strict=True)], pa.string()) if no_quals.any() else shown
+    arrays = [new[k].cast(schema.field(k).type) if k in new else f.table.column(k) for k in schema.names]
+    return pa.table(arrays, schema=schema).filter(pa.array(keep))
+
+
+#: Tags that describe an alignment as it was.
+STALE = ("AS", "XA", "NM", "MD")
+
+
+def _write_tags(tags: dict, r: int, f: Fragments, d: Decisions, o: Options, clipped: bool) -> None:
+    p, k = o.tag_prefix, int(f.frag[r])
+    for name in (*(STALE if clipped else ()), "XL", *(p + x for x in "ONSXKVv")):
+        tags.pop(name, None)
+    verdict = VERDICTS[d.verdict[k]]
+    if verdict == NO_OVERLAP:
+        tags[p + "O"] = _tag("i", 0)
+    elif verdict == UNRESOLVED:
+        tags[p + "V"] = _tag("Z", reason_of(d, k))
+    elif verdict == RESOLVED:
+        tags["XL"], tags[p + "O"], tags[p + "N"] = _tag("i", d.length[k]), _tag("i", d.overlap[k]), _tag("i", d.support[k])
+        tags[p + "S"], tags[p + "X"], tags[p + "K"] = _tag("f", f"{d.span_frac[k]:g}"), _tag("i", d.counts["positions_mismatch"][k]), _tag("A", "1" if d.first_kept[k] else "2")
+    if d.edited[r]:
+        tags[p + "v"] = _tag("i", d.edited[r])
 
 
-@dataclass
-class Outcome:
-    changes: list[Change]
-    #: single, none, unresolved or resolved
-    verdict: str = "single"
-    reason: str | None = None
-    length: int | None = None
-    overlap: int = 0
-    support: int = 0
-    span_frac: float = 0.0
-    kept_r1: bool | None = None
-    counts: dict[str, int] = field(default_factory=dict)
-
-    def count(self, name: str, n: int = 1) -> None:
-        self.counts[name] = self.counts.get(name, 0) + n
-
-
-def plan(records: list[Alignment], options: Options = Options()) -> Outcome:
-    out = Outcome([Change() for _ in records])
-    _decide(out, records, options)
-    if out.verdict == "unresolved" and options.on_unresolved == "drop":
-        for c in out.changes:
-            c.drop = True
-    for is_r1 in (True, False):
-        own = [i for i, a in enumerate(records) if a.is_r1 == is_r1]
-        if any(out.changes[i].drop and not records[i].is_supplementary for i in own):
-            left = [i for i in own if records[i].is_supplementary and not out.changes[i].drop]
-            if left:
-                out.changes[min(left, key=lambda i: records[i].end_offset)].promote = True
-    for c in out.changes:
-        out.count("bases_clipped", c.clip_front + c.clip_back)
-        out.count("bases_hard_clipped", c.hard_front * c.clip_front + c.hard_back * c.clip_back)
-        out.count("records_dropped", int(c.drop))
-    return out
-
-
-def _decide(out: Outcome, records: list[Alignment], o: Options) -> None:
-    one, two = End.of(records, True, o.length_tolerance), End.of(records, False, o.length_tolerance)
-    if not one.length or not two.length:
-        return
-    out.verdict = "none"
-    if one.uneven or two.uneven:
-        out.verdict, out.reason = "unresolved", "inconsistent_length"
-        return
-    found, last1, last2 = votes(one, two), one.last, two.last
-    if not found or last1 is None or last2 is None:
-        return
-    best = min(found.values(), key=lambda v: (v.slack(last1, last2), -v.n, v.length))
-    out.length = best.length
-    lo, hi = span(best.length, one.length, two.length)
-    if hi - lo < o.min_overlap:
-        return
-    pairs = []
-    for e1 in range(lo, hi):
-        b1, b2 = one.bases.get(e1), two.bases.get(best.length - 1 - e1)
-        if b1 is None or b2 is None or not (b1.aligned and b2.aligned):
-            out.count("positions_unpaired")
-            continue
-        x, y = records[b1.record].seq[b1.at], records[b2.record].seq[b2.at]
-        if x not in "ACGT" or y not in "ACGT":
-            out.count("positions_ambiguous")
-            continue
-        pairs.append((b1, b2, x == y))
-        out.count("positions_compared")
-        out.count("positions_match" if x == y else "positions_mismatch")
-    wrong = sum(not same for *_, same in pairs)
-    frac = (best.high - best.low + 1) / (hi - lo)
-    out.overlap, out.support, out.span_frac = hi - lo, best.n, frac
-    out.reason = _refusal(best, found, (last1, last2), frac, wrong / len(pairs) if pairs else 0.0, o)
-    if out.reason:
-        out.verdict = "unresolved"
-        return
-    out.verdict = "resolved"
-    for b1, b2, same in pairs:
-        _agree(out, records, b1, b2, same, o)
-    out.kept_r1 = o.keep == "r1" or o.keep == "score" and _first_is_better(records, one, two, best.length, lo, hi, o)
-    _clip(out, records, True, one.length, best.length if out.kept_r1 else lo, o)
-    _clip(out, records, False, two.length, best.length - hi if out.kept_r1 else best.length, o)
-    if o.clean_kept_3prime:
-        _clean_end(out, records, one if out.kept_r1 else two, o)
-
-
-def _refusal(best: Votes, found: dict[int, Votes], last: tuple[int, int], frac: float, wrong: float, o: Options) -> str | None:
-    rivals = [v for v in found.values() if v.length != best.length]
-    anchored = [v.n for v in rivals if v.slack(*last) <= o.max_anchor_slack and v.past(*last) <= o.max_past_end]
-    checks = (
-        ("low_support", best.n < o.min_support),
-        ("past_end", best.past(*last) > o.max_past_end),
-        ("anchor_slack", best.slack(*last) > o.max_anchor_slack),
-        ("short_span", frac < o.min_span_frac),
-        ("high_mismatch", wrong > o.max_mismatch_frac),
-        ("ambiguous_l", bool(anchored) and max(anchored) >= o.ambiguity_ratio * best.n),
-    )
-    reason = next((name for name, failed in checks if failed), None)
-    if reason in ("anchor_slack", "ambiguous_l"):
-        # an insertion or deletion that one mate shows and the other doesn't splits the votes in two
-        if any(v.n >= o.min_support and abs(v.length - best.length) <= o.indel_window and (v.high < best.low or best.high < v.low) for v in rivals):
-            return "indel_disagreement"
-    return reason
-
-
-def _agree(out: Outcome, records: list[Alignment], b1: Base, b2: Base, same: bool, o: Options) -> None:
-    q1, q2 = records[b1.record].quality(b1.at), records[b2.record].quality(b2.at)
-    known = q1 is not None and q2 is not None
-    if same and known and o.match_qual != "none":
-        to = max(q1, q2) if o.match_qual == "max" else min(q1 + q2, 255, o.qual_cap)
-        _set_quality(out, b1, q1, to)
-        _set_quality(out, b2, q2, to)
-    elif not same and known:
-        first_wins = (q1, b1.mapq) > (q2, b2.mapq)
-        (win, qw), (lose, ql) = ((b1, q1), (b2, q2)) if first_wins else ((b2, q2), (b1, q1))
-        if o.mismatch_qual != "none":
-            _set_quality(out, lose, ql, 0)
-        if o.mismatch_qual in ("zero_both", "subtract"):
-            _set_quality(out, win, qw, 0 if o.mismatch_qual == "zero_both" else max(qw - ql, 0))
-    if not same and o.mismatch_base == "set_n":
-        for b in (b1, b2):
-            out.changes[b.record].bases[b.at] = "N"
-            out.count("bases_set_n")
-
-
-def _set_quality(out: Outcome, b: Base, old: int, new: int) -> None:
-    if new != old:
-        out.changes[b.record].quals[b.at] = new
-        out.count("quals_raised" if new > old else "quals_lowered")
-
-
-def _first_is_better(records, one: End, two: End, length: int, lo: int, hi: int, o: Options) -> bool:
-    def evidence(end: End, at) -> tuple[float, float | None]:
-        own = [b for b in (end.bases.get(at(e)) for e in range(lo, hi)) if b and b.aligned]
-        quals = [q for q in (records[b.record].quality(b.at) for b in own) if q is not None]
-        return (float(np.mean([b.mapq for b in own])) if own else -np.inf), (float(np.mean(quals)) if quals else None)
-
-    (m1, q1), (m2, q2) = evidence(one, lambda e: e), evidence(two, lambda e: length - 1 - e)
-    if q1 is not None and q2 is not None:
-        m1, m2 = m1 + o.score_qual_weight * q1, m2 + o.score_qual_weight * q2
-    return m1 >= m2
-
-
-def _clip(out: Outcome, records: list[Alignment], is_r1: bool, length: int, start: int, o: Options) -> None:
-    """Clips a mate's bases from start on, counted from its 5' end."""
-    if start >= length:
-        return
-    for i, a in enumerate(records):
-        if a.is_r1 == is_r1:
-            n = sum(aligned and a.end_index(s) >= start for s, (aligned, _) in enumerate(a.placed()))
-            _add_clip(out.changes[i], a, n if a.is_reverse else 0, 0 if a.is_reverse else n, o)
-
-
-def _add_clip(c: Change, a: Alignment, front: int, back: int, o: Options) -> None:
-    c.clip_front, c.clip_back = max(c.clip_front, front), max(c.clip_back, back)
-    c.hard_front |= bool(front and o.hard_clip)
-    c.hard_back |= bool(back and o.hard_clip)
-    if c.clip_front + c.clip_back >= a.query_length:
-        c.clip_front = c.clip_back = 0
-        c.hard_front = c.hard_back = False
-        c.drop = True
-
-
-def _clean_end(out: Outcome, records: list[Alignment], end: End, o: Options) -> None:
-    """Trims an insertion or deletion within a few bases of the kept mate's 3' end."""
-    b = end.bases[end.last]
-    a, c = records[b.record], out.changes[b.record]
-    if c.drop:
-        return
-    matched = run = trim = 0
-    for op, n in a.cigar if a.is_reverse else reversed(a.cigar):
-        if op in "M=X":
-            take = min(n, o.terminal_indel_window - matched)
-            matched, run = matched + take, run + take
-            if matched >= o.terminal_indel_window:
-                break
-        elif op == "I":
-            run += n
-            trim = run
-        elif op in "DN":
-            trim = run
-    if trim:
-        _add_clip(c, a, c.clip_front + trim if a.is_reverse else 0, 0 if a.is_reverse else c.clip_back + trim, o)
-
-
-def _merged(ops) -> list[tuple[str, int]]:
-    return [(o, n) for o, n in ((o, sum(n for _, n in g)) for o, g in groupby(ops, key=lambda x: x[0])) if n]
-
-
-def _eaten(ops: list[tuple[str, int]], n: int) -> tuple[list[tuple[str, int]], int]:
-    """Turns n aligned query bases at the front into a soft clip; also gives how far the start moves."""
-    out, clipped, moved = [], 0, 0
-    for o, k in ops:
-        if n <= 0 or o == "H":
-            out.append((o, k))
-        elif o == "S":
-            clipped += k
-        elif o in "M=XI":
-            take = min(k, n)
-            n, clipped = n - take, clipped + take
-            moved += take if o != "I" else 0
-            out.append((o, k - take))
-        elif o in "DN":
-            moved += k
-    at = sum(o == "H" for o, _ in out[:1])
-    return _merged([*out[:at], ("S", clipped), *out[at:]]), moved
-
-
-def reclip(ops: list[tuple[str, int]], pos: int, front: int, back: int) -> tuple[list[tuple[str, int]], int]:
-    """The CIGAR and position after soft-clipping bases from both ends; gaps so laid bare are left out."""
-    if front:
-        ops, moved = _eaten(ops, front)
-        pos += moved
-    if back:
-        ops = _eaten(ops[::-1], back)[0][::-1]
-    first = next((i for i, (o, _) in enumerate(ops) if o not in CLIPS), len(ops))
-    while first < len(ops) and ops[first][0] in "DNP":
-        pos += ops[first][1] if ops[first][0] in "DN" else 0
-        ops = ops[:first] + ops[first + 1 :]
-    last = next((len(ops) - 1 - i for i, (o, _) in enumerate(ops[::-1]) if o not in CLIPS), -1)
-    while last >= 0 and ops[last][0] in "DNP":
-        ops = ops[:last] + ops[last + 1 :]
-        last -= 1
-    return _merged(ops), pos
-
-
-def harden(ops: list[tuple[str, int]], front: bool, back: bool) -> tuple[list[tuple[str, int]], int, int]:
-    """Soft clips made hard, and how many bases of SEQ that cuts off at either end."""
-    ops, cut = list(ops), [0, 0]
-    for k, wanted in enumerate((front, back)):
-        order = range(len(ops)) if k == 0 else range(len(ops) - 1, -1, -1)
-        i = next((i for i in order if ops[i][0] != "H"), None)
-        if wanted and i is not None and ops[i][0] == "S":
-            cut[k] = ops[i][1]
-            ops[i] = ("H", ops[i][1])
-    return _merged(ops), *cut
-
-
-def _text_tag(kind: str, value) -> dict:
-    return {"type": kind, "value": str(value)}
-
+def reason_of(d: Decisions, k: int) -> str:
+    return REASONS[d.reason[k]] if d.reason[k] >= 0 else "inconsistent_length"
 
-def rewrite(rows: list[dict], options: Options = Options()) -> tuple[list[dict], Outcome | None]:
-    """The records of one fragment after planning: clipped, requalified, tagged; those that drop are left out.
 
-    Secondary and unmapped records pass unchanged.
-    """
-    inside = [r for r in rows if not r["flags"] & 0x104 and r["cigar"] not in (None, "*")]
-    records = [Alignment(i, not r["flags"] & 0x80, bool(r["flags"] & 0x10), bool(r["flags"] & 0x800), r["mapq"], r["tid"], r["pos"], parse_cigar(r["cigar"]), "" if r["seq"] == "*" else r["seq"], None if r["quals"] is None else list(r["quals"])) for i, r in enumerate(inside)]
-    got = plan(records, options)
-    changed = {}
-    for r, a, c in zip(inside, records, got.changes, strict=True):
-        changed[id(r)] = None if c.drop else _applied(r, a, c, got, options)
-    out = [changed.get(id(r), r) if id(r) in changed else r for r in rows]
-    kept = [r for r in out if r is not None]
-    moved = {r["record_id"] for r, a, c in zip(inside, records, got.changes, strict=True) if c.clip_front or c.clip_back or c.drop or c.promote}
-    if moved:
-        _rebuild_sa(kept, moved)
-        _sync_mates(kept)
-    return kept, got
-
-
-def _applied(r: dict, a: Alignment, c: Change, got: Outcome, o: Options) -> dict:
-    out, tags = dict(r), dict(r["tags"] or {})
-    seq, qual = list(a.seq), None if a.qual is None else list(a.qual)
-    for s, q in c.quals.items():
-        qual[s] = q
-    for s, b in c.bases.items():
-        seq[s] = b
-    ops, pos = reclip(a.cigar, a.pos, c.clip_front, c.clip_back)
-    ops, front, back = harden(ops, c.hard_front, c.hard_back)
-    stop = len(seq) - back
-    out |= {"pos": pos, "cigar": cigar_text(ops), "seq": "".join(seq[front:stop]) or "*", "quals": None if qual is None else qual[front:stop]}
-    out["qual"] = None if out["quals"] is None else "".join(chr(q + 33) for q in out["quals"])
-    if c.promote:
-        out["flags"] = r["flags"] & ~0x800
-    if c.clip_front or c.clip_back:
-        for name in ("AS", "XA", "NM", "MD"):  # they describe the alignment that was
-            tags.pop(name, None)
-    p = o.tag_prefix
-    for name in ("XL", *(p + k for k in "ONSXKVv")):
-        tags.pop(name, None)
-    if got.verdict == "none":
-        tags[p + "O"] = _text_tag("i", 0)
-    elif got.verdict == "unresolved":
-        tags[p + "V"] = _text_tag("Z", got.reason)
-    elif got.verdict == "resolved":
-        tags |= {"XL": _text_tag("i", got.length), p + "O": _text_tag("i", got.overlap), p + "N": _text_tag("i", got.support), p + "S": _text_tag("f", f"{got.span_frac:g}"), p + "X": _text_tag("i", got.counts.get("positions_mismatch", 0)), p + "K": _text_tag("A", "1" if got.kept_r1 else "2")}
-    if c.quals or c.bases:
-        tags[p + "v"] = _text_tag("i", len(c.quals.keys() | c.bases.keys()))
-    out["tags"] = tags
-    return out
-
-
-def _rebuild_sa(rows: list[dict], moved: set[int]) -> None:
+def _rebuild_other_alignments(f: Fragments, d: Decisions, columns: dict, before: list[dict], keep: np.ndarray, changed: np.ndarray) -> None:
     """SA of reads of which a record moved: the other alignments, the primary first."""
-    for last in (0, 0x80):
-        own = [r for r in rows if r["flags"] & 0x80 == last and not r["flags"] & 0x104]
-        if not any("SA" in (r["tags"] or {}) for r in own):
-            continue
-        own.sort(key=lambda r: bool(r["flags"] & 0x800))
-        shown = [f"{r['ref_name']},{r['pos'] + 1},{'-' if r['flags'] & 0x10 else '+'},{r['cigar'].replace('H', 'S')},{r['mapq']},{(r['tags'] or {}).get('NM', {'value': '0'})['value']};" for r in own]
+    side = 2 * f.frag + f.last
+    moved = np.zeros(2 * f.count, bool)
+    moved[side[(d.front + d.back > 0) | d.drop | d.promote]] = True
+    had = np.zeros(2 * f.count, bool)
+    had[[s for s, t in zip(side.tolist(), before, strict=True) if "SA" in t]] = True
+    rows = np.flatnonzero(keep & f.takes_part & (moved & had)[side])
+    flags, tags = columns["flags"], columns["tags"]
+    rows = rows[np.lexsort((rows, flags[rows] & SUPPLEMENTARY, side[rows]))]
+    names = f.table.column("ref_name")
+
+    def edits(r: int) -> str:
+        if "NM" in tags[r]:
+            return tags[r]["NM"]["value"]
+        ops = [(chr(f.op[j]), int(f.n[j])) for j in range(f.cut[r], f.cut[r + 1])]
+        kept = edits_kept(before[r]["MD"]["value"], ops, int(d.front[r]), int(d.back[r])) if "MD" in before[r] else None
+        return str(kept) if kept is not None else before[r].get("NM", {"value": "0"})["value"]
+
+    for s in np.unique(side[rows]):
+        own = rows[side[rows] == s].tolist()
+        told = [f"{names[r].as_py()},{columns['pos'][r] + 1},{'-' if flags[r] & REVERSE else '+'},{columns['cigar'][r].replace('H', 'S')},{f.mapq[r]},{edits(r)};" for r in own]
         for i, r in enumerate(own):
-            r["tags"] = {k: v for k, v in (r["tags"] or {}).items() if k != "SA"}
-            others = "".join(shown[:i] + shown[i + 1 :])
+            tags[r].pop("SA", None)
+            others = "".join(told[:i] + told[i + 1 :])
             if others:
-                r["tags"]["SA"] = _text_tag("Z", others)
-
-
-def _sync_mates(rows: list[dict]) -> None:
-    """RNEXT, PNEXT, TLEN and the mate's flags and tags, if each end has one primary and both are paired."""
-    ends = [[r for r in rows if bool(r["flags"] & 0x80) == last and not r["flags"] & 0x900] for last in (False, True)]
-    if [len(e) for e in ends] != [1, 1] or not all(e[0]["flags"] & 1 for e in ends):
-        return
-    primaries = [e[0] for e in ends]
-
-    def five_prime(r: dict) -> int:
-        ops = parse_cigar(r["cigar"])
-        return r["pos"] + sum(n for o, n in ops if o in REFERENCE_OPS) - 1 if r["flags"] & 0x10 else r["pos"]
-
-    for r in rows:
-        mate = primaries[0 if r["flags"] & 0x80 else 1]
-        own = primaries[1 if r["flags"] & 0x80 else 0]
-        if r["flags"] & 0x100:
-            continue
-        placed = not (mate["flags"] | own["flags"]) & 4
-        r |= {"mate_tid": mate["tid"], "mate_ref_name": mate["ref_name"], "mate_pos": mate["pos"]}
-        r["flags"] = r["flags"] & ~0x28 | (0x20 if mate["flags"] & 0x10 else 0) | (8 if mate["flags"] & 4 else 0)
-        same = placed and mate["tid"] == own["tid"]
-        gap = five_prime(mate) - five_prime(own) if same else 0
-        r["insert_size"] = gap + (1 if gap > 0 else -1 if gap < 0 else 0)
-        forward = own if not own["flags"] & 0x10 else mate
-        other = mate if forward is own else own
-        if not (same and bool(own["flags"] & 0x10) != bool(mate["flags"] & 0x10) and five_prime(forward) <= five_prime(other)):
-            r["flags"] &= ~2
-        if r["tags"] and "MC" in r["tags"]:
-            r["tags"] = r["tags"] | {"MC": _text_tag("Z", mate["cigar"])}
-        if r["tags"] and "MQ" in r["tags"]:
-            r["tags"] = r["tags"] | {"MQ": _text_tag("i", mate["mapq"])}
-
-
-def _fragments(batches: Iterator, columns: list[str]) -> Iterator[list[dict]]:
-    """Records of one qname after another; partitions are sorted, so one may go on in the next batch."""
-    held: list[dict] = []
+                tags[r]["SA"] = _tag("Z", others)
+
+
+def _sync_mates(f: Fragments, columns: dict, keep: np.ndarray, changed: np.ndarray) -> None:
+    """Mate fields of changed fragments of which each read has one primary, both paired."""
+    flags, cigar, tags = columns["flags"], columns["cigar"], columns["tags"]
+    side = 2 * f.frag + f.last
+    primary = np.flatnonzero(keep & (flags & (SECONDARY | SUPPLEMENTARY) == 0))
+    which = np.full(2 * f.count, -1)
+    which[side[primary]] = primary
+    single = np.bincount(side[primary], minlength=2 * f.count) == 1
+    paired = np.zeros(2 * f.count, bool)
+    paired[single] = flags[which[single]] & PAIRED > 0
+    ready = changed & paired.reshape(-1, 2).all(1)
+    rec, op, n = operations(pa.array(cigar))
+    reach = np.bincount(rec, np.where(np.isin(op, [ord(k) for k in "MDN=X"]), n, 0), f.size).astype(np.int64)
+    five = np.where(f.reverse, columns["pos"] + reach - 1, columns["pos"])
+    rows = np.flatnonzero(keep & ready[f.frag] & (flags & SECONDARY == 0))
+    own, mate = which[side[rows]], which[side[rows] ^ 1]
+    placed = (flags[own] | flags[mate]) & UNMAPPED == 0
+    same = placed & (f.tid[own] == f.tid[mate])
+    gap = np.where(same, five[mate] - five[own], 0)
+    old = flags.copy()
+    forward = np.where(old[own] & REVERSE == 0, own, mate)
+    other = own + mate - forward
+    faces = same & ((old[own] ^ old[mate]) & REVERSE > 0) & (five[forward] <= five[other])
+    new = old[rows] & ~(MATE_REVERSE | MATE_UNMAPPED) | np.where(old[mate] & REVERSE > 0, MATE_REVERSE, 0) | np.where(old[mate] & UNMAPPED > 0, MATE_UNMAPPED, 0)
+    flags[rows] = np.where(faces, new, new & ~PROPER)
+    columns["mate_tid"][rows], columns["mate_pos"][rows] = f.tid[mate], columns["pos"][mate]
+    columns["insert_size"][rows] = gap + np.sign(gap)
+    names = f.table.column("ref_name").to_pylist()
+    for r, m in zip(rows.tolist(), mate.tolist(), strict=True):
+        columns["mate_ref_name"][r] = names[m]
+        if "MC" in tags[r]:
+            tags[r]["MC"] = _tag("Z", cigar[m])
+        if "MQ" in tags[r]:
+            tags[r]["MQ"] = _tag("i", f.mapq[m])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole fragments; partitions are sorted, so only the last fragment of a slice may go on in the next."""
+    held, size = [], 0
     for batch in batches:
-        for row in batch.to_pylist():
-            row["tags"] = dict(row["tags"] or [])
-            if held and held[0]["qname"] != row["qname"]:
-                yield held
-                held = []
-            held.append(row)
+        for at in range(0, batch.num_rows, SLICE):
+            held.append(batch.slice(at, SLICE))
+            size += held[-1].nbytes
+            if size < CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            names = table.column("qname")
+            stop = table.num_rows - 1
+            while stop > 0 and names[stop - 1].as_py() == names[stop].as_py():
+                stop -= 1
+            if stop:
+                yield table.slice(0, stop).combine_chunks()
+            rest = table.slice(stop).combine_chunks()
+            held, size = rest.to_batches(), rest.nbytes
     if held:
-        yield held
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _grouped(reads: DataFrame) -> DataFrame:
@@ -558,20 +699,12 @@ def _grouped(reads: DataFrame) -> DataFrame:
 
 def resolve_overlaps(reads: DataFrame, options: Options = Options()) -> DataFrame:
     """The reads with overlaps resolved, with the same columns; order them by record_id to have the input's order."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema, columns = to_arrow_schema(reads.schema), reads.columns
+    schema = to_arrow_schema(reads.schema)
 
     def run(batches):
-        rows: list[dict] = []
-        for fragment in _fragments(batches, columns):
-            rows += rewrite(fragment, options)[0]
-            if len(rows) >= 5_000:
-                yield pa.RecordBatch.from_pylist([r | {"tags": list(r["tags"].items())} for r in rows], schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist([r | {"tags": list(r["tags"].items())} for r in rows], schema)
+        for table in _chunks(batches):
+            f = Fragments(table)
+            yield from apply(f, decide(f, options), options).cast(schema).to_batches()
 
     return _grouped(reads).mapInArrow(run, reads.schema)
 
@@ -581,40 +714,83 @@ VERDICT = "qname string, verdict string, reason string, length int, overlap int,
 
 def fragment_verdicts(reads: DataFrame, options: Options = Options()) -> DataFrame:
     """A row for each fragment: what was decided, and counts."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spec = T._parse_datatype_string(VERDICT)
-    schema, columns = to_arrow_schema(spec), reads.columns
+    schema = to_arrow_schema(spec)
+    needed = ("record_id", "qname", "flags", "mapq", "tid", "pos", "cigar", "seq", "quals")
 
     def run(batches):
-        rows = []
-        for fragment in _fragments(batches, columns):
-            o = rewrite(fragment, options)[1]
-            rows.append({"qname": fragment[0]["qname"], "verdict": o.verdict, "reason": o.reason, "length": o.length, "overlap": o.overlap, "support": o.support, "span_frac": o.span_frac, "mismatches": o.counts.get("positions_mismatch", 0), "kept_r1": o.kept_r1, "counts": list(o.counts.items())})
-            if len(rows) >= 5_000:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return _grouped(reads).mapInArrow(run, spec)
+        for table in _chunks(batches):
+            f = Fragments(table)
+            d = decide(f, options)
+            null = lambda values, mask: pa.array(values, mask=mask)
+            values = np.stack([d.counts[k] for k in COUNTS], 1)
+            some = values > 0
+            counts = pa.MapArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.sum(1))]).astype(np.int32)), pa.array(np.tile(np.array(COUNTS, object), f.count)[some.ravel()], pa.string()), pa.array(values[some]))
+            columns = [
+                f.qnames, pa.array([VERDICTS[v] for v in d.verdict]), pa.array([reason_of(d, k) if v == VERDICTS.index(UNRESOLVED) else None for k, v in enumerate(d.verdict.tolist())], pa.string()),
+                null(d.length, d.length < 0), pa.array(d.overlap), pa.array(d.support), pa.array(d.span_frac), pa.array(d.counts["positions_mismatch"]), null(d.first_kept > 0, d.first_kept < 0), counts,
+            ]
+            yield from pa.table([c.cast(t.type) for c, t in zip(columns, schema, strict=True)], schema=schema).to_batches()
+
+    return _grouped(reads.select(*needed)).mapInArrow(run, spec)
 
 
 def statistics(verdicts: DataFrame) -> DataFrame:
     """(section, key, value): counts, reasons, rates per million, and histograms of lengths and overlaps."""
-    total = verdicts.select(F.explode("counts").alias("key", "value")).groupBy("key").agg(F.sum("value").alias("value")).select(F.lit("counts").alias("section"), "key", "value")
-    kinds = verdicts.groupBy(F.col("verdict").alias("key")).agg(F.count("*").alias("value")).select(F.lit("templates").alias("section"), "key", "value")
-    reasons = verdicts.filter("reason IS NOT NULL").groupBy(F.col("reason").alias("key")).agg(F.count("*").alias("value")).select(F.lit("unresolved").alias("section"), "key", "value")
-    resolved = verdicts.filter("verdict = 'resolved'")
-    lengths = [resolved.groupBy(F.col(c).cast("string").alias("key")).agg(F.count("*").alias("value")).select(F.lit(c).alias("section"), "key", "value") for c in ("length", "overlap")]
-    rate = verdicts.agg((F.sum(F.coalesce(F.col("counts")["positions_mismatch"], F.lit(0))) * 1_000_000 / F.nullif(F.sum(F.coalesce(F.col("counts")["positions_compared"], F.lit(0))), F.lit(0))).cast("bigint").alias("value")).select(F.lit("rate_ppm").alias("section"), F.lit("mismatch").alias("key"), "value")
-    out = total
-    for part in (kinds, reasons, rate, *lengths):
-        out = out.unionByName(part)
-    return out
+    entry = lambda section, key: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), F.lit(1).cast("bigint").alias("n"))
+    resolved = F.col("verdict") == RESOLVED
+    entries = F.concat(
+        F.transform(F.map_entries("counts"), lambda e: F.struct(F.lit("counts").alias("section"), e["key"].alias("key"), e["value"].alias("n"))),
+        F.array(entry("templates", F.col("verdict"))),
+        F.when(F.col("reason").isNotNull(), F.array(entry("unresolved", F.col("reason")))).otherwise(F.array()),
+        F.when(resolved, F.array(entry("length", F.col("length")), entry("overlap", F.col("overlap")))).otherwise(F.array()),
+    )
+    out = verdicts.select(F.explode(entries).alias("e")).groupBy("e.section", "e.key").agg(F.sum("e.n").cast("bigint").alias("value"))
+    of = lambda name: F.sum(F.coalesce(F.col("counts")[name], F.lit(0)))
+    rate = verdicts.agg((of("positions_mismatch") * 1_000_000 / F.nullif(of("positions_compared"), F.lit(0))).cast("bigint").alias("value"))
+    return out.unionByName(rate.select(F.lit("rate_ppm").alias("section"), F.lit("mismatch").alias("key"), "value"))
 
 
-def with_options(**changes) -> Options:
-    return replace(Options(), **changes)
+def with_edit_tags(reads: DataFrame, refs: DataFrame) -> DataFrame:
+    """NM and MD of aligned reads, counted from the reference; other records keep theirs.
+
+    reads: as a source gives them; refs: (contig, length, seq).
+    """
+    from baseloom.operators.walk import beside, with_geometry, with_reference
+
+    fields = reads.columns
+    mapped = reads.filter("cigar IS NOT NULL AND cigar <> '*' AND seq <> '*'")
+    rest = reads.filter("cigar IS NULL OR cigar = '*' OR seq IS NULL OR seq = '*'")
+    ready = with_reference(with_geometry(mapped), refs, 0).withColumn("walk_reversed", F.lit(False))
+
+    def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        from baseloom.functions import codes as K
+
+        c = columns_of(batch, Steps(0, 0, insertions=True))
+        skip, inserted, deleted = c.rd == K.SKIP, c.rf == K.GAP, c.rd == K.GAP
+        wrong = ~(skip | inserted | deleted) & (c.rd != c.rf)
+        edits = np.bincount(c.rec[(wrong | inserted | deleted) & ~skip], minlength=batch.num_rows)
+        letter = [K.name_of(k) for k in range(256)]
+        out = []
+        for r in range(batch.num_rows):
+            at = np.arange(c.first[r], c.first[r + 1])
+            at = at[~skip[at] & ~inserted[at]]
+            event = np.flatnonzero(wrong[at] | deleted[at])
+            parts, done, gap = [], 0, -1
+            for e in event.tolist():
+                code = letter[c.rf[at[e]]]
+                if deleted[at[e]]:
+                    parts.append(code if gap == e - 1 and gap >= 0 else f"{e - done}^{code}")
+                    gap = e
+                else:
+                    parts.append(f"{e - done}{code}")
+                    gap = -1
+                done = e + 1
+            out.append("".join([*parts, str(len(at) - done)]))
+        return {"_nm": pa.array(edits, pa.int64()), "_md": pa.array(out, pa.string())}
+
+    told = beside(ready, compute, "_nm bigint, _md string")
+    one = lambda name, kind, value: F.create_map(F.lit(name), F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value")))
+    other = F.map_filter("tags", lambda k, _: ~k.isin("NM", "MD"))
+    told = told.withColumn("tags", F.map_concat(other, one("NM", "i", F.col("_nm")), one("MD", "Z", F.col("_md"))))
+    return told.select(*fields).unionByName(rest)

@@ -145,7 +145,7 @@ def text_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]
 
 
-def _operations(cigar: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def operations(cigar: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, operation, length) of all operations of a batch."""
     offs, data = text_of(cigar)
     at = np.flatnonzero(((data < 48) | (data > 57)) & (data != ord("*")))
@@ -176,7 +176,7 @@ def columns_of(batch: pa.RecordBatch, steps: Steps) -> Columns:
     qual = quals.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int16)
 
     # segments: the left flank, the operations, the right flank of each record
-    rec, op, n = _operations(get["cigar"])
+    rec, op, n = operations(get["cigar"])
     per = np.bincount(rec, minlength=size_of)
     cut = np.concatenate([[0], np.cumsum(per + 2)])
     where = np.arange(len(op)) + 2 * rec + 1

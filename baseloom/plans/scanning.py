@@ -5,8 +5,6 @@ A document's letters are a contig of bases.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from baseloom.functions import codes as K
 from baseloom.operators import overlap, partition, strand, verify, walk
 from baseloom.plans.bridges import hits as line_hits
 from baseloom.plans.bridges import table
-from baseloom.plans.reads import BASES, LETTERS, REF, contigs
+from baseloom.plans.reads import REF, columns_sql, contigs, reads
 
 QUERIES: dict = {}
 
@@ -58,51 +56,75 @@ def record_fields(spark, d):
     return out.groupBy("is_reverse", "is_unmapped", "is_duplicate", F.coalesce("NM", F.lit(-1)).alias("nm")).agg(F.count("*").alias("n"))
 
 
-def _fragment_reads(spark, d, whole: bool = False) -> DataFrame:
-    """Mates of fragments: the contig from either end, 60 bases at most; if whole, two thirds of it, so that all overlap."""
-    n = F.col("length")
-    m = n - F.floor(n / 3) if whole else F.least(n, F.lit(60))
-    base = contigs(spark, d)
-    common = ["qname", "tid", "ref_name"]
-    both = base.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("qname"), F.col("doc_id").cast("int").alias("tid"), F.col("contig").alias("ref_name"), "doc_id", n, m.alias("m"), "seq")
-    mates = both.withColumn("mate", F.explode(F.array(F.lit(0), F.lit(1))))
+def fragment_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Mates of fragments: two thirds of a contig from either end, so that all overlap."""
+    base = contigs(spark, d).select("doc_id", "contig", F.col("length").cast("int").alias("n"), "seq")
+    mates = base.withColumn("m", F.col("n") - F.floor(F.col("n") / 3).cast("int")).withColumn("mate", F.explode(F.array(F.lit(0), F.lit(1))))
     first = F.col("mate") == 0
-    start = F.when(first, F.lit(0)).otherwise(F.col("length") - F.col("m"))
-    return mates.select(
-        (F.col("doc_id") * 2 + F.col("mate")).alias("record_id"), *common, F.when(first, 0x63).otherwise(0x93).alias("flags"), start.cast("bigint").alias("pos"), F.lit(60).cast("smallint").alias("mapq"), F.concat(F.col("m").cast("string"), F.lit("M")).alias("cigar"),
-        F.col("tid").alias("mate_tid"), F.col("ref_name").alias("mate_ref_name"), F.lit(0).cast("bigint").alias("mate_pos"), F.lit(0).cast("bigint").alias("insert_size"), F.substr("seq", (start + 1).cast("int"), F.col("m").cast("int")).alias("seq"),
-        F.repeat(F.lit("?"), F.col("m").cast("int")).alias("qual"), F.array_repeat(F.lit(30), F.col("m").cast("int")).alias("quals"), F.create_map().cast("map<string,struct<type:string,value:string>>").alias("tags"),
-    )
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    start = F.when(first, F.lit(0)).otherwise(F.col("n") - F.col("m"))
+    columns = {
+        "record_id": F.col("doc_id") * 2 + F.col("mate"), "qname": text("f", F.col("doc_id")), "tid": F.col("doc_id").cast("int"), "ref_name": F.col("contig"), "flags": F.when(first, 0x63).otherwise(0x93),
+        "pos": start.cast("bigint"), "mapq": F.lit(60).cast("smallint"), "cigar": F.concat(F.col("m").cast("string"), F.lit("M")), "mate_tid": F.col("doc_id").cast("int"), "mate_ref_name": F.col("contig"),
+        "mate_pos": F.lit(0).cast("bigint"), "insert_size": F.lit(0).cast("bigint"), "seq": F.substr("seq", start + 1, F.col("m")), "qual": F.repeat(F.lit("?"), F.col("m")),
+        "quals": F.array_repeat(F.lit(30), F.col("m")), "tags": F.create_map().cast("map<string,struct<type:string,value:string>>"),
+    }
+    return mates.select(*(c.alias(k) for k, c in columns.items()))
 
 
-_SPAN = f"WITH {REF}, f AS (SELECT doc_id, length(seq) AS n, least(length(seq), 60) AS m FROM ref), o AS (SELECT *, greatest(2 * m - n, 0) AS overlap FROM f)"
+_SPAN = f"""WITH {REF}, f AS (SELECT doc_id, length(seq) AS n, length(seq) - length(seq) // 3 AS m FROM ref), o AS (SELECT *, 2 * m - n AS shared FROM f),
+d AS (SELECT *, shared >= 4 AS good, shared = m AS whole FROM o)"""
 
 
-@_add("overlap_length", f"""{_SPAN} SELECT 'f' || doc_id AS qname, CASE WHEN overlap >= 4 THEN n ELSE 0 END::INT AS length, CASE WHEN overlap >= 4 THEN overlap ELSE 0 END::INT AS overlap, CASE WHEN overlap >= 4 THEN 'resolved' ELSE 'none' END AS verdict FROM o""")
-def overlap_length(spark, d, whole=False):
-    out = overlap.fragment_verdicts(_fragment_reads(spark, d, whole))
+@_add("overlap_length", f"""{_SPAN} SELECT 'f' || doc_id AS qname, CASE WHEN good THEN n ELSE 0 END::INT AS length, CASE WHEN good THEN shared ELSE 0 END::INT AS overlap, CASE WHEN good THEN 'resolved' ELSE 'none' END AS verdict FROM d""")
+def overlap_length(spark, d):
+    out = overlap.fragment_verdicts(fragment_reads(spark, d))
     return out.select("qname", F.when(F.col("verdict") == "resolved", F.col("length")).otherwise(0).alias("length"), "overlap", "verdict")
 
 
-@_add("overlap_clipped", f"""{_SPAN} SELECT doc_id * 2 AS record_id, m::BIGINT AS kept FROM o UNION ALL SELECT doc_id * 2 + 1, m - CASE WHEN overlap >= 4 THEN overlap ELSE 0 END FROM o WHERE NOT (overlap >= 4 AND overlap = m)""")
-def overlap_clipped(spark, d, whole=False):
-    """Aligned bases that each record keeps; a mate that is all overlap goes."""
-    out = overlap.resolve_overlaps(_fragment_reads(spark, d, whole))
+@_add("overlap_clipped", f"""{_SPAN} SELECT doc_id * 2 AS record_id, m::BIGINT AS kept, 0 AS pos, CASE WHEN good THEN sha256(repeat('?', n - m) || repeat('I', shared)) ELSE sha256(repeat('?', m)) END AS qualities FROM d
+UNION ALL SELECT doc_id * 2 + 1, m - CASE WHEN good THEN shared ELSE 0 END, n - m + CASE WHEN good THEN shared ELSE 0 END, CASE WHEN good THEN sha256(repeat('I', shared) || repeat('?', n - m)) ELSE sha256(repeat('?', m)) END FROM d WHERE NOT (good AND whole)""")
+def overlap_clipped(spark, d):
+    """Aligned bases that each record keeps, where they start, and merged qualities; a mate that is all overlap goes."""
+    out = overlap.resolve_overlaps(fragment_reads(spark, d))
     kept = F.aggregate(walk.cigar_ops(F.col("cigar")), F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["op"] == "M", x["n"]).otherwise(F.lit(0)))
-    return out.select("record_id", kept.alias("kept"))
-
-
-@_add("overlap_statistics", f"""{_SPAN} SELECT 'templates' AS section, CASE WHEN overlap >= 4 THEN 'resolved' ELSE 'none' END AS key, count(*) AS value FROM o GROUP BY ALL
-UNION ALL SELECT 'length', n::VARCHAR, count(*) FROM o WHERE overlap >= 4 GROUP BY ALL UNION ALL SELECT 'overlap', overlap::VARCHAR, count(*) FROM o WHERE overlap >= 4 GROUP BY ALL""")
-def overlap_statistics(spark, d, whole=False):
-    return overlap.statistics(overlap.fragment_verdicts(_fragment_reads(spark, d, whole))).filter("section NOT IN ('counts', 'rate_ppm')")
-
-
-#: The same over mates that reach across contigs of any length.
-_WHOLE = _SPAN.replace("least(length(seq), 60)", "length(seq) - length(seq) // 3")
-for _name in ("overlap_length", "overlap_clipped", "overlap_statistics"):
-    _function, _sql = QUERIES[_name]
-    QUERIES[f"{_name}_whole"] = (partial(_function, whole=True), _sql.replace(_SPAN, _WHOLE))
+    return out.select("record_id", kept.alias("kept"), F.col("pos").cast("int").alias("pos"), F.sha2("qual", 256).alias("qualities"))
+
+
+@_add("overlap_statistics", f"""{_SPAN}, c AS (SELECT 'counts' AS section, key, sum(value)::BIGINT AS value FROM (
+  SELECT unnest(['positions_compared', 'positions_match', 'quals_raised', 'bases_clipped', 'records_dropped']) AS key, unnest([shared, shared, 2 * shared, CASE WHEN whole THEN 0 ELSE shared END, whole::INT]) AS value FROM d WHERE good) GROUP BY key)
+SELECT * FROM c WHERE value > 0 UNION ALL SELECT 'templates', CASE WHEN good THEN 'resolved' ELSE 'none' END AS key, count(*) AS value FROM d GROUP BY ALL
+UNION ALL SELECT 'length', n::VARCHAR, count(*) FROM d WHERE good GROUP BY ALL UNION ALL SELECT 'overlap', shared::VARCHAR, count(*) FROM d WHERE good GROUP BY ALL
+UNION ALL SELECT 'rate_ppm', 'mismatch', CASE WHEN sum(shared) FILTER (good) > 0 THEN 0 END FROM d""")
+def overlap_statistics(spark, d):
+    return overlap.statistics(overlap.fragment_verdicts(fragment_reads(spark, d)))
+
+
+@_add("overlap_tags", f"""{_SPAN}, r AS (SELECT *, unnest([0, 1]) AS mate FROM d)
+SELECT doc_id * 2 + mate AS record_id, CASE WHEN good THEN n::VARCHAR END AS xl, CASE WHEN good THEN shared ELSE 0 END::VARCHAR AS o, CASE WHEN good THEN shared::VARCHAR END AS support, CASE WHEN good THEN '1' END AS kept,
+  CASE WHEN good THEN shared::VARCHAR END AS changed FROM r WHERE NOT (good AND whole AND mate = 1)""")
+def overlap_tags(spark, d):
+    """What is written beside each record: length, overlap, support, the kept mate, and how many qualities are new."""
+    tag = lambda k: F.col("tags")[k]["value"]
+    out = overlap.resolve_overlaps(fragment_reads(spark, d))
+    return out.select("record_id", tag("XL").alias("xl"), tag("oO").alias("o"), tag("oN").alias("support"), tag("oK").alias("kept"), tag("ov").alias("changed"))
+
+
+@_add("overlap_mates", f"""{_SPAN} SELECT doc_id * 2 AS record_id, CASE WHEN good AND NOT whole THEN n - m + shared ELSE 0 END::BIGINT AS mate_pos, CASE WHEN good AND NOT whole THEN n - (n = 1)::INT ELSE 0 END::BIGINT AS insert_size FROM d WHERE NOT (good AND whole)
+UNION ALL SELECT doc_id * 2 + 1, 0, CASE WHEN good AND NOT whole THEN -n ELSE 0 END FROM d WHERE NOT (good AND whole)""")
+def overlap_mates(spark, d):
+    """Mate position and template length of mates that both stay."""
+    out = overlap.resolve_overlaps(fragment_reads(spark, d))
+    both = out.groupBy("qname").agg(F.count("*").alias("c")).filter("c = 2")
+    return out.join(both, "qname", "left_semi").select("record_id", "mate_pos", "insert_size")
+
+
+@_add("edit_tags", f"""WITH {columns_sql(None, True)}, e AS (SELECT rid, op, pos, CASE WHEN back THEN translate(rf, 'ACGT', 'TGCA') ELSE rf END AS c, op IN ('I', 'D') OR (op = 'M' AND rd <> rf) AS edit FROM cols)
+SELECT rid AS record_id, count(*) FILTER (edit) AS nm, coalesce(string_agg(c, '' ORDER BY pos) FILTER (edit AND op <> 'I'), '') AS letters FROM e GROUP BY rid""")
+def edit_tags(spark, d):
+    """NM, and the reference's letters in MD."""
+    out = overlap.with_edit_tags(reads(spark, d), contigs(spark, d))
+    return out.select("record_id", F.col("tags")["NM"]["value"].cast("bigint").alias("nm"), F.regexp_replace(F.col("tags")["MD"]["value"], "[^A-Z]", "").alias("letters"))
 
 
 @_add("contig_check", """SELECT coalesce(c, r) AS contig, CASE WHEN r IS NULL THEN 'absent' WHEN c IS NULL THEN 'unused' ELSE 'ok' END AS status

@@ -104,20 +104,65 @@ class Evidence:
 
     # checks
 
+    def _table(self, level: str) -> DataFrame:
+        return {"read": self.read_relation, "block": self.block_relation, "site": self.site_all}[level]()
+
+    def _row_test(self, check: Check) -> tuple[str, Column] | None:
+        """(relation, condition) of a check that one row of a level's table decides; None for others."""
+        if check.kind in ("main", "other", "total", "ratio"):
+            known("measure", check.measure.name, self.measures)
+            return self._relation(check.relation).name, compare(quantity_value(check.kind, F.col("num"), F.col("den")), check.op, check.threshold)
+        if check.kind == "both":
+            tests = [self._row_test(p) for p in check.parts]
+            if None not in tests and len({name for name, _ in tests}) == 1:
+                return tests[0][0], reduce(Column.__and__, (c for _, c in tests))
+        return None
+
     def rejected(self, check: Check, level: str) -> DataFrame:
         """Rows of the level's keys that fail; one key may come several times."""
         check.at(level)
+        if test := self._row_test(check):
+            return self._table(level).filter((F.col("relation") == test[0]) & test[1]).select(*KEYS[level])
         if check.kind == "both":
             return reduce(lambda a, b: a.intersect(b), (self.rejected(p, level) for p in check.parts))
         if check.kind == "custom":
             return check.argument(self).select(*KEYS[level])
         if check.measure is not None:
             known("measure", check.measure.name, self.measures)
-        if check.kind in ("main", "other", "total", "ratio"):
-            table = {"read": self.read_relation, "block": self.block_relation, "site": self.site_all}[level]()
-            return self._failing(table, check, quantity_value(check.kind, F.col("num"), F.col("den")), KEYS[level])
         return getattr(self, f"_fails_{check.kind}")(check)
 
+    def counted(self, checks: list[Check], level: str) -> list[DataFrame | Column]:
+        """How many rows each check rejects: a condition on a row of the level's table where that is enough, else a table of n."""
+        out = []
+        for check in checks:
+            test = self._row_test(check.at(level))
+            out.append((F.col("relation") == test[0]) & test[1] if test else self.rejected(check, level).agg(F.count("*").alias("n")))
+        return out
+
+    def _site_flag(self, check: Check) -> Column | None:
+        """Whether a check rejects the site of a row of site_all, from windows over the sites; None if it takes a join."""
+        site, spot = Window.partitionBy(*SITE), Window.partitionBy("contig", "refr_pos")
+        if test := self._row_test(check):
+            return F.max((F.col("relation") == test[0]) & test[1]).over(site)
+        if check.kind == "both":
+            flags = [self._site_flag(p) for p in check.parts]
+            return None if any(f is None for f in flags) else reduce(Column.__and__, flags)
+        if check.kind == "position":
+            return self._position_fails(check, spot)
+        if check.kind == "blocks":
+            return F.max((F.col("relation") == self._relation(check.relation).name) & self._blocks_fail(check)).over(site)
+        return None
+
+    def _position_fails(self, check: Check, spot) -> Column:
+        here = F.col("relation") == self._relation(check.relation).name
+        num, den = (F.sum(F.when(here, F.col(c))).over(spot) for c in ("num", "den"))
+        return F.coalesce(compare(quantity_value(check.argument, num, den), check.op, check.threshold), F.lit(False))
+
+    def _blocks_fail(self, check: Check) -> Column:
+        """Of a relation's rows; a block has one row at a site."""
+        covers = (F.col("relation") == self._relation(check.relation).name) & (F.col("den") > 0) & F.col("block").isNotNull()
+        return compare(F.sum(covers.cast("int")).over(Window.partitionBy("contig", "refr_pos", "strand")), check.op, check.threshold)
+
     def _failing(self, table: DataFrame, check: Check, value: Column, keys: list[str]) -> DataFrame:
         relation = self._relation(check.relation)
         return table.filter((F.col("relation") == relation.name) & compare(value, check.op, check.threshold)).select(*keys)
@@ -153,15 +198,12 @@ class Evidence:
     def _fails_blocks(self, check: Check) -> DataFrame:
         """Sites whose position and strand is covered by so many blocks."""
         sites = self.site_all().filter(F.col("relation") == self._relation(check.relation).name)
-        covering = sites.filter("den > 0").groupBy("contig", "refr_pos", "strand").agg(F.count_distinct("block").alias("blocks"))
-        return sites.join(covering, ["contig", "refr_pos", "strand"]).filter(compare(F.col("blocks"), check.op, check.threshold)).select(*SITE)
+        return sites.withColumn("bad", self._blocks_fail(check)).filter("bad").select(*SITE)
 
     def _fails_position(self, check: Check) -> DataFrame:
         """Every site, of any relation, at positions whose pooled evidence fails."""
-        sites = self.site_all()
-        pooled = sites.filter(F.col("relation") == self._relation(check.relation).name).groupBy("contig", "refr_pos").agg(F.sum("num").alias("pnum"), F.sum("den").alias("pden"))
-        bad = pooled.filter(compare(quantity_value(check.argument, F.col("pnum"), F.col("pden")), check.op, check.threshold)).select("contig", "refr_pos")
-        return sites.join(bad, ["contig", "refr_pos"]).select(*SITE)
+        spot = Window.partitionBy("contig", "refr_pos")
+        return self.site_all().withColumn("bad", self._position_fails(check, spot)).filter("bad").select(*SITE)
 
     def _fails_in_regions(self, check: Check) -> DataFrame:
         return self._by_regions(check.argument, "left_semi")
@@ -197,12 +239,24 @@ class Evidence:
         return out
 
     def site_relation(self, drop_sites: list[Check] = ()) -> DataFrame:
-        """Sites that no check rejects; a site that fails by one relation is gone from all."""
+        """Sites that no check rejects; a site that fails by one relation is gone from all.
+
+        Counts are taken once; what a window over them decides is flagged there, and only
+        the other checks need a join.
+        """
         sites = self.site_all()
-        if not drop_sites:
+        flags = [(check, self._site_flag(check.at("site"))) for check in drop_sites]
+        for i, (_, flag) in enumerate(flags):
+            if flag is not None:
+                sites = sites.withColumn(f"_bad{i}", F.coalesce(flag, F.lit(False)))
+        told = [f"_bad{i}" for i, (_, flag) in enumerate(flags) if flag is not None]
+        if told:
+            sites = sites.filter(~reduce(Column.__or__, map(F.col, told))).drop(*told)
+        others = [check for check, flag in flags if flag is None]
+        if not others:
             return sites
-        bad = self.all_rejected(list(drop_sites), "site").distinct().select(*(F.col(c).alias(f"bad_{c}") for c in SITE))
-        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"bad_{c}")) for c in SITE))
+        bad = self.all_rejected(others, "site").distinct().select(*(F.col(c).alias(f"bad_{c}") for c in SITE))
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"bad_{c}")) for c in SITE))
         return sites.join(bad, same, "left_anti")
 
 

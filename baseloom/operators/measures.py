@@ -21,17 +21,16 @@ class Measure:
     """Query names in two or more disjoint categories."""
 
     def __init__(self, name: str, categories: dict | None = None, **more):
-        self.name = name
-        self.categories = {k: _tuple(v) for k, v in ((categories or {}) | more).items()}
-        if not name:
-            raise DeclarationError("a measure is named")
-        if len(self.categories) < 2:
-            raise DeclarationError(f"measure {name!r}: two categories at least")
-        owner: dict[str, str] = {}
-        for category, members in self.categories.items():
-            for member in members:
-                if owner.setdefault(member, category) != category:
-                    raise DeclarationError(f"measure {name!r}: {member!r} is in {owner[member]!r} and in {category!r}")
+        self.name, self.categories = name, {}
+        taken: set[str] = set()
+        for category, names in {**(categories or {}), **more}.items():
+            own = _tuple(names)
+            if again := taken & set(own):
+                raise DeclarationError(f"measure {name!r}: {', '.join(sorted(again))} again in {category!r}")
+            taken |= set(own)
+            self.categories[category] = own
+        if not name or len(self.categories) < 2:
+            raise DeclarationError(f"a measure has a name and two categories at least, not {name!r} and {list(self.categories)}")
 
     def __eq__(self, other):
         return isinstance(other, Measure) and (self.name, self.categories) == (other.name, other.categories)
@@ -39,26 +38,25 @@ class Measure:
     def __hash__(self):
         return hash(self.name)
 
-    def _known(self, categories) -> tuple[str, ...]:
-        for c in _tuple(categories):
+    def _side(self, categories, rest: tuple[str, ...]) -> tuple[str, ...]:
+        """Categories of the measure; rest where none are given."""
+        side = rest if categories is None else _tuple(categories)
+        for c in side:
             known(f"category of measure {self.name!r}", c, self.categories)
-        return _tuple(categories)
+        return side
 
     def relate(self, main=None, other=None, *, name: str | None = None) -> Relation:
         """main against other; without other, against all the rest; without main, the only pair."""
-        names = list(self.categories)
-        if main is None:
-            if len(names) > 2:
-                raise DeclarationError(f"measure {self.name!r} has {len(names)} categories: say which to relate")
-            main, other = names
-        main = self._known(main)
-        other = tuple(c for c in names if c not in main) if other is None else self._known(other)
-        if set(main) & set(other):
-            raise DeclarationError(f"measure {self.name!r}: {sorted(set(main) & set(other))} on both sides")
-        if name is None:
-            whole = len(names) == 2 and (main, other) == ((names[0],), (names[1],))
-            name = self.name if whole else f"{self.name}.{'+'.join(main)}_vs_{'+'.join(other)}"
-        return Relation(name, self, main, other)
+        first, *rest = self.categories
+        if main is None and len(rest) > 1:
+            raise DeclarationError(f"measure {self.name!r} has {len(rest) + 1} categories: say which to relate")
+        left = self._side(main, (first,))
+        right = self._side(other if main is not None else None, tuple(c for c in self.categories if c not in left))
+        if shared := set(left).intersection(right):
+            raise DeclarationError(f"measure {self.name!r}: {', '.join(sorted(shared))} on both sides")
+        # the only pair, in its order, goes by the measure's name
+        usual = self.name if [*left, *right] == list(self.categories) and len(rest) == 1 else f"{self.name}.{'+'.join(left)}_vs_{'+'.join(right)}"
+        return Relation(name or usual, self, left, right)
 
     def missing(self) -> Check:
         """Reads that have nothing of this measure."""

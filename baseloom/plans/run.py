@@ -6,6 +6,7 @@ results are DataFrames, so a chain can be left and taken up anywhere.
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,15 +117,27 @@ class Run:
         return E.block_summary(self.sites())
 
     def report(self) -> DataFrame:
-        """(ord, what, n): distinct reads seen and kept, then the rows that each check rejects."""
+        """(ord, what, n): distinct reads seen and kept, then the rows that each check rejects.
+
+        Checks of a level that a row of its counts decides share one pass over them.
+        """
         ev = self.evidence()
-        parts = [("reads seen", ev.hits.agg(F.count_distinct("read").alias("n"))), ("reads kept", ev.resolved.agg(F.count_distinct("read").alias("n")))]
-        parts += [(f"{level} {check.label}", ev.rejected(check, level).agg(F.count("*").alias("n"))) for level, checks in self._drop.items() for check in checks]
-        rows = [df.select(F.lit(i).alias("ord"), F.lit(what).alias("what"), "n") for i, (what, df) in enumerate(parts)]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return out
+        reads = lambda hits: hits.agg(F.count_distinct("read").alias("n"))
+        parts = [(0, "reads seen", reads(ev.hits)), (1, "reads kept", reads(ev.resolved))]
+        together: dict[str, list[tuple[int, str, Column]]] = {}
+        for level, checks in self._drop.items():
+            for check, found in zip(checks, ev.counted(checks, level), strict=True):
+                at = len(parts) + sum(map(len, together.values()))
+                if isinstance(found, Column):
+                    together.setdefault(level, []).append((at, f"{level} {check.label}", found))
+                else:
+                    parts.append((at, f"{level} {check.label}", found))
+        rows = [df.select(F.lit(i).alias("ord"), F.lit(what).alias("what"), "n") for i, what, df in parts]
+        for level, tests in together.items():
+            counts = ev._table(level).agg(*(F.count_if(test).alias(f"n{i}") for i, _, test in tests))
+            entries = (F.struct(F.lit(i).alias("ord"), F.lit(what).alias("what"), F.col(f"n{i}").alias("n")) for i, what, _ in tests)
+            rows.append(counts.select(F.inline(F.array(*entries))))
+        return reduce(DataFrame.unionByName, rows)
 
     def rows(self, form: str, *args, **values) -> DataFrame:
         """A format's rows.  Measures and relations among the arguments are declared and named."""
@@ -141,11 +154,12 @@ class Run:
             values.setdefault("base", self._base)
         return self.formats[form](self.sites(), *args, **values)
 
-    def write(self, form: str, *args, out: str, **values) -> Run:
+    def write(self, form: str, *args, out: str, single: bool = False, **values) -> Run:
+        """Writes a format; text in parts whose names are in order, or as a single part."""
         if Path(out).suffix == ".parquet" or form == "sites_parquet":
             sinks.write_parquet(self.rows(form, *args, **values), out)
         else:
-            sinks.write_rows(self.rows(form, *args, **values), out)
+            sinks.write_rows(self.rows(form, *args, **values), out, single)
         return self
 
     def __getattr__(self, name: str):

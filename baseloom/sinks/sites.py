@@ -7,7 +7,7 @@ strand and relation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baseloom.functions.columns import pos0, pos1
@@ -103,10 +103,32 @@ def amethyst(sites: DataFrame, relation: str, contigs: DataFrame, base: int = 0)
 FORMATS = {"bedgraph": bedgraph, "bismark_cov": bismark_cov, "methyldackel_bedgraph": methyldackel_bedgraph, "bedmethyl": bedmethyl, "cgmap": cgmap, "cellinfo": cellinfo, "sites_parquet": sites_parquet, "amethyst": amethyst}
 
 
-def write_rows(rows: DataFrame, path: str, single: bool = True, compression: str | None = None) -> None:
-    """Tab-separated text without a header; ``single`` makes one part file, in order."""
-    out = (rows.coalesce(1) if single else rows).write.mode("overwrite").option("sep", "\t").option("header", "false").option("emptyValue", "").option("nullValue", "")
+def write_rows(rows: DataFrame, path: str, single: bool = False, compression: str | None = None) -> None:
+    """Tab-separated text without a header, in parts whose names are in the rows' order; ``single`` joins them to one."""
+    out = rows.write.mode("overwrite").option("sep", "\t").option("header", "false").option("emptyValue", "").option("nullValue", "")
     (out.option("compression", compression) if compression else out).csv(path)
+    if single:
+        join_parts(rows.sparkSession, path)
+
+
+def join_parts(spark: SparkSession, path: str) -> None:
+    """Makes one file of a folder's part files, in the order of their names; bytes are streamed, rows aren't sorted again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    parts = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    if len(parts) < 2:
+        return
+    whole = jvm.org.apache.hadoop.fs.Path(folder, "_joined")
+    sink = fs.create(whole, True)
+    for part in parts:
+        source = fs.open(part)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, sink, conf, False)
+        source.close()
+    sink.close()
+    for part in parts:
+        fs.delete(part, False)
+    fs.rename(whole, parts[0])
 
 
 def write_parquet(rows: DataFrame, path: str, compression: str = "snappy", partition_by: list[str] | None = None) -> None:
@@ -119,5 +141,6 @@ def write_amethyst(rows: DataFrame, path: str, context: str) -> None:
 
     Overwrites the context's folders alone.
     """
-    ordered = rows.repartition("block").sortWithinPartitions("block", *(c for c in ("i", "pos") if c in rows.columns))
+    place = [c for c in ("i", "chr", "pos") if c in rows.columns]
+    ordered = rows.repartitionByRange("block", *place).sortWithinPartitions("block", *place)
     ordered.write.mode("overwrite").partitionBy("block").parquet(f"{path}/context={context}")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,3 +226,32 @@ def scan(
         return rows
     others = with_fields(called.filter("status <> 'walkable'"), fields).select("record_id", *(f.partition(":")[0] for f in fields))
     return rows.unionByName(others, allowMissingColumns=True)
+
+
+#: What a scan counts.
+COUNTERS = ("records", "unknown_strand", "unmapped", "off_reference", "missing_m5", "no_seq", "walkable")
+
+
+def observed_scan(
+    reads: DataFrame, refs: DataFrame, queries: QueryFile, rule, *, fields: list[str] = (), permissive: bool = False, md5s: DataFrame | None = None, **options
+) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """Rows of hits, and a function that tells what the scan has counted once the rows have been used.
+
+    The counts are taken while records pass, without a job of their own.
+    """
+    from baseloom.operators.records import walkability, with_fields
+    from baseloom.operators.walk import with_geometry, with_reference
+
+    steps = steps_for(queries, **options)
+    seen, found = Observation(), Observation()
+    called, known = rule.call(walkability(reads, refs, permissive, md5s)), F.col("original") != "unknown"
+    counts = [F.count("*").alias("records"), F.count_if(~known).alias("unknown_strand"), *(F.count_if(known & (F.col("status") == k)).alias(k) for k in COUNTERS[2:])]
+    good = with_geometry(called.observe(seen, *counts).filter(known & (F.col("status") == "walkable")))
+    rows = hit_rows(with_fields(with_reference(good, refs, steps.flank), fields), queries, steps, [f.partition(":")[0] for f in fields])
+    rows = rows.observe(found, F.count("*").alias("hits"), *(F.count_if(F.col("name") == q).alias(f"hits_{q}") for q in queries.queries))
+    return rows, lambda: {**seen.get, **found.get}
+
+
+def report_text(counts: dict[str, int]) -> str:
+    """The counts, one on a line, those of records first."""
+    return "\n".join(f"{k.replace('_', ' ')}\t{v}" for k, v in counts.items())

@@ -145,6 +145,22 @@ def parse_row(text: str, aliases: dict[str, int]) -> list[tuple[int, str | None]
     return out
 
 
+def repeated(text: str) -> str:
+    """A row with its repeat counts written out: ``~3`` is ``~~~``."""
+    out, i = "", 0
+    while i < len(text):
+        close = text.find("}", i) if text[i] == "{" else i
+        unit = text[i : max(close, i) + 1]
+        i += len(unit)
+        j = i
+        while j < len(text) and text[j].isdigit():
+            j += 1
+        if unit.isdigit() or text[i:j].startswith("0"):
+            raise QueryError(f"{text!r}: a count of one at least follows a code")
+        out, i = out + unit * int(text[i:j] or 1), j
+    return out
+
+
 def _set(body: str, text: str) -> int:
     try:
         got = K.codeset(body)

@@ -87,6 +87,35 @@ class Run:
         self.formats[name] = function
         return self
 
+    # SQL and Python in between
+
+    def views(self) -> Run:
+        """Makes src, resolved, site_relation and block_summary views of the session, for SQL."""
+        for name, make in (("src", self.src), ("resolved", self.resolved), ("site_relation", self.sites), ("block_summary", self.summary)):
+            make().createOrReplaceTempView(name)
+        return self
+
+    def sql(self, statement: str, **values) -> DataFrame:
+        """Rows of a statement over the run's views; values are its named parameters."""
+        self.views()
+        return self._spark.sql(statement, args=values or None)
+
+    def read(self, path: str, include: tuple[str, ...] = (), **values) -> Run:
+        """Runs a script over the run's views; values are session variables."""
+        from baseloom.plans.script import run_script
+
+        self.views()
+        run_script(self._spark, path, include, **values)
+        return self
+
+    def python(self, path: str, **values) -> Run:
+        """Runs a Python file with ``spark``, ``run`` and ``var``."""
+        from baseloom.plans.script import run_python, set_variables
+
+        set_variables(self._spark, values)
+        run_python(self._spark, path, run=self)
+        return self
+
     # results
 
     def src(self) -> DataFrame:

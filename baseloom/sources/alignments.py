@@ -2,8 +2,9 @@
 
 SAM text is read with Spark's text reader, so its splits are read in parallel and any
 store that Spark reads will do; record numbers come from the order of files and lines.
-BAM goes through a Python data source: a task for each file, or for each group of
-compressed blocks where an index of them has been made.
+BAM files are cut in splits of compressed bytes.  A split looks for its first block and
+its first record; the place where the split before it ends confirms what it found, or
+corrects it.  Splits are counted on the way, so records are numbered through all files.
 """
 
 from __future__ import annotations
@@ -12,8 +13,13 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -59,21 +65,34 @@ def parse_sam(lines: DataFrame, names: list[str]) -> DataFrame:
 def numbered(lines: DataFrame) -> DataFrame:
     """Adds record_id: dense, in the order of files and of lines in them.
 
-    Lines of a partition keep their order; partitions are counted first, and the counts,
-    one for each partition, give the offsets.
+    Splits are counted first, by file and start; the sums before each are broadcast, and
+    lines are numbered where they are read, so nothing but the counts is shuffled.
     """
-    placed = lines.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("n"), F.min(F.struct("file", "start")).alias("at")).collect()
-    offset, starts = 0, {}
-    for r in sorted(counts, key=lambda r: (r["at"]["file"], r["at"]["start"])):
-        starts[r["_p"]] = offset
-        offset += r["n"]
-    if not starts:
-        return placed.withColumn("record_id", F.lit(0).cast("bigint")).drop("_m")
-    table = F.create_map(*(x for p, o in starts.items() for x in (F.lit(p), F.lit(o))))
-    within = F.row_number().over(Window.partitionBy(part).orderBy("_m")) - 1
-    return placed.withColumn("record_id", (table[part] + within).cast("bigint")).drop("_m")
+    counts = lines.groupBy("file", "start").agg(F.count("*").alias("n")).orderBy("file", "start").collect()
+    before, total = {}, 0
+    for r in counts:
+        before[r["file"], r["start"]] = total
+        total += r["n"]
+    shared = lines.sparkSession.sparkContext.broadcast(before)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            keys = pa.StructArray.from_arrays([batch.column(1), batch.column(2)], ["file", "start"])
+            # a task may read several splits, one after another
+            file, start = batch.column(1).dictionary_encode().indices.to_numpy(), batch.column(2).to_numpy()
+            new = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1
+            cuts = np.concatenate([[0], new, [batch.num_rows]]) if batch.num_rows else np.zeros(1, np.int64)
+            out = np.zeros(batch.num_rows, np.int64)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = keys[lo].as_py()
+                at = own["file"], own["start"]
+                first = shared.value[at] + done.get(at, 0)
+                out[lo:hi] = np.arange(first, first + hi - lo)
+                done[at] = done.get(at, 0) + hi - lo
+            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column(0)], names=["record_id", "value"])
+
+    return lines.select("value", "file", "start").mapInArrow(run, "record_id bigint, value string")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -170,11 +189,218 @@ def bam_records(body: bytes, refs, at: int) -> Iterator[tuple]:
         at += 4 + n
 
 
-class BamSource(DataSource):
-    """``spark.read.format("bam").load(path)``: a file whose bytes each task can open, by path.
+#: Compressed bytes of a split.
+SPLIT = 32 << 20
+#: A block holds no more than this, compressed or not.
+MOST_BLOCK = 1 << 16
+
+
+@dataclass(frozen=True)
+class Split(InputPartition):
+    """Records that begin in blocks from begin to end of a file; at (block, offset in it) if that is known."""
+
+    path: str
+    begin: int
+    end: int
+    at: tuple[int, int] | None = None
+    first_id: int = 0
+
+    def __hash__(self):
+        return hash((self.path, self.begin))
+
+
+class BlockFile:
+    """A BGZF file, of any store that Arrow opens, from some place on."""
+
+    def __init__(self, path: str):
+        store, name = open_store(path)
+        self.file = store.open_input_file(name)
+        self.size = self.file.size()
 
-    For stores that only Spark opens, ``read_bam`` takes the bytes from Spark's reader.
+    def bytes(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(max(0, min(n, self.size - at)))
+
+    def block(self, at: int) -> tuple[bytes, int]:
+        """(contents, compressed size) of the block at a place; (b"", 0) behind the last one."""
+        data = self.bytes(at, MOST_BLOCK + 1)
+        if not data:
+            return b"", 0
+        size = block_size(data, 0)
+        if size is None:
+            raise ValueError(f"not a BGZF block at byte {at}")
+        return zlib.decompress(data[12 + struct.unpack_from("<H", data, 10)[0] : size - 8], -15), size
+
+    def next_block(self, at: int) -> int:
+        """Where the first block at or behind a place begins: one that others follow, to the end or for a while."""
+        data = self.bytes(at, 4 * MOST_BLOCK)
+        k = data.find(BLOCK_MARK)
+        while k >= 0:
+            here, n = k, 0
+            while here < len(data) and n < 3 and (size := block_size(data, here)):
+                here, n = here + size, n + 1
+            if n == 3 or at + here == self.size:
+                return at + k
+            k = data.find(BLOCK_MARK, k + 1)
+        return self.size
+
+
+def open_store(path: str):
+    """(file system, path in it) by Arrow; a bare path is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"^[a-z0-9+]+:", path) else (fs.LocalFileSystem(), path)
+
+
+BLOCK_MARK = b"\x1f\x8b\x08\x04"
+
+
+def block_size(data: bytes, at: int) -> int | None:
+    if data[at : at + 4] != BLOCK_MARK or at + 18 > len(data):
+        return None
+    stop, i = at + 12 + struct.unpack_from("<H", data, at + 10)[0], at + 12
+    while i + 4 <= min(stop, len(data)):
+        n = struct.unpack_from("<H", data, i + 2)[0]
+        if data[i : i + 2] == b"BC" and n == 2 and i + 6 <= len(data):
+            return struct.unpack_from("<H", data, i + 4)[0] + 1
+        i += 4 + n
+    return None
+
+
+def bam_start(path: str) -> tuple[str, list[tuple[str, int]], tuple[int, int]]:
+    """(header text, contigs, (block, offset) of the first record)."""
+    file, body, sizes, at = BlockFile(path), b"", [], 0
+    while True:
+        data, size = file.block(at)
+        if not size:
+            raise ValueError(f"{path}: the header is cut off")
+        sizes.append((at, len(body)))
+        body, at = body + data, at + size
+        try:
+            text, refs, stop = bam_header(body)
+        except (struct.error, IndexError):
+            continue
+        if stop <= len(body):
+            block, begin = max(x for x in sizes if x[1] <= stop)
+            return text, refs, (block, stop - begin) if stop < len(body) else (at, 0)
+
+
+def _plausible(body: bytes, at: int, contigs: int) -> int | None:
+    """The length of what may be a record at a place; None if it can't be one."""
+    if at + 36 > len(body):
+        return None
+    size, tid, pos, name, _, _, ops, _, bases, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", body, at)
+    if not (-1 <= tid < contigs and -1 <= mate < contigs and pos >= -1 and mate_pos >= -1 and name >= 1 and bases >= 0):
+        return None
+    if size < 32 + name + 4 * ops + (bases + 1) // 2 + bases or body[at + 35 + name : at + 36 + name] not in (b"\0", b""):
+        return None
+    return size + 4
+
+
+def find_record(file: BlockFile, at: int, contigs: int) -> tuple[int, int] | None:
+    """(block, offset) of the first record that begins in blocks from a place on, as far as can be told; None without any."""
+    block = at
+    while block < file.size:
+        body, places, here = b"", [], block
+        while len(body) < 4 * MOST_BLOCK:
+            data, size = file.block(here)
+            if not size:
+                break
+            places.append((here, len(body)))
+            body, here = body + data, here + size
+        first_size = places[1][1] if len(places) > 1 else len(body)
+        for start in range(first_size):
+            k, n = start, 0
+            while k < len(body) and n < 6 and (size := _plausible(body, k, contigs)):
+                k, n = k + size, n + 1
+            if n == 6 or n and (k == len(body) and here >= file.size or n >= 2 and k > len(body)):
+                return block, start
+        block += file.block(block)[1]
+    return None
+
+
+def split_records(split: Split, contigs: int) -> Iterator[tuple[int, int, bytes]]:
+    """(block, offset, record) of the records that begin in a split, and at the end one without a record: where the next begins."""
+    file = BlockFile(split.path)
+    at = split.at or find_record(file, file.next_block(split.begin), contigs)
+    if at is None:
+        yield file.size, 0, b""
+        return
+    block, offset = at
+    body, size = file.block(block)
+    starts, after = [(0, block)], block + size  # where blocks begin in body
+    while True:
+        while offset >= len(body) or len(body) < offset + 4 or len(body) < offset + 4 + struct.unpack_from("<i", body, offset)[0]:
+            data, size = file.block(after)
+            if not size:
+                break
+            starts.append((len(body), after))
+            body, after = body + data, after + size
+        begin, block = max(x for x in starts if x[0] <= offset)
+        if offset >= len(body) or block >= split.end:
+            yield (block, offset - begin, b"") if offset < len(body) else (file.size, 0, b"")
+            return
+        n = struct.unpack_from("<i", body, offset)[0]
+        if offset + 4 + n > len(body):
+            raise ValueError(f"{split.path}: the last record is cut off")
+        yield block, offset - begin, body[offset + 4 : offset + 4 + n]
+        offset += 4 + n
+        if offset > 1 << 20:
+            cut = max(x[0] for x in starts if x[0] <= offset)
+            body, offset, starts = body[cut:], offset - cut, [(x - cut, b) for x, b in starts if x >= cut]
+
+
+def counted_splits(spark: SparkSession, paths: list[str], split: int = SPLIT) -> tuple[list[Split], list[list[tuple[str, int]]]]:
+    """(splits with where they begin and the number of their first record, contigs of each file).
+
+    A split that begins elsewhere than the one before it ends is counted again from there.
     """
+    out, contigs = [], []
+    for path in paths:
+        _, refs, at = bam_start(path)
+        contigs.append(refs)
+        size = BlockFile(path).size
+        cuts = [at[0], *range(at[0] + split, size, split), size]
+        out += [Split(path, a, b, at if a == at[0] else None) for a, b in zip(cuts, cuts[1:])]
+    of = {p: len(c) for p, c in zip(paths, contigs, strict=True)}
+
+    def facts(s: Split) -> tuple[tuple[int, int] | None, tuple[int, int], int]:
+        first, n = None, 0
+        for block, offset, record in split_records(s, of[s.path]):
+            first = first or (block, offset)
+            if record:
+                n += 1
+        return first, (block, offset), n
+
+    def counts(batches):
+        for batch in batches:
+            for path, begin, end, block, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, last, n = facts(Split(path, begin, end, None if block is None else (block, offset)))
+                yield pa.RecordBatch.from_pylist([{"path": path, "begin": begin, "b": first[0], "o": first[1], "eb": last[0], "eo": last[1], "n": n}], COUNTS)
+
+    COUNTS = pa.schema([("path", pa.string()), *((k, pa.int64()) for k in ("begin", "b", "o", "eb", "eo", "n"))])
+    rows = [(s.path, s.begin, s.end, *(s.at or (None, None))) for s in out]
+    frame = spark.createDataFrame(rows, "path string, begin bigint, end bigint, b bigint, o bigint").repartition(max(1, len(rows)), "path", "begin")
+    found = {(r.path, r.begin): r for r in frame.mapInArrow(counts, "path string, begin bigint, b bigint, o bigint, eb bigint, eo bigint, n bigint").collect()} if rows else {}
+    done, total, expected = [], 0, None
+    for s in out:
+        r = found[s.path, s.begin]
+        first, last, n = (r.b, r.o), (r.eb, r.eo), r.n
+        if done and done[-1].path == s.path and first != expected:
+            if expected[0] >= s.end:  # one record fills the whole split
+                first, last, n = expected, expected, 0
+            else:
+                first, last, n = facts(replace(s, at=expected))
+        done.append(replace(s, at=first, first_id=total))
+        total, expected = total + n, last
+    return [s for s in done if s.at[0] < s.end], contigs
+
+
+NAMES = [c.split()[0] for c in SCHEMA.replace(TAGS, "tags_").split(", ")]
+
+
+class BamSource(DataSource):
+    """``spark.read.format("bam").load(path)``: files of stores that Arrow opens, a task for each split."""
 
     @classmethod
     def name(cls) -> str:
@@ -184,81 +410,113 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"], [f.name for f in schema.fields])
+        return BamReader(self.options, [f.name for f in schema.fields])
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns = path.removeprefix("file://"), columns
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            data = f.read()
-        names = [c.split()[0] for c in SCHEMA.replace(TAGS, "tags_").split(", ")]
-        keep = [names.index(c) for c in self.columns]
-        for row in _numbered_records(data):
+    def __init__(self, options, columns: list[str]):
+        self.paths, self.columns = bam_paths(options["path"]), columns
+        self.split = int(options.get("split", SPLIT))
+
+    def partitions(self) -> list[Split]:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        if spark is None:  # planned outside the driver: a split for each file, counted here
+            out, total = [], 0
+            for path in self.paths:
+                _, refs, at = bam_start(path)
+                whole = Split(path, at[0], BlockFile(path).size, at, total)
+                out.append(whole)
+                total += sum(bool(r) for *_, r in split_records(whole, len(refs))) if len(self.paths) > 1 else 0
+            return out
+        return counted_splits(spark, self.paths, self.split)[0]
+
+    def read(self, partition: Split) -> Iterator[tuple]:
+        keep = [NAMES.index(c) for c in self.columns]
+        for row in numbered_records(partition):
             yield tuple(row[i] for i in keep)
 
 
-def _numbered_records(data: bytes) -> Iterator[tuple]:
-    body = b"".join(b for _, b in bgzf_blocks(data))
-    _, refs, at = bam_header(body)
-    for i, r in enumerate(bam_records(body, refs, at)):
-        yield (i, *r)
+def bam_paths(path: str) -> list[str]:
+    """Files by path, pattern or folder, sorted; none is an error."""
+    from glob import glob
+    from pathlib import Path
+
+    plain = path.removeprefix("file://")
+    if re.match(r"^[a-z0-9+]+:", plain):
+        return [plain]
+    found = sorted(str(p) for p in Path(plain).glob("*.bam")) if Path(plain).is_dir() else sorted(glob(plain))
+    if not found:
+        raise FileNotFoundError(f"no file at {path}")
+    return found
+
+
+def numbered_records(split: Split) -> Iterator[tuple]:
+    refs = bam_start(split.path)[1]
+    k = split.first_id
+    for _, _, record in split_records(split, len(refs)):
+        if record:
+            yield (k, *bam_record(record, refs))
+            k += 1
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """BAM files through Spark's own file reader; record numbers start anew in each file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def read_bam(spark: SparkSession, *paths: str, split: int = SPLIT) -> DataFrame:
+    """BAM files, read by splits; records are numbered densely, in the order of files and of records in them."""
+    splits, _ = counted_splits(spark, [x for p in paths for x in bam_paths(p)], split)
 
     def run(batches):
         import pandas as pd
 
-        names = [c.split()[0] for c in SCHEMA.replace(TAGS, "tags_").split(", ")]
         for batch in batches:
-            for content in batch["content"]:
+            for path, begin, end, block, offset, first in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
                 rows = []
-                for r in _numbered_records(bytes(content)):
+                for r in numbered_records(Split(path, begin, end, (block, offset), first)):
                     rows.append(r)
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=names)
+                    if len(rows) == 5_000:
+                        yield pd.DataFrame(rows, columns=NAMES)
                         rows = []
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=NAMES)
 
-    return files.mapInPandas(run, SCHEMA)
+    rows = [(s.path, s.begin, s.end, *s.at, s.first_id) for s in splits]
+    frame = spark.createDataFrame(rows, "path string, begin bigint, end bigint, block bigint, offset bigint, first bigint")
+    return frame.repartition(max(1, len(rows)), "path", "begin").mapInPandas(run, SCHEMA)
 
 
-def write_bam(path: str, text: str, refs: list[tuple[str, int]], records: Iterator[tuple]) -> None:
-    """A small BAM file, for tests and hand-offs: records as ``bam_record`` gives them."""
-    body = bytearray(b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(refs)))
+def bam_bytes(text: str, refs: list[tuple[str, int]]) -> bytes:
+    """A BAM file up to its records."""
+    out = bytearray(b"BAM\x01" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(refs)))
     for name, length in refs:
-        body += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
-    for qname, flags, tid, _, pos, mapq, cigar, mate_tid, _, mate_pos, size, seq, _, quals, tags in records:
-        seq = "" if seq == "*" else seq
-        codes = [SEQ.index(c) for c in seq] + [0] * (len(seq) % 2)
-        ops = [int(n) << 4 | OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-        rec = struct.pack("<iiBBHHHiiii", tid, pos, len(qname) + 1, mapq, 0, len(ops), flags, len(seq), mate_tid, mate_pos, size) + qname.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops)
-        rec += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + (bytes(quals) if quals else b"\xff" * len(seq))
-        for tag, v in tags.items():
-            kind, value = v["type"], v["value"]
-            rec += tag.encode() + kind.encode()
-            if kind in "ZH":
-                rec += value.encode() + b"\0"
-            elif kind == "A":
-                rec += value.encode()
-            elif kind == "B":
-                xs = [int(x) for x in value.split(",")]
-                rec += b"i" + struct.pack(f"<i{len(xs)}i", len(xs), *xs)
-            else:
-                rec += struct.pack("<" + _SIZES[kind], float(value) if kind in "fd" else int(value))
-        body += struct.pack("<i", len(rec)) + rec
-    with open(path, "wb") as f:
-        for at in range(0, len(body), 60_000):
-            f.write(_bgzf(bytes(body[at : at + 60_000])))
-        f.write(_bgzf(b""))
+        out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+    return bytes(out)
+
+
+def record_bytes(row) -> bytes:
+    """A record as BAM has it; row: a mapping with the columns of SCHEMA."""
+    seq = "" if row["seq"] in (None, "*") else row["seq"]
+    codes = [SEQ.index(c) for c in seq] + [0] * (len(seq) % 2)
+    ops = [int(n) << 4 | OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", row["cigar"] or "")]
+    out = struct.pack("<iiBBHHHiiii", row["tid"], row["pos"], len(row["qname"]) + 1, row["mapq"], 0, len(ops), row["flags"], len(seq), row["mate_tid"], row["mate_pos"], row["insert_size"])
+    out += row["qname"].encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    out += bytes(row["quals"]) if row["quals"] is not None and len(row["quals"]) else b"\xff" * len(seq)
+    for tag, v in dict(row["tags"] or {}).items():
+        kind, value = v["type"], v["value"]
+        out += tag.encode() + kind.encode()
+        if kind in "ZH":
+            out += value.encode() + b"\0"
+        elif kind == "A":
+            out += value.encode()
+        elif kind == "B":
+            sub, _, rest = value.partition(",") if value[:1].isalpha() else ("i", "", value)
+            xs = [float(x) if sub == "f" else int(x) for x in rest.split(",")] if rest else []
+            out += sub.encode() + struct.pack(f"<i{len(xs)}{_SIZES[sub]}", len(xs), *xs)
+        else:
+            out += struct.pack("<" + _SIZES[kind], float(value) if kind in "fd" else int(value))
+    return struct.pack("<i", len(out)) + out
+
+
+def compressed(data: bytes) -> bytes:
+    return b"".join(_bgzf(data[at : at + 60_000]) for at in range(0, len(data), 60_000))
 
 
 def _bgzf(data: bytes) -> bytes:
@@ -276,5 +534,70 @@ def sam_lines(reads: DataFrame) -> DataFrame:
     return reads.select("record_id", F.array_join(F.concat(F.array(*parts), tag), "\t").alias("value"))
 
 
-def write_sam(reads: DataFrame, path: str) -> None:
-    sam_lines(reads).orderBy("record_id").select("value").coalesce(1).write.mode("overwrite").text(path)
+def with_program(header: str, name: str, version: str, command: str = "") -> str:
+    """The header with a @PG line more, which points to the last one before it."""
+    ids = [f[3:] for line in header.splitlines() if line.startswith("@PG\t") for f in line.split("\t")[1:] if f.startswith("ID:")]
+    own, k = name, 0
+    while own in ids:
+        k += 1
+        own = f"{name}.{k}"
+    fields = [f"ID:{own}", f"PN:{name}", f"VN:{version}", *([f"PP:{ids[-1]}"] if ids else []), *([f"CL:{command}"] if command else [])]
+    return "\n".join([*(line for line in header.splitlines() if line), "\t".join(["@PG", *fields])])
+
+
+def header_of(refs: list[tuple[str, int, str | None]]) -> str:
+    """A header with contigs, in order."""
+    return "\n".join(["@HD\tVN:1.6\tSO:unknown", *("\t".join([f"@SQ\tSN:{n}", f"LN:{k}", *([f"M5:{m}"] if m else [])]) for n, k, m in refs)])
+
+
+def write_sam(reads: DataFrame, path: str, header: str = "", single: bool = False) -> None:
+    """SAM text in input order, after its header: sorted parts whose names are in order, or all in one."""
+    from baseloom.sinks.sites import join_parts
+    from baseloom.sources.manifest import write_text
+
+    sam_lines(reads).orderBy("record_id").select("value").write.mode("overwrite").text(path)
+    if header:
+        write_text(reads.sparkSession, f"{path.rstrip('/')}/part-00000--header.txt", header.rstrip("\n") + "\n")
+    if single:
+        join_parts(reads.sparkSession, path)
+
+
+def write_bam(reads: DataFrame, path: str, header: str) -> None:
+    """One BAM file in input order.
+
+    Tasks sort and compress their share beside the path; compressed blocks may follow one
+    another, so the driver only streams the parts together.
+    """
+    refs = [(n, k) for n, k, _ in contigs(header)]
+    work = f"{path}.parts-{uuid4().hex}"
+    store, folder = open_store(work)
+    store.create_dir(folder)
+    ordered = reads.repartitionByRange("record_id").sortWithinPartitions("record_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        store, folder = open_store(work)
+        name = f"{folder}/{task.partitionId():08d}"
+        part, held = f"{name}.{task.taskAttemptId()}", bytearray()
+        with store.open_output_stream(part) as out:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    held += record_bytes(row)
+                    if len(held) >= 1 << 20:
+                        out.write(compressed(bytes(held)))
+                        held = bytearray()
+            if held:
+                out.write(compressed(bytes(held)))
+        store.move(part, name)  # a repeated attempt writes the same
+        yield pa.RecordBatch.from_pydict({"part": [name]})
+
+    parts = sorted(r.part for r in ordered.mapInArrow(run, "part string").collect())
+    store, name = open_store(path)
+    with store.open_output_stream(name) as out:
+        out.write(compressed(bam_bytes(header.rstrip("\n") + "\n", refs)))
+        for part in parts:
+            with store.open_input_stream(part) as source:
+                while data := source.read(1 << 20):
+                    out.write(data)
+        out.write(_bgzf(b""))
+    store.delete_dir(folder)

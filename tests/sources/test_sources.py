@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from baseloom.sources import alignments as A
 from baseloom.sources import manifest as M
@@ -29,28 +30,69 @@ def test_sam(spark, sam):
 
 def test_sam_round_trip(spark, sam, tmp_path):
     reads = A.read_sam(spark, sam)
-    A.write_sam(reads, str(tmp_path / "out"))
+    header = A.with_program(A.header(spark, sam), "baseloom", "1", "scan x")
+    A.write_sam(reads.repartition(3), str(tmp_path / "out"), header)
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert lines[1:] == SAM.splitlines()[5:] and lines[0].startswith("a\t99\tchr1\t3\t60\t2S3M\t=\t9\t20\tACGTN\tIIII#\tNM:i:1\tXG:Z:C:T")
+    assert [x for x in lines if x[0] == "@"] == [*SAM.splitlines()[:4], "@PG\tID:baseloom\tPN:baseloom\tVN:1\tCL:scan x"]
+    assert A.read_sam(spark, str(tmp_path / "out")).orderBy("record_id").collect() == reads.orderBy("record_id").collect()
+    A.write_sam(reads.repartition(3), str(tmp_path / "one"), header, single=True)
+    (part,) = (p for p in (tmp_path / "one").iterdir() if p.name.startswith("part-"))
+    text = part.read_text().splitlines()
+    assert text[:5] == header.splitlines() and text[6:] == SAM.splitlines()[5:] and text[5].startswith("a\t99\tchr1\t3\t60\t2S3M\t=\t9\t20\tACGTN\tIIII#\tNM:i:1\tXG:Z:C:T")
+    again = A.with_program(header, "baseloom", "1")
+    assert again.splitlines()[-1] == "@PG\tID:baseloom.1\tPN:baseloom\tVN:1\tPP:baseloom"
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    lines = [f"r{i}\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\t*" for i in range(3000)]
+    for k in range(3):
+        (tmp_path / f"f{k}.sam").write_text("@HD\tVN:1.6\n" + "\n".join(lines[1000 * k : 1000 * k + 1000]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 7000)
+    try:
+        got = A.read_sam(spark, str(tmp_path / "*.sam")).select("record_id", "qname").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.record_id, r.qname) for r in got) == [(i, f"r{i}") for i in range(3000)]
 
 
 def test_bam_equals_sam(spark, sam, tmp_path):
-    rows = A.read_sam(spark, sam).orderBy("record_id").collect()
-    records = [(r.qname, r.flags, r.tid, r.ref_name, r.pos, r.mapq, r.cigar, r.mate_tid, r.mate_ref_name, r.mate_pos, r.insert_size, r.seq, r.qual, r.quals, {k: {"type": v.type, "value": v.value.removeprefix("i,") if v.type == "B" else v.value} for k, v in r.tags.items()}) for r in rows]
+    reads, header = A.read_sam(spark, sam), A.header(spark, sam)
     path = str(tmp_path / "x.bam")
-    A.write_bam(path, SAM[: SAM.index("a\t99")], [("chr1", 40), ("chr2", 9)], iter(records))
-    got = A.read_bam(spark, path).orderBy("record_id").collect()
+    A.write_bam(reads.repartition(2), path, header)
+    rows, got = (x.orderBy("record_id").collect() for x in (reads, A.read_bam(spark, path)))
     for r, g in zip(rows, got, strict=True):
-        same = [c for c in r.asDict() if c not in ("tags",)]
-        assert [g[c] for c in same] == [r[c] for c in same]
+        assert [g[c] for c in r.asDict() if c != "tags"] == [r[c] for c in r.asDict() if c != "tags"]
     assert {k: v.value for k, v in got[0].tags.items()} == {"NM": "1", "XG": "C:T", "YD": "f", "FL": "1.5", "BB": "1,2"}
+    assert A.bam_start(path)[0].rstrip() == header and [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
     spark.dataSource.register(A.BamSource)
-    assert [r.qname for r in spark.read.format("bam").load(path).select("qname").collect()] == ["a", "b", "c"]
+    assert sorted(r.qname for r in spark.read.format("bam").load(path).select("qname").collect()) == ["a", "b", "c"]
     with pytest.raises(ValueError, match="BGZF"):
         list(A.bgzf_blocks(b"nothing like it"))
     assert A.aux_tags(b"NMC\x05XXZab") == {"NM": ("C", "5")}
 
 
+def test_bam_splits(spark, tmp_path):
+    """Records that straddle blocks and splits come once, with dense numbers over files, whatever the splits."""
+    import random
+
+    r = random.Random(3)
+    header = A.header_of([("c", 10_000, None), ("d", 90, "m")])
+    counts = (4000, 1, 0, 2500)
+    for k, n in enumerate(counts):
+        rows = []
+        for i in range(n):
+            size = r.choice([0, 5, 80, 150, 3000]) if i % 500 else 90_000
+            seq = "".join(r.choices("ACGT", k=size))
+            rows.append((i, f"f{k}r{i}", 4 if i % 3 else 0, i % 2, "cd"[i % 2], i, 7, f"{size}M" if size else "*", -1, None, -1, 0, seq or "*", "?" * size or None, [30] * size or None, {"XX": ("Z", "x" * r.randint(0, 40)), "NM": ("i", str(i))}))
+        A.write_bam(spark.createDataFrame(rows, A.SCHEMA).repartition(3), str(tmp_path / f"f{k}.bam"), header)
+    expected = [f"f{k}r{i}" for k, n in enumerate(counts) for i in range(n)]
+    for split in (50_000, 200_000, 1 << 30):
+        splits, _ = A.counted_splits(spark, A.bam_paths(str(tmp_path)), split)
+        out = A.read_bam(spark, str(tmp_path), split=split).select("record_id", "qname", F.col("tags")["NM"]["value"].alias("nm"), F.length("seq").alias("n")).orderBy("record_id").collect()
+        assert [x.qname for x in out] == expected and [x.record_id for x in out] == list(range(len(expected)))
+        assert all(x.qname.endswith(f"r{x.nm}") for x in out) and (split > 1e6 or len(splits) > 5)
+
+
 def test_fasta(spark, tmp_path):
     text = ">chr1 first\nACGTn\nACGT\n>chr2\n;comment\nRYk\r\n>empty\n"
     (tmp_path / "x.fa").write_text(text)

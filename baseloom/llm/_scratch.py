@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +24,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class _Cleaning:
+    """Tells Spark to delete the shuffle files of a query as soon as it ends, while any table of the session is written."""
+
+    def __init__(self):
+        self.lock, self.writers, self.before = threading.Lock(), 0, "false"
+
+    @contextmanager
+    def on(self, conf):
+        with self.lock:
+            if not self.writers:
+                self.before = conf.get(CLEANUP, "false")
+                conf.set(CLEANUP, "true")
+            self.writers += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.writers -= 1
+                if not self.writers:
+                    conf.set(CLEANUP, self.before)
+
+
+_CLEANING = _Cleaning()
+
+
 class Scratch:
     """Writes tables to cut lineage and reads them back.
 
-    A written table survives the loss of an executor.  While it is written, Spark is
-    told to delete the shuffle files of a query as soon as the query ends.
+    A written table survives the loss of an executor.  What results may still read is
+    deleted when the driver's JVM ends, all else by ``drop``.
     """
 
     def __init__(self, spark: SparkSession):
@@ -34,23 +61,22 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/baseloom-{uuid.uuid4().hex}"
         self.count = 0
 
-    def path(self) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count}"
+    def _folder(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, codec: str = "zstd", **options: str) -> DataFrame:
-        path, conf = self.path(), self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
-        try:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        with _CLEANING.on(self.spark.conf):
             df.write.options(compression=codec, **options).parquet(path)
-        finally:
-            conf.set(CLEANUP, before)
+        if self.count == 1:
+            folder, fs = self._folder(self.root)
+            fs.deleteOnExit(folder)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for root in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
+            folder, fs = self._folder(root)
+            fs.delete(folder, True)

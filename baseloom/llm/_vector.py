@@ -1,8 +1,8 @@
-"""NumPy over the bytes of Arrow batches: words, rolling hashes and packed exchanges.
+"""NumPy over the bytes of Arrow batches: words, window hashes and packed exchanges.
 
 A *block* is some consecutive texts of a batch, about ``BLOCK`` bytes or one longer
-text, so that the working arrays stay near the caches.  Hashes are polynomials modulo
-2**64 with an odd base, taken from prefix sums, and then mixed.
+text, so that the working arrays stay near the caches.  Words are hashed eight bytes at
+a time, windows by joining halves; every step is mixed, so no sum of powers can cancel.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 20
 #: Null identifiers come before all others.
@@ -86,35 +87,76 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Poly:
-    """Hashes of spans of a sequence from prefix sums; the powers are kept for all blocks."""
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, in which the order counts."""
+    h = a * np.uint64(BASE_1)
+    h ^= h >> np.uint64(32)
+    h += b
+    h *= np.uint64(BASE_2)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+#: Spans of more bytes are hashed one by one.
+LONG = 512
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of each span, which take turns to be mixed in, eight at once."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * np.uint64(BASE_3) + np.uint64(seed))
+    long = np.flatnonzero(size > LONG)
+    for i in long.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    left, some = size.copy(), slice(None)
+    left[long] = 0
+    at = starts
+    while True:
+        value = eight[at] & _HEAD[np.minimum(left, 8)]
+        h[some] = np.where(left > 0, join(h[some], value), h[some])
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h
+        some, at, left = (more if isinstance(some, slice) else some[more]), at[more] + 8, left[more] - 8
+
+
+_BYTES = {}
+
+
+def of_bytes(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each byte."""
+    if seed not in _BYTES:
+        _BYTES[seed] = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE_3) + np.uint64(seed))
+    return _BYTES[seed][data]
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
+def windows(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """A hash of each width neighbouring values: two halves are joined, and so on, the last ones overlapping."""
+    n, have, out = len(values) - width + 1, 1, values ^ np.uint64(seed)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    while have * 2 <= width:
+        out = join(out[:-have], out[have:])
+        have *= 2
+    return mix(join(out[:n], out[width - have : width - have + n]))
 
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, np.uint64)
-        term = values.astype(np.uint64)
-        term += np.uint64(1)
-        term *= self.up[: len(values)]
-        np.cumsum(term, out=out[1:])
-        return out
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
-        return mix((prefix[ends] - prefix[starts]) * self.down[: len(prefix)][starts])
+def covering(hashes: np.ndarray, width: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans, from the hashes of windows of that width that cover them one after another; no span is shorter."""
+    h = (ends - starts).astype(np.uint64)
+    for at in range(0, int((ends - starts).max(initial=0)), width):
+        h = join(h, hashes[np.minimum(starts + at, ends - width)])
+    return mix(h)
 
 
 def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Binary values: the bytes of values between neighbouring cuts."""
     values = np.ascontiguousarray(values)
+    if len(values) * values.itemsize >= 1 << 31:
+        raise OverflowError("packed values of a batch must stay under 2 GB")
     offs = (cuts * values.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offs), pa.py_buffer(values)])
 

@@ -23,14 +23,23 @@ DOCS = "id bigint, rk bigint"
 
 
 def keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, id, rk, text): id without nulls, rk a hash that tells rows of one id apart."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ident = F.col(id_col).cast("bigint")
+    """(doc_id, id, rk, text): id without nulls, rk a hash that tells rows of one id apart.
+
+    Ids are whole numbers, or texts of such; others are an error in ANSI mode.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    ident = F.col(f"`{id_col}`").cast("bigint")
     return docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(NULL_ID)).alias("id"), F.xxhash64(ident, text).alias("rk"), text.alias("text"))
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Text that the entries of one task come from, on average.
+TASK_BYTES = 64 << 20
+
+
+def partitions(texts: DataFrame) -> int:
+    """Tasks of an exchange: as many as are configured, or more, so that what a task holds doesn't grow with the input."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
 def empty(schema: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -55,7 +64,7 @@ class Entries:
         return out
 
 
-def exchange(df: DataFrame, send: Callable, receive: Callable, sent: dict[str, type], answer: tuple[str, ...]) -> DataFrame:
+def exchange(df: DataFrame, send: Callable, receive: Callable, sent: dict[str, type], answer: tuple[str, ...], tasks: int) -> DataFrame:
     """(id, rk, answers): a row for each document with answers, each kind of them packed.
 
     send: from batches to (entries, own answers).  receive: from all entries of some keys
@@ -63,7 +72,6 @@ def exchange(df: DataFrame, send: Callable, receive: Callable, sent: dict[str, t
     Answers are columns of positions beside id and rk; -1 stands for none.  Both trips
     go packed: a row holds what a task has for a bucket of keys, or of documents.
     """
-    tasks = partitions(df)
     count = 2 * tasks
     names = {"id": np.int64, "rk": np.int64} | sent
     answers = {"id": np.int64, "rk": np.int64} | dict.fromkeys(answer, np.int64)
@@ -138,7 +146,7 @@ def first_of(keys: list[np.ndarray], at: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def later_windows(df: DataFrame, windows: Callable) -> DataFrame:
+def later_windows(df: DataFrame, windows: Callable, tasks: int) -> DataFrame:
     """windows: from batches to entries h1, h2, id, rk, pos.  Answers ``later``: starts of windows that also start earlier."""
 
     def settle(at: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
@@ -150,7 +158,7 @@ def later_windows(df: DataFrame, windows: Callable) -> DataFrame:
             first, settled = settle(at)
             yield {k: v[first] for k, v in at.items()}, settled
 
-    return exchange(df, send, lambda at: settle(at)[1], {"h1": np.uint64, "h2": np.uint64, "pos": np.int32}, ("later",))
+    return exchange(df, send, lambda at: settle(at)[1], {"h1": np.uint64, "h2": np.uint64, "pos": np.int32}, ("later",), tasks)
 
 
 def answered(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +37,17 @@ def budget(n: int, rate: float = RATE) -> int:
     return int(n * rate)
 
 
-def words_of(data: np.ndarray, offs: np.ndarray, poly: V.Poly) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the words' hashes, and of each text the index of its first word, and the number of words."""
     plain = V.LOWER[data]
     plain = np.where(_OTHER[data], np.uint8(32), plain)
     block = V.Block(slice(0, len(offs) - 1), plain, offs)
     starts, ends, first = V.split_words(block)
-    return poly.spans(poly.prefix(plain), starts, ends), first
+    return V.spans(plain, starts, ends), first
 
 
 def distance(item: np.ndarray, words: np.ndarray) -> int:
-    """The least number of word edits between item and any run of words (Myers, 1999)."""
+    """The least number of word edits between item and any run of words, by Myers' bit vectors (1999)."""
     m, at = len(item), {}
     for i, w in enumerate(item.tolist()):
         at[w] = at.get(w, 0) | 1 << i
@@ -88,7 +89,7 @@ class Pieces:
         """Pieces of the items with that many words; None without any."""
         data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         offs = np.cumsum([0, *(len(t) for _, t in items)])
-        words, first = words_of(data, offs, V.Poly(V.BASE_1))
+        words, first = words_of(data, offs)
         item, start, stop = [], [], []
         for i, n in enumerate(np.diff(first).tolist()):
             if n < max(1, least) or (most is not None and n > most):
@@ -102,41 +103,41 @@ class Pieces:
             return None
         item, start, stop = map(np.array, (item, start, stop))
         width = int((stop - start).min())
-        poly = V.Poly(V.BASE_2)
-        at = first[item] + start
-        grams = poly.spans(poly.prefix(words), at, at + width)
+        grams = V.windows(words, width)[first[item] + start]
         order = np.argsort(grams)
         return cls(np.array([i for i, _ in items]), words, first, grams[order], item[order], start[order], stop[order], width, rate)
 
-    def find(self, words: np.ndarray, first: np.ndarray, poly: V.Poly) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item's place, edits, word where the passage starts) of each item found in a text."""
-        n = len(words) - self.width + 1
-        if n <= 0:
+    def find(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item's place, least edits, word where the first passage with so few starts) of each item found in a text."""
+        here = V.windows(words, self.width)
+        if not len(here):
             return
-        prefix = poly.prefix(words)
-        here = poly.spans(prefix, slice(0, n), slice(self.width, len(words) + 1))
         small = np.zeros(1 << 16, bool)
         small[self.grams & np.uint64(0xFFFF)] = True
         maybe = np.flatnonzero(small[here & np.uint64(0xFFFF)])
         at = np.searchsorted(self.grams, here[maybe])
         maybe = maybe[(at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == here[maybe])]
         texts = np.searchsorted(first, maybe, "right") - 1
-        done: set[tuple[int, int]] = set()
+        best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
         for q, d in zip(maybe.tolist(), texts.tolist(), strict=True):
             lo, hi = int(first[d]), int(first[d + 1])
             for p in range(int(np.searchsorted(self.grams, here[q])), int(np.searchsorted(self.grams, here[q], "right"))):
                 i, s, e = int(self.item[p]), int(self.start[p]), int(self.stop[p])
                 base = int(self.first[i])
-                if (d, i) in done or (d, i, q - s) in tried or q + e - s > hi or not np.array_equal(words[q : q + e - s], self.words[base + s : base + e]):
+                known = best.get((d, i))
+                if known and known[0] == 0 or (d, i, q - s) in tried:
+                    continue
+                if q + e - s > hi or not np.array_equal(words[q : q + e - s], self.words[base + s : base + e]):
                     continue
                 tried.add((d, i, q - s))
                 whole = self.words[base : int(self.first[i + 1])]
                 k = budget(len(whole), self.rate)
                 edits = distance(whole, words[max(lo, q - s - k) : min(hi, q - s + len(whole) + k)])
-                if edits <= k:
-                    done.add((d, i))
-                    yield d, i, edits, max(lo, q - s) - lo
+                if edits <= k and (not known or edits < known[0]):
+                    best[d, i] = edits, max(lo, q - s) - lo
+        for (d, i), (edits, word) in best.items():
+            yield d, i, edits, word
 
 
 def _parts(benchmark: DataFrame, text_col: str, id_col: str, part_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -155,18 +156,22 @@ def _parts(benchmark: DataFrame, text_col: str, id_col: str, part_bytes: int) ->
 HIT = "array<struct<item_id:bigint,edits:int,word:int>>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, text_col: str = "text", bench_text: str = "text", bench_id: str = "item_id", part_bytes: int = PART_BYTES) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS,
+    text_col: str = "text", bench_text: str = "text", bench_id: str = "item_id", part_bytes: int = PART_BYTES, hits_col: str = "hits",
+) -> DataFrame:
     """All rows and columns, with ``hits``: item_id, edits and the passage's first word of each item found, by item_id.
 
-    Null and empty texts have no hits; null items and items without words have no
-    matches, and items under min_words words only exact ones; items of null id show as
-    the least bigint.  Whole texts are searched.
-    Without items all hits are empty.  Equal items each hit.  A column named hits is
-    replaced.  The benchmark is broadcast in parts of a bounded size, one pass each; a
-    pass shuffles nothing.
+    edits is the least of all passages of a text; word is where the first passage with
+    so few starts.  Null and empty texts have no hits; null items and items without
+    words have no matches, and items under min_words words only exact ones; items of
+    null id show as the least bigint.  Whole texts are searched.  Without items all
+    hits are empty.  Equal items each hit; repeated rows have the same hits.  A column
+    named as hits_col is replaced; all others stay, whatever their names.  The benchmark
+    is broadcast in parts of a bounded size, one pass each; a pass shuffles nothing.
     """
-    spark = docs.sparkSession
-    out = docs.withColumn("hits", F.array().cast(HIT))
+    spark, more = docs.sparkSession, f"more_{uuid4().hex}"
+    out = docs.withColumn(hits_col, F.array().cast(HIT))
     for items in _parts(benchmark, bench_text, bench_id, part_bytes):
         # short items apart: one piece's width is that of all
         pieces = [p for p in (Pieces.of(items, rate, min_words), Pieces.of(items, 0.0, 1, min_words - 1)) if p]
@@ -175,27 +180,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
         shared = spark.sparkContext.broadcast(pieces)
 
         def compute(batch: pa.RecordBatch, shared=shared) -> dict[str, pa.Array]:
-            one, two = _POLY_1, _POLY_2
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for block in V.blocks(batch):
-                words, first = words_of(block.data, block.offs, one)
+                words, first = words_of(block.data, block.offs)
                 for p in shared.value:
-                    for d, i, edits, at in p.find(words, first, two):
+                    for d, i, edits, at in p.find(words, first):
                         found[block.rows.start + d].append({"item_id": int(p.ids[i]), "edits": edits, "word": at})
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("word", pa.int32())]))
-            return {"more": pa.array(found, kind)}
+            return {more: pa.array(found, kind)}
 
-        out = beside(out, text_col, compute, f"more {HIT}")
-        out = out.withColumn("hits", F.array_sort(F.concat("hits", "more"))).drop("more")
+        out = beside(out, text_col, compute, f"`{more}` {HIT}")
+        out = out.withColumn(hits_col, F.array_sort(F.concat(F.col(f"`{hits_col}`"), F.col(more)))).drop(more)
     return out
 
 
-_POLY_1, _POLY_2 = V.Poly(V.BASE_1), V.Poly(V.BASE_2)
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows without hits, with the columns of the input."""
-    return decontaminate(docs, benchmark, **options).filter(F.size("hits") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = f"hits_{uuid4().hex}"
+    found = decontaminate(docs, benchmark, hits_col=name, **options)
+    return found.filter(F.size(name) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,30 +2,31 @@
 
 A document is the set of its word shingles.  All shingles have a global order: those of
 one set alone, those of several, then frequent ones, each by hash.  So the first few
-shingles of a set, its prefix, are its rarest.  Rare shingles are indexed one by one, if
-several sets may have them.  Frequent ones fall into subclasses and are indexed in pairs
-from the same subclass, for which the prefix is extended: a subclass with n shingles in
-the prefix covers n - 1 of the shingles that a partner may lack.  Once the prefix covers
-one more than may be lacking, any partner shares an index key.
+shingles of a set, its prefix, are its rarest; any partner shares one of them.  Sets
+with enough rare shingles index these one by one, if several sets may have them.
+
+Other sets also extend their prefix into the frequent shingles, which are indexed in
+combinations.  Frequent shingles fall into classes by hash, and the key of a class is
+the combination of all that a set has of it.  Two similar sets differ in a bounded
+number of shingles, each of which spoils one class at most; so one of the first classes
+that aren't empty, one more than may be spoilt, has the same combination in both.  How many classes
+there are depends on the size, so a set is indexed for its own level of sizes and for
+the next.  A set with too few classes that aren't empty is indexed again with twice as
+many, and so on until each shingle stands alone; partners meet where one has enough.
 
 Which shingles several sets have is read from a bit table by hash, which is broadcast;
 its size follows the input up to a bound.  Where it is too full it sends more shingles
 than needed into the index, but it never misses one, so results don't depend on it.
 
-Equal sets are one node.  Nodes that share a key are compared with the key's *pivots*
-alone, never all with all: nodes that links already join need no comparison, so a key
-is done as soon as its nodes are in one component.
-
-The first pivot is the node with the smallest share of shingles of its own: what others
-are copies of.  If one of two nodes has less in common with the pivot than the two need
-in common, they share a shingle that the pivot lacks; so such pairs move from their key
-to keys of the pivot's rest, where few nodes meet.  Pairs of which one has too few
-shingles that any other set may have are left out at once.  Rounds go on, with more
-pivots each, until all keys are done.
+Equal sets are one node.  Nodes that share a key are paired with the key's *pivot*
+alone, the node with the smallest share of shingles of its own: what others are copies
+of.  That joins most of them.  Where a pivot's nodes are still in several components,
+those outside the largest one are paired with the others; the group is dealt in blocks.
+Pairs are verified on whole sets, unless sizes rule them out, or sketches do: of the
+parities of hashed shingles, no more differ than shingles do.
 
 Components need no more than that.  For numbers of links all pairs of nodes that share
-a key and whose sizes allow it are compared instead; the nodes of a key are dealt in
-blocks, so that no task has more than two blocks of a key at once.
+a key and whose sizes allow it are compared instead, by blocks of the nodes of a key.
 """
 
 from __future__ import annotations
@@ -35,12 +36,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baseloom.llm import _vector as V
+from baseloom.llm._hot import join_hot
 from baseloom.llm._scratch import Scratch
-from baseloom.llm._windows import FLUSH, Answers, Entries, exchange, keyed, partitions
+from baseloom.llm._windows import FLUSH, keyed, partitions
 from baseloom.llm.components import components
 
 SHINGLE = 5
@@ -50,25 +53,26 @@ FREQUENT = 48
 FREQUENT_SHARE = 1 << 20
 #: Bound of the bit table: 128 MB.
 MAX_BITS = 1 << 30
-#: One subclass of frequent shingles for so many shingles of a set.
-SUBCLASS = 32
-PIVOTS = 8
-#: Nodes in a block of a key, on average, where all pairs are compared.
+#: Classes of frequent shingles, as a share of a level's largest size.
+CLASSES = 0.35
+#: Nodes in a block of a key or pivot, on average.
 BLOCK_NODES = 256
 
 
-def shingles(block: V.Block, size: int, one: V.Poly, two: V.Poly) -> tuple[np.ndarray, np.ndarray]:
+def shingles(block: V.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the distinct shingles of each text, sorted."""
     low = V.LOWER[block.data]
     starts, ends, first = V.split_words(V.Block(block.rows, low, block.offs))
-    words = one.spans(one.prefix(low), starts, ends)
+    words = V.spans(low, starts, ends)
     count = np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
     k = np.arange(len(words))
-    wide = np.minimum(size, count)[doc]
-    ok = (k - first[doc] + wide <= count[doc]) & ((count[doc] >= size) | (k == first[doc]))
-    k, doc, wide = k[ok], doc[ok], wide[ok]
-    h = two.spans(two.prefix(words), k, k + wide)
+    ok = (k - first[doc] + size <= count[doc])[: max(0, len(words) - size + 1)]
+    h, doc = V.windows(words, size)[ok], doc[: len(ok)][ok]
+    for few in range(1, size):  # a text of fewer words is one shingle
+        short = np.flatnonzero(count == few)
+        if len(short):
+            h, doc = np.concatenate([h, V.windows(words, few, few)[first[short]]]), np.concatenate([doc, short])
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -88,27 +92,40 @@ def lacking(n: np.ndarray | int, percent: int):
     return n - -(-n * percent // 100)
 
 
+def level(n: int, percent: int) -> tuple[int, int, int]:
+    """(level, its largest size, the next level's); similar sets are of the same level or of neighbouring ones."""
+    at, most = 0, 1
+    while True:
+        after = max(most + 1, -(-100 * most // percent))
+        if n <= most:
+            return at, most, after
+        at, most = at + 1, after
+
+
 def combined_keys(rare: int, several: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """Index keys of a set with fewer rare shingles, several of them in other sets, than its prefix has; frequent ones sorted."""
     n = rare + len(frequent)
-    need = lacking(n, percent) + 1 - rare
-    lev = n.bit_length() - 1
-    levels = [lev] + [lev + 1] * (n * 100 >= percent << (lev + 1))
+    at, own, after = level(n, percent)
     out = [V.mix(several)]
-    for at in levels:  # a partner's size may be of the next level; both then use the larger one's
-        classes = max(1, (1 << at) // SUBCLASS)
-        own = (V.mix(frequent + np.uint64(0x51ED)) % np.uint64(classes)).astype(np.int64)
-        seen = np.zeros(len(frequent), bool)
-        order = np.argsort(own, kind="stable")
-        seen[order[1:]] = own[order[1:]] == own[order[:-1]]  # all but the first of a subclass cover one
-        reach = np.flatnonzero(np.cumsum(seen) >= need)
-        if not len(reach):
-            continue  # one shingle alone: only equal sets are partners
-        stop = reach[0] + 1
-        for c in np.unique(own[:stop]):
-            f = frequent[:stop][own[:stop] == c]
-            i, j = np.triu_indices(len(f), 1)
-            out.append(V.mix(f[i] * np.uint64(V.BASE_3) + V.mix(f[j] + np.uint64(at))))
+    for lev, most in ((at, own), (at + 1, after)):  # a partner's size may be of the next level; both then use the larger one's
+        # rare shingles that might be shared are indexed one by one; else all of them are among those that differ
+        differ = (100 - percent) * (n + most) // (100 + percent) - rare
+        if differ < 0 or not len(frequent):
+            continue
+        classes = int(CLASSES * most) + 2
+        while True:
+            alone = classes >= 4 * most
+            of = np.arange(len(frequent)) if alone else ((V.mix(frequent ^ np.uint64(0x51ED)) >> np.uint64(33)) % np.uint64(classes)).astype(np.int64)
+            order = np.lexsort((frequent, of))
+            new = np.ones(len(of), bool)
+            new[1:] = of[order[1:]] != of[order[:-1]]
+            starts = np.flatnonzero(new)
+            # a combination's hash: the sum of its mixed shingles, for this level and number of classes
+            sums = np.add.reduceat(V.mix(frequent[order] + np.uint64(lev)), starts)
+            out.append(V.mix(sums ^ V.mix(np.full(1, (lev << 40) + (0 if alone else classes) + 1, np.uint64)))[: differ + 1])
+            if alone or len(starts) > differ:
+                break
+            classes *= 2
     return np.concatenate(out)
 
 
@@ -166,11 +183,11 @@ class _Sets:
     """Distinct sets of the texts that a task has read since the last flush."""
 
     def __init__(self, size: int):
-        self.size, self.one, self.two = size, V.Poly(V.BASE_1), V.Poly(V.BASE_2)
+        self.size = size
         self.seen: set[tuple[int, int]] = set()
 
     def read(self, block: V.Block):
-        h, first = shingles(block, self.size, self.one, self.two)
+        h, first = shingles(block, self.size)
         a, b = set_hashes(h, first)
         fresh = np.zeros(len(a), bool)
         for i, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
@@ -184,11 +201,10 @@ def described(texts: DataFrame, size: int) -> DataFrame:
     """For each row its number of shingles and its set's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = V.Poly(V.BASE_1), V.Poly(V.BASE_2)
         for batch in batches:
             ids, rks = V.idents(batch)
             for block in V.blocks(batch):
-                h, first = shingles(block, size, one, two)
+                h, first = shingles(block, size)
                 a, b = set_hashes(h, first)
                 columns = {"id": ids[block.rows], "rk": rks[block.rows], "n": np.diff(first), "a": a, "b": b}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
@@ -196,13 +212,14 @@ def described(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, rk bigint, n bigint, a bigint, b bigint")
 
 
-def shingle_classes(texts: DataFrame, size: int, total: int, least: int) -> Classes:
+def shingle_classes(texts: DataFrame, size: int, total: int, least: int, scratch: Scratch) -> Classes:
     """Counts all shingles by their first bits, slice by slice, and collects a bit for those that come twice.
 
     A task sends each shingle of the sets that it holds once, with its count if that is
     above one.  Equal sets are counted once for each task's flush.
     """
-    slices = 1 << max(6, min(14, (4 * partitions(texts) - 1).bit_length()))
+    tasks = partitions(texts)
+    slices = 1 << max(6, min(14, (4 * tasks - 1).bit_length()))
     per_slice = max(64, min(MAX_BITS, 1 << max(0, 2 * total - 1).bit_length()) // slices)
     empty = Classes(slices, np.zeros(slices * per_slice // 8, np.uint8), np.zeros(0, np.uint64))
 
@@ -247,81 +264,84 @@ def shingle_classes(texts: DataFrame, size: int, total: int, least: int) -> Clas
             bits[(kinds[c > 1] & np.uint32(per_slice - 1)).astype(np.int64)] = True
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "often": pa.array([kinds[c >= least].tobytes()], pa.binary())})
 
-    sent = texts.mapInArrow(send, "slice int, `all` binary, often binary, count binary").repartition(partitions(texts), "slice")
+    sent = texts.mapInArrow(send, "slice int, `all` binary, often binary, count binary").repartition(tasks, "slice")
     table, heads = empty.bits.reshape(slices, -1), []
-    for row in sent.mapInArrow(count, "slice int, bits binary, often binary").toLocalIterator():
+    counted = scratch.write(sent.mapInArrow(count, "slice int, bits binary, often binary"))
+    for row in counted.toLocalIterator():
         table[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
         heads.append((np.uint64(row["slice"]) << np.uint64(32)) | np.frombuffer(row["often"], np.uint32).astype(np.uint64))
     return Classes(slices, table.reshape(-1), np.sort(np.concatenate(heads)) if heads else empty.frequent)
 
 
-def posted(texts: DataFrame, size: int, percent: int, classes) -> DataFrame:
-    """(key, node, s): keys that several nodes share, with those nodes and their numbers of shingles that others may have."""
-    cut = np.uint64((1 << 63) - 1)
+#: Distinct sets that a task remembers, so that copies don't repeat their keys.
+REMEMBERED = 200_000
+
+
+#: Words of a sketch, of 64 parities each.
+SKETCH_WORDS = 32
+
+
+def sketches(owner: np.ndarray, items: np.ndarray, count: int) -> np.ndarray:
+    """Words of the sketches of count sets; each item turns one bit of its owner's."""
+    h, out = V.mix(items), np.zeros(count * SKETCH_WORDS, np.uint64)
+    word = (h >> np.uint64(6)) % np.uint64(SKETCH_WORDS)
+    np.bitwise_xor.at(out, owner * SKETCH_WORDS + word.astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out
 
-    def entries(batches):
-        sets, held, nodes = _Sets(size), Entries(("key", "id", "rk")), Entries(("id", "rk", "s"))
+
+def indexed(texts: DataFrame, size: int, percent: int, classes) -> DataFrame:
+    """(node, a, b, n, s, keys, shared, sketch) of the sets with index keys; shared are the items that other sets may have, s their number.
+
+    A node is a number of its own.  Tasks give a set once, but several tasks may give it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, node = _Sets(size), TaskContext.get().partitionId() << 40
         for batch in batches:
             for block in V.blocks(batch):
+                if len(sets.seen) > REMEMBERED:
+                    sets.seen.clear()
                 h, first, a, b, fresh = sets.read(block)
-                keep = np.repeat(fresh, np.diff(first))
-                first = np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])
-                keys, owner, s = index_keys(h[keep], first, classes.value, percent)
-                held.add(key=keys & cut, id=a[fresh][owner], rk=b[fresh][owner])
+                n = np.diff(first)
+                h, first = h[np.repeat(fresh, n)], np.concatenate([[0], np.cumsum(n[fresh])])
+                keys, owner, s = index_keys(h, first, classes.value, percent)
                 some = np.unique(owner)
-                nodes.add(id=a[fresh][some], rk=b[fresh][some], s=s[some])
-                if held.size >= FLUSH:
-                    yield held.take(), nodes.take()
-                    sets.seen.clear()
-        if held.size:
-            yield held.take(), nodes.take()
-
-    def shared(at):
-        """Entries without repetitions of the same key and node, and which of their keys more than one has."""
-        order, starts = V.groups([at["key"], at["id"], at["rk"]])
-        at = {k: v[order[starts]] for k, v in at.items()}
-        order, starts = V.groups([at["key"]])
-        sizes = np.diff(np.append(starts, len(order)))
-        several = np.empty(len(order), bool)
-        several[order] = np.repeat(sizes > 1, sizes)
-        return at, several, order[starts]
-
-    def send(batches):
-        for at, nodes in entries(batches):
-            at, several, one = shared(at)
-            own = {"id": at["id"][several], "rk": at["rk"][several], "keys": at["key"][several].view(np.int64), "s": np.full(several.sum(), -1)}
-            own = {k: np.concatenate([v, nodes.get(k, np.full(len(nodes["id"]), -1))]) for k, v in own.items()}
-            yield {k: v[one] for k, v in at.items()} | {"asks": np.where(several[one], 0, 1)}, own
-
-    def receive(at):
-        order, starts = V.groups([at["key"]])
-        sizes = np.diff(np.append(starts, len(order)))
-        # a key that a task has met in several nodes asks for nothing but counts as several
-        asks = at["asks"][order] > 0
-        other = (at["id"][order] != np.repeat(at["id"][order[starts]], sizes)) | (at["rk"][order] != np.repeat(at["rk"][order[starts]], sizes)) | ~asks
-        many = np.repeat(np.logical_or.reduceat(other, starts), sizes)
-        use = order[many & asks]
-        return {"id": at["id"][use], "rk": at["rk"][use], "keys": at["key"][use].view(np.int64), "s": np.full(len(use), -1)}
-
-    found = exchange(texts, send, receive, {"key": np.uint64, "asks": np.int8}, ("keys", "s"))
-
-    def rows(batches):
-        for batch in batches:
-            lists, counts = Answers(batch, "keys"), Answers(batch, "s")
-            parts = [(np.unique(lists[i]), node, counts[i].max()) for i, node in enumerate(batch.column(0).to_pylist())]
-            sizes = [len(k) for k, _, _ in parts]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([k for k, _, _ in parts])), "node": pa.array(np.repeat([n for _, n, _ in parts], sizes)), "s": pa.array(np.repeat([s for _, _, s in parts], sizes))})
-
-    found = found.filter(F.octet_length("keys") > 0).select("id", "keys", "s")
-    return found.mapInArrow(rows, "key bigint, node bigint, s bigint")
+                if not len(some):
+                    continue
+                order = np.lexsort((keys, owner))
+                keys, owner = keys[order], owner[order]
+                use = np.ones(len(keys), bool)
+                use[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+                keys, owner = keys[use], owner[use]
+                mine = np.zeros(len(first) - 1, bool)
+                mine[some] = True
+                sizes = np.diff(first)
+                items = h[np.repeat(mine, sizes)]
+                several = classes.value.of(items) > 0
+                lists = {
+                    "keys": (np.searchsorted(owner, np.append(some, len(mine))), keys),
+                    "shared": (np.concatenate([[0], np.cumsum(several)])[np.concatenate([[0], np.cumsum(sizes[some])])], items[several]),
+                }
+                lists["sketch"] = (np.arange(len(some) + 1) * SKETCH_WORDS, sketches(np.repeat(np.arange(len(some)), sizes[some])[several], items[several], len(some)))
+                columns = {"node": np.arange(node, node + len(some)), "a": a[fresh][some], "b": b[fresh][some], "n": sizes[some].astype(np.int64), "s": s[some].astype(np.int64)}
+                node += len(some)
+                columns = {k: pa.array(v) for k, v in columns.items()}
+                columns |= {k: pa.ListArray.from_arrays(pa.array(c.astype(np.int32)), pa.array(v.view(np.int64))) for k, (c, v) in lists.items()}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return texts.mapInArrow(run, "node bigint, a bigint, b bigint, n bigint, s bigint, keys array<bigint>, shared array<bigint>, sketch array<bigint>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, k, nx, ny, rest): k is the size of the intersection, rest what x has, other sets may have, and y lacks."""
-    x = sets.select(F.col("node").alias("x"), F.col("items").alias("xs"), F.col("shared").alias("xshared"))
-    y = sets.select(F.col("node").alias("y"), F.col("items").alias("ys"))
-    both = pairs.join(x, "x").join(y, "y")
-    return both.select("x", "y", F.size(F.array_intersect("xs", "ys")).alias("k"), F.size("xs").alias("nx"), F.size("ys").alias("ny"), F.array_except("xshared", "ys").alias("rest"))
+    """pairs, a written table of (x, y, salt), with k, the size of the intersection, nx and ny.
+
+    Only what other sets may have can be in an intersection, so no more is read.  Pairs
+    of the same y are dealt by salt, and y's set goes to each salt.
+    """
+    x = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("xs"))
+    y = pairs.select("y", "salt").distinct().join(sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("ys")), "y")
+    both = pairs.join(x, "x").join(y, ["y", "salt"])
+    return both.select("x", "y", F.size(F.array_intersect("xs", "ys")).alias("k"), "nx", "ny")
 
 
 def _similar(percent: int) -> F.Column:
@@ -367,25 +387,29 @@ def _members(texts: DataFrame, percent: int, size: int, frequent: int, block: in
     spark = texts.sparkSession
     scratch = Scratch(spark)
     thin = scratch.write(described(texts, size))
-    total = thin.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kinds = spark.sparkContext.broadcast(shingle_classes(texts, size, total, max(frequent, -(-total // FREQUENT_SHARE))))
-    classes = scratch.write(thin.filter("n > 0").groupBy(F.col("a").alias("node"), "b").agg(F.min(F.struct("id", "rk")).alias("rep"), F.first("n").alias("n")))
-
-    index = scratch.write(posted(texts, size, percent, kinds).join(classes.select("node", "n"), "node"))
-    sets = scratch.write(_sets_of(texts, index, classes, kinds, size))
+    total, rows = thin.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    kinds = spark.sparkContext.broadcast(shingle_classes(texts, size, total, max(frequent, -(-total // FREQUENT_SHARE)), scratch))
+    sets = scratch.write(indexed(texts, size, percent, kinds))
+    kinds.destroy()
+    nodes = scratch.write(sets.drop("shared").dropDuplicates(["a", "b"]))
+    index, sets = nodes.select("node", "n", "s", F.explode("keys").alias("key")), sets.select("node", "n", "shared")
     if block:
         links = _all_links(scratch, index, sets, percent, block)
-        comps = components(links, scratch)
     else:
-        comps = _linked(scratch, index, sets, percent)
+        links = _joining_links(scratch, index, nodes, sets, percent)
+    comps = components(links, scratch)
 
-    joined = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = joined.groupBy("comp").agg(F.min("rep").alias("least"))
-    named = joined.join(least, "comp")
+    classes = scratch.write(thin.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("id", "rk")).alias("rep"), F.count("*").alias("copies")))
+    linked = classes.join(nodes.select("a", "b", "node").join(comps, "node"), ["a", "b"])
+    least = linked.groupBy("comp").agg(F.min("rep").alias("least"), F.count("*").alias("members"))
+    named = join_hot(scratch.write(linked), least, ["comp"], "members", rows)
     if block:
         degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        named = named.join(degree, "node", "left")
-    out = thin.join(named.select(F.col("node").alias("a"), "b", "least", *["n_links"] * bool(block)), ["a", "b"], "left")
+        named = named.join(degree, "node")
+    columns = ["a", "b", "least", "copies", *["n_links"] * bool(block)]
+    named = scratch.write(named.select(*columns))
+    alone = classes.join(named.select("a", "b"), ["a", "b"], "left_anti").withColumns({"least": F.col("rep"), "n_links": F.lit(0).cast("bigint")})
+    out = join_hot(thin, scratch.write(named.unionByName(alone.select(*columns))), ["a", "b"], "copies", rows, "left")
     return out.select("id", "rk", "n", F.coalesce("least", F.struct("id", "rk")).alias("least"), *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * bool(block))
 
 
@@ -401,85 +425,55 @@ def _fits(percent: int) -> F.Column:
 
 def _all_links(scratch: Scratch, index: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """All links between nodes in index, which has (key, node, s, n); each pair of blocks of a key meets once."""
-    blocks = index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / block).cast("bigint").alias("blocks"))
+    blocks = index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", "m", F.ceil(F.col("m") / block).cast("bigint").alias("blocks"))
     dealt = scratch.write(index.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks")))
-    x = dealt.select("key", "node", "s", "n", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    x = dealt.select("key", "node", "s", "n", "m", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
     y = dealt.select("key", F.col("node").alias("pivot"), F.col("s").alias("ps"), F.col("n").alias("pn"), F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("i"), F.col("own").alias("j"))
     pairs = x.join(y, ["key", "i", "j"]).filter("i < j OR node < pivot").filter(_fits(percent))
-    pairs = scratch.write(pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct())
+    pairs = pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
+    pairs = scratch.write(pairs.distinct().withColumn("salt", F.lit(0).cast("bigint")))
     return scratch.write(compared(pairs, sets).filter(_similar(percent)).select("x", "y"))
 
 
-def _linked(scratch: Scratch, index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components of the nodes in index, which has (key, node, s, n), by as few links as join them."""
-    needed, fits = _needed(percent), _fits(percent)
+def _salts(size: F.Column, block: int = BLOCK_NODES) -> F.Column:
+    """A power of two, one for each block of so many on average; powers, so that groups of about the same size agree."""
+    return F.pow(2, F.ceil(F.log2(F.greatest(F.lit(1.0), size / block)))).cast("bigint")
 
-    # the first round: one pivot for each key, and what each node has in common with it
-    pivots = index.groupBy("key").agg(F.max(F.struct((F.col("s") * 1000 / F.col("n")).cast("int").alias("share"), "n", "node", "s")).alias("p"), F.count("*").alias("m"))
-    pivots = pivots.select("key", "m", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"))
-    placed = scratch.write(index.join(pivots, "key").filter("node <> pivot").filter((F.col("m") > 2) | fits))
-    first = scratch.write(compared(placed.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sets))
-    links = first.filter(_similar(percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    done = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    comps = components(links, scratch)
 
-    known = placed.join(first.select(F.col("x").alias("node"), F.col("y").alias("pivot"), F.col("k").alias("o")).distinct(), ["node", "pivot"])
-    left = scratch.write(_open(known.select("key", "node", "s", "n", "o", "pivot"), comps))
-    # pairs that need more in common than one of them has with the pivot, by what the pivot lacks:
-    # enough of it in order of hash that partners, which share so many of the rest, share one of these
-    rest = left.select("node", "pivot", "s", "n", "o", "comp").distinct().join(first.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "rest"), ["node", "pivot"])
-    more = F.ceil(F.col("n") * percent / 100).cast("int") - F.col("o").cast("int")
-    few = F.slice(F.array_sort("rest"), 1, F.greatest(F.size("rest") - F.greatest(more, F.lit(0)) + 1, F.lit(0)))
-    rest = rest.select(F.explode(few).alias("token"), "pivot", "node", "s", "n", "comp").select(F.xxhash64("pivot", "token").alias("key"), "node", "s", "n", (F.col("n") + 0).alias("o"), "comp")
-    # the other pairs, by their key: a node stays if the smallest of its key could be such a partner
-    smallest = left.groupBy("key").agg(F.min("n").alias("pn"))
-    left = left.join(smallest, "key").filter(F.expr(f"{100 + percent} * o >= {needed}")).select("key", "node", "s", "n", "o", "comp")
-    left = scratch.write(_several(left.union(rest)))
-
-    most = PIVOTS
-    while not left.isEmpty():
-        main = left.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-        pivots = left.join(main, "key").filter("comp <> main").groupBy("key", F.pmod("node", F.lit(most)).alias("turn")).agg(F.min(F.struct("node", "n", "s", "o", "comp")).alias("p"))
-        pivots = scratch.write(pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.o").alias("po"), F.col("p.comp").alias("pcomp")))
-        most *= PIVOTS
-        pairs = left.join(pivots, "key").filter("comp <> pcomp").filter(fits & F.expr(f"{100 + percent} * least(o, po) >= {needed}"))
-        pairs = pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
-        pairs = scratch.write(pairs.join(done, ["x", "y"], "left_anti"))
-        links = links.union(scratch.write(compared(pairs, sets).filter(_similar(percent)).select("x", "y").distinct()))
-        done = done.union(pairs)
-        comps = components(links, scratch)
-        left = left.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "s", "n", "o")
-        left = scratch.write(_open(left, comps))
-    return comps
-
-
-def _open(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows, with their comp, of the keys that have nodes of several components."""
-    return _several(rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-
-
-def _several(rows: DataFrame) -> DataFrame:
-    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    return rows.join(keys, "key", "left_semi")
-
-
-def _sets_of(texts: DataFrame, index: DataFrame, classes: DataFrame, kinds, size: int) -> DataFrame:
-    """(node, items, shared) of the nodes in index; shared are the items that other sets may have."""
-    wanted = index.select("node").distinct().join(classes, "node").select("node", F.col("rep.id").alias("id"), F.col("rep.rk").alias("rk"))
+def _may_link(percent: int) -> F.Column:
+    """Whether sizes and sketches allow that sets (n, s, sketch) and (pn, ps, psketch) are similar."""
+    # what differs: at most so much in all, of which what no other set may have is known
+    differ = F.expr(f"floor({100 - percent} * (n + pn) / {100 + percent}) - (n - s) - (pn - ps)")
+    turned = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("psketch")[i])) for i in range(SKETCH_WORDS))
+    return _fits(percent) & (turned <= differ)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = V.Poly(V.BASE_1), V.Poly(V.BASE_2)
-        for batch in batches:
-            node = batch.column(0)
-            for block in V.blocks(batch):
-                h, first = shingles(block, size, one, two)
-                items = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
-                several = kinds.value.of(h) > 0
-                cuts = np.concatenate([[0], np.cumsum(several)])[first].astype(np.int32)
-                shared = pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[several].view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"node": node.slice(block.rows.start, len(block)), "items": items, "shared": shared})
-
-    return texts.join(wanted.hint("shuffle_hash"), ["id", "rk"]).select("node", "text").mapInArrow(run, "node bigint, items array<bigint>, shared array<bigint>")
+
+def _joining_links(scratch: Scratch, index: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links, not all of them, that join what all links of index, which has (key, node, s, n), would."""
+    pivots = index.groupBy("key").agg(F.max(F.struct((F.col("s") * 1000 / F.col("n")).cast("int").alias("share"), "n", "node", "s")).alias("p"), F.count("*").alias("m")).filter("m > 1")
+    pivots = scratch.write(pivots.select("key", "m", F.col("p.node").alias("y"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps")))
+    entries = pivots.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    placed = join_hot(index, pivots.withColumn("rows", F.col("m")), ["key"], "rows", entries).filter("node <> y").filter((F.col("m") > 2) | _fits(percent))
+    pairs = scratch.write(placed.groupBy(F.col("node").alias("x"), "y").agg(F.max("m").alias("m")))
+    x = nodes.select(F.col("node").alias("x"), "n", "s", "sketch")
+    y = nodes.select(F.col("node").alias("y"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("sketch").alias("psketch"))
+    loads = pairs.groupBy("y").agg(F.count("*").alias("load"))
+    met = join_hot(pairs.join(x, "x"), y.join(loads, "y"), ["y"], "load", pairs.count())
+    known = scratch.write(met.select("x", "y", "n", "s", "sketch", _may_link(percent).alias("likely"), F.pmod(F.xxhash64("x"), _salts(F.col("m"))).alias("salt")))
+    links = scratch.write(compared(scratch.write(known.filter("likely").select("x", "y", "salt")), sets).filter(_similar(percent)).select("x", "y"))
+
+    # what a pivot has not joined: nodes outside its largest component, with the others of another one
+    comps = components(links, scratch)
+    known = known.join(comps.select(F.col("node").alias("x"), F.col("comp").alias("found")), "x", "left")
+    known = scratch.write(known.select("x", "y", "n", "s", "sketch", F.coalesce("found", "x").alias("comp")))
+    parts = known.groupBy("y", "comp").agg(F.count("*").alias("part"))
+    mixed = parts.groupBy("y").agg(F.max(F.struct("part", "comp")).alias("main"), F.sum("part").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = mixed.select("y", F.col("main.comp").alias("main"), "m", _salts(F.col("m"), 4 * BLOCK_NODES).alias("blocks"))
+    known = scratch.write(join_hot(known, mixed, ["y"], "m", known.count()).withColumn("salt", F.pmod(F.xxhash64("x"), "blocks")))
+    minor = known.filter("comp <> main").select("y", F.col("x").alias("px"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("sketch").alias("psketch"), F.col("comp").alias("pcomp"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("salt"))
+    more = known.join(minor, ["y", "salt"]).filter("comp <> pcomp AND (comp = main OR x < px)").filter(_may_link(percent))
+    more = scratch.write(more.select("x", F.col("px").alias("y"), "salt").distinct())
+    return links.union(scratch.write(compared(more, sets).filter(_similar(percent)).select("x", "y").distinct()))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

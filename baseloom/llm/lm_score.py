@@ -44,11 +44,11 @@ def held_out(ident) -> F.Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def tokens(block: V.Block, poly: V.Poly) -> tuple[np.ndarray, np.ndarray]:
+def tokens(block: V.Block) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): of each text its words in lower case and an end."""
     low = V.LOWER[block.data]
     starts, ends, first = V.split_words(V.Block(block.rows, low, block.offs))
-    words = poly.spans(poly.prefix(low), starts, ends)
+    words = V.spans(low, starts, ends)
     texts = np.arange(len(first))
     out = np.empty(len(words) + len(block), np.uint64)
     last = first[1:] + texts[:-1]
@@ -64,7 +64,7 @@ def pairs(toks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.empty_like(toks)
     before[1:] = toks[:-1]
     before[first[:-1]] = START
-    return before, V.mix(before * np.uint64(V.BASE_3) + (toks ^ (toks >> np.uint64(7))))
+    return before, V.mix(V.join(before, toks))
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -147,11 +147,11 @@ def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds, np.bincount(at, c, len(kinds)).astype(np.int64)
 
 
-def counted(train: DataFrame, slices: int) -> DataFrame:
+def counted(train: DataFrame, slices: int, tasks: int) -> DataFrame:
     """A row for each slice: exact counts of words (wh, wc) and of pairs (ph, pc), packed; and texts, their number."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, held, texts = V.Poly(V.BASE_1), Entries(("t", "p")), 0
+        held = Entries(("t", "p"))
 
         def flush() -> pa.RecordBatch:
             at = held.take()
@@ -163,7 +163,7 @@ def counted(train: DataFrame, slices: int) -> DataFrame:
 
         for batch in batches:
             for block in V.blocks(batch):
-                toks, first = tokens(block, poly)
+                toks, first = tokens(block)
                 held.add(t=toks, p=pairs(toks, first)[1])
                 if held.size >= TOKENS:
                     yield flush()
@@ -185,10 +185,10 @@ def counted(train: DataFrame, slices: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out)
 
     kind = "slice int, wh binary, wc binary, ph binary, pc binary"
-    return train.mapInArrow(send, kind).repartition(partitions(train), "slice").mapInArrow(receive, kind)
+    return train.mapInArrow(send, kind).repartition(tasks, "slice").mapInArrow(receive, kind)
 
 
-def _summary(counts: DataFrame) -> dict[str, int]:
+def _summary(counts: DataFrame, min_pairs: int) -> dict[str, int]:
     """Over all slices: tokens, kinds of words, texts, keys that the filter takes, and the highest level."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _summary(counts: DataFrame) -> dict[str, int]:
                 wh, wc, _, pc = (V.unpacked(batch.column(j).slice(i, 1), t) for j, t in ((1, np.uint64), (2, np.int64), (3, np.uint64), (4, np.int64)))
                 total, kinds = total + int(wc.sum()), kinds + len(wc)
                 ends += int(wc[wh == END].sum())
-                levels = [level(wc), level(pc[pc >= MIN_PAIRS])]
+                levels = [level(wc), level(pc[pc >= min_pairs])]
                 keys += sum(int(x.sum()) for x in levels)
                 top = max(top, *(int(x.max(initial=0)) for x in levels))
         yield pa.RecordBatch.from_pydict({"total": [total], "kinds": [kinds], "ends": [ends], "keys": [keys], "top": [top]})
@@ -213,14 +213,14 @@ def bits_of_slice(slices: int, keys: int) -> int:
     return max(64, (1 << max(16, (BITS_A_KEY * keys).bit_length())) // slices)
 
 
-def filter_slices(counts: DataFrame, per_slice: int) -> DataFrame:
+def filter_slices(counts: DataFrame, per_slice: int, min_pairs: int) -> DataFrame:
     """(slice, bits): the whole filter."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, k in enumerate(batch.column(0).to_pylist()):
                 found = np.zeros(per_slice, bool)
-                for j, least in ((1, 1), (3, MIN_PAIRS)):
+                for j, least in ((1, 1), (3, min_pairs)):
                     h, c = V.unpacked(batch.column(j).slice(i, 1), np.uint64), V.unpacked(batch.column(j + 1).slice(i, 1), np.int64)
                     h, c = h[c >= least], c[c >= least]
                     top = level(c)
@@ -267,7 +267,7 @@ def _found(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return np.where(h[at] == words, c[at], 0)
 
 
-def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_filter_bits: int = PASS_BITS) -> DataFrame:
+def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_filter_bits: int = PASS_BITS, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that aren't held out.  Null and empty texts are an end alone.
@@ -275,27 +275,29 @@ def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ma
     training rows no token is known and both scores rest on smoothing alone.  Rows that
     share id and text score alike.  Other columns are ignored.  Words are told apart by
     64 bits of hash.  max_filter_bits bounds what is broadcast at once, not the filter:
-    with less there are more passes and the same scores.
+    with less there are more passes and the same scores.  Pairs seen less than min_pairs
+    times score as unseen ones do.
     """
     spark = docs.sparkSession
     scratch, rows = Scratch(spark), keyed(docs, text_col, id_col)
     texts = rows.select("id", "rk", "text")
-    slices = 1 << max(8, (4 * partitions(docs) - 1).bit_length())
-    counts = scratch.write(counted(rows.filter(~held_out(F.col("doc_id"))).select("text"), slices))
-    known = _summary(counts)
+    tasks = partitions(texts)
+    slices = 1 << max(8, (4 * tasks - 1).bit_length())
+    counts = scratch.write(counted(rows.filter(~held_out(F.col("doc_id"))).select("text"), slices, tasks))
+    known = _summary(counts, min_pairs)
     total, kinds = known["total"], known["kinds"]
     per_slice = bits_of_slice(slices, known["keys"])
-    table = scratch.write(filter_slices(counts, per_slice))
+    table = scratch.write(filter_slices(counts, per_slice, min_pairs))
     at_once = max(1, max_filter_bits // per_slice)
     passes = [range(k, min(slices, k + at_once)) for k in range(0, slices, at_once)]
     hot = spark.sparkContext.broadcast(hot_words(counts, total))
-    homes = 2 * partitions(docs)
+    homes = 2 * tasks
 
-    def probed(model, batch: pa.RecordBatch, poly: V.Poly) -> Iterator[tuple[V.Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def probed(model, batch: pa.RecordBatch) -> Iterator[tuple[V.Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(block, tokens, first, levels of words, levels of pairs) with what earlier passes found."""
         earlier, lo = [V.unpacked(batch.column(j), np.uint8) for j in (4, 5)] if batch.num_columns > 4 else None, 0
         for block in V.blocks(batch):
-            toks, first = tokens(block, poly)
+            toks, first = tokens(block)
             words, both = model.value.levels_of(toks, pairs(toks, first)[1])
             if earlier:  # a gram is of one slice, so of one pass
                 words, both = (x + e[lo : lo + len(toks)] for x, e in zip((words, both), earlier, strict=True))
@@ -307,9 +309,8 @@ def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ma
         part = spark.sparkContext.broadcast(held_filter(table, held, slices, per_slice, known))
 
         def probe(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            poly = V.Poly(V.BASE_1)
             for batch in batches:
-                got = [(np.diff(first), words, both) for _, _, first, words, both in probed(part, batch, poly)]
+                got = [(np.diff(first), words, both) for _, _, first, words, both in probed(part, batch)]
                 if got:
                     sizes, words, both = (np.concatenate(x) for x in zip(*got, strict=True))
                     cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -323,11 +324,10 @@ def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ma
     model = spark.sparkContext.broadcast(held_filter(table, passes[-1], slices, per_slice, known))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly = V.Poly(V.BASE_1)
         for batch in batches:
             ids, rks = V.idents(batch)
             parts = []
-            for block, toks, first, words, both in probed(model, batch, poly):
+            for block, toks, first, words, both in probed(model, batch):
                 n = len(block)
                 doc = np.repeat(np.arange(n), np.diff(first))
                 count = _found(toks, hot.value)
@@ -340,7 +340,7 @@ def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ma
         scratch.drop(source)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, held = V.Poly(V.BASE_1), Entries(("h", "id", "rk"))
+        held = Entries(("h", "id", "rk"))
 
         def flush() -> pa.RecordBatch:
             at = held.take()
@@ -356,7 +356,7 @@ def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ma
         for batch in batches:
             ids, rks = V.idents(batch)
             for block in V.blocks(batch):
-                toks, first = tokens(block, poly)
+                toks, first = tokens(block)
                 doc = np.repeat(np.arange(len(block)), np.diff(first))
                 use = _found(toks, hot.value) == 0
                 held.add(h=toks[use], id=ids[block.rows][doc[use]], rk=rks[block.rows][doc[use]])
@@ -416,8 +416,8 @@ def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ma
     asked = texts.mapInArrow(rare, "slice int, h binary, id binary, rk binary, n binary").withColumns({"wh": F.lit(None).cast("binary"), "wc": F.lit(None).cast("binary")})
     empty = F.lit(None).cast("binary")
     told = counts.select("slice", *(empty.alias(k) for k in ("h", "id", "rk", "n")), "wh", "wc")
-    answers = asked.unionByName(told).repartition(partitions(docs), "slice").mapInArrow(look_up, "home int, id binary, rk binary, known binary, score binary")
-    sums = answers.repartition(partitions(docs), "home").mapInArrow(summed, "id bigint, rk bigint, rare_known bigint, rare_score double")
+    answers = asked.unionByName(told).repartition(tasks, "slice").mapInArrow(look_up, "home int, id binary, rk binary, known binary, score binary")
+    sums = answers.repartition(tasks, "home").mapInArrow(summed, "id bigint, rk bigint, rare_known bigint, rare_score double")
     sums = scratch.write(sums).groupBy("id", "rk").agg(F.max("rare_known").alias("rare_known"), F.max("rare_score").alias("rare_score"))
     out = scored.join(sums, ["id", "rk"], "left")
     smooth = float(np.log10(total + kinds + 1))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from baseloom.llm import _vector as V
 from baseloom.llm._scratch import Scratch
-from baseloom.llm._windows import FLUSH, Answers, Entries, answered, covered, exchange, groups, keyed, later_windows
+from baseloom.llm._windows import FLUSH, Answers, Entries, answered, covered, exchange, groups, keyed, later_windows, partitions
 
 WINDOW = 20
 #: Perfect difference covers, as fixed values: period and residues.
@@ -34,10 +34,9 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
     return 1, (0,), window
 
 
-def _words(block: V.Block, bytes_poly: V.Poly) -> tuple[np.ndarray, np.ndarray]:
+def _words(block: V.Block, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = V.split_words(block)
-    prefix = bytes_poly.prefix(block.data)
-    return bytes_poly.spans(prefix, starts, ends), first
+    return V.spans(block.data, starts, ends, seed), first
 
 
 def _places(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,22 +47,21 @@ def _places(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[ok], pos[ok], ok
 
 
-def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, window: int, tasks: int) -> DataFrame:
     """Answers ``at``: positions of a document's anchors that occur elsewhere too."""
     period, residues, width = cover_for(window)
     at_cover = np.isin(np.arange(period), residues)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        of_bytes, of_words, held = V.Poly(V.BASE_1), V.Poly(V.BASE_2), Entries(("h", "id", "rk", "pos"))
+        held = Entries(("h", "id", "rk", "pos"))
         for batch in batches:
             ids, rks = V.idents(batch)
             for block in V.blocks(batch):
-                words, first = _words(block, of_bytes)
+                words, first = _words(block)
                 doc, pos, k = _places(first, width)
                 use = at_cover[pos % period]
                 doc, pos, k = doc[use], pos[use], k[use]
-                prefix = of_words.prefix(words)
-                held.add(h=of_words.spans(prefix, k, k + width), id=ids[block.rows][doc], rk=rks[block.rows][doc], pos=pos.astype(np.int32))
+                held.add(h=V.windows(words, width)[k], id=ids[block.rows][doc], rk=rks[block.rows][doc], pos=pos.astype(np.int32))
                 if held.size >= FLUSH:
                     yield held.take()
         if held.size:
@@ -87,7 +85,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
         again &= at["pos"] >= 0
         return {"id": at["id"][again], "rk": at["rk"][again], "at": at["pos"][again]}
 
-    return exchange(docs, send, receive, {"h": np.uint64, "pos": np.int32}, ("at",))
+    return exchange(docs, send, receive, {"h": np.uint64, "pos": np.int32}, ("at",), tasks)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -106,16 +104,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text
     scratch, rows = Scratch(docs.sparkSession), keyed(docs, text_col, id_col)
     period, _, width = cover_for(window)
     texts = rows.select("id", "rk", "text")
-    anchored = scratch.write(repeated_anchors(texts, window))
+    tasks = partitions(texts)
+    anchored = scratch.write(repeated_anchors(texts, window, tasks))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        of_bytes, again = V.Poly(V.BASE_1), V.Poly(V.BASE_3)
-        one, two, held = V.Poly(V.BASE_2), V.Poly(V.BASE_1), Entries(("h1", "h2", "id", "rk", "pos"))
+        held = Entries(("h1", "h2", "id", "rk", "pos"))
         for batch in batches:
             ids, rks = V.idents(batch)
             found = Answers(batch, "at")
             for block in V.blocks(batch):
-                words, first = _words(block, of_bytes)
+                words, first = _words(block)
                 doc, pos, k = _places(first, window)
                 if not len(doc):
                     continue
@@ -126,16 +124,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text_col: str = "text
                     np.add.at(edge, at + 1, -1)
                 use = np.cumsum(edge)[k] > 0
                 doc, pos, k = doc[use], pos[use], k[use]
-                other = again.prefix(block.data)
-                starts, ends, _ = V.split_words(block)
-                p1, p2 = one.prefix(words), two.prefix(again.spans(other, starts, ends))
-                held.add(h1=one.spans(p1, k, k + window), h2=two.spans(p2, k, k + window), id=ids[block.rows][doc], rk=rks[block.rows][doc], pos=pos.astype(np.int32))
+                other, _ = _words(block, V.BASE_2)
+                held.add(h1=V.windows(words, window)[k], h2=V.windows(other, window, V.BASE_3)[k], id=ids[block.rows][doc], rk=rks[block.rows][doc], pos=pos.astype(np.int32))
                 if held.size >= FLUSH:
                     yield held.take()
         if held.size:
             yield held.take()
 
-    later = scratch.write(later_windows(answered(texts, anchored, "inner"), windows))
+    later = scratch.write(later_windows(answered(texts, anchored, "inner"), windows, tasks))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

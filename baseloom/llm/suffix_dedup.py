@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from baseloom.llm import _vector as V
 from baseloom.llm._scratch import Scratch
-from baseloom.llm._windows import FLUSH, Answers, Entries, answered, exchange, first_of, groups, keyed, later_windows
+from baseloom.llm._windows import FLUSH, Answers, Entries, answered, exchange, first_of, groups, keyed, later_windows, partitions
 
 DEPTH = 100
 GRAM = 32
@@ -35,26 +35,25 @@ GRAM = 32
 SPAN_BITS = 12
 
 
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each width neighbouring values."""
-    n, have, out = len(x) - width + 1, 1, x
+def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each width neighbouring values is, the leftmost of equals."""
+    n, have, at = len(x) - width + 1, 1, np.arange(len(x))
     while have * 2 <= width:
-        out = np.minimum(out[:-have], out[have:])
+        a, b = at[:-have], at[have:]
+        at = np.where(x[b] < x[a], b, a)
         have *= 2
-    return np.minimum(out[:n], out[width - have : width - have + n])
+    a, b = at[:n], at[width - have : width - have + n]
+    return np.where((x[b] < x[a]) | (x[b] == x[a]) & (b < a), b, a)
 
 
-def find_blocks(block: V.Block, one: V.Poly, two: V.Poly, depth: int, gram: int) -> dict[str, np.ndarray]:
+def find_blocks(block: V.Block, depth: int, gram: int) -> dict[str, np.ndarray]:
     """doc, pos (of the first suffix), n (suffixes), h (hash of the gram), key (hash of all bytes that the suffixes reach, and of where the gram is in them)."""
     none = {"doc": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "h": np.zeros(0, np.uint64), "key": np.zeros(0, np.uint64)}
     size = len(block.data)
     if size < depth:
         return none
-    prefix = one.prefix(block.data)
-    grams = one.spans(prefix, slice(0, size - gram + 1), slice(gram, size + 1))
-    bits = np.uint64(max(20, int(size).bit_length()))
-    tagged = ((grams >> bits) << bits) | np.arange(len(grams), dtype=np.uint64)
-    at = (_least(tagged, depth - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    grams = V.windows(V.of_bytes(block.data), gram)
+    at = _leftmost_least(grams, depth - gram + 1)
     doc = np.repeat(np.arange(len(block)), np.diff(block.offs))[: len(at)]
     inside = np.arange(len(at)) + depth <= block.offs[doc + 1]
     new = inside.copy()
@@ -66,20 +65,20 @@ def find_blocks(block: V.Block, one: V.Poly, two: V.Poly, depth: int, gram: int)
     stop[:-1] &= (at[1:] != at[:-1]) | ~inside[1:] | (doc[1:] != doc[:-1])
     n = np.flatnonzero(stop) + 1 - starts
     g = at[starts]
-    around = two.spans(two.prefix(block.data), starts, starts + n - 1 + depth)
+    around = V.covering(grams, gram, starts, starts + n - 1 + depth)
     shape = ((g - starts).astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
-    return {"doc": doc[starts], "pos": starts - block.offs[doc[starts]], "n": n, "h": grams[g], "key": V.mix(around ^ V.mix(shape))}
+    return {"doc": doc[starts], "pos": starts - block.offs[doc[starts]], "n": n, "h": grams[g], "key": V.join(around, V.mix(shape))}
 
 
-def first_pass(texts: DataFrame, depth: int, gram: int) -> DataFrame:
+def first_pass(texts: DataFrame, depth: int, gram: int, tasks: int) -> DataFrame:
     """Answers ``later``: blocks that repeat an earlier one as a whole; ``mixed``: blocks to take suffix by suffix."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        one, two, held = V.Poly(V.BASE_1), V.Poly(V.BASE_2), Entries(("h", "id", "rk", "key", "pos", "n"))
+        held = Entries(("h", "id", "rk", "key", "pos", "n"))
         for batch in batches:
             ids, rks = V.idents(batch)
             for block in V.blocks(batch):
-                b = find_blocks(block, one, two, depth, gram)
+                b = find_blocks(block, depth, gram)
                 held.add(h=b["h"], id=ids[block.rows][b["doc"]], rk=rks[block.rows][b["doc"]], key=b["key"], pos=b["pos"].astype(np.int32), n=b["n"].astype(np.int16))
                 if held.size >= FLUSH:
                     yield held.take()
@@ -119,7 +118,7 @@ def first_pass(texts: DataFrame, depth: int, gram: int) -> DataFrame:
         wanted, first, several = settle(at)
         return answer(at, wanted & ~first, wanted & first & several)
 
-    return exchange(texts, send, receive, {"h": np.uint64, "key": np.uint64, "pos": np.int32, "n": np.int16}, ("later", "mixed"))
+    return exchange(texts, send, receive, {"h": np.uint64, "key": np.uint64, "pos": np.int32, "n": np.int16}, ("later", "mixed"), tasks)
 
 
 def _spans(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,37 +144,38 @@ def suffix_dedup(docs: DataFrame, depth: int = DEPTH, text_col: str = "text", id
     empty; texts shorter than ``depth`` lose nothing.  Null ids count as smaller than all
     others; rows that share an id but not the text come in the order of a hash of the
     text; rows that share both are one document.  Other columns are ignored.  Strings
-    compare by 128 bits of hash.
+    compare by 128 bits of hash, or, whole blocks of them, by 64 bits for each gram.
     """
     gram = gram or min(GRAM, max(1, depth // 3))
     if not 1 <= gram <= depth < 1 << SPAN_BITS:
         raise ValueError(f"depth must be from 1 to {(1 << SPAN_BITS) - 1}, and the gram no longer")
     scratch, rows = Scratch(docs.sparkSession), keyed(docs, text_col, id_col)
     texts = rows.select("id", "rk", "text")
-    passed = scratch.write(first_pass(texts, depth, gram))
+    tasks = partitions(texts)
+    passed = scratch.write(first_pass(texts, depth, gram, tasks))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        one, two, held = V.Poly(V.BASE_1), V.Poly(V.BASE_2), Entries(("h1", "h2", "id", "rk", "pos"))
+        held = Entries(("h1", "h2", "id", "rk", "pos"))
         for batch in batches:
             ids, rks = V.idents(batch)
             mixed = Answers(batch, "mixed")
             for block in V.blocks(batch):
-                p1, p2 = one.prefix(block.data), two.prefix(block.data)
                 for i in range(len(block)):
                     j = block.rows.start + i
                     got = mixed[j]
                     if not len(got):
                         continue
-                    pos = np.flatnonzero(_marked(int(block.offs[i + 1] - block.offs[i]), got))
-                    at = pos + block.offs[i]
-                    held.add(h1=one.spans(p1, at, at + depth), h2=two.spans(p2, at, at + depth), id=np.full(len(at), ids[j]), rk=np.full(len(at), rks[j]), pos=pos.astype(np.int32))
+                    data = block.data[block.offs[i] : block.offs[i + 1]]
+                    pos = at = np.flatnonzero(_marked(len(data), got))
+                    one, two = V.windows(V.of_bytes(data), depth), V.windows(V.of_bytes(data, V.BASE_2), depth)
+                    held.add(h1=one[at], h2=two[at], id=np.full(len(at), ids[j]), rk=np.full(len(at), rks[j]), pos=pos.astype(np.int32))
                     if held.size >= FLUSH:
                         yield held.take()
         if held.size:
             yield held.take()
 
     left = passed.filter(F.octet_length("mixed") > 0).select("id", "rk", "mixed")
-    later = scratch.write(later_windows(answered(texts, left, "inner"), suffixes))
+    later = scratch.write(later_windows(answered(texts, left, "inner"), suffixes, tasks))
     whole = passed.select("id", "rk", F.col("later").alias("blocks"))
     both = whole.join(later, ["id", "rk"], "full")
 

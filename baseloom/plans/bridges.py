@@ -33,11 +33,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions made of parts; some overlap."""
-    return table(spark, sf_dir, "part").filter("p_partkey % 7 = 0").select(F.concat(F.lit("chr"), (1 + F.col("p_size") % 5).cast("string")).alias("contig"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
+    parts = table(spark, sf_dir, "part")
+    return parts.select(F.concat(F.lit("chr"), (1 + F.col("p_size") % 5).cast("string")).alias("contig"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + 1 + F.col("p_size") % 3).alias("end"))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 11 = 0").select(F.concat(F.lit("r"), (F.col("o_orderkey") % 3000).cast("string")).alias("qname"))
+    """Names of reads, made of customers with orders; many are of no read."""
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), (F.col("o_custkey") * 3).cast("string")).alias("qname"))
 
 
 SQL = """
@@ -72,6 +74,6 @@ site_all AS (
   SELECT block, contig, refr_pos, strand, measure AS relation,
     coalesce(sum(n) FILTER (category = 'methylated'), 0)::BIGINT AS num, sum(n)::BIGINT AS den
   FROM site_category GROUP BY ALL),
-regions AS (SELECT 'chr' || CAST(1 + p_size % 5 AS VARCHAR) AS contig, p_partkey AS lo, p_partkey + p_size AS hi FROM part WHERE p_partkey % 7 = 0),
+regions AS (SELECT 'chr' || CAST(1 + p_size % 5 AS VARCHAR) AS contig, p_partkey AS lo, p_partkey + 1 + p_size % 3 AS hi FROM part),
 pooled AS (SELECT contig, refr_pos, sum(num)::BIGINT AS num, sum(den)::BIGINT AS den FROM site_all WHERE relation = 'mCG' GROUP BY ALL)
 """

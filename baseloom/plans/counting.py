@@ -100,11 +100,11 @@ _CHECKS = {
     "read_fails_unequal": ("read", CG.main.ne(4), "read_relation WHERE relation = 'mCG' AND num <> 4"),
     "read_fails_consecutive": ("read", CH.consecutive.ge(2), "(SELECT DISTINCT read FROM runs WHERE run >= 2)"),
     "read_fails_missing": ("read", B.MCH.missing(), "(SELECT DISTINCT read FROM src WHERE read NOT IN (SELECT read FROM src JOIN measure USING (name) WHERE measure = 'mCH'))"),
-    "read_fails_listed": ("read", lambda s, d: listed(B.names(s, d)), "(SELECT DISTINCT read FROM src WHERE qname IN (SELECT 'r' || CAST(o_orderkey % 3000 AS VARCHAR) FROM orders WHERE o_orderkey % 11 = 0))"),
+    "read_fails_listed": ("read", lambda s, d: listed(B.names(s, d)), "(SELECT DISTINCT read FROM src WHERE qname IN (SELECT 'r' || CAST(o_custkey * 3 AS VARCHAR) FROM orders))"),
     "both_ladder": ("read", both(CH.total.ge(2), CH.total.le(4), CH.main.gt(1)), "read_relation WHERE relation = 'mCH' AND den >= 2 AND den <= 4 AND num > 1"),
     "block_fails": ("block", CG.ratio.lt(0.501), "block_relation WHERE relation = 'mCG' AND num::DOUBLE / den < 0.501"),
     "block_fails_reads": ("block", CG.reads.ge(1000), "block_extent WHERE relation = 'mCG' AND reads >= 1000"),
-    "block_fails_sites": ("block", CH.sites.lt(2000), "block_extent WHERE relation = 'mCH' AND sites < 2000"),
+    "block_fails_sites": ("block", CH.sites.ge(2400), "block_extent WHERE relation = 'mCH' AND sites >= 2400"),
     "site_fails": ("site", CG.total.lt(3), "site_all WHERE relation = 'mCG' AND den < 3"),
     "site_fails_blocks": ("site", CG.blocks.lt(2), "(SELECT s.* FROM site_all s JOIN (SELECT contig, refr_pos, strand, count(DISTINCT block) AS blocks FROM site_all WHERE relation = 'mCG' AND den > 0 GROUP BY ALL) b USING (contig, refr_pos, strand) WHERE s.relation = 'mCG' AND blocks < 2)"),
     "site_in_regions": ("site", lambda s, d: in_regions(B.regions(s, d)), "site_all s WHERE EXISTS (SELECT 1 FROM regions r WHERE r.contig = s.contig AND s.refr_pos >= lo AND s.refr_pos < hi)"),

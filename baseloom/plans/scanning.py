@@ -45,15 +45,31 @@ def strand_call(spark, d):
     return strand.rule("directional").call(rows).groupBy("conv_strand", "strand", "walk_reversed", "mirrors_read").agg(F.count("*").alias("n"))
 
 
-@_add("record_fields", """SELECT (f & 16) <> 0 AS is_reverse, (f & 4) <> 0 AS is_unmapped, (f & 1024) <> 0 AS is_duplicate, CASE WHEN l_suppkey % 3 = 0 THEN -1 ELSE l_partkey END AS nm, count(*) AS n
-FROM (SELECT *, l_orderkey % 4096 AS f FROM lineitem) GROUP BY ALL""")
-def record_fields(spark, d):
-    from baseloom.operators.records import with_fields
+_FLAG_SQL = ", ".join(f"(f & {bit}) <> 0 AS {name}" for name, bit in strand.FLAGS.items())
+
 
-    tag = F.when(F.col("l_suppkey") % 3 == 0, F.create_map(F.lit("NM"), F.struct(F.lit("Z").alias("type"), F.lit("x").alias("value")))).otherwise(F.create_map(F.lit("NM"), F.struct(F.lit("i").alias("type"), F.col("l_partkey").cast("string").alias("value"))))
-    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 4096).cast("int").alias("flags"), tag.alias("tags"))
-    out = with_fields(rows, ["is_reverse", "is_unmapped", "is_duplicate", "NM:i"])
-    return out.groupBy("is_reverse", "is_unmapped", "is_duplicate", F.coalesce("NM", F.lit(-1)).alias("nm")).agg(F.count("*").alias("n"))
+@_add("record_fields", f"""WITH r AS (SELECT l_orderkey % 4096 AS f, l_suppkey, l_partkey, l_linenumber, l_orderkey, l_quantity FROM lineitem), w AS (SELECT *, l_partkey % 7 + 4 AS m, (f & 16) <> 0 AS rev FROM r)
+SELECT l_orderkey * 8 + l_linenumber AS record_id, 'q' || l_orderkey AS qname, 'c' || l_suppkey % 3 AS ref_name, '2H3S' || m || 'M1S' AS cigar, 'c0' AS mate_ref_name, repeat('A', m + 4) AS seq_ascii, repeat('I', m + 4) AS qual_phred, f AS flags,
+  (l_quantity)::SMALLINT AS mapq, (l_suppkey % 3)::INT AS tid, CASE WHEN l_linenumber % 2 = 0 THEN 0 END AS mate_tid, l_partkey AS pos, l_partkey + m AS end_pos, l_partkey - 5 AS unclipped_start, l_partkey + m + 1 AS unclipped_end, m + 4 AS read_len,
+  CASE WHEN rev THEN 0 ELSE 2 END AS hard_clip_5p, CASE WHEN rev THEN 2 ELSE 0 END AS hard_clip_3p, CASE WHEN rev THEN 1 ELSE 3 END AS soft_clip_5p, CASE WHEN rev THEN 3 ELSE 1 END AS soft_clip_3p, -l_partkey AS insert_size, l_partkey + 1 AS mate_pos, {_FLAG_SQL},
+  CASE WHEN rev = ((f & 128) <> 0) THEN '+' ELSE '-' END AS strand, CASE WHEN rev THEN CASE WHEN (f & 128) <> 0 THEN 'CTOT' ELSE 'OB' END ELSE CASE WHEN (f & 128) <> 0 THEN 'CTOB' ELSE 'OT' END END AS conv_strand, rev AS read_reverse,
+  CASE WHEN l_suppkey % 3 > 0 THEN l_partkey END AS "NM", CASE WHEN l_suppkey % 3 > 0 THEN l_partkey::DOUBLE END AS "XF", CASE WHEN l_suppkey % 3 = 0 THEN 'x' END AS "XZ" FROM w""")
+def record_fields(spark, d):
+    """All fields of a record, and tags as whole numbers, floats and text."""
+    from baseloom.operators.records import FIELDS, with_fields
+
+    m, one = F.col("l_partkey") % 7 + 4, F.col("l_suppkey") % 3 == 0
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"))
+    value = F.when(one, entry("Z", F.lit("x"))).otherwise(entry("i", F.col("l_partkey")))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    reads = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("record_id"), text("q", F.col("l_orderkey")).alias("qname"), (F.col("l_orderkey") % 4096).cast("int").alias("flags"), (F.col("l_suppkey") % 3).cast("int").alias("tid"),
+        text("c", F.col("l_suppkey") % 3).alias("ref_name"), F.col("l_partkey").alias("pos"), F.col("l_quantity").cast("smallint").alias("mapq"), text("2H3S", m, "M1S").alias("cigar"), F.when(F.col("l_linenumber") % 2 == 0, 0).otherwise(-1).alias("mate_tid"),
+        F.lit("c0").alias("mate_ref_name"), (F.col("l_partkey") + 1).alias("mate_pos"), (-F.col("l_partkey")).alias("insert_size"), F.repeat(F.lit("A"), (m + 4).cast("int")).alias("seq"), F.repeat(F.lit("I"), (m + 4).cast("int")).alias("qual"), F.create_map(*(x for k in ("NM", "XF", "XZ") for x in (F.lit(k), value))).alias("tags"),
+    )
+    out = walk.with_geometry(strand.rule("directional").call(reads))
+    wanted = [*FIELDS, "NM:i", "XF:f", "XZ:Z"]
+    return with_fields(out, wanted).select("record_id", *(f.partition(":")[0] for f in wanted))
 
 
 def fragment_reads(spark: SparkSession, d: str) -> DataFrame:
@@ -128,9 +144,9 @@ def edit_tags(spark, d):
 
 
 @_add("contig_check", """SELECT coalesce(c, r) AS contig, CASE WHEN r IS NULL THEN 'absent' WHEN c IS NULL THEN 'unused' ELSE 'ok' END AS status
-FROM (SELECT DISTINCT 'chr' || CAST(1 + l_suppkey % 5 AS VARCHAR) AS c FROM lineitem) FULL JOIN (SELECT 'chr' || CAST(n_nationkey AS VARCHAR) AS r FROM nation WHERE n_nationkey >= 3) ON c = r""")
+FROM (SELECT DISTINCT 'chr' || CAST(1 + l_suppkey % 5 AS VARCHAR) AS c FROM lineitem) FULL JOIN (SELECT 'chr' || CAST(n_nationkey + 3 AS VARCHAR) AS r FROM nation) ON c = r""")
 def contig_check(spark, d):
-    refs = table(spark, d, "nation").filter("n_nationkey >= 3").select(F.concat(F.lit("chr"), F.col("n_nationkey").cast("string")).alias("contig"), F.lit(1).cast("bigint").alias("length"))
+    refs = table(spark, d, "nation").select(F.concat(F.lit("chr"), (F.col("n_nationkey") + 3).cast("string")).alias("contig"), F.lit(1).cast("bigint").alias("length"))
     return verify.contig_check(line_hits(spark, d), refs)
 
 
@@ -154,14 +170,21 @@ def fasta_md5(spark, d):
     return contigs(spark, d).select("contig", "length", F.md5(F.upper("seq").cast("binary")).alias("md5"))
 
 
-@_add("codesets", None)
+_CODES = """(SELECT code, n, CASE WHEN code & 1 > 0 THEN 8 ELSE 0 END + CASE WHEN code & 8 > 0 THEN 1 ELSE 0 END + CASE WHEN code & 2 > 0 THEN 4 ELSE 0 END + CASE WHEN code & 4 > 0 THEN 2 ELSE 0 END + (code & 240) AS complement,
+  CASE WHEN code & 15 > 0 THEN substr('?ACMGRSVTWYHKDBN', (code & 15) + 1, 1) ELSE '' END || CASE WHEN code & 16 > 0 THEN '.' ELSE '' END || CASE WHEN code & 32 > 0 THEN '_' ELSE '' END || CASE WHEN code & 64 > 0 THEN ':' ELSE '' END || CASE WHEN code & 128 > 0 THEN ',' ELSE '' END AS parts
+  FROM (SELECT CAST(l_partkey % 256 AS INT) AS code, count(*) AS n FROM lineitem GROUP BY ALL))"""
+
+
+@_add("codesets", f"""SELECT code, complement, CASE WHEN code = 0 THEN '0' WHEN code = 255 THEN '~' WHEN length(parts) = 1 THEN parts ELSE '{{' || replace(parts, ',', 'J') || '}}' END AS name, n FROM {_CODES}""")
 def codesets(spark, d):
-    """Complements and names of all codes met in the contigs' reads."""
+    """Complements and names of all codesets."""
     rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 256).cast("int").alias("code"))
     return rows.groupBy("code").agg(F.count("*").alias("n")).select("code", K.complemented(F.col("code")).alias("complement"), K.named(F.col("code")).alias("name"), "n")
 
 
-@_add("shards", None)
+@_add("shards", """WITH names AS (SELECT 'r' || CAST(l_orderkey % 3000 AS VARCHAR) AS qname, count(*) AS n FROM lineitem GROUP BY ALL),
+hashed AS (SELECT *, list_reduce([14695981039346656037::HUGEINT] || list_transform(string_split(qname, ''), lambda c: ascii(c)::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM names)
+SELECT CAST(h % 16 AS INT) AS shard, count(*) AS fragments, sum(n)::BIGINT AS hits FROM hashed GROUP BY ALL""")
 def shards(spark, d):
     out = partition.with_shards(line_hits(spark, d), 16)
     return out.groupBy("shard").agg(F.count_distinct("qname").alias("fragments"), F.count("*").alias("hits"))

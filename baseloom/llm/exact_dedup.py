@@ -1,17 +1,21 @@
 """Exact deduplication with a log-structured merge index of digests.
 
-Rows pass through a memtable (the map-side aggregate of a task), which flushes a
-run: one row per digest with its smallest identifier, sorted by digest, in Parquet
-files with Bloom filters and min/max statistics on the digest.  Compaction merges
-runs and keeps smallest identifiers.  Digests that the compacted run counts more
-than once are hits; their texts are compared byte for byte.
+A task is a memtable: it sorts the digests of its rows and flushes them as a run, a
+Parquet file with a Bloom filter and min/max statistics on the digest.  Compaction
+merges runs into one row per digest, with its smallest identifier and its count.
+Digests counted more than once are hits, and a filter of their hashes, of bounded size,
+is broadcast.  Rows that miss it are alone and done; only the others are looked up in
+the compacted run, and only their texts are shuffled, for the byte verification.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from baseloom.llm._hot import join_hot
 from baseloom.llm._scratch import Scratch
 
 #: One run of blanks counts as one space.
@@ -27,42 +31,62 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Sorted runs of (digest, keep_id, n) in the shared folder.
+    """Sorted runs of (digest, doc_id, n) in the shared folder, n rows with doc_id as their smallest.
 
-    ``flush`` adds a run, ``compact`` merges all runs into one, ``lookup`` finds
+    ``flush`` adds a run for each task, ``compact`` merges all runs, ``lookup`` finds
     digests; its filter on a digest reaches the files' Bloom filters.
     """
 
+    OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
     def __init__(self, scratch: Scratch):
         self.scratch = scratch
         self.runs: list[DataFrame] = []
 
-    def _run(self, rows: DataFrame) -> DataFrame:
-        merged = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-        return self.scratch.write(merged.sortWithinPartitions("digest"), **options)
-
-    def flush(self, digests: DataFrame) -> None:
+    def flush(self, digests: DataFrame) -> DataFrame:
         """digests: rows of (digest, doc_id)."""
-        self.runs.append(self._run(digests.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("n"))))
+        rows = digests.select("digest", "doc_id", F.lit(1).cast("bigint").alias("n"))
+        self.runs.append(self.scratch.write(rows.sortWithinPartitions("digest", "doc_id"), **self.OPTIONS))
+        return self.runs[-1]
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, runs).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n"))
 
     def compact(self) -> DataFrame:
-        if len(self.runs) > 1:
-            old, rows = self.runs, self.runs[0]
-            for run in old[1:]:
-                rows = rows.unionByName(run)
-            self.runs = [self._run(rows)]
-            self.scratch.drop(*old)
+        """All runs as one, which takes their place in the index; their tables stay."""
+        self.runs = [self.scratch.write(self._merged(self.runs).sortWithinPartitions("digest"), **self.OPTIONS)]
         return self.runs[0]
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
-        rows = self.runs[0].filter(F.col("digest").isin(digests))
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run.filter(F.col("digest").isin(digests)))
-        return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        return self._merged([run.filter(F.col("digest").isin(digests)) for run in self.runs])
+
+
+class HitFilter:
+    """A bit for each digest that several rows have: 16 bits a digest, 16 MB at most; more digests only make more false hits."""
+
+    MOST_BITS = 1 << 27
 
+    def __init__(self, hits: DataFrame):
+        wanted = 16 * hits.count()
+        self.bits = 1 << min(max(15, wanted.bit_length()), self.MOST_BITS.bit_length() - 1)
+        spot = self._spot(F.col("digest"))
+        table = hits.groupBy(F.bitmap_bucket_number(spot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("_bitmap"))
+        self.table = F.broadcast(table)
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", memtables: int = 3) -> DataFrame:
+    def _spot(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.bits)) + 1
+
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """rows, which have a digest, with ``maybe``: false where the digest is of no hit."""
+        spot = self._spot(F.col("digest"))
+        at = F.bitmap_bit_position(spot)
+        byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        mask = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), at.bitwiseAND(F.lit(7)).cast("int") + 1)
+        bit = F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
+        return rows.join(self.table, F.bitmap_bucket_number(spot) == F.col("_bucket"), "left").withColumn("maybe", bit).drop("_bucket", "_bitmap")
+
+
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, and empty texts equal each other.  Of equal texts the
@@ -71,21 +95,26 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     only, keep_id is null and all stay.  Columns beside the two named are ignored.
     An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    log = scratch.write(rows.select("doc_id", digest(F.col("text")).alias("digest")))
-
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     index = DigestIndex(scratch)
-    for k in range(memtables):
-        index.flush(log.filter(F.pmod(F.xxhash64("doc_id"), F.lit(memtables)) == k))
-    compacted = index.compact()
-
-    found = log.join(compacted, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"))
-    hits = found.filter("group_size > 1").select(F.col("doc_id").alias("id"), "digest").distinct()
-    hit_texts = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("digest").alias("at"), normalised(F.col("text")).alias("norm")).filter(F.unhex(F.sha2("norm", 256)) == F.col("at"))
-    classes = hit_texts.groupBy("at", "norm").agg(F.lit(1).alias("one"))
-    clashes = scratch.write(classes.groupBy("at").count().filter("count > 1").select(F.col("at").alias("digest")))
+    log = index.flush(rows.select("doc_id", digest(F.col("text")).alias("digest")))
+    hits = index.compact().filter("n > 1")
+    known = HitFilter(hits)
+    total = log.count()
+
+    seen = known.probe(log.select("doc_id", "digest"))
+    single = seen.filter("NOT maybe").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
+    found = join_hot(
+        seen.filter("maybe").select("doc_id", "digest"),
+        hits.select("digest", F.col("doc_id").alias("least"), F.col("n").alias("group_size"), "n"), ["digest"], "n", total, "left",
+    )
+    found = found.select("doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    found = single.unionByName(found)
+
+    texts = rows.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    classes = known.probe(texts).filter("maybe").groupBy("digest", "norm").agg(F.lit(1).alias("one"))
+    clashes = scratch.write(classes.groupBy("digest").count().filter("count > 1").select("digest"))
     if not clashes.isEmpty():
         found = _by_bytes(rows, found, clashes)
     return found.select(

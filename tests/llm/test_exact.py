@@ -35,7 +35,15 @@ def test_runs_compact_and_look_up(spark, docs_of):
     a = hashlib.sha256(b"a").digest()
     before = index.lookup([a]).first()
     index.compact()
-    assert len(index.runs) == 1 and before == index.lookup([a]).first() and (before.keep_id, before.n) == (3, 2)
+    assert len(index.runs) == 1 and before == index.lookup([a]).first() and (before.doc_id, before.n) == (3, 2)
+
+
+def test_filter_has_all_hits_and_few_others(spark):
+    hits = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest"))
+    others = spark.range(4000, 44000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest"))
+    known = E.HitFilter(hits)
+    assert known.probe(hits).filter("NOT maybe").count() == 0 and known.probe(others).filter("maybe").count() < 0.1 * 40000
+    assert E.HitFilter(hits.limit(0)).probe(others).filter("maybe").count() == 0
 
 
 def test_equal_digests_of_unequal_texts_part(spark, docs_of, monkeypatch):

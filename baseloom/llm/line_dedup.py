@@ -2,9 +2,11 @@
 
 The first filter takes every line hash that is seen, the second those that the first
 already had.  Both are cut in slices by hash; a task owns whole slices and reads their
-hashes as a stream, so it holds two slices and no table of lines.  The second filter,
-of fixed size, is broadcast: only lines that it has, suspected repeats, are shuffled,
-for exact confirmation and for the choice of the document that keeps the line.
+hashes as a stream, so it holds two slices and no table of lines.  For that each task
+sends eight bytes for a line, however often it has it.  The second filter is sized by
+the input up to a bound and broadcast: only lines that it has, suspected repeats, are
+shuffled with their documents, for exact confirmation and for the choice of the
+document that keeps the line.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baseloom.llm import _vector as V
+from baseloom.llm._hot import join_hot
 from baseloom.llm._scratch import Scratch
 from baseloom.llm._windows import answered, keyed, partitions
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Bits of a filter: 16 MB.  More lines make more suspects, never another result.
-FILTER_BITS = 1 << 27
+#: Bits of a filter for each line that the input may have, and the bound of a filter: 64 MB.  More lines make more suspects, never another result.
+BITS_A_LINE, MAX_FILTER_BITS = 8, 1 << 29
 SLICES = 256
 PROBES = 4
 FLUSH = 400_000
@@ -39,8 +42,15 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def _bits(h1: np.ndarray, h2: np.ndarray, per_slice: int) -> list[np.ndarray]:
-    return [(((h1 + np.uint64(i) * (h2 | np.uint64(1))) >> np.uint64(8)) % np.uint64(per_slice)).astype(np.int64) for i in range(PROBES)]
+def _bits(h: np.ndarray, per_slice: int) -> list[np.ndarray]:
+    step = V.mix(h) | np.uint64(1)
+    return [(((h + np.uint64(i) * step) >> np.uint64(8)) % np.uint64(per_slice)).astype(np.int64) for i in range(PROBES)]
+
+
+def filter_bits(texts: DataFrame, min_chars: int) -> int:
+    """A power of two for the lines of min_chars that fit into all texts."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    return min(MAX_FILTER_BITS, 1 << max(20, (BITS_A_LINE * size // (min_chars + 1)).bit_length()))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -53,7 +63,7 @@ def _digests(text: bytes, min_chars: int) -> list[bytes]:
     return list({k for k in (line_key(line, min_chars) for line in text.split(b"\n")) if k})
 
 
-def repeated_filter(texts: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> bytes:
+def repeated_filter(texts: DataFrame, min_chars: int, bits: int) -> bytes:
     """The filter of hashes seen in a second document, by slice; its size is fixed by bits."""
     per_slice, tasks = max(64, bits // SLICES), partitions(texts)
 
@@ -61,12 +71,12 @@ def repeated_filter(texts: DataFrame, min_chars: int = MIN_CHARS, bits: int = FI
         held: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)
+            h, count = np.unique(np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)[:, 0], return_counts=True)
             held.clear()
-            order, starts = V.groups([h[:, 0], h[:, 1]])
-            h, sizes = h[order[starts]], np.diff(np.append(starts, len(order)))
-            columns = V.packed((h[:, 0] % np.uint64(SLICES)).astype(np.int64), SLICES, {"h1": h[:, 0], "h2": h[:, 1], "again": sizes > 1})
-            return pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(SLICES, dtype=np.int32))} | columns)
+            parts = {}
+            for name, some in (("one", h[count == 1]), ("more", h[count > 1])):
+                parts |= V.packed((some % np.uint64(SLICES)).astype(np.int64), SLICES, {name: some})
+            return pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(SLICES, dtype=np.int32))} | parts)
 
         for batch in batches:
             for text in _texts(batch):
@@ -81,26 +91,25 @@ def repeated_filter(texts: DataFrame, min_chars: int = MIN_CHARS, bits: int = FI
         twice: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, k in enumerate(batch.column(0).to_pylist()):
-                h1, h2 = (V.unpacked(batch.column(j).slice(i, 1), np.uint64) for j in (1, 2))
-                again = V.unpacked(batch.column(3).slice(i, 1), np.bool_)
                 if k not in once:
                     once[k], twice[k] = np.zeros(per_slice, bool), np.zeros(per_slice, bool)
-                at = _bits(h1, h2, per_slice)
-                again = again | np.logical_and.reduce([once[k][x] for x in at])
-                for x in at:
-                    once[k][x] = True
-                    twice[k][x[again]] = True
+                for j, several in ((1, False), (2, True)):
+                    at = _bits(V.unpacked(batch.column(j).slice(i, 1), np.uint64), per_slice)
+                    again = np.logical_or(several, np.logical_and.reduce([once[k][x] for x in at]))
+                    for x in at:
+                        once[k][x] = True
+                        twice[k][x[again]] = True
         for k, found in twice.items():
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(found).tobytes()], pa.binary())})
 
-    sent = texts.mapInArrow(send, "slice int, h1 binary, h2 binary, again binary").repartition(tasks, "slice")
+    sent = texts.mapInArrow(send, "slice int, one binary, more binary").repartition(tasks, "slice")
     out = np.zeros((SLICES, per_slice // 8), np.uint8)
     for row in sent.mapInArrow(build, "slice int, bits binary").toLocalIterator():
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return out.tobytes()
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, text_col: str = "text", id_col: str = "doc_id", filter_bits: int = FILTER_BITS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, text_col: str = "text", id_col: str = "doc_id", bits: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_text.
 
     Lines are what newlines separate; null and empty texts have one empty line.  A
@@ -108,12 +117,13 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     min_chars code points found in min_docs rows loses all its lines except in the row of largest id that
     holds it; there all stay.  Rows that share the largest id all keep
     theirs.  Null ids count as smaller than all others.  Other columns are ignored.
-    Keys compare by 128 bits of hash.
+    Keys compare by 128 bits of hash.  bits: the size of a filter, if not by the input.
     """
     spark = docs.sparkSession
     scratch, rows = Scratch(spark), keyed(docs, text_col, id_col)
-    per_slice = max(64, filter_bits // SLICES)
-    again = spark.sparkContext.broadcast(repeated_filter(rows.select("text"), min_chars, filter_bits))
+    bits = bits or filter_bits(rows, min_chars)
+    per_slice = max(64, bits // SLICES)
+    again = spark.sparkContext.broadcast(repeated_filter(rows.select("text"), min_chars, bits))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(again.value, np.uint8).reshape(SLICES, -1)
@@ -129,14 +139,16 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
             h = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
             part = (h[:, 0] % np.uint64(SLICES)).astype(np.int64)
             use = np.ones(len(h), bool)
-            for x in _bits(h[:, 0], h[:, 1], per_slice):
+            for x in _bits(h[:, 0], per_slice):
                 use &= (bits[part, x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 > 0
             doc = np.repeat(np.arange(len(count)), count)[use]
             yield pa.RecordBatch.from_pydict({"key": V.binary(h[use], np.arange(len(doc) + 1) * 2), "id": pa.array(ids[doc]), "rk": pa.array(rks[doc])})
 
     suspects = scratch.write(rows.select("id", "rk", "text").mapInArrow(suspected, "key binary, id bigint, rk bigint"))
     confirmed = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
-    lost = suspects.join(confirmed, "key").filter("id < keeper").groupBy("id", "rk").agg(F.collect_list("key").alias("keys"))
+    again.destroy()
+    confirmed = scratch.write(confirmed)
+    lost = join_hot(suspects, confirmed, ["key"], "n", suspects.count()).filter("id < keeper").groupBy("id", "rk").agg(F.collect_list("key").alias("keys"))
     lost = scratch.write(lost)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

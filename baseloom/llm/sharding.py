@@ -14,11 +14,19 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A prime far above the number of shards, so that shares differ by under 1 %.
-SLOTS = 65537
+#: Slots, of which there is a prime number, at least; and for each shard, so that shares differ by under 1 %.
+SLOTS, SLOTS_A_SHARD = 65537, 128
 SHARDS = 64
 
 
+def slots_for(shards: int) -> int:
+    """The least prime that is enough."""
+    n = max(SLOTS, SLOTS_A_SHARD * shards) | 1
+    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
 def _hash(name: str, salt: str) -> int:
     return int(hashlib.md5(f"{salt}:{name}".encode()).hexdigest()[:15], 16)
 
@@ -49,18 +57,19 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.conv(head, 16, 10).cast("bigint"), F.lit(slots)).cast("int")
 
 
-def place(docs: DataFrame, key_col: str = "doc_id", shards: int | list[str] = SHARDS, slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
-    """All rows and columns, with the slot and the shard's name.
+def place(docs: DataFrame, key_col: str = "doc_id", shards: int | list[str] = SHARDS, slots: int | None = None, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """All rows and columns, with the slot and the shard's name; slots must be a prime, by default one for the number of shards.
 
     Rows with equal keys share a shard; rows with a null key go where the empty
     string goes.  Columns of the input that have the names of the two new ones are
     replaced.  An empty table stays empty, with the new columns.
     """
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else list(shards)
+    slots = slots or slots_for(len(names))
     owner = lookup_table(names, slots)
     spark = docs.sparkSession
     table = spark.createDataFrame([(i, names[k]) for i, k in enumerate(owner)], f"`{slot_col}` int, `{shard_col}` string")
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (slot_col, shard_col)), slot(F.col(key_col), slots).alias(slot_col))
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (slot_col, shard_col)), slot(F.col(f"`{key_col}`"), slots).alias(slot_col))
     return kept.join(F.broadcast(table), slot_col).select(*(c for c in kept.columns if c != slot_col), slot_col, shard_col)
 
 

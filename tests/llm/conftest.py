@@ -26,3 +26,9 @@ def clashing(spark):
     from pyspark.sql import functions as F
 
     return lambda df: df.withColumns({c: F.lit("?") for c in CLASHES})
+
+
+def opposite_words(size=1024):
+    """Two words of a and b, each the other with letters exchanged, in the order that sums of powers can't tell apart."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(size))
+    return one, one.translate(str.maketrans("ab", "ba"))

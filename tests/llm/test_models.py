@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from baseloom.llm import lm_score, mixing, quality, registry, sharding
+from tests.llm.conftest import opposite_words
 
 
 def held(i):
@@ -33,6 +34,45 @@ def test_base_scores(docs_of, clashing):
     assert lm_score.lm_score(docs_of([(one, "a b")])).first().base_score == 0
 
 
+def brute_scores(rows, min_pairs):
+    """The model with exact counts, each quantised to the middle of its power of two."""
+    tokens = {k: (t or "").encode().lower().split() + [None] for k, (_, t) in enumerate(rows)}
+    train = [k for k, (i, _) in enumerate(rows) if not held(i)]
+    words = collections.Counter(w for k in train for w in tokens[k])
+    pairs = collections.Counter(p for k in train for p in zip([0, *tokens[k]], tokens[k]))
+    about = lambda c: 0 if c == 0 else 1 if c == 1 else 1.5 * 2 ** int(math.log2(c))
+    total, kinds = sum(words.values()), len(words)
+    out = []
+    for k in range(len(rows)):
+        score = 0
+        for before, word in zip([0, *tokens[k]], tokens[k]):
+            seen = pairs[before, word]
+            seen = about(seen) if seen >= min_pairs else 0
+            prior = len(train) if before == 0 else about(words[before])
+            share = min(1, seen / max(prior, seen, 1))
+            score += math.log10(lm_score.PAIR_SHARE * share + (1 - lm_score.PAIR_SHARE) * min(1, (about(words[word]) + 1) / (total + kinds + 1)))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("min_pairs", [1, 2])
+def test_scores_against_exact_counts(docs_of, min_pairs):
+    """The filter's false positives alone set scores apart: few of them, and upward."""
+    r = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{k}" for k in r.zipf(1.4, 30) % 900)) for i in range(250)] + [(400, None), (401, "")]
+    got = {x.doc_id: x.score for x in lm_score.lm_score(docs_of(rows), min_pairs=min_pairs).collect()}
+    expected = brute_scores(rows, min_pairs)
+    apart = np.array([got[i] - e for (i, _), e in zip(rows, expected, strict=True)])
+    assert np.median(np.abs(apart)) < 0.2 and np.abs(apart).max() < 4 and abs(sum(got.values()) / sum(expected) - 1) < 0.02
+
+
+def test_words_that_sums_of_powers_confuse(docs_of):
+    one, two = opposite_words()
+    train, test = [i for i in range(100) if not held(i)], [i for i in range(100, 200) if held(i)]
+    got = {x.doc_id: x.n_known for x in lm_score.lm_score(docs_of([(train[0], one), (test[0], two), (test[1], one)])).collect()}
+    assert got == {train[0]: 2, test[0]: 1, test[1]: 2}
+
+
 def test_scores_prefer_what_was_seen(docs_of):
     rows = [(i, "alpha beta gamma delta " * 5) for i in range(40)]
     good, odd = (i for i in range(200, 400) if held(i)), (i for i in range(400, 600) if held(i))
@@ -135,10 +175,67 @@ def test_mix_rows(docs_of, clashing):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_is_in_order_and_within_its_budget(docs_of):
+    """Finish times rise, all words are spent but for half a document, and equal rows are taken as the queue says."""
+    import random
+
+    r = random.Random(4)
+    rows = [(i, "w " * r.randint(1, 30), r.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(7, "same row here", "b")] * 5
+    docs = docs_of(rows)
+    out = [(x.doc_id, x.source, len(x.text.split())) for x in mixing.mix(docs).collect()]
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum(n for *_, n in out) - total) <= 30
+    thin = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    queued = mixing.queue(thin).collect()
+    taken = collections.Counter()
+    for x in queued:
+        taken[x.doc_id, x.source, x.size] += x.copies
+    assert collections.Counter(out) == +taken
+    spent, finish = collections.Counter(), {x.source: x.target for x in queued}
+    last = 0
+    for _, source, n in out:  # served in turn: no source runs ahead of the others by more than a document
+        spent[source] += n
+        now = spent[source] / finish[source]
+        assert now >= last - 35 / finish[source] - 1e-9
+        last = max(last, now)
+
+
+def test_quality_of_odd_rows(spark, docs_of, clashing):
+    """Repeated rows, null and very long texts, empty tables and clashing names."""
+    rows = [(i, _junk(i) if i % 5 == 0 else "a plain text of words. " * (1 + i % 7)) for i in range(300)]
+    rows += rows[:40] + [(400, "word " * 200_000), (401, None), (None, None), (401, "")]
+    docs = clashing(docs_of(rows)).withColumn("body", F.lit("b"))
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(300)] * 2, "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    again = quality.train(docs.repartition(7), labels)
+    split = quality.train(docs, labels, group_rows=90)
+    assert np.allclose(model.weight, again.weight, atol=1e-5) and model.prior == again.prior
+    apart = lambda m: [x.p >= 0.3 for x in quality.score(docs, m, score_col="p").orderBy("doc_id").collect() if x.doc_id is not None and x.doc_id < 300]
+    assert sum(a != b for a, b in zip(apart(model), apart(split), strict=True)) < 15
+    out = quality.score(docs, model, score_col="p").collect()
+    assert len(out) == len(rows) and len({x.p for x in out if x.doc_id == 5}) == 1 and all(0 <= x.p <= 1 for x in out)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and quality.keep_good(docs.limit(0), labels.limit(0)).count() == 0
+
+
 def test_lookup_table():
     table = sharding.lookup_table([f"s{i}" for i in range(7)], 1009)
     sizes = collections.Counter(table)
     assert set(table) == set(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
+    # the rule, played out with sets
+    free, claimed = set(range(1009)), {}
+    orders = []
+    for name in (f"s{i}" for i in range(7)):
+        start, step = (sharding._hash(name, salt) for salt in ("offset", "step"))
+        orders.append([(start % 1009 + k * (step % 1008 + 1)) % 1009 for k in range(1009)])
+    turn = 0
+    while free:
+        mine = next(s for s in orders[turn % 7] if s in free)
+        claimed[mine] = turn % 7
+        free.remove(mine)
+        turn += 1
+    assert table == [claimed[s] for s in range(1009)]
+    assert sharding.slots_for(64) == 65537 and sharding.slots_for(1000) == 128021
     fewer = sharding.lookup_table([f"s{i}" for i in range(6)], 1009)
     moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a != 6)
     assert moved < 0.1 * 1009
@@ -184,6 +281,26 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, a null id and source, columns more, and empty tables."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, hits string, slot int"
+    words = "the quick brown fox jumps over a lazy dog near the old river bank today".split()
+    rows = [(i, " ".join(words[(i + k * (i % 3 + 1)) % 15] + str(i % 11) for k in range(30)), "en", None if i % 4 else "s", 1, "h", 3) for i in range(60)]
+    rows += [(None, "a text without an id", "en", "s", 1, None, None), (70, None, None, None, None, None, None), (71, "", "en", "s", 0, "h", 1), (72, "z " * 100_000, "en", "s", 1, "h", 1)] + rows[:5]
+    for name, some in (("full", rows), ("empty", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(i, int(i % 6 > 0), 0) for i in range(60)][: len(some)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, ""), (3, "no such passage anywhere in it")][: len(some)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, d)
+            assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        out = corpus_pipeline.run(spark, d)
+        assert "shard" in out.columns and (out.count() > 0) == bool(some)
+        assert out.groupBy("doc_id").count().filter("count > 3").count() == 0
+
+
 def test_registry():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from baseloom.llm import line_dedup, substring_dedup, suffix_dedup
+from tests.llm.conftest import opposite_words
 
 ODD = [(90, None), (91, ""), (92, " \n "), (93, "one"), (None, "null id here"), (94, "é" * 30), (95, "ab" * 400), (96, "ab" * 401), (97, "w " * 900)]
 
@@ -102,6 +103,40 @@ def test_repeated_rows_and_empty_tables(docs_of):
         assert f(docs_of([(1, "a")]).limit(0)).count() == 0
 
 
+def test_words_that_sums_of_powers_confuse(docs_of):
+    for size in (1024, 2048, 4096):
+        one, two = opposite_words(size)
+        rest = " ".join(f"w{i}" for i in range(19))
+        rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")]
+        got = substring_dedup.substring_dedup(docs_of(rows)).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_words(rows, 20)
+    one, two = opposite_words(1024)
+    rows = [(1, one), (2, two), (3, f"{two}{one}")]
+    got = suffix_dedup.suffix_dedup(docs_of(rows), 1024).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(rows, 1024)
+
+
+def test_a_text_of_several_blocks(docs_of):
+    """A window in a text of over a megabyte is the same as in a short one."""
+    r = random.Random(9)
+    passage = " ".join(f"p{r.randint(0, 10**6)}" for _ in range(40))
+    filler = " ".join(f"f{i}" for i in range(230_000))
+    rows = [(1, passage), (2, f"{filler} {passage} {filler[::-1]}"), (3, f"{passage} end")]
+    assert len(rows[1][1]) > 3 << 20
+    words = {x.doc_id: x.n_removed for x in substring_dedup.substring_dedup(docs_of(rows)).collect()}
+    assert words == {1: 0, 2: 40, 3: 40}
+    gone = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(docs_of(rows)).collect()}
+    assert gone[1] == (0, 0) and gone[3][0] >= len(passage) and gone[2][0] >= len(passage)
+
+
+def test_lines_of_repeated_rows_and_ties(docs_of, clashing):
+    """Rows that share the largest id all keep their lines; equal rows count each."""
+    line = "a line of over forty characters, here it is again"
+    rows = [(i, f"{line}\nown {i}") for i in range(4)] * 2 + [(9, line), (9, f"{line}\nx"), (9, "no line of that kind")] + [(3, "y" * 2_000_000)]
+    got = line_dedup.line_dedup(clashing(docs_of(rows)))
+    assert sorted((key(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines(rows)
+
+
 def test_covers():
     for period, residues in substring_dedup.COVERS.items():
         assert {(a - b) % period for a in residues for b in residues} == set(range(period))
@@ -139,7 +174,7 @@ def test_lines_with_a_full_filter(docs_of):
     """False suspects cost work alone."""
     r = random.Random(3)
     rows = [(i, "\n".join(f"{'line' * 11} {r.randint(0, 90)}" for _ in range(9))) for i in range(60)]
-    got = line_dedup.line_dedup(docs_of(rows), filter_bits=1)
+    got = line_dedup.line_dedup(docs_of(rows), bits=1)
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines(rows)
 
 

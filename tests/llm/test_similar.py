@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from baseloom.llm import components, decontam, jaccard_join
 from baseloom.llm._scratch import Scratch
+from tests.llm.conftest import opposite_words
 
 
 def lower(t):
@@ -71,6 +73,25 @@ def test_against_all_pairs(docs_of, clashing, seed, percent, frequent):
     assert got(out) == brute(rows, percent)
 
 
+def test_words_that_sums_of_powers_confuse(docs_of):
+    one, two = opposite_words()
+    rows = [(1, one), (2, two), (3, f"{one} b c d e f"), (4, f"{two} b c d e f"), (5, one)]
+    assert got(jaccard_join.jaccard_join(docs_of(rows))) == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_sketches_never_rule_out_a_link(percent):
+    """Similar sets differ in no more parities than shingles."""
+    r = np.random.default_rng(percent)
+    for _ in range(200):
+        n = int(r.integers(5, 3000))
+        x = np.unique(r.integers(1, 1 << 60, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) > r.random() * 0.4], r.integers(1, 1 << 60, int(n * r.random() * 0.3)).astype(np.uint64)]))
+        a, b = (jaccard_join.sketches(np.zeros(len(v), np.int64), v, 1) for v in (x, y))
+        apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y))
+        assert int(np.bitwise_count(a ^ b).sum()) <= apart and (int(np.bitwise_count(a ^ b).sum()) - apart) % 2 == 0
+
+
 def test_short_documents(docs_of):
     """Small sets, all of frequent shingles."""
     r = random.Random(8)
@@ -210,3 +231,17 @@ def test_short_items_are_found_as_they_stand(spark, docs_of):
         out = decontam.decontaminate(docs_of(rows), bench, part_bytes=part_bytes).collect()
         assert {x.doc_id: [(h.item_id, h.edits, h.word) for h in x.hits] for x in out if x.hits} == {0: [(1, 0, 1)], 2: [(2, 0, 0)], 3: [(2, 0, 6), (3, 0, 1)], 5: [(4, 1, 0)]}
     assert sorted(x.doc_id for x in decontam.clean(docs_of(rows), bench).collect()) == [1, 4, 6, 7, 8, 9]
+
+
+def test_least_edits_and_clashing_names(spark, docs_of):
+    """An exact copy counts though an edited one stands before it; columns of the input stay as they are."""
+    item = " ".join(f"v{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id bigint, text string")
+    near = item.replace("v7", "zz")
+    rows = [(0, f"{near} and then {item}"), (1, f"{item} {near}"), (2, near), (3, "none of it"), (2, near), (4, f"{'x ' * 300_000}{near}")]
+    df = docs_of(rows).withColumns({"hits": F.lit("mine"), "more": F.lit(5), "text_": F.lit("t")})
+    found = {(x.doc_id, tuple((h.item_id, h.edits, h.word) for h in x.found)) for x in decontam.decontaminate(df, bench, hits_col="found").collect()}
+    assert found == {(0, ((1, 0, 14), (2, 0, 14))), (1, ((1, 0, 0), (2, 0, 0))), (2, ((1, 1, 0), (2, 1, 0))), (3, ()), (4, ((1, 1, 300_000), (2, 1, 300_000)))}
+    left = decontam.clean(df, bench)
+    assert left.columns == df.columns and [(x.doc_id, x.hits, x.more) for x in left.collect()] == [(3, "mine", 5)]
+    assert decontam.decontaminate(df, bench).count() == 6

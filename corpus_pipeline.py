@@ -13,27 +13,27 @@ from baseloom.llm._scratch import Scratch
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject.  Null texts score as empty ones; ids are whole numbers or null."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest id."""
+    """One document of each group of near copies: the one of smallest id, a null one first; texts without words all stay, and of equal rows one."""
     return jaccard_join.near_dedup(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage that is, within a few words, an item of the benchmark."""
+    """Documents without a passage that is, within a few words, an item of the benchmark; null and empty texts and items have none."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to three times."""
+    """Documents as often as the mix takes them, none to three times; null sources are one source, texts without words have no size."""
     return mixing.mix(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their slot and shard."""
+    """Documents with their slot and shard, which take the place of columns of these names; a null id is placed as the empty text is."""
     return sharding.place(docs)
 
 

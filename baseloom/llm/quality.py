@@ -5,8 +5,10 @@ additive over binned statistics of a text and minimises the non-negative unbiase
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
-with logistic loss, where the class prior is estimated from the training labels.  Its
-output is then scaled to a probability on the training labels.
+with logistic loss, where the class prior is estimated from the training labels.  The
+unlabelled side is all training rows: bins are cut at their quantiles, and they are dealt
+in groups of about ``GROUP_ROWS``; for each group a model minimises the risk, and the mean of the
+models is the model.  The output is then scaled to a probability on the training labels.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from pyspark.sql import functions as F
 
 from baseloom.llm import _vector as V
 from baseloom.llm._rowwise import beside
+from baseloom.llm._scratch import Scratch
 
-#: Bounds of the samples that the model is fitted on; scores are for all rows.
-MAX_LABELLED, MAX_UNLABELLED = 30_000, 30_000
+#: Bound of the labelled rows that are used.
+MAX_LABELLED = 30_000
+#: Unlabelled rows that one model is fitted on, at most.
+GROUP_ROWS = 30_000
 BINS = 24
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 SEED = 11
@@ -37,7 +42,6 @@ _KIND[[ord(c) for c in ".,;:'\"?-()"]] = 4
 _KIND[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = 5
 _KIND[128:] = 6
 _KIND[[32, *range(9, 14)]] = 7
-_POLY = V.Poly(V.BASE_1)
 
 
 def features(block: V.Block) -> np.ndarray:
@@ -49,7 +53,7 @@ def features(block: V.Block) -> np.ndarray:
     starts, ends, first = V.split_words(block)
     words = np.diff(first).astype(float)
     doc = np.repeat(np.arange(n), np.diff(first))
-    h = _POLY.spans(_POLY.prefix(block.data), starts, ends)
+    h = V.spans(block.data, starts, ends)
 
     def per_doc(mask: np.ndarray) -> np.ndarray:
         return np.bincount(doc[mask], minlength=n) / np.maximum(words, 1)
@@ -69,7 +73,7 @@ def features(block: V.Block) -> np.ndarray:
     if len(h):
         gap = np.concatenate([[0], np.cumsum(newline)])
         line_head[1:] = gap[starts[1:]] > gap[starts[:-1]]
-        line_head[0] = True
+        line_head[first[:-1][words > 0]] = True  # whatever text stands before
     heads = V.mix(h ^ V.mix(doc.astype(np.uint64) + np.uint64(1)))[line_head]
     _, one = np.unique(heads, return_index=True)
     head_doc = doc[line_head]
@@ -108,28 +112,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, quality: np.ndarray) -> Model:
-    """positive, unlabelled, labelled: rows of features; quality: labels of labelled."""
-    prior = (quality.sum() + 1) / (len(quality) + 2)
-    width = labelled.shape[1] if labelled.ndim == 2 else len(FEATURES)
-    both = np.concatenate([positive, unlabelled])
-    # edges at quantiles of either sample and of the tails, where rejects are
-    q = np.concatenate([np.linspace(0, 1, BINS - 7)[1:-1], [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]])
-    edges = np.stack([np.sort(np.quantile(both[:, j], q)) for j in range(width)]) if len(both) else np.zeros((width, len(q)))
-    model = Model(edges, np.zeros((width, len(q) + 1)), 0.0, 1.0, float(np.log(prior / (1 - prior))), float(prior))
-    if not len(positive) or not len(unlabelled):
-        return model
-    cells = model.weight.size
-    base = np.arange(width) * (len(q) + 1)
+#: Bins are cut at quantiles, and more finely at the tails, where rejects are.
+QUANTILES = sorted([*np.linspace(0, 1, BINS - 7)[1:-1].tolist(), 0.005, 0.01, 0.02, 0.98, 0.99, 0.995])
+
+
+def untrained(edges: np.ndarray, prior: float) -> Model:
+    """Scores everything by the prior."""
+    return Model(edges, np.zeros((len(edges), edges.shape[1] + 1)), 0.0, 1.0, float(np.log(prior / (1 - prior))), prior)
 
-    def binned(x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(edges[j], x[:, j], "right") for j in range(width)], 1) + base
 
-    pos, unl = binned(positive), binned(unlabelled)
-    w, b = np.zeros(cells), 0.0
-    mean, square = np.zeros(cells + 1), np.zeros(cells + 1)
+def cells(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each row the cell of each feature, numbered through."""
+    wide = edges.shape[1] + 1
+    return np.stack([np.searchsorted(edges[j], x[:, j], "right") + j * wide for j in range(len(edges))], 1)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, size: int, prior: float) -> np.ndarray:
+    """Weights of all cells, and the bias, that minimise the risk; both sides are rows of cells."""
+    width = positive.shape[1]
+    w, b = np.zeros(size), 0.0
+    mean, square = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, STEPS + 1):
-        gp, gu = w[pos].sum(1) + b, w[unl].sum(1) + b
+        gp, gu = w[positive].sum(1) + b, w[unlabelled].sum(1) + b
         risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         dp = -prior * _sigmoid(-gp) / len(gp)
         up, un = -prior * _sigmoid(gp) / len(gp), _sigmoid(gu) / len(gu)
@@ -137,15 +141,33 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, qual
             dp, du = dp + up, un
         else:  # the negative part has gone below zero: step back along it alone
             dp, du = -up, -un
-        grad = np.bincount(pos.ravel(), np.repeat(dp, width), cells) + np.bincount(unl.ravel(), np.repeat(du, width), cells)
+        grad = np.bincount(positive.ravel(), np.repeat(dp, width), size) + np.bincount(unlabelled.ravel(), np.repeat(du, width), size)
         grad = np.append(grad + DECAY * w, dp.sum() + du.sum())
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         step = RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    model.weight, model.bias = w.reshape(model.weight.shape), float(b)
-    if 0 < quality.sum() < len(quality):
-        _calibrate(model, labelled, quality)
-    return model
+    return np.append(w, b)
+
+
+def fit_all(table: DataFrame, model: Model, positive: np.ndarray, group_rows: int) -> None:
+    """Sets the model's weights: the mean, by rows, of models of groups that all rows of table are dealt to evenly."""
+    groups = max(1, -(-table.count() // group_rows))
+    shared = table.sparkSession.sparkContext.broadcast((model, positive))
+
+    def run(batches):
+        known, trusted = shared.value
+        rows = [m for m in (_matrix(b.column(0)) for b in batches) if len(m)]
+        if rows:
+            x = np.concatenate(rows)
+            x = x[np.lexsort(x.T)]  # sums don't depend on the order in which rows come
+            got = fit(trusted, cells(known.edges, x), known.weight.size, known.prior)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(len(got))), "sum": pa.array(got * len(x)), "n": pa.array(np.full(len(got), len(x)))})
+
+    told = table.select("x").repartition(groups).mapInArrow(run, "cell bigint, sum double, n bigint")
+    got = told.groupBy("cell").agg((F.sum("sum") / F.sum("n")).alias("w")).orderBy("cell").toPandas()["w"].to_numpy()
+    shared.destroy()
+    if len(got):
+        model.weight, model.bias = np.round(got[:-1], 9).reshape(model.weight.shape), round(float(got[-1]), 9)
 
 
 def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
@@ -171,21 +193,29 @@ def _compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     return {"x": pa.array(list(rows), pa.list_(pa.float64()))}
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fits on bounded samples of the rows whose ids aren't held out, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, group_rows: int = GROUP_ROWS) -> Model:
+    """Fits on the rows whose ids aren't held out: all of them unlabelled, and a bounded number of labelled ones, chosen by a hash of the id.
 
     Labels other than 0 and 1 and null ids are left out; of several labels of an id the
-    largest counts.  Without labels, or without texts, the score is the prior.
+    largest counts, and of several texts one.  Ids must be whole numbers.  Without
+    labels, or without texts, the score is the prior.
     """
-    known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id")))
-    known = known.groupBy("id").agg(F.max("y").alias("y"))
-    known = _sampled(known, max_labelled)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
-    taken = beside(texts.join(F.broadcast(known), "id"), "body", _compute, "x array<double>").select("y", "x").toPandas()
-    loose = texts.filter(~held_out(F.col("id")))
-    loose = beside(_sampled(loose, max_unlabelled), "body", _compute, "x array<double>").select("x").toPandas()
+    known = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id")))
+    known = _sampled(known.groupBy("id").agg(F.max("y").alias("y")), max_labelled)
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("body")).filter(~held_out(F.col("id")))
+    table = Scratch(docs.sparkSession).write(beside(texts, "body", _compute, "x array<double>").select("id", "x"))
+    taken = table.join(F.broadcast(known), "id").groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y")).orderBy("id").select("y", "x").toPandas()
     x, y = _matrix(taken["x"]), taken["y"].to_numpy(float)
-    return fit(x[y == 1], _matrix(loose["x"]), x, y)
+    prior = float((y.sum() + 1) / (len(y) + 2))
+    cuts = table.agg(*(F.percentile_approx(F.get("x", F.lit(j)), QUANTILES).alias(f"q{j}") for j in range(len(FEATURES)))).first()
+    edges = np.array([c or [0.0] * len(QUANTILES) for c in cuts], float)
+    model = untrained(edges, prior)
+    if not (y == 1).any() or cuts[0] is None:
+        return model
+    fit_all(table, model, cells(edges, x[y == 1]), group_rows)
+    if (y == 0).any():
+        _calibrate(model, x, y)
+    return model
 
 
 def _sampled(rows: DataFrame, most: int) -> DataFrame:
@@ -195,6 +225,8 @@ def _sampled(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.Array):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     return np.array(column.tolist(), float).reshape(-1, len(FEATURES))
 
 

@@ -29,10 +29,10 @@ from baseloom.llm._windows import Entries, keyed, partitions
 
 #: Share of the pair estimate in a smoothed probability; the rest is the word estimate.
 PAIR_SHARE = 0.3
-#: Pairs seen less often aren't stored: they score by their words, as unseen ones do.
-MIN_PAIRS = 2
-#: Bits of the filter that are broadcast at once (128 MB).  The whole filter has no bound.
-PASS_BITS = 1 << 30
+#: Pairs seen less often aren't stored: they score by their words, as unseen ones do.  By default all are stored.
+MIN_PAIRS = 1
+#: Bits of the filter that are broadcast at once (64 MB).  The whole filter has no bound.
+PASS_BITS = 1 << 29
 BITS_A_KEY = 12
 PROBES = 3
 HOT_SHARE = 20_000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHIFTS = (0, -1, 1, -2, 2)
@@ -31,25 +31,36 @@ def sampled(hits: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return hits.orderBy(F.xxhash64(*hits.columns, F.lit(seed)), *(c for c in ("contig", "refr_pos") if c in hits.columns)).limit(n)
 
 
+#: Bases of a tile that hits are looked up in; small, because a base is found by counting from the tile's start.
+LOOKUP = 256
+
+
 def shift_check(hits: DataFrame, refs: DataFrame, shifts: tuple[int, ...] = SHIFTS) -> DataFrame:
     """(shift, checked, matched): does the reference base stand at refr_pos + shift.
 
     Hits on the minus strand show the complement; without a strand column either
-    orientation will do.  Joined by contig and tile, so no reference is broadcast.
+    orientation will do.  A hit meets its tile of the reference, which reaches as far as
+    the shifts on either side, once; so no reference is broadcast.
     """
-    from baseloom.operators.walk import TILE
-
     if "strand" not in hits.columns and "conv_strand" in hits.columns:
         hits = hits.withColumn("strand", F.when(F.col("conv_strand").isin("OB", "CTOB"), "-").otherwise("+"))
-    base = F.upper("refr_base")
+    reach, base = max(map(abs, shifts)), F.upper("refr_base")
     asked = hits.filter(base.isin("A", "C", "G", "T")).select("contig", F.col("refr_pos").alias("p"), base.alias("b"), *(["strand"] if "strand" in hits.columns else []))
-    asked = asked.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("at", F.col("p") + F.col("shift"))
-    tiles = refs.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / TILE)))).select("contig", "tile", F.substr("seq", (F.col("tile") * TILE + 1).cast("int"), F.lit(TILE)).alias("part"))
-    joined = asked.withColumn("tile", F.floor(F.col("at") / TILE)).join(tiles, ["contig", "tile"], "left")
-    there = F.upper(F.substr("part", (F.col("at") - F.col("tile") * TILE + 1).cast("int"), F.lit(1)))
+    asked = asked.withColumn("tile", F.floor(F.col("p") / LOOKUP))
+    tile = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / LOOKUP))
+    padded = F.concat(F.repeat(F.lit("_"), F.lit(reach)), F.col("seq"), F.repeat(F.lit("_"), F.lit(reach)))
+    tiles = refs.withColumn("seq", padded).withColumn("tile", F.explode(tile)).select("contig", "tile", F.substr("seq", (F.col("tile") * LOOKUP + 1).cast("int"), F.lit(LOOKUP + 2 * reach)).alias("part"))
+    joined = asked.join(tiles, ["contig", "tile"], "left").withColumn("at", (F.col("p") - F.col("tile") * LOOKUP + reach + 1).cast("int"))
     turned = F.translate("b", "ACGT", "TGCA")
-    wanted = (there == F.when(F.col("strand") == "-", turned).otherwise(F.col("b"))) if "strand" in hits.columns else (there == F.col("b")) | (there == turned)
-    return joined.groupBy("shift").agg(F.count("*").alias("checked"), F.sum(F.coalesce(wanted, F.lit(False)).cast("bigint")).alias("matched"))
+
+    def matches(shift: int) -> Column:
+        there = F.upper(F.substr("part", F.col("at") + shift, F.lit(1)))
+        wanted = (there == F.when(F.col("strand") == "-", turned).otherwise(F.col("b"))) if "strand" in hits.columns else (there == F.col("b")) | (there == turned)
+        return F.count_if(F.coalesce(wanted, F.lit(False)))
+
+    counts = joined.agg(F.count("*").alias("checked"), *(matches(s).alias(f"m{k}") for k, s in enumerate(shifts)))
+    rows = F.array(*(F.struct(F.lit(s).alias("shift"), F.col("checked"), F.col(f"m{k}").alias("matched")) for k, s in enumerate(shifts)))
+    return counts.select(F.inline(rows)).filter("checked > 0")
 
 
 def placed_bases(hits: DataFrame) -> DataFrame:

@@ -36,9 +36,15 @@ def _add(name: str, sql: str | None):
     return take
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt to all cores, if the files give fewer tasks than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+
+
 def contigs(spark: SparkSession, d: str) -> DataFrame:
     seq = F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), LETTERS, BASES)
-    out = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("contig"), seq.alias("seq"))
+    out = spread(table(spark, d, "documents")).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("contig"), seq.alias("seq"))
     return out.filter("length(seq) > 0").withColumn("length", F.length("seq").cast("bigint"))
 
 

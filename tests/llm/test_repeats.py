@@ -116,6 +116,30 @@ def test_words_that_sums_of_powers_confuse(docs_of):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(rows, 1024)
 
 
+def test_radix_passes_order_and_group():
+    """What isn't alone comes in the order of its bytes, equal windows in one group."""
+    import numpy as np
+
+    r = random.Random(3)
+    for depth in (1, 3, 8, 9, 20):
+        data = bytes(r.choice(b"ab\xff") for _ in range(300))
+        at = np.arange(300 - max(depth, 8) + 1)
+        first = [np.array([data[i] & 1 for i in at])]
+        left, group = suffix_dedup.sorted_groups(first, np.frombuffer(data, np.uint8), at, depth)
+        windows = [(data[i] & 1, data[i : i + depth]) for i in at]
+        again = [w for w in windows if windows.count(w) > 1]
+        assert [windows[i] for i in left] == sorted(again) and len(set(group.tolist())) == len(set(again))
+        assert all((a == b) == (windows[i] == windows[j]) for a, b, i, j in zip(group, group[1:], left, left[1:]))
+
+
+@pytest.mark.parametrize("most_kinds", [0, 1, 2, 5])
+def test_grams_of_many_kinds(docs_of, most_kinds):
+    """Suffixes that are dealt one by one, beside those that are sorted together."""
+    rows = random_rows(11, 50)
+    got = suffix_dedup.suffix_dedup(docs_of(rows), 24, gram=6, most_kinds=most_kinds).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(rows, 24)
+
+
 def test_a_text_of_several_blocks(docs_of):
     """A window in a text of over a megabyte is the same as in a short one."""
     r = random.Random(9)

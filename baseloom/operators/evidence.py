@@ -19,7 +19,7 @@ SITE = ["block", "contig", "refr_pos", "strand"]
 KEYS = {"read": ["read"], "block": ["block"], "site": SITE}
 READ = ("qname", "mate")
 #: Regions are found by bins of so many positions, unless they are few enough to broadcast.
-BIN = 1 << 14
+BIN = 1 << 9
 
 
 def source(hits: DataFrame, read: tuple[str, ...] = READ, block=None, block_sep: str = ".", names: dict[str, str] | None = None) -> DataFrame:

@@ -21,8 +21,9 @@ than needed into the index, but it never misses one, so results don't depend on
 Equal sets are one node.  Nodes that share a key are paired with the key's *pivot*
 alone, the node with the smallest share of shingles of its own: what others are copies
 of.  That joins most of them.  Where a pivot's nodes are still in several components,
-those outside the largest one are paired with the others; the group is dealt in blocks.
-Pairs are verified on whole sets, unless sizes rule them out, or sketches do: of the
+those outside the largest one are paired with the others; the group is dealt in blocks,
+and in a block, sorted, only pairs are looked at whose distances from the pivot allow a
+link.  Pairs are verified on whole sets, unless sizes rule them out, or sketches do: of the
 parities of hashed shingles, no more differ than shingles do.
 
 Components need no more than that.  For numbers of links all pairs of nodes that share
@@ -440,12 +441,75 @@ def _salts(size: F.Column, block: int = BLOCK_NODES) -> F.Column:
     return F.pow(2, F.ceil(F.log2(F.greatest(F.lit(1.0), size / block)))).cast("bigint")
 
 
+def _turned() -> F.Column:
+    """In how many parities a set's sketch and its pivot's differ."""
+    return sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("psketch")[i])) for i in range(SKETCH_WORDS)).cast("bigint")
+
+
 def _may_link(percent: int) -> F.Column:
-    """Whether sizes and sketches allow that sets (n, s, sketch) and (pn, ps, psketch) are similar."""
+    """Whether sizes and sketches, of which so many parities are turned, allow that sets (n, s) and (pn, ps) are similar."""
     # what differs: at most so much in all, of which what no other set may have is known
     differ = F.expr(f"floor({100 - percent} * (n + pn) / {100 + percent}) - (n - s) - (pn - ps)")
-    turned = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("psketch")[i])) for i in range(SKETCH_WORDS))
-    return _fits(percent) & (turned <= differ)
+    return _fits(percent) & (F.col("turned") <= differ)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows sorted by some columns, cut anew where these change."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in by]
+        same = np.logical_and.reduce([k == k[-1] for k in keys])
+        cut = int(np.argmax(same))
+        if cut or held and any(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() != v[0] for k, v in zip(by, keys, strict=True)):
+            if done := [*held, *[batch.slice(0, cut)] * bool(cut)]:
+                yield pa.Table.from_batches(done)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Pairs that are looked at together.
+PAIRS = 1 << 16
+
+
+def _pairs_of_blocks(dealt: DataFrame, percent: int) -> DataFrame:
+    """(x, y, salt): pairs of others and minor nodes of the same block that may link; dealt is sorted by its blocks (y, salt).
+
+    A minor node and another one differ by as many parities at least as their numbers of
+    parities turned against the pivot do.  So with the others sorted by ``least``, those
+    that a minor node may link with are among the first, up to its ``most``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ("y", "salt")):
+            c = {k: table.column(k).to_numpy() for k in ("y", "salt", "x", "comp", "n", "s", "turned", "edge")}
+            minor, main = (table.column(k).to_numpy().astype(bool) for k in ("minor", "in_main"))
+            sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH_WORDS).view(np.uint64)
+            new = np.ones(len(minor), bool)
+            new[1:] = (c["y"][1:] != c["y"][:-1]) | (c["salt"][1:] != c["salt"][:-1])
+            group = np.cumsum(new)
+            order = np.lexsort((minor, c["edge"], group))
+            others, small = order[~minor[order]], order[minor[order]]
+            first = np.searchsorted(group[others], group[small])
+            count = np.cumsum(~minor[order])[minor[order]] - first
+            ends = np.cumsum(count)
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+                at = np.arange(lo, min(lo + PAIRS, int(ends[-1])))
+                of = np.searchsorted(ends, at, "right")
+                x, y = others[first[of] + at - (ends - count)[of]], small[of]
+                n, s = c["n"], c["s"]
+                differ = (100 - percent) * (n[x] + n[y]) // (100 + percent) - (n - s)[x] - (n - s)[y]
+                use = (c["comp"][x] != c["comp"][y]) & (main[x] | (c["x"][x] < c["x"][y])) & (np.abs(c["turned"][x] - c["turned"][y]) <= differ)
+                use &= (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((100 + percent) * np.minimum(s[x], s[y]) >= percent * (n[x] + n[y]))
+                x, y, differ = x[use], y[use], differ[use]
+                use = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= differ
+                if use.any():
+                    yield pa.RecordBatch.from_pydict({"x": pa.array(c["x"][x[use]]), "y": pa.array(c["x"][y[use]]), "salt": pa.array(c["salt"][x[use]])})
+
+    return dealt.mapInArrow(run, "x bigint, y bigint, salt bigint")
 
 
 def _joining_links(scratch: Scratch, index: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -459,20 +523,27 @@ def _joining_links(scratch: Scratch, index: DataFrame, nodes: DataFrame, sets: D
     y = nodes.select(F.col("node").alias("y"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("sketch").alias("psketch"))
     loads = pairs.groupBy("y").agg(F.count("*").alias("load"))
     met = join_hot(pairs.join(x, "x"), y.join(loads, "y"), ["y"], "load", pairs.count())
-    known = scratch.write(met.select("x", "y", "n", "s", "sketch", _may_link(percent).alias("likely"), F.pmod(F.xxhash64("x"), _salts(F.col("m"))).alias("salt")))
+    met = met.withColumn("turned", _turned())
+    known = scratch.write(met.select("x", "y", "n", "s", "sketch", "turned", _may_link(percent).alias("likely"), F.pmod(F.xxhash64("x"), _salts(F.col("m"))).alias("salt")))
     links = scratch.write(compared(scratch.write(known.filter("likely").select("x", "y", "salt")), sets).filter(_similar(percent)).select("x", "y"))
 
     # what a pivot has not joined: nodes outside its largest component, with the others of another one
     comps = components(links, scratch)
     known = known.join(comps.select(F.col("node").alias("x"), F.col("comp").alias("found")), "x", "left")
-    known = scratch.write(known.select("x", "y", "n", "s", "sketch", F.coalesce("found", "x").alias("comp")))
-    parts = known.groupBy("y", "comp").agg(F.count("*").alias("part"))
-    mixed = parts.groupBy("y").agg(F.max(F.struct("part", "comp")).alias("main"), F.sum("part").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = mixed.select("y", F.col("main.comp").alias("main"), "m", _salts(F.col("m"), 4 * BLOCK_NODES).alias("blocks"))
-    known = scratch.write(join_hot(known, mixed, ["y"], "m", known.count()).withColumn("salt", F.pmod(F.xxhash64("x"), "blocks")))
-    minor = known.filter("comp <> main").select("y", F.col("x").alias("px"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("sketch").alias("psketch"), F.col("comp").alias("pcomp"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("salt"))
-    more = known.join(minor, ["y", "salt"]).filter("comp <> pcomp AND (comp = main OR x < px)").filter(_may_link(percent))
-    more = scratch.write(more.select("x", F.col("px").alias("y"), "salt").distinct())
+    # of a link, (100 + percent) * all that differs <= (100 - percent) * (n + n of the other), with what belongs to either on its side
+    least = F.expr(f"{100 + percent} * (n - s - turned) - {100 - percent} * n")
+    most = F.expr(f"{100 - percent} * n - {100 + percent} * (n - s + turned)")
+    known = scratch.write(known.select("x", "y", "n", "s", "turned", "sketch", F.coalesce("found", "x").alias("comp"), least.alias("least"), most.alias("most")))
+    parts = known.groupBy("y", "comp").agg(F.count("*").alias("part"), F.min("least").alias("least"))
+    mixed = parts.groupBy("y").agg(F.max(F.struct("part", "comp")).alias("main"), F.sum("part").alias("m"), F.count("*").alias("parts"), F.min("least").alias("nearest")).filter("parts > 1")
+    mixed = mixed.select("y", F.col("main.comp").alias("main"), "m", "nearest", _salts(F.col("m")).alias("blocks"))
+    known = scratch.write(join_hot(known, mixed, ["y"], "m", known.count()).withColumn("in_main", F.expr("comp = main")))
+    columns = ["y", "salt", "x", "comp", "in_main", "n", "s", "turned", "sketch"]
+    others = known.withColumn("salt", F.pmod(F.xxhash64("x"), "blocks")).select(*columns, F.col("least").alias("edge"), F.lit(False).alias("minor"))
+    minor = known.filter("NOT in_main AND most >= nearest").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = others.union(minor.select(*columns, F.col("most").alias("edge"), F.lit(True).alias("minor")))
+    tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    more = scratch.write(_pairs_of_blocks(dealt.repartition(tasks, "y", "salt").sortWithinPartitions("y", "salt"), percent).distinct())
     return links.union(scratch.write(compared(more, sets).filter(_similar(percent)).select("x", "y").distinct()))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,63 @@ def test_components_without_links(docs_of, seed, percent, frequent):
     assert got(jaccard_join.jaccard_join(docs_of(rows), percent, frequent=frequent, count_links=False)) == brute(rows, percent)
 
 
+def cpu_seconds(spark):
+    """CPU seconds of the tasks of each stage so far, without those of Python."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.executorCpuTime() / 1e9 for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_groups_of_near_copies_in_proportion(spark, docs_of):
+    """What a pivot doesn't join, a part of thousands of edited texts, isn't held against all others of the group one by one."""
+    r = random.Random(12)
+    rows = [(0, " ".join(f"w{i}" for i in range(80)))]
+    for i in range(1, 4000):
+        w = rows[0][1].split()
+        for k in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = f"x{i}-{k}"
+        for _ in range(r.choice([0, 0, 1, 2])):
+            del w[r.randrange(len(w))]
+        rows.append((i, " ".join(w)))
+    before = cpu_seconds(spark)
+    out = got(jaccard_join.jaccard_join(docs_of(rows), count_links=False))
+    most = max(v for k, v in cpu_seconds(spark).items() if k not in before)
+
+    sets = [shingle_set(t, 5) for _, t in rows]
+    n, place = np.array([len(x) for x in sets]), {}
+    for x in sets:
+        for shingle in x:
+            place.setdefault(shingle, len(place))
+    owner = np.repeat(np.arange(len(sets)), n)
+    item = np.array([place[shingle] for x in sets for shingle in x])
+    column = np.cumsum(np.bincount(item) > 1) - 1
+    shared = np.bincount(item)[item] > 1
+    has = np.zeros((len(sets), column[-1] + 1), np.float32)
+    has[owner[shared], column[item[shared]]] = 1
+    k = (has @ has.T).astype(np.int64)
+    links = 100 * k >= 75 * (n[:, None] + n - k)
+    np.fill_diagonal(links, True)
+    least, old = np.arange(len(sets)), None
+    while old is None or (least != old).any():
+        old, least = least, np.where(links, least, len(sets)).min(1)
+    assert out == sorted(zip(range(len(sets)), n.tolist(), least.tolist(), strict=True))
+    assert 1000 < (least != 0).sum() < 3000
+    assert most < 6
+
+
+def test_whole_groups():
+    """Groups over several batches, one that ends with its batch, and empty batches."""
+    y, salt = [1] * 5 + [2] * 2 + [2] * 3 + [3], [0] * 5 + [0] * 2 + [1] * 3 + [1]
+    table = pa.table({"y": y, "salt": salt, "x": list(range(len(y)))})
+    for cuts in ([0, 11], [0, 2, 2, 4, 5, 6, 11], [0, 5, 7, 10, 11], list(range(12))):
+        batches = [table.slice(a, b - a).combine_chunks().to_batches() or [table.schema.empty_table().combine_chunks()] for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = list(jaccard_join._whole_groups((b for bs in batches for b in bs if isinstance(b, pa.RecordBatch)), ("y", "salt")))
+        assert [i for t in out for i in t["x"].to_pylist()] == list(range(11))
+        keys = [set(zip(t["y"].to_pylist(), t["salt"].to_pylist(), strict=True)) for t in out]
+        assert sum(map(len, keys)) == len(set().union(*keys)) == 4
+
+
 def test_one_of_each_group_stays(docs_of, clashing):
     rows = [*near_copies(1, 30), (500, None), (501, None), (502, "solo words only here now"), (502, "solo words only here now")]
     df = clashing(docs_of(rows))

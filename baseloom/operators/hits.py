@@ -6,14 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from baseloom.functions import codes as K
 from baseloom.operators.boolean import Node
 from baseloom.operators.patterns import Pattern, QueryFile
-from baseloom.operators.walk import NEEDS, NONE, Columns, Steps, columns_of, text_of
+from baseloom.operators.walk import NEEDS, NONE, Columns, Steps, columns_of, pieces, text_of
 
 #: Most reads differ from a right reference at a few in a hundred bases; conversion of C to T isn't a difference.
 MAX_DISCORDANT, LEAST_COMPARED = 0.25, 1_000
@@ -96,11 +97,12 @@ def found_in(columns: Columns, queries: QueryFile) -> tuple[np.ndarray, np.ndarr
     return starts[order], which[order]
 
 
-def as_sequenced(off: Column) -> tuple[Column, Column]:
-    """(distance from the read's 5' end, from its 3' end), hard clips included; the second is null without SEQ."""
-    size = F.when(F.col("seq") == "*", F.lit(0)).otherwise(F.length("seq"))
-    five = F.when(F.col("mirrors_read"), size - 1 - off).otherwise(off)
-    return F.when(size > 0, five + F.col("hard_clip_5p")).otherwise(off), F.when(size > 0, size - 1 - five + F.col("hard_clip_3p"))
+def as_sequenced_of(batch: pa.RecordBatch, rec: np.ndarray, off: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(distance from the read's 5' end, from its 3' end) of offsets of a batch's records, hard clips included; without SEQ the offset and null."""
+    text = batch.column(batch.schema.get_field_index("seq"))
+    some = (pc.fill_null(pc.not_equal(text, "*"), False).to_numpy(zero_copy_only=False) & (np.diff(text_of(text)[0]) > 0))[rec]
+    five, three = _ends(batch, rec, off, some)
+    return pa.array(np.where(some, five.fill_null(0).to_numpy(), off)), three
 
 
 def _ends(batch: pa.RecordBatch, rec: np.ndarray, off: np.ndarray, shown: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -157,7 +159,7 @@ def hit_rows(reads: DataFrame, queries: QueryFile, steps: Steps, fields: list[st
     slim = reads.select(*dict.fromkeys([*kept, *NEEDS, *CLIPS]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             rec, out = _rows(batch, queries, steps)
             if not only_hits:
                 rest = np.setdiff1d(np.arange(batch.num_rows), rec)
@@ -175,7 +177,7 @@ def concordance(reads: DataFrame, steps: Steps) -> DataFrame:
     """(compared, discordant): single bases on both sides, and those that differ by more than a conversion."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             c = columns_of(batch, steps)
             both = _SINGLE[c.rd] & _SINGLE[c.rf]
             odd = both & (c.rd != c.rf) & ~((c.rf == K.C) & (c.rd == K.T))

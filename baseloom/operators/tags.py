@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from baseloom.functions import codes as K
-from baseloom.operators.hits import as_sequenced, found_in
+from baseloom.operators.hits import CLIPS, FLAT, as_sequenced_of, found_in
 from baseloom.operators.patterns import QueryError, QueryFile
-from baseloom.operators.walk import Columns, Steps, beside, cigar_ops, columns_of, text_of
+from baseloom.operators.walk import Columns, Steps, beside, columns_of, operations, pieces, text_of
 
 ORIGINS = ("OT", "CTOT", "OB", "CTOB")
 
@@ -151,35 +153,75 @@ def extract(reads: DataFrame, queries: QueryFile, tag: str | None = None, fields
     the query's anchor must stand on, else null.
     """
     spec = choose(declared(queries), tag)
-    known = [F.lit(c) for c in (*spec.codes, spec.fill)]
     value = F.try_element_at("tags", F.lit(spec.name))
     text = value["value"]
-    size = F.length("seq")
-    wrong = F.when(value.isNull(), F.lit(None)).when(value["type"] != "Z", F.raise_error(F.lit(f"tag {spec.name} isn't text")).cast("string")).when(F.length(text) != size, F.raise_error(F.concat(F.lit(f"tag {spec.name} and SEQ differ in length in read "), F.col("qname"))).cast("string")).otherwise(text)
-    chars = F.split(F.when(F.col("original") == "unknown", F.lit(None)).otherwise(wrong), "")
-    checked = F.transform(chars, lambda c: F.when(c.isin(*known), c).otherwise(F.raise_error(F.concat(F.lit(f"tag {spec.name}: no code "), c)).cast("string")))
-    out = reads.withColumn("_ops", cigar_ops(F.col("cigar"))).withColumn("_chars", checked).withColumn("_ref", reference_places())
-    out = out.select("*", F.posexplode("_chars").alias("s", "code")).filter(F.col("code") != spec.fill)
-    off = F.when(F.col("walk_reversed"), size - 1 - F.col("s")).otherwise(F.col("s")).cast("bigint")
-    five, three = as_sequenced(off)
-    base = F.substr("seq", (F.col("s") + 1).cast("int"), F.lit(1))
-    turned = F.translate(base, "ACGT", "TGCA")
-    names = F.create_map(*(F.lit(x) for kv in spec.codes.items() for x in kv))
-    refr = F.create_map(*(x for c, q in spec.codes.items() for x in (F.lit(c), F.lit(queries.queries[q].anchor_refr).cast("string"))))
-    return out.select("record_id", *fields, names[F.col("code")].alias("name"), five.alias("read_5p"), three.alias("read_3p"), F.get("_ref", F.col("s")).alias("refr_pos"), F.get("quals", F.col("s")).cast("smallint").alias("qual"), F.when(F.col("walk_reversed"), turned).otherwise(base).alias("read_base"), refr[F.col("code")].alias("refr_base"))
-
-
-def reference_places() -> F.Column:
-    """For each base of SEQ its reference position; inserted and clipped bases have the one nearest on the 5' side of the walk."""
-    back = F.col("walk_reversed")
-    start = F.struct(F.col("pos").cast("bigint").alias("r"), F.array().cast("array<bigint>").alias("done"))
-
-    def of(a, x):
-        n, op, r = x["n"], x["op"], a["r"]
-        steps = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-        matched = F.transform(steps, lambda i: r + i)
-        beside = F.transform(steps, lambda i: F.when(back, r).otherwise(r - 1))
-        new = F.when(op.isin("M", "=", "X"), matched).when(op.isin("I", "S"), beside).otherwise(F.array().cast("array<bigint>"))
-        return F.struct((r + F.when(op.isin(*"MDN=X"), n).otherwise(F.lit(0))).alias("r"), F.concat(a["done"], new).alias("done"))
-
-    return F.aggregate("_ops", start, of, lambda a: a["done"])
+    wrong = F.when(value.isNull(), F.lit(None)).when(value["type"] != "Z", F.raise_error(F.lit(f"tag {spec.name} isn't text")).cast("string")).when(F.length(text) != F.length("seq"), F.raise_error(F.concat(F.lit(f"tag {spec.name} and SEQ differ in length in read "), F.col("qname"))).cast("string")).otherwise(text)
+    kept = list(dict.fromkeys(["record_id", *fields]))
+    slim = reads.withColumn("_text", F.when(F.col("original") == "unknown", F.lit(None)).otherwise(wrong)).select(*dict.fromkeys([*kept, "pos", "cigar", "seq", "quals", "walk_reversed", *CLIPS]), "_text")
+    schema = T.StructType([reads.schema[k] for k in kept] + T._parse_datatype_string(FLAT).fields)
+    names = schema.fieldNames()
+    code_known = np.zeros(256, bool)
+    code_known[[ord(c) for c in (*spec.codes, spec.fill)]] = True
+    which = np.zeros(256, np.int64)
+    which[[ord(c) for c in spec.codes]] = np.arange(len(spec.codes))
+    called, stands_on = list(spec.codes.values()), [queries.queries[q].anchor_refr for q in spec.codes.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in pieces(b)):
+            get = lambda k: batch.column(batch.schema.get_field_index(k))
+            offs, codes = text_of(get("_text"))
+            odd = codes[~code_known[codes]]
+            if len(odd):
+                raise ValueError(f"tag {spec.name}: no code {chr(odd[0])}")
+            at = np.flatnonzero(codes != ord(spec.fill))
+            rec = np.searchsorted(offs, at, "right") - 1
+            s, code = at - offs[rec], codes[at]
+            seq_offs, seq = text_of(get("seq"))
+            back = get("walk_reversed").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)[rec]
+            five, three = as_sequenced_of(batch, rec, np.where(back, np.diff(seq_offs)[rec] - 1 - s, s))
+            place, placed = places_of(batch, rec, s)
+            base = seq[seq_offs[rec] + s]
+            quals = get("quals")
+            begin, values = quals.offsets.to_numpy().astype(np.int64), quals.values.to_numpy(zero_copy_only=False)
+            rated = s < np.diff(begin)[rec]
+            rated &= quals.is_valid().to_numpy(zero_copy_only=False)[rec]
+            qual = np.full(len(s), np.nan)
+            qual[rated] = values[begin[rec[rated]] + s[rated]]
+            query = pa.array(which[code])
+            out = [
+                pa.array(called, pa.string()).take(query), five, three, pa.array(place, mask=~placed), pa.array(np.nan_to_num(qual).astype(np.int16), mask=np.isnan(qual)),
+                _LETTERS.take(pa.array(np.where(back, _TURNED[base], base))), pa.array(stands_on, pa.string()).take(query),
+            ]
+            yield pa.RecordBatch.from_arrays([*(get(k).take(pa.array(rec)) for k in kept), *out], names=names)
+
+    return slim.mapInArrow(run, schema)
+
+
+#: Bytes as text, and those of bases by their complements.
+_LETTERS = pa.array([chr(c) if c < 128 else "?" for c in range(256)])
+_TURNED = np.arange(256, dtype=np.uint8)
+_TURNED[[ord(c) for c in "ACGT"]] = [ord(c) for c in "TGCA"]
+
+
+def places_of(batch: pa.RecordBatch, rec: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(reference position, whether the CIGAR has the base) of places in SEQ; inserted and clipped bases have the one nearest on the 5' side of the walk."""
+    get = lambda k: batch.column(batch.schema.get_field_index(k))
+    pos, back = get("pos").to_numpy(zero_copy_only=False).astype(np.int64), get("walk_reversed").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+    owner, op, n = operations(get("cigar"))
+    is_in = lambda kinds: np.isin(op, [ord(k) for k in kinds])
+    per = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
+    before = {}
+    for kinds in ("M=XIS", "MDN=X"):
+        total = np.concatenate([[0], np.cumsum(np.where(is_in(kinds), n, 0))])
+        before[kinds] = total, total[:-1] - total[per[owner]]
+    total, _ = before["M=XIS"]
+    r = pos[owner] + before["MDN=X"][1]
+    placed = s < (total[per[1:]] - total[per[:-1]])[rec]
+    # operations lie one behind the other on the bases of all records; the one of a base is the last that starts at or before it
+    at = np.searchsorted(total, total[per[rec]] + s, "right") - 1
+    at = np.minimum(at, max(0, len(op) - 1))
+    if not len(op):
+        return np.zeros(len(s), np.int64), np.zeros(len(s), bool)
+    inside = total[per[rec]] + s - total[at]
+    beside = np.where(back[rec], r[at], r[at] - 1)
+    return np.where(is_in("M=X")[at], r[at] + inside, beside), placed

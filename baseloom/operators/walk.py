@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,12 @@ from baseloom.functions import codes as K
 COLUMN = "struct<rd:int,rf:int,pos:bigint,off:bigint,q:int>"
 #: References up to so many bases in all are broadcast; larger ones are joined by tiles.
 BROADCAST_BASES = 64 << 20
-TILE = 1 << 16
+#: Bases of the smallest tiles, how much larger those of each next level are, and levels; a tile shows a quarter more behind its own bases.
+TILE, LARGER, LEVELS = 1 << 12, 16, 6
+#: Bytes of tiles in a batch.
+TILES_BYTES = 4 << 20
+#: Bases that are walked at once, so that their arrays stay in a core's cache.
+PIECE = 1 << 16
 
 
 def cigar_ops(cigar: Column) -> Column:
@@ -67,7 +73,9 @@ def with_reference(reads: DataFrame, refs: DataFrame, flank: int, broadcast_base
     """Adds refr, the reference from flank before pos to flank behind end_pos, ``_`` off the contig, and refr_start.
 
     refs: (contig, length, seq).  Small references are broadcast after a check of their
-    size; of larger ones each read fetches the tiles that it lies on.
+    size.  Larger ones are cut into tiles of several levels, as far as a contig needs them,
+    and a read meets one tile, of the first level at which it lies on a single one; so
+    reads are shuffled once, whatever they span.
     """
     reads = reads.withColumns({"refr_start": F.col("pos") - flank, "refr_stop": F.col("end_pos") + flank})
     bases = refs.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -75,15 +83,49 @@ def with_reference(reads: DataFrame, refs: DataFrame, flank: int, broadcast_base
         r = F.broadcast(refs.select(F.col("contig").alias("ref_name"), F.col("length").alias("ref_length"), F.col("seq").alias("ref_seq")))
         out = reads.join(r, "ref_name")
         return out.withColumn("refr", _cut(F.col("ref_seq"), F.lit(0), F.col("ref_length"), F.col("refr_start"), F.col("refr_stop"))).drop("ref_seq", "ref_length", "refr_stop")
-    tiles = refs.withColumn("tile", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / TILE)))).select(F.col("contig").alias("ref_name"), "tile", F.expr(f"substring(seq, int(tile * {TILE} + 1), {TILE})").alias("part"))
     lengths = F.broadcast(refs.select(F.col("contig").alias("ref_name"), F.col("length").alias("ref_length")))
-    known = reads.join(lengths, "ref_name").withColumns({"lo": F.greatest("refr_start", F.lit(0)), "hi": F.least("refr_stop", "ref_length")})
-    spread = known.select("record_id", "ref_name", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / TILE), F.floor((F.greatest("hi", F.col("lo") + 1) - 1) / TILE))).alias("tile"))
-    pieces = spread.join(tiles, ["ref_name", "tile"]).select("record_id", "tile", F.expr(f"substring(part, int(greatest(lo - tile * {TILE}, 0) + 1), int(greatest(least(hi - tile * {TILE}, {TILE}) - greatest(lo - tile * {TILE}, 0), 0)))").alias("part"))
-    whole = pieces.groupBy("record_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda x: x["part"])).alias("body"))
-    out = known.join(whole, "record_id", "left")
-    refr = F.concat(F.repeat(F.lit("_"), (F.col("lo") - F.col("refr_start")).cast("int")), F.coalesce("body", F.lit("")), F.repeat(F.lit("_"), (F.col("refr_stop") - F.greatest("hi", "lo")).cast("int")))
-    return out.withColumn("refr", refr).drop("body", "lo", "hi", "refr_stop", "ref_length")
+    known = reads.join(lengths, "ref_name").withColumns({"lo": F.greatest("refr_start", F.lit(0)), "hi": F.least("refr_stop", "ref_length")}).drop("ref_length")
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(F.col("hi") - F.floor(F.col("lo") / _tile(k)) * _tile(k) <= _tile(k) + _tile(k) // 4, k).otherwise(level)
+    known = known.withColumn("level", level)
+    known = known.withColumn("tile", F.floor(F.col("lo") / F.element_at(F.array(*(F.lit(_tile(k)) for k in range(LEVELS))), F.col("level") + 1)))
+    tiles = refs.select("contig", "seq").mapInArrow(partial(_tiles, tile=TILE, larger=LARGER), "ref_name string, level int, tile bigint, tile_start bigint, part string")
+    out = known.join(tiles, ["ref_name", "level", "tile"], "left")
+    body = F.substr("part", (F.col("lo") - F.col("tile_start") + 1).cast("int"), F.greatest(F.col("hi") - F.col("lo"), F.lit(0)).cast("int"))
+    refr = F.concat(F.repeat(F.lit("_"), (F.col("lo") - F.col("refr_start")).cast("int")), F.coalesce(body, F.lit("")), F.repeat(F.lit("_"), (F.col("refr_stop") - F.greatest("hi", "lo")).cast("int")))
+    return out.withColumn("refr", refr).drop("level", "tile", "tile_start", "part", "lo", "hi", "refr_stop")
+
+
+def _tile(level: int) -> int:
+    return TILE * LARGER**level
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], tile: int, larger: int = LARGER) -> Iterator[pa.RecordBatch]:
+    """All tiles of contigs, by slices of their bytes; the last level of a contig is the first at which one tile shows all of it."""
+    names = ["ref_name", "level", "tile", "tile_start", "part"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        *keys, parts = (pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True))
+        return pa.RecordBatch.from_arrays([*keys, parts.cast(pa.string())], names=names)
+
+    for batch in batches:
+        offs, data = text_of(batch.column(1))
+        held, size = [], 0
+        for name, begin, end in zip(batch.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            for level in range(LEVELS):
+                step = tile * larger**level
+                for at in range(0, end - begin, step):
+                    held.append((name, level, at // step, at, data[begin + at : min(begin + at + step + step // 4, end)].tobytes()))
+                    size += len(held[-1][-1])
+                    if size >= TILES_BYTES:
+                        yield batch_of(held)
+                        held, size = [], 0
+                if end - begin <= step + step // 4:
+                    break
+        if held:
+            yield batch_of(held)
 
 
 def _cut(seq: Column, offset: Column, length: Column, start: Column, stop: Column) -> Column:
@@ -159,7 +201,15 @@ def operations(cigar: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return values[np.clip(at, 0, len(values) - 1)] if len(values) else np.full(len(at), K.ANY, values.dtype)
+    return values.take(at, mode="clip") if len(values) else np.full(len(at), K.ANY, values.dtype)
+
+
+def pieces(batch: pa.RecordBatch, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of whole records of about so many bases each."""
+    offs = text_of(batch.column(batch.schema.get_field_index("seq")))[0] + 64 * np.arange(batch.num_rows + 1)
+    cuts = np.unique(np.searchsorted(offs, np.arange(0, offs[-1] + size, size)).clip(0, batch.num_rows))
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield batch.slice(begin, end - begin)
 
 
 def columns_of(batch: pa.RecordBatch, steps: Steps) -> Columns:
@@ -170,10 +220,18 @@ def columns_of(batch: pa.RecordBatch, steps: Steps) -> Columns:
     back = get["walk_reversed"].fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
     seq_offs, seq = text_of(get["seq"])
     ref_offs, ref = text_of(get["refr"])
-    seq, ref, size = _CODE[seq], _REF_CODE[ref], np.diff(seq_offs)
+    size = np.diff(seq_offs)
+    turned = np.flatnonzero(back)
+    seq, ref = _CODE[seq], _REF_CODE[ref]
+    if len(turned):
+        for data, offs in ((seq, seq_offs), (ref, ref_offs)):
+            here = np.repeat(back, np.diff(offs))
+            np.copyto(data, _COMPLEMENT[data], where=here)
     quals, has_quals = get["quals"], get["quals"].is_valid().to_numpy(zero_copy_only=False)
     qual_offs = quals.offsets.to_numpy().astype(np.int64)
-    qual = quals.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int16)
+    values = quals.values.slice(qual_offs[0], qual_offs[-1] - qual_offs[0]) if size_of else quals.values
+    qual_offs = qual_offs - qual_offs[0]
+    qual = values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int16)
 
     # segments: the left flank, the operations, the right flank of each record
     rec, op, n = operations(get["cigar"])
@@ -205,42 +263,68 @@ def columns_of(batch: pa.RecordBatch, steps: Steps) -> Columns:
         some = np.flatnonzero((shown > 1) if side else (shown > 0))
         at = at[some] + inward * hard[at[some]]
         clip[side, some] = np.where(soft[at], n[at], 0)
-
-    # columns, in the order of the reference
+    q0[left], q0[right] = clip[0] - steps.flank, size - clip[1]
+
+    # segments in the order of the walk; what a column shows is linear in its place in a segment, up or down
+    if len(turned):
+        order = np.arange(total)
+        down = back[owner]
+        order[down] = (cut[owner] + cut[owner + 1] - 1 - order)[down]
+        kind, length, count, q0, r0 = (x[order] for x in (kind, length, count, q0, r0))
+    rev = back[owner]
     begin = np.concatenate([[0], np.cumsum(count)])
-    seg = np.repeat(np.arange(total), count)
-    i = np.arange(begin[-1]) - begin[seg]
-    o, k = owner[seg], kind[seg]
-    r, q = r0[seg] + i, q0[seg] + i
-    rev = back[o]
-    hole = k == _HOLE
-    context, whole = steps.splice_context, length[seg]
-    marker = hole & (i == context)
-    r = np.where(hole & (i > context), r0[seg] + whole - 2 * context - 1 + i, r)
-    r = np.where(marker, np.where(rev, r0[seg] + whole - context - 1, r0[seg] + context), r)
-    inserted = k == _INSERTED
-    r = np.where(inserted, np.where(rev, r0[seg], r0[seg] - 1), r)
-    outer = np.where(k == _LEFT, steps.flank - 1 - i, i)  # how far a flank's column is from the alignment
-    clipped = ((k == _LEFT) & (outer < clip[0, o])) | ((k == _RIGHT) & (outer < clip[1, o]))
-    q = np.where(k == _LEFT, clip[0, o] - steps.flank + i, np.where(k == _RIGHT, size[o] - clip[1, o] + i, q))
-    base = (k == _MATCH) | inserted
-    rd = np.where(base, _taken(seq, seq_offs[o] + q), np.uint8(K.SKIP))
-    rd[k == _DELETED] = K.GAP
-    flank = (k == _LEFT) | (k == _RIGHT)
-    rd[flank] = np.where(clipped[flank], K.CLIP, K.PAD)
-    rf = _taken(ref, ref_offs[o] + r - ref_start[o])
+    columns, step = int(begin[-1]), np.where(rev, -1, 1)
+    flank, base = (kind == _LEFT) | (kind == _RIGHT), (kind == _MATCH) | (kind == _INSERTED)
+    i = np.arange(columns) - np.repeat(begin[:-1], count)
+    way = np.repeat(step, count)
+    if len(turned):
+        np.multiply(i, way, out=i)  # counted down where the walk goes back
+    first = np.where(rev, count - 1, 0)
+    r = np.repeat(r0 + first, count) + i
+    at_read = np.repeat(q0 + first, count) + i
+    rec_of = np.repeat(owner, count)
+
+    # what most columns show; the fills of others take its place
+    fill = np.full(total, K.SKIP, np.uint8)
+    fill[kind == _DELETED], fill[flank] = K.GAP, K.PAD
+    is_base = np.repeat(base, count)
+    rd = np.where(is_base, _taken(seq, at_read + np.repeat(seq_offs[owner], count)), np.repeat(fill, count))
+    passed = np.where(rev, size[owner] - 1 - q0, q0 - 1)  # the read base that the walk has passed last
+    off = np.where(is_base, np.repeat(np.where(rev, size[owner] - 1, 0), count) + at_read * way, np.repeat(np.where(flank, NONE, passed), count))
+    quality = np.full(columns, -1, np.int16)
+    use = is_base if has_quals.all() else is_base & has_quals[rec_of]
+    quality[use] = _taken(qual, (at_read + np.repeat(qual_offs[:-1][owner], count))[use])
+
+    def of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(columns, segment of each) of some segments."""
+        which = np.flatnonzero(some & (count > 0))
+        seg = np.repeat(which, count[which])
+        return np.arange(len(seg)) - np.repeat(np.cumsum(count[which]) - count[which], count[which]) + begin[seg], seg
+
+    # clipped bases beside the alignment
+    at, seg = of(flank & (np.where(kind == _LEFT, clip[0, owner], clip[1, owner]) > 0))
+    if len(at):
+        here = at_read[at] - q0[seg]
+        o = owner[seg]
+        outer = np.where(kind[seg] == _LEFT, steps.flank - 1 - here, here)  # how far a flank's column is from the alignment
+        clipped = outer < np.where(kind[seg] == _LEFT, clip[0, o], clip[1, o])
+        at, o = at[clipped], o[clipped]
+        rd[at] = K.CLIP
+        off[at] = np.where(back[o], size[o] - 1 - at_read[at], at_read[at])
+    # introns show their ends and a marker, inserted bases stand beside their neighbour
+    at, seg = of(kind == _HOLE)
+    context, marker = steps.splice_context, at[:0]
+    if len(at):
+        here, whole = r[at] - r0[seg], length[seg]
+        r[at] = np.where(here > context, r0[seg] + whole - 2 * context - 1 + here, r[at])
+        middle = here == context
+        marker = at[middle]
+        r[marker] = np.where(rev[seg], r0[seg] + whole - context - 1, r0[seg] + context)[middle]
+    inserted, seg = of(kind == _INSERTED)
+    r[inserted] = np.where(rev[seg], r0[seg], r0[seg] - 1)
+    rf = _taken(ref, r + np.repeat((ref_offs[:-1] - ref_start)[owner], count))
     rf[marker], rf[inserted] = K.SKIP, K.GAP
-    own = np.where(rev, size[o] - 1 - q, q)
-    passed = np.where(rev, size[o] - 1 - q0[seg], q0[seg] - 1)  # the read base that the walk has passed last
-    off = np.where(base | clipped, own, np.where(flank, NONE, passed))
-    quality = np.full(len(o), -1, np.int16)
-    use = base & has_quals[o]
-    quality[use] = _taken(qual, qual_offs[o[use]] + q[use])
-
-    first = np.concatenate([[0], np.cumsum(np.bincount(o, minlength=size_of))])
-    turn = np.where(rev, first[o] + first[o + 1] - 1 - np.arange(len(o)), np.arange(len(o)))
-    rd, rf = (np.where(rev, _COMPLEMENT[x[turn]], x) for x in (rd, rf))
-    return Columns(first, o, rd, rf, r[turn], off[turn], quality[turn])
+    return Columns(begin[cut], rec_of, rd, rf, r, off, quality)
 
 
 def beside(reads: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: str) -> DataFrame:
@@ -250,7 +334,7 @@ def beside(reads: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Ar
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*kept, *new.fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             got = compute(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), *(got[f.name] for f in new.fields)], names=schema.fieldNames())
 
@@ -271,3 +355,43 @@ def walk(reads: DataFrame, flank: int, splice_context: int | None = None, insert
         return {"cols": pa.ListArray.from_arrays(pa.array(c.first, pa.int32()), pa.StructArray.from_arrays(parts, ["rd", "rf", "pos", "off", "q"]))}
 
     return beside(reads, compute, f"cols array<{COLUMN}>")
+
+
+#: All names that one byte can hold; a column shows no others.
+_LETTER = np.frombuffer("".join(n if len(n := K.name_of(c)) == 1 else "*" for c in range(256)).encode(), np.uint8)
+SPELLED = "record_id bigint, read string, refr string, positions bigint, offsets bigint, quals bigint"
+
+
+def spelled(reads: DataFrame, steps: Steps) -> DataFrame:
+    """For each record the columns of read and reference as text, in walk order, and sums of their positions, offsets and qualities.
+
+    The sums take what isn't there as 0.  Columns stay in Python, so a record is one row of two texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in pieces(b)):
+            c = columns_of(batch, steps)
+            texts = [pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(c.first.astype(np.int64)), pa.py_buffer(_LETTER[x])]).cast(pa.string()) for x in (c.rd, c.rf)]
+            sums = [_summed(x, c.first) for x in (c.pos, np.where(c.off == NONE, 0, c.off), np.maximum(c.q, 0))]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("record_id")), *texts, *map(pa.array, sums)], names=["record_id", "read", "refr", "positions", "offsets", "quals"])
+
+    return reads.select("record_id", *NEEDS).mapInArrow(run, SPELLED)
+
+
+def _summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def chosen(reads: DataFrame, steps: Steps, wanted: Callable[[Columns], np.ndarray]) -> DataFrame:
+    """(record_id, pos, off, rd, rf) of the columns that are wanted, by name; the others don't leave Python."""
+    names = pa.array([K.name_of(c) for c in range(256)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in pieces(b)):
+            c = columns_of(batch, steps)
+            at = np.flatnonzero(wanted(c))
+            off = c.off[at]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("record_id")).take(pa.array(c.rec[at])), pa.array(c.pos[at]), pa.array(off, mask=off == NONE), names.take(pa.array(c.rd[at])), names.take(pa.array(c.rf[at]))], names=["record_id", "pos", "off", "rd", "rf"])
+
+    return reads.select("record_id", *NEEDS).mapInArrow(run, "record_id bigint, pos bigint, off bigint, rd string, rf string")

@@ -203,3 +203,45 @@ def test_edit_tags(spark):
             s += n if op in "M=XIS" else 0
             p += n if op in "M=XDN" else 0
         assert (x.tags["NM"].value, x.tags["MD"].value) == (str(edits), f"{md}{run}")
+
+
+def test_statistics_take_one_pass(spark):
+    """The verdicts are made once, for the rate too; without verdicts the rate is there, and null."""
+    r = random.Random(6)
+    rows = [x for k in range(20) for x in fragment(r, f"q{k}", 60, 40, 40)]
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    verdicts = O.fragment_verdicts(table(spark, rows))
+    got = {(x.section, x.key): x.value for x in O.statistics(verdicts.mapInArrow(counted, verdicts.schema)).collect()}
+    assert count.value == 20 and got["rate_ppm", "mismatch"] == 0 and got["templates", "resolved"] == 20
+    assert [tuple(x) for x in O.statistics(verdicts.filter("false")).collect()] == [("rate_ppm", "mismatch", None)]
+
+
+def test_several_records_of_a_read(spark):
+    """Records that show the same places of a read: the aligned base, then the better mapped record stands for it."""
+    r = random.Random(7)
+    one, two = fragment(r, "q", 60, 40, 40, start=100)
+    worse = record(2, "q", 0x63 | 0x800, [5000], one[12], cigar="40M", mapq=10)
+    better = record(2, "q", 0x63 | 0x800, [5000], one[12], cigar="40M", mapq=61)
+    assert decided(spark, [one, two, worse]).overlap == 20 and decided(spark, [one, two, better]).verdict != "resolved"
+
+
+def test_edit_texts_take_no_loop_over_records(monkeypatch):
+    """MD of a deletion that goes on, one behind another, edits at both ends, and records without any."""
+    import numpy as np
+
+    from baseloom.functions import codes as K
+
+    gap, a, c, g = K.GAP, K.A, K.C, K.G
+    shown = [[(a, a), (a, c), (gap, g), (gap, a), (c, c)], [], [(c, c)] * 12, [(gap, c), (a, gap), (gap, g), (a, g)], [(K.SKIP, a), (a, c)]]
+    first = np.cumsum([0, *map(len, shown)])
+    flat = [x for cols in shown for x in cols]
+    rec = np.repeat(np.arange(len(shown)), np.diff(first))
+    columns = O.Columns(first, rec, *(np.array([x[k] for x in flat], np.uint8) for k in (0, 1)), rec, rec, rec)
+    edits, md = O.edit_texts(columns, len(shown))
+    assert (edits.tolist(), md.to_pylist()) == ([3, 0, 0, 4, 1], ["1C0^GA1", "0", "12", "0^CG0G0", "0C0"])

@@ -139,7 +139,7 @@ def overlap_mates(spark, d):
 SELECT rid AS record_id, count(*) FILTER (edit) AS nm, coalesce(string_agg(c, '' ORDER BY pos) FILTER (edit AND op <> 'I'), '') AS letters FROM e GROUP BY rid""")
 def edit_tags(spark, d):
     """NM, and the reference's letters in MD."""
-    out = overlap.with_edit_tags(reads(spark, d), contigs(spark, d))
+    out = overlap.with_edit_tags(reads(spark, d).select("record_id", "flags", "ref_name", "pos", "cigar", "seq", "quals", "tags"), contigs(spark, d))
     return out.select("record_id", F.col("tags")["NM"]["value"].cast("bigint").alias("nm"), F.regexp_replace(F.col("tags")["MD"]["value"], "[^A-Z]", "").alias("letters"))
 
 

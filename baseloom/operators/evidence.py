@@ -261,9 +261,13 @@ class Evidence:
 
 
 def without_blocks(rows: DataFrame, bad: DataFrame) -> DataFrame:
-    """SQL's NOT IN: a null block goes too when anything is rejected, and a null among the rejected leaves nothing."""
+    """SQL's NOT IN: a null block goes too when anything is rejected, and a null among the rejected leaves nothing.
+
+    Rejected blocks are broadcast: they have a row each, while a shuffle of the rows by
+    block would put a block's hits, and all of its sites behind them, into one task.
+    """
     facts = bad.agg(F.count("*").alias("bad_rows"), F.count("block").alias("bad_known"))
-    kept = rows.join(bad.filter("block IS NOT NULL").distinct(), "block", "left_anti")
+    kept = rows.join(F.broadcast(bad.filter("block IS NOT NULL").distinct()), "block", "left_anti")
     kept = kept.crossJoin(F.broadcast(facts))  # one row
     return kept.filter("bad_rows = 0 OR (bad_rows = bad_known AND block IS NOT NULL)").select(*rows.columns)
 

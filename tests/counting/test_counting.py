@@ -242,3 +242,16 @@ def test_stream(spark, hits, tmp_path):
     batch = Run(hits, block="XB", spark=spark).measures(CG, CH).evidence().site_all()
     assert table(spark.table(f"sites_{name}")) == table(batch)
     assert set(sinks.FORMATS) == {"bedgraph", "bismark_cov", "methyldackel_bedgraph", "bedmethyl", "cgmap", "cellinfo", "sites_parquet", "amethyst"}
+
+
+def test_sites_are_not_dealt_by_block(spark):
+    """Few blocks may hold all hits: rejected ones are broadcast, and sites are summed by their whole keys."""
+    import re
+
+    from baseloom.plans import counting
+
+    for name in ("report", "resolved"):
+        plan = counting.QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[block#", plan), name
+        if name == "report":
+            assert re.search(r"hashpartitioning\(block#\d+, contig#\d+, refr_pos#\d+", plan)
